@@ -4,7 +4,8 @@ Every document starts with the fractional number of copies target / source size.
 fractions are paired: a pair moves mass (copies times words) from one to the other, in a random direction whose odds
 keep each expectation, until one of them is 0 or 1. A group so rounds all of its documents but one, and its total of
 words stays as it was. The groups' leftovers meet in the next level of a reduction tree, until one is left per source,
-which is rounded by its own odds: a source misses its target by less than one document.
+which is rounded by its own odds. Large documents are paired first, so the one left over is among the smallest, and a
+source misses its target by less than that document's size.
 
 Levels are as many as log_fan(documents of the largest source). Groups are dealt by hash within a source, so a source
 with a third of all rows gets a third of the groups; no task holds more than about `fan` rows of a group.
@@ -69,7 +70,7 @@ def _pivot(p: np.ndarray, w: np.ndarray, h: np.ndarray, seed: int) -> tuple[np.n
 
 def _rounder(seed: int, level: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["h", "doc_id", "size"], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         h = rows["h"].to_numpy(np.int64).view(np.uint64)
         p, last = _pivot(rows["p"].to_numpy(float), rows["size"].to_numpy(float), h, seed + level)
         more = np.round(p)
