@@ -8,8 +8,8 @@ a block with fewer than a words of the templates' vocabulary cannot meet it. Pos
 of T and j of B leaves at most 1 + min(|T| - i - 1, |B| - j - 1) shared words. What passes is verified on the whole sets.
 Words outside the templates' vocabulary can't be shared; they stand last in the order and are dropped.
 
-A template whose shared words are a proper part of what another template shares with the same block is dropped ("cc by"
-within "cc by nc"). All of it runs on DataFrame functions; templates, their prefixes and the vocabulary are literals.
+A template is dropped where another one shares all of its shared words with the same block, and shares more or has fewer
+words that the block lacks ("cc by" and "cc by nc nd" give way to "cc by nc"). All of it runs on DataFrame functions; templates, their prefixes and the vocabulary are literals.
 
 Defined cases: null or empty text has 0 words, no places, empty labels and score 0; rows that repeat an id are judged
 each by its own text; a text of any length is read whole.
@@ -118,7 +118,8 @@ def notice_blocks(docs: DataFrame, counts: dict[str, int], share: float = SHARE)
     shared = F.array_intersect("b", "ranks")
     met = passed.withColumn("shared", shared).filter(F.size("shared") >= F.col("need"))
     met = met.groupBy("doc_id", "key", "block").agg(F.collect_set(F.struct("label", "shared", F.size("ranks").alias("size"))).alias("met"))
-    beaten = lambda x: F.exists("met", lambda y: (F.size(y["shared"]) > F.size(x["shared"])) & (F.size(F.array_except(x["shared"], y["shared"])) == 0))
+    more = lambda x, y: (F.size(y["shared"]) > F.size(x["shared"])) | ((F.size(y["shared"]) == F.size(x["shared"])) & (y["size"] < x["size"]))
+    beaten = lambda x: F.exists("met", lambda y: more(x, y) & (F.size(F.array_except(x["shared"], y["shared"])) == 0))
     met = met.select("doc_id", "key", "block", F.explode(F.filter("met", lambda x: ~beaten(x))).alias("m"))
     return met.select("doc_id", "key", "block", "m.label", (F.size("m.shared") / F.col("m.size")).alias("containment"))
 
