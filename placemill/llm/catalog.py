@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm import decontaminate, language, licenses, mixing, pii
+from placemill.llm import decontaminate, language, licenses, lm, mixing, pii
 from placemill.llm.common import held_out, table
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", pii.pseudonyms().alias("p"))
     return docs.select("doc_id", "p.text", "p.n_found", F.array_join("p.kinds", ",").alias("kinds"))

@@ -84,3 +84,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def uniform(x: np.ndarray) -> np.ndarray:
     """Hashes to floats in the open interval (0, 1)."""
     return ((mix64(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+class HashIndex:
+    """Places of 64-bit keys: two open tables, the second with a multiplier under which the leftovers don't meet."""
+
+    def __init__(self, keys: np.ndarray):
+        self.n = len(keys)
+        self.keys = np.append(keys.astype(np.uint64), np.uint64(0))
+        self.bits = max(12, int(self.n + 1).bit_length() + 4)
+        places = np.arange(self.n, dtype=np.int32)
+        self.first = np.full(1 << self.bits, self.n, np.int32)
+        self.first[self._slot(self.keys[:-1], 0x9E3779B97F4A7C15)] = places
+        rest = np.flatnonzero(self.first[self._slot(self.keys[:-1], 0x9E3779B97F4A7C15)] != places)
+        self.mult, slots = 0xD6E8FEB86659FD93, np.zeros(0, np.uint64)
+        while len(np.unique(slots := self._slot(self.keys[rest], self.mult))) < len(rest):
+            self.mult = (self.mult + 0x2545F4914F6CDD1E) % (1 << 64)
+        self.second = np.full(1 << self.bits, self.n, np.int32)
+        self.second[slots] = rest
+
+    def _slot(self, codes: np.ndarray, mult: int) -> np.ndarray:
+        return (codes * np.uint64(mult)) >> np.uint64(64 - self.bits)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The place of each key, n for those that aren't there."""
+        at = self.first[self._slot(codes, 0x9E3779B97F4A7C15)]
+        lost = np.nonzero(self.keys[at] != codes)
+        at[lost] = self.second[self._slot(codes[lost], self.mult)]
+        at[self.keys[at] != codes] = self.n
+        return at
