@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placemill.llm import decontaminate, language, licenses, lm, mixing, neardup, pii
+from placemill.llm import chunks, decontaminate, language, licenses, lm, mixing, neardup, pii
 from placemill.llm.common import held_out, table
 
 
@@ -34,6 +34,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "held_out", language.identify(docs, counts).alias("p")).select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
