@@ -15,6 +15,11 @@ EARTH_M = 6_371_000
 NANO = 1_000_000_000
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def nano(degrees: Column) -> Column:
     return (degrees * float(NANO)).cast("long")
 
@@ -103,7 +108,10 @@ def _point(lon: Column, lat: Column) -> Column:
 def line_midpoint(coords: Column) -> Column:
     """The point at half of the length; the first vertex of a line without length."""
     seg = _segments(coords)
-    half = _total(F.transform(seg, _length)) / 2
+    return let(_total(F.transform(seg, _length)) / 2, lambda half: _at_length(coords, seg, half))
+
+
+def _at_length(coords: Column, seg: Column, half: Column) -> Column:
     start = F.struct(F.lit(0.0).alias("gone"), F.lit(None).cast("double").alias("lon"), F.lit(None).cast("double").alias("lat"))
 
     def step(a: Column, s: Column) -> Column:
@@ -112,31 +120,31 @@ def line_midpoint(coords: Column) -> Column:
         t = (half - a["gone"]) / n
         return F.struct((a["gone"] + n).alias("gone"), F.when(here, s["x1"] + (s["x2"] - s["x1"]) * t).otherwise(a["lon"]).alias("lon"), F.when(here, s["y1"] + (s["y2"] - s["y1"]) * t).otherwise(a["lat"]).alias("lat"))
 
-    found = F.aggregate(seg, start, step)
     first = F.get(coords, 0)
-    return _point(F.coalesce(found["lon"], first["lon"]), F.coalesce(found["lat"], first["lat"]))
+    return let(F.aggregate(seg, start, step), lambda found: _point(F.coalesce(found["lon"], first["lon"]), F.coalesce(found["lat"], first["lat"])))
 
 
 def line_centroid(coords: Column) -> Column:
     """Mean of the segments' midpoints by length; the first vertex of a line without length."""
     seg, first = _segments(coords), F.get(coords, 0)
-    n = _total(F.transform(seg, _length))
-    x = _total(F.transform(seg, lambda s: _length(s) * (s["x1"] + s["x2"]) / 2))
-    y = _total(F.transform(seg, lambda s: _length(s) * (s["y1"] + s["y2"]) / 2))
-    return _point(F.when(n > 0, x / n).otherwise(first["lon"]), F.when(n > 0, y / n).otherwise(first["lat"]))
+    zero = F.lit(0.0)
+    add = lambda t, s: F.struct((t["n"] + _length(s)).alias("n"), (t["x"] + _length(s) * (s["x1"] + s["x2"]) / 2).alias("x"), (t["y"] + _length(s) * (s["y1"] + s["y2"]) / 2).alias("y"))
+    sums = F.aggregate(seg, F.struct(zero.alias("n"), zero.alias("x"), zero.alias("y")), add)
+    return let(sums, lambda t: F.when(t["n"] > 0, _point(t["x"] / t["n"], t["y"] / t["n"])).otherwise(_point(first["lon"], first["lat"])))
 
 
 def ring_centroid(coords: Column) -> Column:
     """Area centroid of a closed ring, relative to its first vertex; a ring without area is taken as a line."""
     first = F.get(coords, 0)
     seg = F.transform(_segments(coords), lambda s: F.struct((s["x1"] - first["lon"]).alias("x1"), (s["y1"] - first["lat"]).alias("y1"), (s["x2"] - first["lon"]).alias("x2"), (s["y2"] - first["lat"]).alias("y2")))
-    cross = lambda s: s["x1"] * s["y2"] - s["x2"] * s["y1"]
-    twice = _total(F.transform(seg, cross))
-    x = _total(F.transform(seg, lambda s: (s["x1"] + s["x2"]) * cross(s)))
-    y = _total(F.transform(seg, lambda s: (s["y1"] + s["y2"]) * cross(s)))
-    flat = line_centroid(coords)
-    ok = F.abs(twice) > 1e-15
-    return _point(F.when(ok, first["lon"] + x / (3 * twice)).otherwise(flat["lon"]), F.when(ok, first["lat"] + y / (3 * twice)).otherwise(flat["lat"]))
+
+    def add(t: Column, s: Column) -> Column:
+        cross = s["x1"] * s["y2"] - s["x2"] * s["y1"]
+        return F.struct((t["twice"] + cross).alias("twice"), (t["x"] + (s["x1"] + s["x2"]) * cross).alias("x"), (t["y"] + (s["y1"] + s["y2"]) * cross).alias("y"))
+
+    sums = F.aggregate(seg, F.struct(F.lit(0.0).alias("twice"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), add)
+    centre = lambda t: _point(first["lon"] + t["x"] / (3 * t["twice"]), first["lat"] + t["y"] / (3 * t["twice"]))
+    return let(sums, lambda t: F.when(F.abs(t["twice"]) > 1e-15, centre(t)).otherwise(line_centroid(coords)))
 
 
 def ring_holds(coords: Column, lon: Column, lat: Column) -> Column:
@@ -154,19 +162,25 @@ def ring_inner_point(coords: Column) -> Column:
     heights = F.array_sort(F.array_distinct(F.transform(coords, lambda c: c["lat"])))
     middle = F.size(heights) / 2
     at = F.greatest(F.floor(middle).cast("int"), F.lit(1))
-    y = (F.get(heights, at - 1) + F.coalesce(F.get(heights, at), F.get(heights, at - 1))) / 2
+    middle_y = (F.get(heights, at - 1) + F.coalesce(F.get(heights, at), F.get(heights, at - 1))) / 2
+    return let(middle_y, lambda y: _on_height(coords, y))
+
+
+def _on_height(coords: Column, y: Column) -> Column:
     hits = F.array_sort(F.filter(F.transform(_segments(coords), lambda s: F.when((s["y1"] > y) != (s["y2"] > y), s["x1"] + (y - s["y1"]) * (s["x2"] - s["x1"]) / F.when(s["y2"] != s["y1"], s["y2"] - s["y1"]))), lambda x: x.isNotNull()))
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(hits) - 2, F.lit(0))), lambda i: (i % 2 == 0) & (i + 1 < F.size(hits))), lambda i: F.struct((F.get(hits, i + 1) - F.get(hits, i)).alias("w"), ((F.get(hits, i + 1) + F.get(hits, i)) / 2).alias("x")))
-    widest, first = F.array_max(pairs), F.get(coords, 0)
-    return _point(F.coalesce(widest["x"], first["lon"]), F.when(widest["x"].isNotNull(), y).otherwise(first["lat"]))
+    first = F.get(coords, 0)
+
+    def widest(h: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - 2, F.lit(0))), lambda i: (i % 2 == 0) & (i + 1 < F.size(h)))
+        return F.array_max(F.transform(starts, lambda i: F.struct((F.get(h, i + 1) - F.get(h, i)).alias("w"), ((F.get(h, i + 1) + F.get(h, i)) / 2).alias("x"))))
+
+    return let(let(hits, widest), lambda w: F.when(w["x"].isNotNull(), _point(w["x"], y)).otherwise(_point(first["lon"], first["lat"])))
 
 
 def representative_point(coords: Column) -> Column:
     """The point itself; half way along a line; the centroid of a polygon if it is inside, else a point that is."""
-    kind, centre = shape_of(coords), ring_centroid(coords)
-    inside = ring_inner_point(coords)
-    on = ring_holds(coords, centre["lon"], centre["lat"])
-    ring = _point(F.when(on, centre["lon"]).otherwise(inside["lon"]), F.when(on, centre["lat"]).otherwise(inside["lat"]))
+    kind = shape_of(coords)
+    ring = let(ring_centroid(coords), lambda c: F.when(ring_holds(coords, c["lon"], c["lat"]), c).otherwise(ring_inner_point(coords)))
     return F.when(kind == "point", F.get(coords, 0)).when(kind == "polygon", ring).when(kind == "line", line_midpoint(coords))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemill.config import Config
@@ -15,14 +15,19 @@ GRID_ZOOM = 10
 FIELDS = {"name": "standard", "name_edge_ngram": "edge_ngram", "search_names": "standard", "search_names_edge_ngram": "edge_ngram", "key": "keyword", "value": "keyword", "keys": "keyword", "values": "keyword"}
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row, however often later steps and filters use them: filters aren't pushed through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def build(objects: DataFrame, conf: Config, levels: Mapping[str, int] | None = None) -> DataFrame:
     """Features of tagged, located objects. Objects without tags, class, coordinates, or (only_named) name are left out."""
     tags = F.col("tags")
-    rows = objects.filter((F.size("tags") > 0) & (F.size("coords") > 0)).withColumn("classes", classify.classify(tags, conf.importance, levels)).filter(F.size("classes") > 0)
+    rows = once(objects.filter((F.size("tags") > 0) & (F.size("coords") > 0)), classes=classify.classify(tags, conf.importance, levels)).filter(F.size("classes") > 0)
     if conf.only_named:
         rows = rows.filter(names.has_name(tags, conf.languages))
-    rows = rows.withColumn("best", classify.best(F.col("classes"))).withColumn("plain", names.plain_name(tags, conf.languages)).withColumn("geom", geometry.located(F.col("coords"), conf.geometry_mode, conf.simplification_tolerance))
-    lists = [F.transform("classes", lambda c, k=k: c[k]) if not conf.disable_key_value else F.array().cast("array<string>") for k in ("key", "value")]  # noqa: B023
+    rows = once(rows, best=classify.best(F.col("classes")), plain=names.plain_name(tags, conf.languages), geom=geometry.located(F.col("coords"), conf.geometry_mode, conf.simplification_tolerance))
+    lists = [F.col(f"classes.{k}") if not conf.disable_key_value else F.array().cast("array<string>") for k in ("key", "value")]
     centre = F.get(F.col("coords"), 0)
     x, y = geo.tile_xy(centre["lon"], centre["lat"], GRID_ZOOM)
     return rows.select(
@@ -49,10 +54,11 @@ def build(objects: DataFrame, conf: Config, levels: Mapping[str, int] | None = N
     )
 
 
-def postings(features: DataFrame, analyzer: str = "standard") -> DataFrame:
-    """field, term, id, tf, field_len: one row for each term of a field of a feature."""
+def postings(features: DataFrame, analyzer: str = "standard", folded: bool = True) -> DataFrame:
+    """field, term, id, tf, field_len: one row for each term of a field of a feature. Names are folded as queries are, unless told otherwise."""
     kinds = FIELDS | {"name": analyzer}
-    source = {"name_edge_ngram": F.array("name"), "name": F.array("name"), "search_names": F.map_values("names"), "search_names_edge_ngram": F.map_values("names"), "key": F.array("key"), "value": F.array("value"), "keys": F.col("keys"), "values": F.col("values")}
+    name, others = (text.fold(F.col("name")), F.transform(F.map_values("names"), text.fold)) if folded else (F.col("name"), F.map_values("names"))
+    source = {"name_edge_ngram": F.array(name), "name": F.array(name), "search_names": others, "search_names_edge_ngram": others, "key": F.array("key"), "value": F.array("value"), "keys": F.col("keys"), "values": F.col("values")}
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.flatten(F.transform(source[f], text.ANALYZERS[k])).alias("terms")) for f, k in kinds.items()])
     flat = features.select("id", F.explode(each).alias("f")).select("id", "f.field", F.size("f.terms").alias("field_len"), F.explode("f.terms").alias("term")).filter("term <> ''")
     return flat.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.max("field_len").alias("field_len"))

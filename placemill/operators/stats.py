@@ -26,7 +26,7 @@ def cache_hits(log: DataFrame, ttl_seconds: int) -> DataFrame:
 
     log: key, ts. An answer is made at a miss, so which query is a miss depends on the misses before it: per key, in order.
     """
-    by_key = log.groupBy("key").agg(F.array_sort(F.collect_list(F.col("ts").cast("double"))).alias("times"))
+    by_key = log.groupBy("key").agg(F.array_sort(F.collect_list(F.col("ts").cast("timestamp").cast("double"))).alias("times"))
     state = F.struct(F.lit(None).cast("double").alias("made"), F.lit(0).alias("misses"))
 
     def step(s, t):
@@ -39,5 +39,5 @@ def cache_hits(log: DataFrame, ttl_seconds: int) -> DataFrame:
 
 def cache_gaps(log: DataFrame, ttl_seconds: int) -> DataFrame:
     """key, n, fresh: queries of a key, and those within the time from the one before."""
-    gap = F.col("ts").cast("double") - F.lag(F.col("ts").cast("double")).over(W.partitionBy("key").orderBy("ts"))
+    gap = F.col("ts").cast("timestamp").cast("double") - F.lag(F.col("ts").cast("timestamp").cast("double")).over(W.partitionBy("key").orderBy("ts"))
     return log.withColumn("gap", gap).groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("gap") <= ttl_seconds).alias("fresh"))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from placemill.functions import geo
 from placemill.operators import names
+from placemill.operators.features import once
 
 # Layers that hold points of interest.
 LAYERS = ("pois", "poi", "place", "places", "transportation", "water", "landuse", "point", "building", "housenumber", "water_name", "waterway", "aerodrome_label")
 
 
-def tags_of(props: Column, layer: Column, languages: tuple[str, ...] = ()) -> Column:
-    """Tags of a tile feature: its properties, named, with its class under the key that the layer stands for."""
+def added_tags(props: Column, layer: Column, languages: tuple[str, ...] = ()) -> Column:
+    """What a tile feature's tags have beside its properties: the full name, and its class under the key that the layer stands for."""
     get = lambda k: names.tag(props, k)
     has = lambda k: F.map_contains_key(props, F.lit(k))
     kind = F.when(get("class") != "", get("class")).when(get("subclass") != "", get("subclass")).otherwise(get("key"))
@@ -35,15 +36,16 @@ def tags_of(props: Column, layer: Column, languages: tuple[str, ...] = ()) -> Co
     pairs.append(F.struct(F.lit("name").alias("k"), F.nullif(names.full_name(plain, props), F.lit("")).alias("v")))
     pairs.append(F.struct(F.lit("importance").alias("k"), F.when(has("rank") & (get("importance") == ""), get("rank")).alias("v")))
     pairs += [F.struct(F.lit(f"addr:{k}").alias("k"), F.when(has(k), get(k)).alias("v")) for k in ("housenumber", "street", "city", "postcode")]
-    added = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"].isNotNull()))
-    return F.map_concat(F.map_filter(props, lambda k, _: ~F.map_contains_key(added, k)), added)
+    return F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"].isNotNull()))
 
 
 def objects(features: DataFrame, languages: tuple[str, ...] = (), layers: tuple[str, ...] = LAYERS) -> DataFrame:
     """Tile features as objects. One without an id gets one from where it was found ("at"), so that no two are taken for one."""
     own = F.coalesce(F.col("fid").cast("string"), F.concat(F.col("layer"), F.lit("-"), F.col("at").cast("string")))
     kept = features.filter(F.col("layer").isin(*layers))
-    return kept.withColumn("tags", tags_of(F.col("props"), F.col("layer"), languages)).select(F.concat(F.lit("pmtiles/"), own).alias("id"), "tags", "lat", "lon", F.array(F.struct("lon", "lat")).alias("coords"))
+    kept = once(kept, added=added_tags(F.col("props"), F.col("layer"), languages))
+    tags = F.map_concat(F.map_filter("props", lambda k, _: ~F.map_contains_key(F.col("added"), k)), F.col("added"))
+    return once(kept, tags=tags).select(F.concat(F.lit("pmtiles/"), own).alias("id"), "tags", "lat", "lon", F.array(F.struct("lon", "lat")).alias("coords"))
 
 
 def layer_inventory(features: DataFrame) -> DataFrame:
@@ -79,6 +81,6 @@ def at_point(features: DataFrame, lat: float, lon: float, least_zoom: int, most_
     asked = zooms.select("z", x.alias("x"), y.alias("y"))
     fx, fy = geo.tile_xy(F.col("lon"), F.col("lat"), F.col("z"))
     own = features.filter(F.col("layer") == layer) if layer else features
-    placed = own.drop("z").crossJoin(F.broadcast(zooms)) if "z" not in features.columns else own
+    placed = own.withColumn("z", F.explode(F.sequence(F.lit(least_zoom), F.lit(most_zoom)))) if "z" not in features.columns else own
     placed = placed.withColumns({"x": fx, "y": fy})
     return placed.join(F.broadcast(asked), ["z", "x", "y"]).groupBy("z", "x", "y", "layer").agg(F.count("*").alias("n_features"))

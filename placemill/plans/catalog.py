@@ -291,13 +291,13 @@ def way_envelope(spark, d):
 @query
 def way_centroid(spark, d):
     c = geo.centroid(F.col("coords"))
-    return _ways(spark, d).filter(geo.shape_of(F.col("coords")) == "line").select("id", F.round(c["lon"], 4).alias("lon"), F.round(c["lat"], 4).alias("lat"))
+    return _ways(spark, d).filter(geo.shape_of(F.col("coords")) == "line").select("id", F.round(c["lon"], 7).alias("lon"), F.round(c["lat"], 7).alias("lat"))
 
 
 @query
 def way_midpoint(spark, d):
     c = geo.representative_point(F.col("coords"))
-    return _ways(spark, d).filter(geo.shape_of(F.col("coords")) == "line").select("id", F.round(c["lon"], 4).alias("lon"), F.round(c["lat"], 4).alias("lat"))
+    return _ways(spark, d).filter(geo.shape_of(F.col("coords")) == "line").select("id", F.round(c["lon"], 7).alias("lon"), F.round(c["lat"], 7).alias("lat"))
 
 
 @query
@@ -424,7 +424,7 @@ def index_search(spark, d):
 
 @query
 def index_multiword(spark, d):
-    return engine.index_search(*_index(spark, d), Params(query="the of", key="place"), CONF, _ontology(spark))
+    return engine.index_search(*_index(spark, d), Params(query="castles er", key="historic"), CONF, _ontology(spark))
 
 
 @query

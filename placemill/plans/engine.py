@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from placemill.config import Config, Params
 from placemill.functions import geo, text
 from placemill.operators import classify, filters, names, ranking
+from placemill.operators.features import once
 
 NEAR_M = 5000
 #: (field, boost) of the three ways in which a word meets a name; the last allows one edit.
@@ -62,10 +63,9 @@ def direct_hits(objects: DataFrame, p: Params, conf: Config = Config(), ontology
         else:
             one = F.get(F.col("coords"), 0)
             rows = rows.filter(F.when(lone, filters.spatial_point(one["lat"], one["lon"], p)).otherwise(filters.spatial_shape(F.col("coords"), p)))
-    rows = rows.withColumn("classes", classify.classify(F.col("tags"), conf.importance, ontology.levels)).filter(F.size("classes") > 0)
     plain = names.plain_name(F.col("tags"), conf.languages)
     renamed = F.map_concat(F.map_filter("tags", lambda k, _: k != "name"), F.map_filter(F.create_map(F.lit("name"), names.full_name(plain, F.col("tags"))), lambda _, v: v != ""))
-    rows = rows.withColumn("tags", renamed)
+    rows = once(rows, classes=classify.classify(F.col("tags"), conf.importance, ontology.levels), own=renamed).filter(F.size("classes") > 0).drop("tags").withColumnRenamed("own", "tags")
     rows = rows.filter(filters.direct_fields(F.col("tags"), F.col("classes"), p) & filters.direct_text(F.col("tags"), p))
     tags, classes, q = F.col("tags"), F.col("classes"), F.lit(p.query)
     rank = names.tag(tags, "importance").try_cast("double")
@@ -75,8 +75,8 @@ def direct_hits(objects: DataFrame, p: Params, conf: Config = Config(), ontology
     if p.query:
         category = F.array_max(F.transform(classes, lambda c: ranking.category_match(q, c["key"], c["value"], ontology.named(p.query))))
         tier = F.array_max(F.transform(classes, lambda c: ranking.entity_tier(c["key"])))
-        base = text.best_match(F.map_values(tags), q)
-        score = ranking.shared_score(q, base, text.best_match(known, q), category, tier, F.col("importance"), text.exact_match(known, q), F.size(known) > 0)
+        rows = once(rows, known=known).transform(lambda r: once(r, s_base=text.best_match(F.map_values(tags), q), s_name=text.best_match(F.col("known"), q), s_category=category, s_tier=tier, s_exact=text.exact_match(F.col("known"), q)))
+        score = ranking.shared_score(q, F.col("s_base"), F.col("s_name"), F.col("s_category"), F.col("s_tier"), F.col("importance"), F.col("s_exact"), F.size("known") > 0)
     else:
         score = F.greatest(F.col("importance"), F.lit(0.0)) * 1000
     keep = ["id", "lat", "lon"] if {"lat", "lon"} <= set(objects.columns) else ["id"]
@@ -174,10 +174,11 @@ def index_hits(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Param
     if conf.store_metadata:
         key, value, importance = F.col("key"), F.col("value"), F.col("importance")
         category = F.array_max(F.transform(F.concat(F.array("value"), "values"), lambda v: ranking.category_match(q, key, v, ontology.named(p.query))))
-        tier = F.array_max(F.transform(F.concat(F.array("key"), "keys"), ranking.entity_tier))
+        tier = F.array_max(F.transform(F.concat(F.array("key"), "keys"), lambda k: ranking.entity_tier(k)))
     else:
         key, value, importance, category, tier = F.lit(""), F.lit(""), F.lit(0.0), F.lit(0.0), F.lit(0)
-    score = ranking.shared_score(q, F.col("base"), text.best_match(known, q), category, tier, importance, text.exact_match(known, q), F.size(known) > 0)
+    rows = once(rows, known=known).transform(lambda r: once(r, s_name=text.best_match(F.col("known"), q), s_category=category, s_tier=tier, s_exact=text.exact_match(F.col("known"), q)))
+    score = ranking.shared_score(q, F.col("base"), F.col("s_name"), F.col("s_category"), F.col("s_tier"), importance, F.col("s_exact"), F.size("known") > 0)
     at = [(F.col(f"geom.{c}") if conf.store_geometry else F.lit(None).cast("double")).alias(c) for c in ("lat", "lon")]
     return rows.select("id", "name", key.alias("key"), value.alias("value"), importance.alias("importance"), *at, F.round("base", 6).alias("base"), F.round(score, 6).alias("score"), "display_address")
 

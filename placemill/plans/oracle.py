@@ -97,8 +97,8 @@ def direct(q: str, where: str, test: str | None = None, page: str = "") -> str:
  scored AS (SELECT s.id, s.name, c.key, round(c.importance, 6) AS importance, round(s.base + 1000 * s.name_score + 1000 * c.cat + CASE WHEN s.exact THEN 160000.0 ELSE 0.0 END
    + CASE c.tier WHEN 2 THEN (CASE WHEN s.exact OR s.name_score >= 300 THEN 120000.0 ELSE 0.0 END) WHEN 1 THEN (CASE WHEN c.cat > 0 THEN 140000.0 WHEN s.name_score > 0 THEN 70000.0 ELSE 0.0 END)
      ELSE (CASE WHEN c.cat > 0 THEN 60000.0 WHEN s.name_score > 0 THEN 15000.0 ELSE 0.0 END) END
-   + ln(1 + c.importance) * 1000, 4) AS score FROM sig s JOIN cls c ON c.osm_id = s.osm_id)
- SELECT id, name, key, importance, score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored ORDER BY score DESC, id {page or 'LIMIT 100'}"""
+   + ln(1 + c.importance) * 1000, 6) AS score FROM sig s JOIN cls c ON c.osm_id = s.osm_id)
+ SELECT id, name, key, importance, round(score, 4) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored ORDER BY score DESC, id {page or 'LIMIT 100'}"""
 
 
 NODES = """nodes AS (SELECT p_partkey AS id, CAST(947000 + (p_partkey * 104729) % 18000 AS DOUBLE) / 100000.0 AS lon, CAST(4700000 + (p_partkey * 7919) % 28000 AS DOUBLE) / 100000.0 AS lat FROM part WHERE p_partkey % 10 <> 0)"""
@@ -126,6 +126,7 @@ SQL: dict[str, str] = {
     "classify_counts": f"WITH {BEST} SELECT key, count(*) AS n, round(max(importance), 6) AS top, round(avg(importance), 6) AS mean FROM best GROUP BY key",
     "boost_patterns": f"WITH {POI} SELECT osm_id, k = 'place' OR v = 'place' AS plain, k = 'amenity' AND v = 'cafe' AS both, k = 'shop' AS any_value, k = 'shop' AS no_value, v = 'castle' AS any_key, v = 'castle' AS no_key FROM poi",
     "ontology_levels": "WITH o(osm_key, osm_value, level) AS (VALUES ('natural','water',2), ('boundary','administrative',1)) SELECT osm_key, osm_value, CAST(level AS INTEGER) AS level, CASE osm_value WHEN 'water' THEN 'Q15324,Q23397' ELSE 'Q108681067,Q13220611,Q13414608,Q20166006,Q22927291,Q24010666' END AS qids FROM o",
+    "ontology_label_lookup": f"WITH {POI}, o(label, k, val) AS (VALUES ('city','place','city'), ('museum','tourism','museum'), ('park','leisure','park'), ('castle','historic','castle'), ('restaurant','amenity','restaurant'), ('cafe','amenity','cafe'), ('village','place','village')) SELECT osm_id, o.k AS osm_key, o.val AS osm_value, osm_id % 2 = 0 AS plural FROM poi JOIN o ON o.label = poi.v",
     "wikidata_scores": "SELECT concat('Q', o_custkey % 200) AS wikidata_id, round(max(o_totalprice / 1e6), 9) AS score FROM orders GROUP BY 1",
     "wikidata_scores_by_language": "SELECT concat('Q', o_custkey % 200) AS wikidata_id, ['en','de','fr','es','it'][o_orderkey % 5 + 1] AS language, round(max(o_totalprice / 1e6), 9) AS score FROM orders GROUP BY 1, 2",
     "wikidata_redirects": "SELECT concat('Q', o_custkey % 200) AS wikidata_id, count(*) AS n_redirects, array_to_string(list_sort(list(concat('T', o_orderkey))), ',') AS titles FROM orders WHERE o_orderstatus = 'P' GROUP BY 1",
@@ -149,9 +150,9 @@ SQL: dict[str, str] = {
     "required_nodes": "SELECT DISTINCT ref FROM (SELECT l_partkey AS ref FROM lineitem WHERE l_partkey % 7 <> 0 UNION ALL SELECT o_orderkey % 200 + 1 FROM orders WHERE o_orderstatus = 'P')",
     "way_geometry": f"WITH {WAYS} SELECT id, count(*) AS n_points, round(sum(lon), 6) AS sum_lon, round(sum(lat * i), 5) AS weighted_lat FROM good GROUP BY id",
     "way_envelope": f"WITH {WAYS} SELECT id, {R5.format(x='min(lon)')} AS min_lon, {R5.format(x='max(lon)')} AS max_lon, {R5.format(x='min(lat)')} AS min_lat, {R5.format(x='max(lat)')} AS max_lat FROM good GROUP BY id",
-    "way_centroid": f"WITH {SEGMENTS}, {CLOSED} SELECT id, round(CASE WHEN sum(len) > 0 THEN sum(len * (x1 + x2) / 2) / sum(len) ELSE min(fx) END, 4) AS lon, round(CASE WHEN sum(len) > 0 THEN sum(len * (y1 + y2) / 2) / sum(len) ELSE min(fy) END, 4) AS lat FROM s WHERE id NOT IN (SELECT id FROM closed) GROUP BY id",
-    "way_midpoint": f"WITH {SEGMENTS}, {CLOSED}, c AS (SELECT *, sum(len) OVER (PARTITION BY id ORDER BY i) AS upto, sum(len) OVER (PARTITION BY id) / 2 AS half FROM s), h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM c WHERE len > 0 AND upto >= half) SELECT id, round(x1 + (x2 - x1) * (half - (upto - len)) / len, 4) AS lon, round(y1 + (y2 - y1) * (half - (upto - len)) / len, 4) AS lat FROM h WHERE r = 1 AND id NOT IN (SELECT id FROM closed)",
-    "relation_point": f"WITH {NODES}, m AS (SELECT o.o_custkey AS id, o.o_orderkey AS at, n.lon, n.lat FROM orders o JOIN nodes n ON n.id = o.o_orderkey % 200 + 1 WHERE o.o_orderstatus = 'P') SELECT id, arg_min(lon, at) AS lon, arg_min(lat, at) AS lat FROM m GROUP BY id",
+    "way_centroid": f"WITH {SEGMENTS}, {CLOSED} SELECT id, round(CASE WHEN sum(len) > 0 THEN sum(len * (x1 + x2) / 2) / sum(len) ELSE min(fx) END, 7) AS lon, round(CASE WHEN sum(len) > 0 THEN sum(len * (y1 + y2) / 2) / sum(len) ELSE min(fy) END, 7) AS lat FROM s WHERE id NOT IN (SELECT id FROM closed) GROUP BY id",
+    "way_midpoint": f"WITH {SEGMENTS}, {CLOSED}, c AS (SELECT *, sum(len) OVER (PARTITION BY id ORDER BY i) AS upto, sum(len) OVER (PARTITION BY id) / 2 AS half FROM s), h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM c WHERE len > 0 AND upto >= half), f AS (SELECT id, min(fx) AS fx, min(fy) AS fy FROM s GROUP BY id) SELECT f.id, round(coalesce(x1 + (x2 - x1) * (half - (upto - len)) / len, f.fx), 7) AS lon, round(coalesce(y1 + (y2 - y1) * (half - (upto - len)) / len, f.fy), 7) AS lat FROM f LEFT JOIN (SELECT * FROM h WHERE r = 1) h ON h.id = f.id WHERE f.id NOT IN (SELECT id FROM closed)",
+    "relation_point": f"WITH {NODES}, m AS (SELECT o.o_custkey AS id, o.o_orderkey AS pos, n.lon, n.lat FROM orders o JOIN nodes n ON n.id = o.o_orderkey % 200 + 1 WHERE o.o_orderstatus = 'P') SELECT id, arg_min(lon, pos) AS lon, arg_min(lat, pos) AS lat FROM m GROUP BY id",
     "text_match_score": f"WITH {POI} SELECT osm_id, {matched(fold('name'), 'the')} AS score FROM poi",
     "category_match_score": f"WITH {POI}, {KINDS} SELECT osm_id, max(CASE WHEN starts_with(key, 'addr:') OR key IN ('brand', 'wheelchair') THEN 0.0 WHEN value = 'museum' THEN 320.0 WHEN key = 'museum' THEN 140.0 ELSE 0.0 END) AS score FROM kinds GROUP BY osm_id",
     "direct_search": direct("the", metres("lat", "lon", "47.14", "9.52") + " <= 15000"),
@@ -161,7 +162,7 @@ SQL: dict[str, str] = {
     "direct_page": direct("the", "true", page="LIMIT 20 OFFSET 15"),
     "exact_names": f"WITH {POI}, {NAMED} SELECT osm_id FROM named WHERE {fold('trim(full_name)')} = (SELECT {fold('trim(full_name)')} FROM named WHERE osm_id = 1)",
     "postings": f"""WITH {POI}, t AS (SELECT osm_id, unnest({words(fold("concat(name, CASE WHEN name <> '' AND NOT contains(lower(name), lower(brand)) THEN concat(' (', brand, ')') ELSE '' END)"))}) AS term FROM poi) SELECT osm_id, term, count(*) AS tf FROM t WHERE term NOT IN ({_STOP}) GROUP BY 1, 2""",
-    "near_queries": "WITH q AS (SELECT conv_id * 100 + turn AS qid, string_split(text, ' ') AS w FROM conversations WHERE role = 'user') SELECT qid, CASE WHEN ok THEN w[1] END AS what, CASE WHEN ok THEN b END AS place FROM (SELECT qid, w, coalesce(w[2], 'the') AS b, qid % 5 = 0 AND trim(w[1]) <> '' AND trim(coalesce(w[2], 'the')) <> '' AS ok FROM q) WHERE qid % 5 = 0",
+    "near_queries": "WITH q AS (SELECT conv_id * 100 + turn AS qid, string_split(text, ' ') AS w FROM conversations WHERE role = 'user') SELECT qid, CASE WHEN ok THEN w[1] END AS what, CASE WHEN ok THEN b END AS place FROM (SELECT qid, w, coalesce(w[2], 'the') AS b, qid % 5 = 0 AND trim(w[1]) <> '' AND trim(coalesce(w[2], 'the')) <> '' AND NOT contains(w[1], chr(10)) AND NOT contains(coalesce(w[2], ''), chr(10)) AS ok FROM q) WHERE qid % 5 = 0",
     "query_fields": "WITH q AS (SELECT conv_id * 100 + turn AS qid, string_split(text, ' ') AS w FROM conversations WHERE role = 'user'), t AS (SELECT qid, CASE WHEN qid % 5 = 0 THEN concat(w[1], ' near ', coalesce(w[2], 'the')) WHEN qid % 3 = 0 THEN w[1] WHEN qid % 3 = 1 THEN concat(w[1], ' ', coalesce(w[2], 'the')) ELSE concat(w[1], '  ', coalesce(w[2], 'the')) END AS query FROM q) SELECT qid, CAST(CASE WHEN query = '' THEN 0 ELSE length(query) - length(replace(query, ' ', '')) + 1 END AS INTEGER) AS n FROM t",
     "split_address": f"WITH {POI} SELECT osm_id, 'Main St' AS street, CASE WHEN osm_id % 3 = 2 AND osm_id % 2 = 0 THEN '' ELSE CAST(osm_id AS VARCHAR) END AS number FROM poi WHERE osm_id % 3 <> 2 UNION ALL SELECT osm_id, 'Main St', CASE WHEN osm_id % 2 = 0 THEN '' ELSE CAST(osm_id AS VARCHAR) END FROM poi WHERE osm_id % 3 = 2",
     "parse_radius": f"WITH {POI} SELECT osm_id, CAST(CASE osm_id % 4 WHEN 0 THEN osm_id * 1000 WHEN 1 THEN osm_id WHEN 2 THEN osm_id ELSE 0 END AS INTEGER) AS metres FROM poi",
@@ -176,7 +177,7 @@ SQL: dict[str, str] = {
     "near_batch": f"""WITH {BEST}, {NAMED}, f AS (SELECT n.osm_id, concat(n.entity_type, '/', n.osm_id) AS id, n.full_name, n.lat, n.lon, round(b.importance, 6) AS imp FROM named n JOIN best b USING (osm_id)),
  w AS (SELECT DISTINCT id, lat, lon, imp, unnest({words(fold('full_name'))}) AS word FROM f),
  q AS (SELECT conv_id * 100 + turn AS qid, string_split(text, ' ')[1] AS a, coalesce(string_split(text, ' ')[2], 'the') AS b FROM conversations WHERE role = 'user'),
- asked AS (SELECT qid, {fold('trim(a)')} AS what, {fold('trim(b)')} AS place FROM q WHERE qid % 5 = 0 AND trim(a) <> '' AND trim(b) <> ''),
+ asked AS (SELECT qid, {fold('trim(a)')} AS what, {fold('trim(b)')} AS place FROM q WHERE qid % 5 = 0 AND trim(a) <> '' AND trim(b) <> '' AND NOT contains(a, chr(10)) AND NOT contains(b, chr(10))),
  pl AS (SELECT DISTINCT qid, what, unnest({words('place')}) AS word FROM asked),
  ref AS (SELECT * FROM (SELECT p.qid, p.what, w.id AS ref_id, w.lat AS rlat, w.lon AS rlon, row_number() OVER (PARTITION BY p.qid ORDER BY w.imp DESC, w.id DESC) AS r FROM pl p JOIN w USING (word)) WHERE r = 1),
  x AS (SELECT DISTINCT qid, ref_id, rlat, rlon, unnest({words('what')}) AS word FROM ref),
