@@ -86,7 +86,7 @@ class Tables:
         self.langs, k = m.langs, len(m.langs)
         codes, at = np.unique(m.code, return_inverse=True)
         full = np.zeros((len(codes), k))
-        full[at, m.lang] = m.n
+        np.add.at(full, (at, m.lang), m.n)
         parts = np.stack([(codes >> s) & 255 for s in (24, 16, 8, 0)])
         used = np.unique(parts)
         self.size = s = len(used) + 1

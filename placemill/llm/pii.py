@@ -232,4 +232,4 @@ def pseudonyms(text: str | Column = "text", key: bytes = KEY) -> Column:
 def replace(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
     """docs with pseudonyms in the text; n_chars, where there is one, counts the new text."""
     out = docs.withColumn(text_col, pseudonyms(text_col, key)["text"])
-    return out.withColumn("n_chars", F.when(F.col(text_col).isNotNull(), F.length(text_col)).cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.coalesce(F.length(text_col), "n_chars").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
