@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,12 +54,17 @@ def build(objects: DataFrame, conf: Config, levels: Mapping[str, int] | None = N
     )
 
 
+def _one(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """Of one argument, as transform() would pass a place to a second one."""
+    return lambda c: f(c)
+
+
 def postings(features: DataFrame, analyzer: str = "standard", folded: bool = True) -> DataFrame:
     """field, term, id, tf, field_len: one row for each term of a field of a feature. Names are folded as queries are, unless told otherwise."""
     kinds = FIELDS | {"name": analyzer}
     name, others = (text.fold(F.col("name")), F.transform(F.map_values("names"), text.fold)) if folded else (F.col("name"), F.map_values("names"))
     source = {"name_edge_ngram": F.array(name), "name": F.array(name), "search_names": others, "search_names_edge_ngram": others, "key": F.array("key"), "value": F.array("value"), "keys": F.col("keys"), "values": F.col("values")}
-    each = F.array(*[F.struct(F.lit(f).alias("field"), F.flatten(F.transform(source[f], text.ANALYZERS[k])).alias("terms")) for f, k in kinds.items()])
+    each = F.array(*[F.struct(F.lit(f).alias("field"), F.flatten(F.transform(source[f], _one(text.ANALYZERS[k]))).alias("terms")) for f, k in kinds.items()])
     flat = features.select("id", F.explode(each).alias("f")).select("id", "f.field", F.size("f.terms").alias("field_len"), F.explode("f.terms").alias("term")).filter("term <> ''")
     return flat.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.max("field_len").alias("field_len"))
 
