@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemill.config import Importance
+from placemill.functions.geo import let
 
 # Keys that classify an object, in order.
 KEYS = (
@@ -75,7 +76,8 @@ def classify(tags: Column, weights: Importance, levels: Mapping[str, int] | None
             boosted = boosted.when(fits_pattern(key, v, pattern), 1000.0 + (len(weights.boosts) - i) * 10.0)
         score = (boosted.otherwise(score) if weights.boosts else score) + more
         level = F.coalesce(F.try_element_at(level_map, F.concat(k, F.lit("="), v)), F.lit(-1)) if level_map is not None else F.lit(-1)
-        score = F.when(level.between(0, 6), score * (1.0 + 0.1 * level)).otherwise(score)
+        # a level outside 0 to 6 changes nothing
+        score = score * F.when(level.between(0, 6), 1.0 + 0.1 * level).otherwise(1.0)
         return F.struct(key.alias("key"), v.alias("value"), score.alias("importance"), level.alias("ont_level"))
 
     known = F.filter(fresh, lambda k: ~F.element_at(tags, k).isin("", "yes", "no"))
@@ -85,8 +87,7 @@ def classify(tags: Column, weights: Importance, levels: Mapping[str, int] | None
 def best(classes: Column) -> Column:
     """The most important one; ties go to the higher level, then to the first."""
     ranked = F.transform(classes, lambda c, i: F.struct(c["importance"].alias("importance"), c["ont_level"].alias("ont_level"), (-i).alias("at"), c["key"].alias("key"), c["value"].alias("value")))
-    top = F.array_max(ranked)
-    return F.struct(top["key"].alias("key"), top["value"].alias("value"), top["importance"].alias("importance"), top["ont_level"].alias("ont_level"))
+    return let(F.array_max(ranked), lambda top: F.struct(*[top[k].alias(k) for k in ("key", "value", "importance", "ont_level")]))
 
 
 def add_importance_table(features: DataFrame, by_id: DataFrame, by_language: DataFrame, languages: tuple[str, ...]) -> DataFrame:

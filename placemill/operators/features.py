@@ -9,25 +9,22 @@ from pyspark.sql import functions as F
 
 from placemill.config import Config
 from placemill.functions import geo, text
+from placemill.functions.frames import once, opened
 from placemill.operators import classify, geometry, names
 
 GRID_ZOOM = 10
 FIELDS = {"name": "standard", "name_edge_ngram": "edge_ngram", "search_names": "standard", "search_names_edge_ngram": "edge_ngram", "key": "keyword", "value": "keyword", "keys": "keyword", "values": "keyword"}
 
 
-def once(df: DataFrame, **columns: Column) -> DataFrame:
-    """Adds columns that are computed once per row, however often later steps and filters use them: filters aren't pushed through a generator."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def build(objects: DataFrame, conf: Config, levels: Mapping[str, int] | None = None) -> DataFrame:
     """Features of tagged, located objects. Objects without tags, class, coordinates, or (only_named) name are left out."""
     tags = F.col("tags")
     rows = once(objects.filter((F.size("tags") > 0) & (F.size("coords") > 0)), classes=classify.classify(tags, conf.importance, levels)).filter(F.size("classes") > 0)
     if conf.only_named:
         rows = rows.filter(names.has_name(tags, conf.languages))
-    rows = once(rows, best=classify.best(F.col("classes")), plain=names.plain_name(tags, conf.languages), geom=geometry.located(F.col("coords"), conf.geometry_mode, conf.simplification_tolerance))
-    lists = [F.col(f"classes.{k}") if not conf.disable_key_value else F.array().cast("array<string>") for k in ("key", "value")]
+    rows = geometry.locate(once(opened(rows, classify.best(F.col("classes")), "key", "value", "importance", "ont_level"), plain=names.plain_name(tags, conf.languages)), conf.geometry_mode, conf.simplification_tolerance)
+    none = F.array().cast("array<string>")
+    lists = [none, none] if conf.disable_key_value else [F.transform("classes", lambda c: c["key"]), F.transform("classes", lambda c: c["value"])]
     centre = F.get(F.col("coords"), 0)
     x, y = geo.tile_xy(centre["lon"], centre["lat"], GRID_ZOOM)
     return rows.select(
@@ -36,11 +33,11 @@ def build(objects: DataFrame, conf: Config, levels: Mapping[str, int] | None = N
         "osm_id",
         names.full_name(F.col("plain"), tags).alias("name"),
         names.other_names(tags, conf.languages, not conf.disable_alt_names).alias("names"),
-        F.col("best.key").alias("key"),
-        F.col("best.value").alias("value"),
+        "key",
+        "value",
         lists[0].alias("keys"),
         lists[1].alias("values"),
-        (F.lit(0.0) if conf.disable_importance else F.col("best.importance")).alias("importance"),
+        (F.lit(0.0) if conf.disable_importance else F.col("importance")).alias("importance"),
         "tags",
         names.address(tags).alias("address"),
         names.display_address(tags).alias("display_address"),

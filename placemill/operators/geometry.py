@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placemill.functions import geo
+from placemill.functions.frames import once, opened
 
 MODES = ("geopoint", "geopoint-centroid", "geoshape-bbox", "geoshape-simplified", "geoshape-full", "no-geo")
 COORDS = T.ArrayType(T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())]))
@@ -95,8 +96,8 @@ def located(coords: Column, mode: str, tolerance: float = 0.0) -> Column:
     rounded = lambda cs: F.transform(cs, lambda c: F.struct(geo.round5(c["lon"]).alias("lon"), geo.round5(c["lat"]).alias("lat")))
     none = F.lit(None).cast("double")
     if mode in ("geopoint", "geopoint-centroid"):
-        p = geo.representative_point(coords) if mode == "geopoint" else geo.centroid(coords)
-        return F.struct(F.lit("point").alias("type"), geo.round5(p["lon"]).alias("lon"), geo.round5(p["lat"]).alias("lat"), F.lit(None).cast(COORDS).alias("coords"))
+        point = geo.representative_point(coords) if mode == "geopoint" else geo.centroid(coords)
+        return geo.let(point, lambda p: F.struct(F.lit("point").alias("type"), geo.round5(p["lon"]).alias("lon"), geo.round5(p["lat"]).alias("lat"), F.lit(None).cast(COORDS).alias("coords")))
     if mode == "geoshape-bbox":
         e = geo.envelope(coords)
         corners = F.array(*[F.struct(e[x].alias("lon"), e[y].alias("lat")) for x, y in (("min_lon", "min_lat"), ("max_lon", "min_lat"), ("max_lon", "max_lat"), ("min_lon", "max_lat"), ("min_lon", "min_lat"))])
@@ -107,6 +108,26 @@ def located(coords: Column, mode: str, tolerance: float = 0.0) -> Column:
     return F.struct(geo.shape_of(shape).alias("type"), none.alias("lon"), none.alias("lat"), rounded(shape).alias("coords"))
 
 
+def locate(df: DataFrame, mode: str, tolerance: float = 0.0) -> DataFrame:
+    """Adds located() of the column coords as geom, in steps."""
+    c = F.col("coords")
+    if mode not in ("geopoint", "geopoint-centroid"):
+        return once(df, geom=located(c, mode, tolerance))
+    ring, line = F.col("_shape") == "polygon", F.col("_shape") == "line"
+    at = ("_in_lon", "_in_lat", "_ring_lon", "_ring_lat", "_line_lon", "_line_lat")
+    out = once(df, _shape=geo.shape_of(c))
+    out = opened(out, F.when(ring, geo.ring_centroid(c)), "_ring_lon", "_ring_lat")
+    out = opened(out, F.when(line, geo.line_midpoint(c) if mode == "geopoint" else geo.line_centroid(c)), "_line_lon", "_line_lat")
+    if mode == "geopoint":
+        out = once(out, _holds=F.when(ring, geo.ring_holds(c, F.col("_ring_lon"), F.col("_ring_lat"))))
+        out = opened(out, F.when(ring & ~F.col("_holds"), geo.ring_inner_point(c)), "_in_lon", "_in_lat").drop("_holds")
+    else:
+        out = out.withColumns({"_in_lon": F.lit(None).cast("double"), "_in_lat": F.lit(None).cast("double")})
+    lon, lat = (geo.round5(F.coalesce(*at[i::2], F.get(c, 0)[k])) for i, k in enumerate(("lon", "lat")))
+    geom = F.struct(F.lit("point").alias("type"), lon.alias("lon"), lat.alias("lat"), F.lit(None).cast(COORDS).alias("coords"))
+    return out.withColumn("geom", geom).drop("_shape", *at)
+
+
 def geojson(geom: Column) -> Column:
     """GeoJSON text of what located() gives."""
     pairs = F.transform(geom["coords"], lambda c: F.array(c["lon"], c["lat"]))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placemill.functions import geo
+from placemill.functions.frames import once
 from placemill.operators import names
-from placemill.operators.features import once
 
 # Layers that hold points of interest.
 LAYERS = ("pois", "poi", "place", "places", "transportation", "water", "landuse", "point", "building", "housenumber", "water_name", "waterway", "aerodrome_label")

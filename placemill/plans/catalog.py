@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from placemill.config import Config, Importance, Params
 from placemill.functions import geo, text
+from placemill.functions.frames import once, opened
 from placemill.operators import classify, features, filters, geometry, names, ontology, ranking, stats, tiles
 from placemill.plans import engine
 from placemill.sources import adapters as a
@@ -32,7 +33,11 @@ def _ontology(spark: SparkSession) -> engine.Ontology:
 
 
 def _classed(spark: SparkSession, d: str) -> DataFrame:
-    return a.objects(spark, d).withColumn("classes", classify.classify(F.col("tags"), WEIGHTS, _levels(spark)))
+    return once(a.objects(spark, d), classes=classify.classify(F.col("tags"), WEIGHTS, _levels(spark)))
+
+
+def _best(spark: SparkSession, d: str) -> DataFrame:
+    return opened(_classed(spark, d).filter(F.size("classes") > 0), classify.best(F.col("classes")), "key", "value", "importance", "ont_level")
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -116,13 +121,12 @@ def classify_all(spark, d):
 
 @query
 def classify_best(spark, d):
-    return _classed(spark, d).filter(F.size("classes") > 0).withColumn("b", classify.best(F.col("classes"))).select("osm_id", "b.key", "b.value", "b.ont_level", F.round("b.importance", 6).alias("importance"))
+    return _best(spark, d).select("osm_id", "key", "value", "ont_level", F.round("importance", 6).alias("importance"))
 
 
 @query
 def classify_counts(spark, d):
-    best = _classed(spark, d).filter(F.size("classes") > 0).select(classify.best(F.col("classes")).alias("b"))
-    return best.groupBy(F.col("b.key").alias("key")).agg(F.count("*").alias("n"), F.round(F.max("b.importance"), 6).alias("top"), F.round(F.avg("b.importance"), 6).alias("mean"))
+    return _best(spark, d).groupBy("key").agg(F.count("*").alias("n"), F.round(F.max("importance"), 6).alias("top"), F.round(F.avg("importance"), 6).alias("mean"))
 
 
 @query
@@ -296,15 +300,14 @@ def way_centroid(spark, d):
 
 @query
 def way_midpoint(spark, d):
-    c = geo.representative_point(F.col("coords"))
-    return _ways(spark, d).filter(geo.shape_of(F.col("coords")) == "line").select("id", F.round(c["lon"], 7).alias("lon"), F.round(c["lat"], 7).alias("lat"))
+    ways = opened(_ways(spark, d).filter(geo.shape_of(F.col("coords")) == "line"), geo.line_midpoint(F.col("coords")), "x", "y")
+    return ways.select("id", F.round("x", 7).alias("lon"), F.round("y", 7).alias("lat"))
 
 
 @query
 def way_point(spark, d):
     """Representative points of all ways, rings included."""
-    g = geometry.located(F.col("coords"), "geopoint")
-    return _ways(spark, d).select("id", geo.shape_of(F.col("coords")).alias("shape"), g["lon"].alias("lon"), g["lat"].alias("lat"))
+    return geometry.locate(_ways(spark, d), "geopoint").select("id", geo.shape_of(F.col("coords")).alias("shape"), "geom.lon", "geom.lat")
 
 
 @query
@@ -314,7 +317,7 @@ def way_simplified(spark, d):
 
 @query
 def way_geojson(spark, d):
-    return _ways(spark, d).select("id", geometry.geojson(geometry.located(F.col("coords"), "geoshape-full")).alias("geojson"))
+    return geometry.locate(_ways(spark, d), "geoshape-full").select("id", geometry.geojson(F.col("geom")).alias("geojson"))
 
 
 @query

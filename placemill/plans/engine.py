@@ -11,8 +11,8 @@ from pyspark.sql import Window as W
 
 from placemill.config import Config, Params
 from placemill.functions import geo, text
+from placemill.functions.frames import once
 from placemill.operators import classify, filters, names, ranking
-from placemill.operators.features import once
 
 NEAR_M = 5000
 #: (field, boost) of the three ways in which a word meets a name; the last allows one edit.

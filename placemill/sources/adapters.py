@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placemill.functions.frames import once
+
 CENTRE = (47.14, 9.52)
 
 
@@ -58,7 +60,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = [x for tag, column in _TAGS.items() for x in (F.lit(tag), F.col(column))]
     tags = F.map_filter(F.create_map(F.lit("name"), F.col("name"), F.col("k"), F.col("v"), *pairs), lambda _, v: v != "")
     at = F.array(F.struct("lon", "lat"))
-    return poi(spark, sf_dir).select(F.concat_ws("/", "entity_type", F.col("osm_id").cast("string")).alias("id"), "entity_type", "osm_id", tags.alias("tags"), "lang", "lat", "lon", at.alias("coords"))
+    return once(poi(spark, sf_dir), tags=tags).select(F.concat_ws("/", "entity_type", F.col("osm_id").cast("string")).alias("id"), "entity_type", "osm_id", "tags", "lang", "lat", "lon", at.alias("coords"))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

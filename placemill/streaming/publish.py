@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemill.config import Config, Params
+from placemill.functions.frames import once
 from placemill.operators import classify, features, filters
 
 
@@ -25,7 +26,7 @@ def publish(objects: DataFrame, root: str, version: str, conf: Config, levels: M
 
 def matching(stream: DataFrame, p: Params, conf: Config, levels: Mapping[str, int] | None = None) -> DataFrame:
     """Objects of a stream (id, tags, lat, lon) that meet a standing query; stateless, so it runs in any output mode that appends."""
-    rows = features.once(stream.filter(filters.spatial_point(F.col("lat"), F.col("lon"), p)), classes=classify.classify(F.col("tags"), conf.importance, levels))
+    rows = once(stream.filter(filters.spatial_point(F.col("lat"), F.col("lon"), p)), classes=classify.classify(F.col("tags"), conf.importance, levels))
     return rows.filter((F.size("classes") > 0) & filters.direct_fields(F.col("tags"), F.col("classes"), p) & filters.direct_text(F.col("tags"), p))
 
 
