@@ -7,9 +7,9 @@ order 3), taken from a bounded sample of its labelled training texts. A byte see
 statistics are frozen, so a text's code length is a sum of table entries, and the language with the shortest code wins.
 The score is that language's posterior probability when all languages are equally likely beforehand.
 
-Frozen costs up to order 2 are dense tables over the bytes that the sample holds; order 3 is a hash of the four-byte
-strings seen. Both are built once per Python worker, from the broadcast counts. They take about 60 MB for four languages
-and grow with their number; the counts grow with the sample (`sample_docs` texts a language), not with the corpus.
+The costs are looked up by the strings of four and three bytes that the sample holds, and in dense tables of pairs. They
+are built once per Python worker, from the broadcast counts, and take a few MB a language; the counts grow with the sample
+(`sample_docs` texts a language), not with the corpus.
 
 Defined cases: null, empty and letterless texts are `und` with score 0; with no training text every text is `und`; ties
 go to the language that sorts first; a text of any length is scored whole.
@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placemill.llm.common import doc_hash, slices
+from placemill.llm.common import HashIndex, doc_hash, slices
 
 UNKNOWN = "und"
 #: Labelled training texts per language; the bound of the fitted sample.
@@ -74,77 +74,69 @@ class Counts:
     uid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def _cost(c: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cost of the last axis but one (symbols) after its context, given that of the shorter context; cost of the escape."""
-    n, q = c.sum(axis=-2, keepdims=True), (c > 0).sum(axis=-2, keepdims=True)
-    escape = np.where(n > 0, np.log2(np.maximum(n + q, 1)) - np.log2(np.maximum(q, 1)), 0.0)
-    return np.where(c > 0, np.log2(np.maximum(n + q, 1)) - np.log2(np.maximum(c, 1)), escape + below).astype(np.float32), escape[..., 0, :].astype(np.float32)
+def _bits(c: np.ndarray, n: np.ndarray, q: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+    """Cost of what was seen c times in a context seen n times with q different successors; else the other cost."""
+    return np.where(c > 0, np.log2(np.maximum(n + q, 1)) - np.log2(np.maximum(c, 1)), otherwise).astype(np.float32)
+
+
+def _escape(n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.where(n > 0, np.log2(np.maximum(n + q, 1)) - np.log2(np.maximum(q, 1)), 0).astype(np.float32)
 
 
 class Tables:
+    """Costs of the strings of four and of three bytes that were seen, and dense ones of pairs; a row has a number per language."""
+
     def __init__(self, m: Counts):
         self.langs, k = m.langs, len(m.langs)
         codes, at = np.unique(m.code, return_inverse=True)
-        full = np.zeros((len(codes), k))
-        np.add.at(full, (at, m.lang), m.n)
-        parts = np.stack([(codes >> s) & 255 for s in (24, 16, 8, 0)])
-        used = np.unique(parts)
-        self.size = s = len(used) + 1
-        self.symbol = np.full(256, s - 1, np.int32)
-        self.symbol[used] = np.arange(len(used))
-        a, b, c, d = self.symbol[parts]
-        wide = np.zeros((s * s * s, k), np.float32)
-        np.add.at(wide, (b * s + c) * s + d, full)
-        wide = wide.reshape(s, s, s, k)
-        zero, _ = _cost(wide.sum(axis=(0, 1)), np.float32(8.0))
-        one, _ = _cost(wide.sum(axis=0), zero)
-        self.two = _cost(wide, one)[0].reshape(-1, k)
-        context = (a * s + b) * s + c
-        n, q = np.zeros((s**3, k), np.float32), np.zeros((s**3, k), np.float32)
-        np.add.at(n, context, full)
-        np.add.at(q, context, full > 0)
-        self.escape = np.where(n > 0, np.log2(np.maximum(n + q, 1)) - np.log2(np.maximum(q, 1)), np.float32(0)).astype(np.float32)
-        self.three = np.where(full > 0, np.log2(np.maximum((n + q)[context], 1)) - np.log2(np.maximum(full, 1)), self.escape[context] + self.two[(b * s + c) * s + d]).astype(np.float32)
-        self._index(codes.astype(np.uint32))
-
-    def _index(self, codes: np.ndarray) -> None:
-        """Two open tables: what the first has no room for goes to the second, whose multiplier is chosen to hold all of it."""
-        self.key = np.append(codes, np.uint32(0))
-        self.bits = max(16, int(np.ceil(np.log2(len(codes) + 1))) + 4)
-        self.first = np.full(1 << self.bits, len(codes), np.int32)
-        self.first[self._slot(codes, 2654435761)] = np.arange(len(codes))
-        rest = np.flatnonzero(self.first[self._slot(codes, 2654435761)] != np.arange(len(codes)))
-        self.mult = 2246822519
-        while True:
-            slot = self._slot(codes[rest], self.mult)
-            if len(np.unique(slot)) == len(rest):
-                break
-            self.mult += 2
-            if self.mult % 64 == 1:
-                self.bits += 1
-                return self._index(codes)
-        self.second = np.full(1 << self.bits, len(codes), np.int32)
-        self.second[slot] = rest
-        return None
-
-    def _slot(self, code: np.ndarray, mult: int) -> np.ndarray:
-        return (code * np.uint32(mult & 0xFFFFFFFF)) >> np.uint32(32 - self.bits)
+        four = np.zeros((len(codes), k))
+        np.add.at(four, (at, m.lang), m.n)
+        triples, tail = np.unique(codes & 0xFFFFFF, return_inverse=True)
+        three = np.zeros((len(triples), k))
+        np.add.at(three, tail, four)
+        two = np.zeros((1 << 16, k))
+        np.add.at(two, triples & 0xFFFF, three)
+        two = two.reshape(256, 256, k)
+        one = two.sum(axis=0)
+        zero = _bits(one, one.sum(axis=0), (one > 0).sum(axis=0), _escape(one.sum(axis=0), (one > 0).sum(axis=0)) + np.float32(8))
+        n, q = two.sum(axis=1), (two > 0).sum(axis=1)
+        self.pair = _bits(two, n[:, None], q[:, None], _escape(n, q)[:, None] + zero).reshape(-1, k)
+        # contexts of two bytes, then of three; a context may be one that was never the end of a string
+        n, q = self._context(triples >> 8, three, 1 << 16)
+        self.escape_two = _escape(n, q)
+        low = self.escape_two[triples >> 8] + self.pair[triples & 0xFFFF]
+        self.triple = _bits(three, n[triples >> 8], q[triples >> 8], low)
+        heads, head = np.unique(codes >> 8, return_inverse=True)
+        n, q = self._context(head, four, len(heads))
+        self.escape_three = np.append(_escape(n, q), np.zeros((1, k), np.float32), axis=0)
+        self.quad = _bits(four, n[head], q[head], self.escape_three[head] + self.triple[tail])
+        self.quads, self.triples, self.heads = HashIndex(codes), HashIndex(triples), HashIndex(heads)
+
+    @staticmethod
+    def _context(of: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        n, q = np.zeros((size, counts.shape[1])), np.zeros((size, counts.shape[1]))
+        np.add.at(n, of, counts)
+        np.add.at(q, of, counts > 0)
+        return n, q
 
     def bits_of(self, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Code length of each text under each language."""
-        k, s = len(self.langs), self.size
+        k = len(self.langs)
         x, where = _padded(data, lengths)
-        code = _grams(x)[where - 3]
-        y = self.symbol[x]
-        tri = (y[:-2] * s + y[1:-1]) * s + y[2:]
-        found = self.first[self._slot(code, 2654435761)]
-        missed = np.flatnonzero(self.key[found] != code)
-        found[missed] = self.second[self._slot(code[missed], self.mult)]
-        here = (self.key[found] == code) & (found < len(self.key) - 1)
+        code = _grams(x)[where - 3].astype(np.uint64)
+        found = self.quads.find(code)
         cost = np.empty((len(code), k), np.float32)
-        cost[here] = self.three[found[here]]
+        here = found < self.quads.n
+        cost[here] = self.quad[found[here]]
         gone = np.flatnonzero(~here)
-        cost[gone] = self.escape[tri[where[gone] - 3]] + self.two[tri[where[gone] - 2]]
+        code = code[gone]
+        triple = self.triples.find(code & np.uint64(0xFFFFFF))
+        rest = np.empty((len(gone), k), np.float32)
+        here = triple < self.triples.n
+        rest[here] = self.triple[triple[here]]
+        pair = code[~here].astype(np.int64)
+        rest[~here] = self.escape_two[(pair >> 8) & 0xFFFF] + self.pair[pair & 0xFFFF]
+        cost[gone] = self.escape_three[self.heads.find(code >> np.uint64(8))] + rest
         out, full = np.zeros((len(lengths), k)), np.flatnonzero(lengths)
         if len(full):
             starts = np.cumsum(lengths) - lengths

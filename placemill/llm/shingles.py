@@ -17,7 +17,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def _power(base: int, n: int) -> np.ndarray:
     if len(_powers.get(base, ())) < n:
-        p = np.full(max(n, 1 << 20), base, np.uint64)
+        p = np.full(max(n, 1 << 18), base, np.uint64)
         p[0] = 1
         _powers[base] = np.cumprod(p, dtype=np.uint64)
     return _powers[base][:n]
