@@ -162,7 +162,7 @@ SQL: dict[str, str] = {
     "direct_page": direct("the", "true", page="LIMIT 20 OFFSET 15"),
     "exact_names": f"WITH {POI}, {NAMED} SELECT osm_id FROM named WHERE {fold('trim(full_name)')} = (SELECT {fold('trim(full_name)')} FROM named WHERE osm_id = 1)",
     "postings": f"""WITH {POI}, t AS (SELECT osm_id, unnest({words(fold("concat(name, CASE WHEN name <> '' AND NOT contains(lower(name), lower(brand)) THEN concat(' (', brand, ')') ELSE '' END)"))}) AS term FROM poi) SELECT osm_id, term, count(*) AS tf FROM t WHERE term NOT IN ({_STOP}) GROUP BY 1, 2""",
-    "near_queries": "WITH q AS (SELECT conv_id * 100 + turn AS qid, string_split(text, ' ') AS w FROM conversations WHERE role = 'user') SELECT qid, CASE WHEN ok THEN w[1] END AS what, CASE WHEN ok THEN b END AS place FROM (SELECT qid, w, coalesce(w[2], 'the') AS b, qid % 5 = 0 AND trim(w[1]) <> '' AND trim(coalesce(w[2], 'the')) <> '' AND NOT contains(w[1], chr(10)) AND NOT contains(coalesce(w[2], ''), chr(10)) AS ok FROM q) WHERE qid % 5 = 0",
+    "near_queries": "WITH q AS (SELECT conv_id * 100 + turn AS qid, string_split(text, ' ') AS w FROM conversations WHERE role = 'user') SELECT qid, CASE WHEN ok THEN w[1] END AS what, CASE WHEN ok THEN b END AS place FROM (SELECT qid, w, coalesce(w[2], 'the') AS b, qid % 5 = 0 AND trim(w[1]) <> '' AND trim(coalesce(w[2], 'the')) <> '' AND NOT contains(w[1], chr(10)) AND NOT contains(coalesce(w[2], ''), chr(10)) AS ok FROM q)",
     "query_fields": "WITH q AS (SELECT conv_id * 100 + turn AS qid, string_split(text, ' ') AS w FROM conversations WHERE role = 'user'), t AS (SELECT qid, CASE WHEN qid % 5 = 0 THEN concat(w[1], ' near ', coalesce(w[2], 'the')) WHEN qid % 3 = 0 THEN w[1] WHEN qid % 3 = 1 THEN concat(w[1], ' ', coalesce(w[2], 'the')) ELSE concat(w[1], '  ', coalesce(w[2], 'the')) END AS query FROM q) SELECT qid, CAST(CASE WHEN query = '' THEN 0 ELSE length(query) - length(replace(query, ' ', '')) + 1 END AS INTEGER) AS n FROM t",
     "split_address": f"WITH {POI} SELECT osm_id, 'Main St' AS street, CASE WHEN osm_id % 3 = 2 AND osm_id % 2 = 0 THEN '' ELSE CAST(osm_id AS VARCHAR) END AS number FROM poi WHERE osm_id % 3 <> 2 UNION ALL SELECT osm_id, 'Main St', CASE WHEN osm_id % 2 = 0 THEN '' ELSE CAST(osm_id AS VARCHAR) END FROM poi WHERE osm_id % 3 = 2",
     "parse_radius": f"WITH {POI} SELECT osm_id, CAST(CASE osm_id % 4 WHEN 0 THEN osm_id * 1000 WHEN 1 THEN osm_id WHEN 2 THEN osm_id ELSE 0 END AS INTEGER) AS metres FROM poi",
