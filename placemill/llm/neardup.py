@@ -15,6 +15,12 @@ signatures agree too little are dropped; all others are verified on the whole el
 weighted or plain Jaccard similarity is at least 0.8. Classes are the connected components of all links, found by
 hooking to the least label and pointer jumping, in tables.
 
+Buckets that still hold several classes after the pivots are finished without loss. In those of at most SMALL members every
+pair of different classes is a candidate. The members of larger ones go through an exact prefix-filter join on their
+element sets, plain and weighted: elements are ordered from rare to frequent (those of one class alone first), and of two
+similar sets the first shared element stands early in both. Sizes are put into classes of a ratio of SIZE_STEP, so that a
+prefix is only as long as partners of that size allow; only members of different classes meet. All are verified.
+
 A hot bucket costs as many rows as it has members, in each round; the joins on buckets and pivots have one row per key on
 the other side, so Spark can split a hot key among tasks.
 
@@ -25,11 +31,15 @@ text is the one with the least digest; a text of any length is read whole.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from placemill.llm.common import cut, mix64, slices, uniform
 from placemill.llm.shingles import copies, shingle_hashes, word_hashes, word_spans
@@ -40,6 +50,10 @@ K, ROWS = 64, 4
 #: Pairs whose signatures agree in a smaller share are taken for dissimilar: five standard deviations below SIMILARITY.
 AGREE = 0.55
 MAX_BROADCAST = 2_000_000
+#: Members of a bucket up to which all its pairs are listed.
+SMALL = 32
+SIZE_STEP = 1.03
+_RUN = 1 << 18
 
 
 def _elements(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,6 +175,53 @@ def _pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
     return both.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
 
 
+def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, label, weighted (whether of the multiset), n (size of the set), e: a row for each element of both sets of a text."""
+    for batch in batches:
+        docs, labels, raws = (c.to_pylist() for c in batch.columns)
+        sets: list[tuple[int, int, bool, np.ndarray]] = []
+        held = 0
+        for k, (doc, label, raw) in enumerate(zip(docs, labels, raws, strict=True), 1):
+            x = np.frombuffer(raw, np.uint64)
+            sets += [(doc, label, False, x[1 : int(x[0]) + 1]), (doc, label, True, x[1:])]
+            held += 2 * len(x)
+            if held >= _RUN or k == len(docs):
+                sizes = [len(e) for *_, e in sets]
+                cols = [np.repeat(np.array([v[i] for v in sets], t), sizes) for i, t in ((0, np.int64), (1, np.int64), (2, bool))]
+                each = [*cols, np.repeat(np.array(sizes, np.int32), sizes), np.concatenate([e for *_, e in sets]).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in each], names=["doc", "label", "weighted", "n", "e"])
+                sets, held = [], 0
+
+
+def _prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """a, b: pairs of different labels, with all of those that have a similarity of at least `least`. texts: doc, label, elements."""
+    share = least / (1 + least)
+
+    def need(n: Column | str, m: Column | str) -> Column:
+        """How many elements two sets of these sizes must share."""
+        return F.ceil(share * ((F.col(n) if isinstance(n, str) else n) + (F.col(m) if isinstance(m, str) else m)) - 1e-9)
+
+    def size_class(n: Column) -> Column:
+        return F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
+
+    each = cut(texts.select("doc", "label", "elements").mapInArrow(_explode_sets, "doc long, label long, weighted boolean, n int, e long"))
+    common = each.groupBy("weighted", "e").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("weighted", "e", "f")
+    own = W.partitionBy("doc", "weighted")
+    ranked = each.join(cut(common), ["weighted", "e"]).withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "e")) - 1)
+    # left: elements from this one on, so the most that can be shared if it is the first shared one
+    posts = cut(ranked.withColumn("left", F.col("n") - F.col("at")).filter(F.col("left") >= F.ceil(least * F.col("n") - 1e-9)).select("weighted", "e", "doc", "label", "n", "left"))
+    key = ["weighted", "e", "c"]
+    index = posts.filter(F.col("left") >= need("n", "n")).withColumn("c", size_class(F.col("n")))
+    index = index.select(*key, F.col("doc").alias("doc2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("left").alias("left2"))
+    probe = posts.withColumn("c", F.explode(F.sequence(size_class(F.ceil(least * F.col("n") - 1e-9)), size_class(F.col("n")))))
+    least_size = F.greatest(F.pow(F.lit(SIZE_STEP), F.col("c")) * (1 - 1e-9), least * F.col("n"))
+    probe = probe.filter(F.col("left") >= need(least_size, "n"))
+    groups = index.groupBy(*key, "label2").agg(F.min("n2").alias("n_min"), F.max("left2").alias("left_max"))
+    met = probe.join(groups, key).filter((F.col("label") != F.col("label2")) & (F.least("left", "left_max") >= need("n_min", "n"))).drop("n_min", "left_max")
+    both = met.join(index, [*key, "label2"]).filter((F.col("n2") <= F.col("n")) & (F.least("left", "left2") >= need("n", "n2")))
+    return both.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, most: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, class_id (least id of its class), kept (whether it is that one): one row per row of docs. Ids are whole numbers."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -183,10 +244,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar."""
         left, right = sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sig_b"))
-        near = cut(pairs.join(left, "a").join(right, "b").filter(agreement("sig_a", "sig_b") >= AGREE).select("a", "b"))
+        return similar(cut(pairs.join(left, "a").join(right, "b").filter(agreement("sig_a", "sig_b") >= AGREE).select("a", "b")))
+
+    def similar(near: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("doc").alias("a"), F.col("elements").alias("set_a")), sets.select(F.col("doc").alias("b"), F.col("elements").alias("set_b"))
         return cut(near.join(left, "a").join(right, "b").filter(similarity("set_a", "set_b") >= least).select("a", "b"))
 
+    def joined(fresh: DataFrame, labels: DataFrame) -> DataFrame:
+        """The labels after the classes that the links touch are one."""
+        classes = components(fresh.join(labels.select(F.col("doc").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("doc").alias("b"), F.col("label").alias("y")), "b").select("x", "y").distinct(), "x", "y")
+        return cut(labels.join(classes.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("doc", F.coalesce("lower", "label").alias("label")))
+
     labels = suspects.select("doc", F.col("doc").alias("label"))
     links: DataFrame | None = None
     for number in range(4):
@@ -212,8 +280,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # written first: the pivots are then aggregated before the shuffle, and the join on the bucket stands alone, so that Spark can split a hot one
         fresh = linked(_pairs(now.select("band", "doc", "label"), cut(pivots)))
         links = fresh if links is None else links.union(fresh)
-        classes = components(fresh.join(labels.select(F.col("doc").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("doc").alias("b"), F.col("label").alias("y")), "b").select("x", "y").distinct(), "x", "y")
-        labels = cut(labels.join(classes.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("doc", F.coalesce("lower", "label").alias("label")))
+        labels = joined(fresh, labels)
+    now = members.join(labels, "doc")
+    open_ = cut(now.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 2 and low <> high").select("band", "n"))
+    rest = cut(now.join(open_, "band"))
+    few_each = rest.filter(F.col("n") <= SMALL)
+    other = few_each.select("band", F.col("doc").alias("pivot"), F.col("label").alias("pivot_label"))
+    fresh = linked(_pairs(few_each.select("band", "doc", "label"), other))
+    many = cut(rest.filter(F.col("n") > SMALL).select("doc", "label").distinct())
+    if many.limit(1).count():
+        fresh = fresh.union(similar(cut(_prefix_pairs(many.join(sets, "doc"), least))))
+    labels = joined(fresh, labels)
     classed = of_first.select("doc", "first").join(labels.withColumnsRenamed({"doc": "first"}), "first", "left").select("doc", F.coalesce("label", "first").alias("class_id"))
     out = rows.select("doc").join(classed, "doc", "left")
     return out.select(F.col("doc").alias("doc_id"), "class_id", F.coalesce(F.col("doc") == F.col("class_id"), F.lit(True)).alias("kept"))

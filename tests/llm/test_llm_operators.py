@@ -334,6 +334,20 @@ def test_near_duplicates_of_one_original(spark):
     assert got == _plain_classes(texts)
 
 
+def test_near_duplicates_within_a_hot_family(spark):
+    """Pairs that are alike only to each other, among many texts of one common body."""
+    r = random.Random(11)
+    words = lambda n: ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+    body, texts = words(240), {}
+    for i in range(0, 600, 2):
+        own = words(36)
+        texts[i], texts[i + 1] = " ".join(body + own), " ".join(body + own[:30] + words(6))
+    want = _plain_classes(texts)
+    assert len(set(want.values())) == 300
+    got = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(_docs(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()}
+    assert got == want
+
+
 def test_near_duplicate_edges(odd, none):
     got = [(r["doc_id"], r["class_id"], r["kept"]) for r in neardup.near_duplicates(odd).collect()]
     assert len(got) == odd.count()
