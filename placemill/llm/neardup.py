@@ -7,11 +7,14 @@ the darts with a rank below T / W are thrown, about T in all; each names a coord
 dart of a coordinate stays. T grows until no coordinate is empty. Two signatures agree in a coordinate with the
 probability of the weighted Jaccard similarity. The cost is the elements plus about K log K darts, not their product.
 
-Exact copies (equal text, by digest) are one class from the start; one text of each goes on. Signatures are banded: texts
-that share a band's bucket are candidates. Within a bucket no pairs are listed: every text is compared with pivots, in
+A text that repeats shingles has a second signature, of its plain set of shingles, so that texts that differ only in how
+often they say something are found too; without repeats both are the same.
+
+Exact copies (equal text, by digest) are one class from the start; one text of each goes on. Signatures are banded, both
+alike: texts that share a band's bucket are candidates. Within a bucket no pairs are listed: every text is compared with pivots, in
 rounds. First a random member of each bucket is the pivot; in later rounds, in buckets that hold more than one class,
 the member with the most links, then the best-linked member of another class, and another random member. Pairs whose
-signatures agree too little are dropped; all others are verified on the whole element sets, and count as linked if their
+signatures (either kind) agree too little are dropped; all others are verified on the whole element sets, and count as linked if their
 weighted or plain Jaccard similarity is at least 0.8. Classes are the connected components of all links, found by
 hooking to the least label and pointer jumping, in tables.
 
@@ -56,12 +59,6 @@ SIZE_STEP = 1.03
 _RUN = 1 << 18
 
 
-def _elements(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, text = word_spans(data, lengths)
-    s, own = shingle_hashes(word_hashes(data, starts, ends), text, len(lengths), WORDS)
-    return copies(s, own), own
-
-
 def dart_signatures(elements: np.ndarray, own: np.ndarray, n_texts: int, k: int = K) -> np.ndarray:
     """n_texts x k hashes of the earliest darts; a text without elements has zeros."""
     out = np.zeros((n_texts, k), np.uint64)
@@ -88,32 +85,47 @@ def dart_signatures(elements: np.ndarray, own: np.ndarray, n_texts: int, k: int
     return out
 
 
+def _bands(full: np.ndarray) -> np.ndarray:
+    h = np.zeros((len(full), K // ROWS), np.uint64)
+    for r in range(ROWS):
+        h = mix64(h * np.uint64(3) + full[:, r::ROWS])
+    return mix64(h + np.arange(K // ROWS, dtype=np.uint64)).view(np.int64)
+
+
 def signatures():
-    """An Arrow UDF: for each text the signature (32 bits a coordinate) and its bands' hashes."""
+    """An Arrow UDF: for each text its signature (32 bits a coordinate), that of its plain set if that differs, and their bands' hashes."""
 
-    @F.arrow_udf("struct<sig: binary, bands: array<bigint>>")
+    @F.arrow_udf("struct<sig: binary, plain: binary, bands: array<bigint>>")
     def sign(texts: pa.Array) -> pa.Array:
-        sigs, bands = [], []
+        sigs, plains, bands = [], [], []
         for _, _, data, lengths in slices(texts):
-            elements, own = _elements(data, lengths)
-            full = dart_signatures(elements, own, len(lengths))
-            h = np.zeros((len(lengths), K // ROWS), np.uint64)
-            for r in range(ROWS):
-                h = mix64(h * np.uint64(3) + full[:, r::ROWS])
-            h = mix64(h + np.arange(K // ROWS, dtype=np.uint64)).view(np.int64)
+            starts, ends, text = word_spans(data, lengths)
+            s, own = shingle_hashes(word_hashes(data, starts, ends), text, len(lengths), WORDS)
+            elements = copies(s, own)
             some = np.bincount(own, minlength=len(lengths)) > 0
-            short = (full >> np.uint64(32)).astype(np.uint32)
+            first = elements == s
+            repeats = np.bincount(own[~first], minlength=len(lengths)) > 0
+            full = dart_signatures(elements, own, len(lengths))
+            # the plain set of the texts that repeat a shingle, numbered anew
+            mine, number = first & repeats[own], np.cumsum(repeats) - 1
+            plain = dart_signatures(s[mine], number[own[mine]], int(repeats.sum()))
+            h, h_plain = _bands(full), _bands(plain)
+            short, short_plain = ((x >> np.uint64(32)).astype(np.uint32) for x in (full, plain))
             sigs += [x.tobytes() if ok else None for x, ok in zip(short, some, strict=True)]
-            bands += [x if ok else None for x, ok in zip(h, some, strict=True)]
-        return pa.StructArray.from_arrays([pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["sig", "bands"])
+            plains += [short_plain[k].tobytes() if more else None for k, more in zip(number, repeats, strict=True)]
+            bands += [(np.union1d(x, h_plain[k]) if more else x) if ok else None for x, k, more, ok in zip(h, number, repeats, some, strict=True)]
+        return pa.StructArray.from_arrays([pa.array(sigs, pa.binary()), pa.array(plains, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["sig", "plain", "bands"])
 
     return sign
 
 
 @F.arrow_udf(T.DoubleType())
-def agreement(a: pa.Array, b: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint32).reshape(len(v), -1) for v in (a, b))
-    return pa.array((x == y).mean(axis=1) if len(x) else np.zeros(0))
+def agreement(a: pa.Array, b: pa.Array, plain_a: pa.Array, plain_b: pa.Array) -> pa.Array:
+    """The larger share of equal coordinates, of the signatures and of those of the plain sets."""
+    if not len(a):
+        return pa.array(np.zeros(0))
+    x, y, p, q = (np.frombuffer(b"".join(v.to_pylist()), np.uint32).reshape(len(v), -1) for v in (a, b, plain_a, plain_b))
+    return pa.array(np.maximum((x == y).mean(axis=1), (p == q).mean(axis=1)))
 
 
 @F.arrow_udf(T.BinaryType())
@@ -226,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, class_id (least id of its class), kept (whether it is that one): one row per row of docs. Ids are whole numbers."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     known = rows.filter("doc is not null")
-    signed = cut(known.select("doc", F.unhex(F.md5("text")).alias("digest"), signatures()("text").alias("s")).select("doc", "digest", "s.sig", "s.bands"))
+    signed = cut(known.select("doc", F.unhex(F.md5("text")).alias("digest"), signatures()("text").alias("s")).select("doc", "digest", "s.sig", "s.plain", "s.bands"))
     digests = cut(signed.groupBy("doc").agg(F.min("digest").alias("digest")))
     # written, so that it is aggregated before its shuffle, and the join with a hot digest can be split
     firsts = cut(digests.groupBy("digest").agg(F.min("doc").alias("first")))
@@ -237,14 +249,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(banded.join(shared, "band", "left_semi"))
     suspects = cut(members.select("doc").distinct())
     few = _small(suspects, most)
-    sigs = cut(own.join(few, "doc", "left_semi").select("doc", "sig"))
+    sigs = cut(own.join(few, "doc", "left_semi").select("doc", "sig", F.coalesce("plain", "sig").alias("plain")))
     chosen = known.join(few, "doc", "left_semi")
     sets = cut(chosen.join(of_first.select("doc", "digest"), "doc").filter(F.unhex(F.md5("text")) == F.col("digest")).dropDuplicates(["doc"]).select("doc", element_sets("text").alias("elements")))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar."""
-        left, right = sigs.select(F.col("doc").alias("a"), F.col("sig").alias("sig_a")), sigs.select(F.col("doc").alias("b"), F.col("sig").alias("sig_b"))
-        return similar(cut(pairs.join(left, "a").join(right, "b").filter(agreement("sig_a", "sig_b") >= AGREE).select("a", "b")))
+        left, right = (sigs.select(F.col("doc").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("plain").alias(f"plain_{x}")) for x in "ab")
+        return similar(cut(pairs.join(left, "a").join(right, "b").filter(agreement("sig_a", "sig_b", "plain_a", "plain_b") >= AGREE).select("a", "b")))
 
     def similar(near: DataFrame) -> DataFrame:
         left, right = sets.select(F.col("doc").alias("a"), F.col("elements").alias("set_a")), sets.select(F.col("doc").alias("b"), F.col("elements").alias("set_b"))

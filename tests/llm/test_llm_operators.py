@@ -348,6 +348,20 @@ def test_near_duplicates_within_a_hot_family(spark):
     assert got == want
 
 
+def test_near_duplicates_that_differ_in_repetition(spark):
+    """One, two, three and eight copies of a body, and a text of repeated lines: their plain sets are alike, their multisets aren't."""
+    r = random.Random(12)
+    words = lambda n: ["".join(r.choices("abcdefghij", k=6)) for _ in range(n)]
+    texts = {}
+    for i in range(0, 100, 5):
+        body = words(100)
+        texts |= {i + k: " ".join(body * n) for k, n in enumerate((1, 2, 3, 8))}
+        texts[i + 4] = " ".join(body + body[40:60] * 20)
+    want = _plain_classes(texts)
+    assert all(want[i] == i - i % 5 for i in texts)
+    assert {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(_docs(spark, [(i, t, "en", "a") for i, t in texts.items()])).collect()} == want
+
+
 def test_near_duplicate_edges(odd, none):
     got = [(r["doc_id"], r["class_id"], r["kept"]) for r in neardup.near_duplicates(odd).collect()]
     assert len(got) == odd.count()
