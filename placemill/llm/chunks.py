@@ -1,15 +1,18 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 A gear hash of 32 bits rolls over a text's bytes (A-Z lower-cased, white space as one space): h = (h << 1) + G[byte], so it
-depends on the last 32 bytes alone. A word end where the hash has its top bits at zero is a boundary, one in about four.
-Boundaries follow the content: an insertion shifts them but changes only those within 32 bytes behind it. The variable
-chunk that starts at a boundary runs on, over the small pieces that follow, to the first boundary at least MIN_WORDS words
-away; so chunks start at each boundary, overlap, and are long enough not to be equal by chance. Chunks are compared by a
-128-bit digest of their words.
+depends on the last 32 bytes alone; what stands before the last three words is taken out again. In every WINDOW consecutive
+word ends the one with the least hash (scrambled; the last of equal ones) is a boundary. Boundaries follow the content and
+are never far apart. The variable chunk that starts at a boundary runs on, over the small pieces that follow, to the first
+boundary at least MIN_SPAN words away; so chunks start at each boundary, overlap, and are long enough not to be equal by
+chance. Chunks are compared by a 128-bit digest of their words.
+
+Every passage of more than 50 words that occurs twice holds an equal chunk in both places: of its 51 words, 49 word ends
+depend on it alone; the first WINDOW = 12 of them hold a boundary, and so do the 12 from 25 words later, 2 + 12 + 25 + 12 in
+all. A word end outside that window can't displace it, since the window's least one is in its own window too.
 
 A digest that occurs in two or more documents is repeated, and the least id has its first place. Repeated chunks of a
-text that overlap or touch merge to spans, those with an earlier document apart from those without one. Every passage of more than 50 words that occurs twice holds such chunks,
-but for odds of about one in 500.
+text that overlap or touch merge to spans, those with an earlier document apart from those without one.
 
 A common passage is a hot digest. Counts and least places are aggregated before the shuffle; the join back to the places
 has one row per digest on the other side, so Spark can split a hot digest among tasks.
@@ -34,9 +37,10 @@ from placemill.llm.common import cut, mix64, slices
 from placemill.llm.shingles import word_hashes, word_spans
 
 MIN_WORDS = 20
-#: One in so many word ends is a boundary; a power of two.
-ONE_IN = 4
 MIN_SPAN = 25
+#: Words that a boundary depends on; a boundary stands in each WINDOW word ends, so that 51 words always hold a chunk.
+CONTEXT = 3
+WINDOW = (51 - (CONTEXT - 1) - MIN_SPAN) // 2
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -53,7 +57,28 @@ def gear(x: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk_places(data: np.ndarray, lengths: np.ndarray, min_words: int = MIN_WORDS, one_in: int = ONE_IN) -> dict[str, np.ndarray]:
+def _boundaries(h: np.ndarray, first: np.ndarray, last: np.ndarray, text: np.ndarray, window: int) -> np.ndarray:
+    """Words behind the word ends that have the least hash of some window within their text."""
+    lead = CONTEXT - 1
+    n = len(last) - lead - window + 1
+    if n < 1:
+        return np.zeros(0, np.int64)
+    # the hash at the end of each word from the third on, without what stands before its last three words
+    begin, end = first[:-lead], last[lead:]
+    width = end - begin + 1
+    before = np.where(begin > 0, h[begin - 1], np.uint32(0))
+    own = h[end] - np.where(width < 32, before << np.minimum(width, 31).astype(np.uint32), np.uint32(0))
+    rank = mix64(own.astype(np.uint64))
+    whole = np.flatnonzero(text[:n] == text[lead + window - 1 :])
+    least, at = rank[:n].copy(), np.arange(n)
+    for k in range(1, window):
+        lower = rank[k : k + n] <= least
+        least[lower] = rank[k : k + n][lower]
+        at[lower] = np.flatnonzero(lower) + k
+    return np.unique(at[whole]) + lead + 1
+
+
+def chunk_places(data: np.ndarray, lengths: np.ndarray, min_words: int = max(MIN_WORDS, MIN_SPAN), window: int = WINDOW) -> dict[str, np.ndarray]:
     """text, first word, words, first byte, bytes (both within the text) and digest (two numbers) of every chunk."""
     starts, ends, text = word_spans(data, lengths)
     none = {k: np.zeros(0, np.int64) for k in ("text", "word", "n_words", "byte", "n_bytes", "d1", "d2")}
@@ -66,9 +91,7 @@ def chunk_places(data: np.ndarray, lengths: np.ndarray, min_words: int = MIN_WOR
     within = np.arange(len(joined)) - np.repeat(at, sizes)
     inner = within < np.repeat(sizes - 1, sizes)
     joined[inner] = _LOWER[data[(np.repeat(starts, sizes) + within)[inner]]]
-    h = gear(joined)[at + sizes - 2]
-    # a word is a boundary's first if the word before it, in the same text, ends with a fitting hash
-    cuts = np.flatnonzero(h >> np.uint32(32 - int(one_in).bit_length() + 1) == 0) + 1
+    cuts = _boundaries(gear(joined), at, at + sizes - 2, text, window)
     cuts = cuts[cuts < len(starts)]
     cuts = cuts[text[cuts] == text[cuts - 1]]
     if not len(cuts):
@@ -97,13 +120,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, one_in: int = ONE_IN) -> DataFrame:
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = max(MIN_WORDS, MIN_SPAN), window: int = WINDOW) -> DataFrame:
     """doc_id, word, n_words, byte, n_bytes, d1, d2: a row for each chunk."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, lengths in slices(batch.column(1)):
-                c = chunk_places(data, lengths, min_words, one_in)
+                c = chunk_places(data, lengths, min_words, window)
                 ids = batch.column(0).slice(first, last - first).take(pa.array(c["text"]))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c[k].astype(t)) for k, t in (("word", np.int32), ("n_words", np.int32), ("byte", np.int32), ("n_bytes", np.int32), ("d1", np.int64), ("d2", np.int64)))], names=["doc_id", "word", "n_words", "byte", "n_bytes", "d1", "d2"])
 
@@ -111,14 +134,14 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     return rows.mapInArrow(cut_up, "doc_id long, word int, n_words int, byte int, n_bytes int, d1 long, d2 long")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, one_in: int = ONE_IN, min_span: int = MIN_SPAN) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW, min_span: int = MIN_SPAN) -> DataFrame:
     """doc_id, word, n_words, byte, n_bytes, first_doc, n_places, is_first: a row for each span of at least min_span words that repeats.
 
     word and byte are where it starts in the text (UTF-8 bytes); first_doc is the document of the first place of the span's
     most repeated chunk, n_places the number of places of that chunk; is_first says that no earlier document holds its
     chunks. Dropping the spans where it is false keeps the first copy of each passage.
     """
-    found = chunks(docs, id_col, text_col, min_words, one_in)
+    found = chunks(docs, id_col, text_col, max(min_words, min_span), window)
     repeated = found.groupBy("d1", "d2").agg(F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc").drop("last_doc")
     hits = found.join(cut(repeated), ["d1", "d2"]).withColumn("is_first", F.col("first_doc") == F.col("doc_id"))
     by_doc = W.partitionBy("doc_id", "is_first").orderBy("word")

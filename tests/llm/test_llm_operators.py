@@ -267,6 +267,21 @@ def test_substring_repeats(spark, sf, texts):
     assert shared[51] <= found <= shared[25]
 
 
+@pytest.mark.parametrize("size", [1, 6, 12])
+def test_every_passage_of_51_words_has_a_common_chunk(size):
+    r = random.Random(size)
+    words = lambda n: ["".join(r.choices("abcdefghijklmnop", k=r.randint(1, size))) for _ in range(n)]
+    passages = [words(51) for _ in range(1000)]
+    texts = [" ".join(words(n) + p + words(m)).encode() for p in passages for n, m in ((30, 40), (45, 0))]
+    c = chunks.chunk_places(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+    found = defaultdict(set)
+    for text, word, n, *digest in zip(*(c[k].tolist() for k in ("text", "word", "n_words", "d1", "d2")), strict=True):
+        start = 45 if text % 2 else 30
+        if start <= word and word + n <= start + 51 and n >= chunks.MIN_SPAN:
+            found[text].add(tuple(digest))
+    assert [i for i in range(len(passages)) if not found[2 * i] & found[2 * i + 1]] == []
+
+
 def test_substring_shift_and_drop(spark, odd, none):
     r = random.Random(1)
     w = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
