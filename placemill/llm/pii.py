@@ -3,7 +3,9 @@
 Found and validated: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), US social security numbers, IPv4 addresses,
 phone numbers, e-mail addresses and calendar dates (1900 to 2099). A value is read as a number within its format (digits
 by place, letters by alphabet, days since 1900), mapped to another number of the same format, and written back with the
-punctuation it had; check digits are computed anew, so the result is valid again. Numbers that fail validation stay.
+punctuation it had; check digits are computed anew, so the result is valid again. Numbers that fail validation stay. Of a
+run of digit groups that is no card number as a whole, the first and longest run of groups within it that is one counts. A date may be
+followed by T and a time, which stays.
 
 The map is E = P^-1 (P(x) + c), P a ten-round Feistel network over a x b >= n with cycle walking, c from 1 to n - 1, both
 keyed: a permutation of the format without fixed points. Equal values get equal pseudonyms in every document, and
@@ -113,6 +115,15 @@ class Pseudonyms:
         body = digits[0] + self.letters("card", digits[1:-1])
         return _refill(m[0], body + str(-luhn(body + "0") % 10))
 
+    def card_within(self, text: str) -> tuple[str, int] | None:
+        """The text up to the end of the first and longest run of whole digit groups that is a card number, and that end."""
+        borders = [i for i, c in enumerate(text) if c in " -"]
+        for start in (0, *(i + 1 for i in borders)):
+            for end in (len(text), *reversed(borders)):
+                if (fit := _ANCHORED["card"].fullmatch(text, start, end)) and (new := self.card(fit)) is not None:
+                    return text[:start] + new, end
+        return None
+
     def iban(self, m: re.Match) -> str | None:
         code = m[0].replace(" ", "")
         if not 15 <= len(code) <= 34 or iban_rest(code) != 1:
@@ -189,7 +200,16 @@ class Pseudonyms:
         if "@" in text:
             text = _EMAIL.sub(swap, text)
         if _DIGIT.search(text):
-            text = _NUMBER.sub(swap, text)
+            out, at = [], 0
+            while m := _NUMBER.search(text, at):
+                new, end = swap(m), m.end()
+                # digits around a card number may have been read as part of it
+                if new == m[0] and m.lastgroup == "number" and (card := self.card_within(m[0])):
+                    found.append("card")
+                    new, end = card[0], m.start() + card[1]
+                out += [text[at : m.start()], new]
+                at = end
+            text = "".join([*out, text[at:]])
         return text, found
 
 
@@ -206,7 +226,7 @@ _ANCHORED = {"card": re.compile(_CARD), "phone": re.compile(r"\+[0-9]{8,15}|\+[0
 _NUMBER = re.compile(
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?<![0-9A-Za-z.+-])(?:"
-    r"(?P<date>[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}(?![0-9A-Za-z/-])|[0-9]{1,2}(?:/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{4}(?![0-9A-Za-z/]|\.[0-9]))"
+    r"(?P<date>[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/)[0-9]{2}(?:(?=[Tt][0-9]{2}:?[0-9]{2})|(?![0-9A-Za-z/-]))|[0-9]{1,2}(?:/[0-9]{1,2}/|\.[0-9]{1,2}\.)[0-9]{4}(?![0-9A-Za-z/]|\.[0-9]))"
     r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9]))"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])))"
     r"|(?<![0-9A-Za-z.-])(?P<number>\+[0-9]{8,15}(?![0-9A-Za-z])|" + _CARD + r"(?![0-9A-Za-z])|" + _PHONE + r"(?![0-9A-Za-z]|[.-][0-9]))",

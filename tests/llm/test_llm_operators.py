@@ -134,6 +134,21 @@ def test_pseudonyms_keep_format_and_link():
         assert p.text(clean) == (clean, [])
 
 
+def test_cards_before_other_digits_and_timestamps():
+    p, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    one = p.text("4111 1111 1111 1111")[0]
+    for tail in (" 12/26", " 123", " 1", "-12", " 12 or more"):
+        new, kinds = p.text("4111 1111 1111 1111" + tail)
+        assert (new, kinds) == (one + tail, ["card"]) and back.text(new)[0] == "4111 1111 1111 1111" + tail
+    new, kinds = p.text("4111111111111111 123 and 4111111111111111 4111111111111111")
+    assert kinds == ["card"] * 3 and "4111111111111111" not in new and new[16:25] == " 123 and "
+    assert p.text("12 4111 1111 1111 1111") == ("12 " + one, ["card"])
+    for stamp, rest in (("2024-05-06T10:00", "T10:00"), ("2024-05-06T10:00:00Z", "T10:00:00Z"), ("2024-05-06t1000", "t1000")):
+        new, kinds = p.text(f"at {stamp}, then")
+        assert kinds == ["date"] and new == f"at {p.text('2024-05-06')[0]}{rest}, then" and back.text(new)[0] == f"at {stamp}, then"
+    assert p.text("2024-05-06Test") == ("2024-05-06Test", [])
+
+
 def test_permutation_is_a_derangement():
     for n in (2, 3, 10, 97):
         p = pii.Permutation(b"k", "t", n)
