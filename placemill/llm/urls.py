@@ -1,14 +1,16 @@
 """URL filters: path rules, and link-graph propagation for hosts that no rule decides.
 
-Nodes are hosts; edges are the links between pages of different hosts, weighted by their number, and the tie between a
-host and its nearest parent domain that is a host too (one each way). Hosts with pages that a rule allows are trusted
+Nodes are hosts and their ancestor domains of two labels and more, with or without pages (a single label, which unrelated
+hosts share, only if it has pages); edges are the links between pages of different hosts, weighted by their number, and the
+ties between a node and its parent domain (one each way). Hosts with pages that a rule allows are trusted
 seeds, those with pages that a rule blocks are distrusted ones, each by the share of its pages. Trust is a personalised
 PageRank along the edges, distrust the same against them: who links to the blocked is distrusted. A host whose distrust
 exceeds its trust is blocked, else it is allowed; a page goes by the longest rule that fits it, and else by its host.
 
 Edges are aggregated per pair of hosts before anything else is shuffled, so the many pages of a hot host are one row per
-linked host. An iteration is a join and an aggregate; lineage is cut every few iterations. All of it is DataFrame
-functions.
+linked host. An iteration is a join and an aggregate; lineage is cut every few iterations. After i of them each score is
+within damping^i of its limit, so they go on until that is below TOLERANCE and below half of what separates trust and
+distrust of any host, or below TIE, where the two count as equal as computed. All of it is DataFrame functions.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits no rule, and is allowed; null html has no
 links; repeated rows are judged each; a host without seeds in reach has no scores and is allowed.
@@ -16,6 +18,8 @@ links; repeated rows are judged each; a host without seeds in reach has no score
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +27,8 @@ from placemill.llm.common import cut
 
 #: (host, path, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
-DAMPING, ITERATIONS, CUT_EVERY = 0.85, 10, 5
+DAMPING, CUT_EVERY = 0.85, 5
+TOLERANCE, TIE = 1e-4, 1e-12
 MAX_BROADCAST = 500_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LINK = r"""(?i)href\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
@@ -49,15 +54,18 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
     to = F.when(F.startswith("to", F.lit("//")), F.concat(F.lit("http:"), "to")).otherwise(F.col("to"))
     links = links.select("src", host_and_path(to)[0].alias("dst"), F.lit(1).alias("n"))
     parts = F.split("host", r"\.")
-    parents = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    up = hosts.filter(F.contains("host", F.lit("."))).select(F.col("host").alias("src"), F.posexplode(parents).alias("far", "dst"))
-    up = up.join(hosts.select(F.col("host").alias("dst")), "dst").groupBy("src").agg(F.min(F.struct("far", "dst")).alias("near")).select("src", F.col("near.dst").alias("dst"), F.lit(1).alias("n"))
+    chain = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    steps = F.transform(F.slice(chain, 1, F.size(chain) - 1), lambda d, i: F.struct(d.alias("src"), F.get(chain, i + 1).alias("dst")))
+    named = hosts.filter(F.contains("host", F.lit(".")) & ~F.col("host").rlike(r"[.][0-9]+(:[0-9]*)?$"))
+    up = named.select(F.explode(steps).alias("s")).select("s.src", "s.dst").filter("src <> '' and dst <> ''").distinct()
+    single = hosts.filter(~F.contains("host", F.lit("."))).select(F.col("host").alias("dst"))
+    up = up.filter(F.contains("dst", F.lit("."))).union(up.join(single, "dst", "left_semi").select("src", "dst")).select("src", "dst", F.lit(1).alias("n"))
     ties = up.union(up.select("dst", "src", "n"))
     return links.union(ties).filter("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """host, kind, score. seeds: host, kind (trust or distrust), seed; trust runs along the edges, distrust against them."""
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int | None = None) -> DataFrame:
+    """host, kind, score, after so many iterations or until it is settled. seeds: host, kind (trust or distrust), seed; trust runs along the edges, distrust against them."""
     forth = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n")
     back = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n")
     both = forth.union(back)
@@ -65,15 +73,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     steps = cut(both.join(out, ["kind", "host"]).select("kind", "host", "to", (damping * F.col("n") / F.col("all")).alias("share")))
     base = seeds.select("host", "kind", ((1 - damping) * F.col("seed")).alias("score"))
     scores = seeds.select("host", "kind", F.col("seed").alias("score"))
-    for i in range(1, iterations + 1):
+    # without edges nothing moves, and one step is the limit
+    most = iterations if iterations is not None else 1 if not steps.limit(1).count() else math.ceil(math.log(TIE) / math.log(damping))
+    gap = F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(-F.col("score")))
+    for i in range(1, most + 1):
         moved = scores.join(steps, ["kind", "host"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("share")).alias("score"))
         scores = moved.unionByName(base).groupBy("host", "kind").agg(F.sum("score").alias("score"))
-        if i % CUT_EVERY == 0 or i == iterations:
+        if i % CUT_EVERY == 0 or i == most:
             scores = cut(scores)
+            error = damping**i
+            if iterations is None and error <= TOLERANCE and not scores.groupBy("host").agg(gap.alias("gap")).filter(F.abs("gap") <= 2 * error).limit(1).count():
+                break
     return scores
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES, damping: float = DAMPING, iterations: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: one row per page."""
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))

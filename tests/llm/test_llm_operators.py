@@ -446,6 +446,19 @@ def test_links_spread_distrust(spark):
     assert got == {1: "block", 2: "block", 3: "allow"}
 
 
+def test_ancestors_without_pages_carry_scores(spark):
+    """A blocked host, and one that no rule decides, meet in a domain that has no pages; a chain of hosts is longer than ten links."""
+    link = lambda i: f'<a href="http://n{i + 1}.test/">x</a>'
+    rows = [(1, "http://a.y.example.com/en/1", None), (2, "http://b.y.example.com/x", None), (3, "http://10.0.0.1/x", None), (4, "http://n14.test/", '<a href="http://bad.com/en/">x</a>'), (5, "http://bad.com/en/", None)]
+    rows += [(100 + i, f"http://n{i}.test/", link(i)) for i in range(14)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages).collect()}
+    assert got[2] == "block" and got[3] == "allow" and all(got[100 + i] == "block" for i in range(14))
+    hosts = spark.createDataFrame([("a.y.test",), ("b.y.test",), ("10.0.0.1",)], "host string")
+    edges = {(r["src"], r["dst"]) for r in urls.host_edges(hosts.selectExpr("host", "'' as html"), hosts).collect()}
+    assert edges == {("a.y.test", "y.test"), ("y.test", "a.y.test"), ("b.y.test", "y.test"), ("y.test", "b.y.test")}
+
+
 # --- 10 ---
 
 
