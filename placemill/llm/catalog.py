@@ -20,7 +20,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", pii.pseudonyms().alias("p"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", pii.pseudonyms(key=pii.session_key(spark)).alias("p"))
     return docs.select("doc_id", "p.text", "p.n_found", F.array_join("p.kinds", ",").alias("kinds"))
 
 
@@ -73,10 +73,11 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
 """
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE doc_id IS NOT NULL),
-q AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE item_id IS NOT NULL),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
-qs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM q WHERE len(w) >= 5)),
+WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+q AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+qs AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(len(w), 5) AS k FROM q WHERE len(w) > 0))),
+sizes AS (SELECT DISTINCT k FROM qs),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
 n AS (SELECT item_id, count(*) AS n_item FROM qs GROUP BY item_id),
 m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN qs USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared / n_item >= 0.8
@@ -90,10 +91,13 @@ p AS (SELECT doc_id, r, len(w) AS n_words, list_filter(range(1, len(w) + 1), lam
   list_filter(range(1, len(w) + 1), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') AS b, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') AS c FROM w),
 base AS (SELECT *, list_concat(list_concat(a, b), c) AS places, list_filter([CASE WHEN len(b) > 0 THEN 'apache' END, CASE WHEN len(c) > 0 THEN 'gpl' END, CASE WHEN len(a) > 0 THEN 'mit' END], lambda v: v IS NOT NULL) AS own FROM p),
 notices(label, notice) AS (VALUES {_NOTICES}),
-temp AS (SELECT label, row_number() OVER () AS k, list_distinct(regexp_extract_all(notice, '{_WORD}')) AS tw FROM notices),
-lines AS (SELECT r, i, list_distinct(regexp_extract_all(line, '{_WORD}')) AS lw FROM (SELECT r, unnest(string_split(x, chr(10))) AS line, unnest(range(1, len(string_split(x, chr(10))) + 1)) AS i FROM t)),
-met AS (SELECT r, i, k, label, len(tw) AS size, list_sort(list_intersect(lw, tw)) AS shared FROM lines, temp WHERE len(list_intersect(lw, tw)) >= ceil(0.85 * len(tw) - 1e-9)),
-best AS (SELECT * FROM met x WHERE NOT EXISTS (SELECT 1 FROM met y WHERE y.r = x.r AND y.i = x.i AND (len(y.shared) > len(x.shared) OR (len(y.shared) = len(x.shared) AND y.size < x.size)) AND len(list_intersect(x.shared, y.shared)) = len(x.shared))),
+temp AS (SELECT label, row_number() OVER () AS k, list_distinct(regexp_extract_all(notice, '{_WORD}')) AS tw, len(regexp_extract_all(notice, '{_WORD}')) AS n FROM notices),
+sized AS (SELECT label, k, tw, CASE WHEN n <= 8 THEN 8 WHEN n <= 16 THEN 16 ELSE 32 END AS m FROM temp),
+likely AS (SELECT r, w, label, k, tw, m FROM w, sized WHERE len(list_intersect(w, tw)) >= ceil(0.85 * len(tw) - 1e-9)),
+blocks AS (SELECT r, label, k, tw, m, lo, list_distinct(w[lo + 1 : lo + 2 * m]) AS bw FROM (SELECT r, w, label, k, tw, m, unnest(range(0, len(w), m)) AS lo FROM likely)),
+met AS (SELECT r, lo, m, k, label, len(tw) AS size, list_intersect(bw, tw) AS shared FROM blocks WHERE len(list_intersect(bw, tw)) >= ceil(0.85 * len(tw) - 1e-9)),
+best AS (SELECT * FROM met x WHERE NOT EXISTS (SELECT 1 FROM met y WHERE y.r = x.r AND y.lo < x.lo + 2 * x.m AND x.lo < y.lo + 2 * y.m
+  AND (len(y.shared) > len(x.shared) OR (len(y.shared) = len(x.shared) AND y.size < x.size)) AND len(list_intersect(x.shared, y.shared)) = len(x.shared))),
 found AS (SELECT r, list(DISTINCT label) AS more, max(len(shared) / size) AS score FROM best GROUP BY r)
 SELECT b.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
  array_to_string(own, ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(own, coalesce(more, [])))), ',') AS labels, CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(f.score, 0.0) END AS score

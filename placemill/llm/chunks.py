@@ -1,25 +1,27 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 A gear hash of 32 bits rolls over a text's bytes (A-Z lower-cased, white space as one space): h = (h << 1) + G[byte], so it
-depends on the last 32 bytes alone; what stands before the last three words is taken out again. In every WINDOW consecutive
-word ends the one with the least hash (scrambled; the last of equal ones) is a boundary. Boundaries follow the content and
-are never far apart. The variable chunk that starts at a boundary runs on, over the small pieces that follow, to the first
-boundary at least MIN_SPAN words away; so chunks start at each boundary, overlap, and are long enough not to be equal by
-chance. Chunks are compared by a 128-bit digest of their words.
-
-Every passage of more than 50 words that occurs twice holds an equal chunk in both places: of its 51 words, 49 word ends
+depends on the last 32 bytes alone; what stands before the last three words is taken out again, so texts don't depend on
+their neighbours. In every WINDOW consecutive word ends the one with the least hash (scrambled; the last of equal ones) is a
+boundary, and so are a text's start and end. The boundaries partition the text into variable chunks of at most WINDOW words
+(more only at the ends of a text), which follow the content: an insertion moves them along and changes those around it only.
+Chunks are compared by a 128-bit digest of their words.
+
+A digest that two or more documents hold is repeated. Runs of adjacent repeated chunks are put together to pieces: from each
+boundary of a run to the first one at least MIN_SPAN words later. A piece, by the digest of its chunks' digests, that two or
+more documents hold is a repeated passage; short chunks that are equal by chance make no piece. Pieces of a text that overlap
+or touch merge to spans, those with an earlier place apart from those without one.
+
+Every passage of more than 50 words that occurs twice holds an equal piece in both places: of its 51 words, 49 word ends
 depend on it alone; the first WINDOW = 12 of them hold a boundary, and so do the 12 from 25 words later, 2 + 12 + 25 + 12 in
 all. A word end outside that window can't displace it, since the window's least one is in its own window too.
 
-A digest that occurs in two or more documents is repeated, and the least id has its first place. Repeated chunks of a
-text that overlap or touch merge to spans, those with an earlier document apart from those without one.
-
-A common passage is a hot digest. Counts and least places are aggregated before the shuffle; the join back to the places
-has one row per digest on the other side, so Spark can split a hot digest among tasks.
+A common passage is a hot digest. Counts and least documents are aggregated before the shuffle; the join back to the places
+has one row per digest on the other side, so Spark can split a hot digest among tasks. Python reads the texts once.
 
-Defined cases: null or empty texts and texts of fewer than MIN_WORDS words have no chunk and no row; rows with a null id
-are left out; rows that share an id are one document, and repeats within one document alone don't count; a text of any
-length is read whole.
+Defined cases: null or empty texts have no row, and a text of fewer than MIN_SPAN words none either; rows with a null id
+are left out; rows that share an id are one document, and repeats within one document alone don't count; rows of one id are
+told apart by text, and equal ones have equal spans; a text of any length is read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,10 +35,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from placemill.llm.common import cut, mix64, slices
+from placemill.llm.common import Run, mix64, slices
 from placemill.llm.shingles import word_hashes, word_spans
 
-MIN_WORDS = 20
 MIN_SPAN = 25
 #: Words that a boundary depends on; a boundary stands in each WINDOW word ends, so that 51 words always hold a chunk.
 CONTEXT = 3
@@ -78,12 +79,11 @@ def _boundaries(h: np.ndarray, first: np.ndarray, last: np.ndarray, text: np.nda
     return np.unique(at[whole]) + lead + 1
 
 
-def chunk_places(data: np.ndarray, lengths: np.ndarray, min_words: int = max(MIN_WORDS, MIN_SPAN), window: int = WINDOW) -> dict[str, np.ndarray]:
+def chunk_places(data: np.ndarray, lengths: np.ndarray, window: int = WINDOW) -> dict[str, np.ndarray]:
     """text, first word, words, first byte, bytes (both within the text) and digest (two numbers) of every chunk."""
     starts, ends, text = word_spans(data, lengths)
-    none = {k: np.zeros(0, np.int64) for k in ("text", "word", "n_words", "byte", "n_bytes", "d1", "d2")}
     if not len(starts):
-        return none
+        return {k: np.zeros(0, np.int64) for k in ("text", "word", "n_words", "byte", "n_bytes", "d1", "d2")}
     # words joined by one space, so that the kind and amount of white space doesn't matter
     sizes = ends - starts + 1
     at = np.cumsum(sizes) - sizes
@@ -91,18 +91,14 @@ def chunk_places(data: np.ndarray, lengths: np.ndarray, min_words: int = max(MIN
     within = np.arange(len(joined)) - np.repeat(at, sizes)
     inner = within < np.repeat(sizes - 1, sizes)
     joined[inner] = _LOWER[data[(np.repeat(starts, sizes) + within)[inner]]]
-    cuts = _boundaries(gear(joined), at, at + sizes - 2, text, window)
-    cuts = cuts[cuts < len(starts)]
-    cuts = cuts[text[cuts] == text[cuts - 1]]
-    if not len(cuts):
-        return none
-    stop = np.searchsorted(cuts, cuts + min_words)
-    ok = stop < len(cuts)
-    first, last = cuts[ok], cuts[stop[ok]]
-    same = text[first] == text[last - 1]
-    first, last = first[same], last[same]
+    fresh = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+    first = np.union1d(fresh, _boundaries(gear(joined), at, at + sizes - 2, text, window))
+    first = first[first < len(starts)]
+    last = np.append(first[1:], len(starts))
     w = word_hashes(data, starts, ends)
-    out = {"text": text[first], "word": first - (np.cumsum(np.bincount(text, minlength=len(lengths))) - np.bincount(text, minlength=len(lengths)))[text[first]], "n_words": last - first}
+    before = np.zeros(len(lengths), np.int64)
+    before[text[fresh]] = fresh
+    out = {"text": text[first], "word": first - before[text[first]], "n_words": last - first}
     begin = (np.cumsum(lengths) - lengths)[text[first]]
     out |= {"byte": starts[first] - begin, "n_bytes": ends[last - 1] - starts[first]}
     for name, base in (("d1", 0x9FB21C651E98DF25), ("d2", 0xA0761D6478BD642F)):
@@ -120,49 +116,73 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(p, dtype=np.uint64)
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = max(MIN_WORDS, MIN_SPAN), window: int = WINDOW) -> DataFrame:
-    """doc_id, word, n_words, byte, n_bytes, d1, d2: a row for each chunk."""
+def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """doc_id, key (hash of the text), word, n_words, byte, n_bytes, d1, d2: a row for each chunk."""
+    kinds = {"word": np.int32, "n_words": np.int32, "byte": np.int32, "n_bytes": np.int32, "d1": np.int64, "d2": np.int64}
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, data, lengths in slices(batch.column(1)):
-                c = chunk_places(data, lengths, min_words, window)
-                ids = batch.column(0).slice(first, last - first).take(pa.array(c["text"]))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c[k].astype(t)) for k, t in (("word", np.int32), ("n_words", np.int32), ("byte", np.int32), ("n_bytes", np.int32), ("d1", np.int64), ("d2", np.int64)))], names=["doc_id", "word", "n_words", "byte", "n_bytes", "d1", "d2"])
+            for first, last, data, lengths in slices(batch.column(2)):
+                c = chunk_places(data, lengths, window)
+                rows = batch.slice(first, last - first).select([0, 1]).take(pa.array(c["text"]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c[k].astype(t)) for k, t in kinds.items())], names=["doc_id", "key", *kinds])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    return rows.mapInArrow(cut_up, "doc_id long, key long, word int, n_words int, byte int, n_bytes int, d1 long, d2 long")
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).filter("doc_id is not null")
-    return rows.mapInArrow(cut_up, "doc_id long, word int, n_words int, byte int, n_bytes int, d1 long, d2 long")
+def _several(rows: DataFrame, *digest: str) -> DataFrame:
+    """The digests that two or more documents hold, and the least of these."""
+    held = rows.groupBy(*digest).agg(F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+    return held.filter("first_doc < last_doc").drop("last_doc")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW, min_span: int = MIN_SPAN) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_span: int = MIN_SPAN) -> DataFrame:
     """doc_id, word, n_words, byte, n_bytes, first_doc, n_places, is_first: a row for each span of at least min_span words that repeats.
 
     word and byte are where it starts in the text (UTF-8 bytes); first_doc is the document of the first place of the span's
-    most repeated chunk, n_places the number of places of that chunk; is_first says that no earlier document holds its
-    chunks. Dropping the spans where it is false keeps the first copy of each passage.
+    most repeated piece, n_places the number of places of that piece; is_first says that no earlier document holds its
+    pieces. Dropping the spans where it is false keeps the first copy of each passage.
     """
-    found = chunks(docs, id_col, text_col, max(min_words, min_span), window)
-    repeated = found.groupBy("d1", "d2").agg(F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc").drop("last_doc")
-    hits = found.join(cut(repeated), ["d1", "d2"]).withColumn("is_first", F.col("first_doc") == F.col("doc_id"))
-    by_doc = W.partitionBy("doc_id", "is_first").orderBy("word")
-    ends = F.max(F.col("word") + F.col("n_words")).over(by_doc.rowsBetween(W.unboundedPreceding, -1))
+    return _spans(docs, id_col, text_col, window, min_span).drop("key")
+
+
+def _spans(docs: DataFrame, id_col: str, text_col: str, window: int, min_span: int) -> DataFrame:
+    spark = docs.sparkSession
+    run, last = Run(spark), Run(spark)
+    found = run.cut(chunks(docs, id_col, text_col, window))
+    repeated = run.cut(_several(found, "d1", "d2").select("d1", "d2"))
+    hits = found.join(repeated, ["d1", "d2"])
+    # adjacent repeated chunks of a text; repeated rows of a document are one
+    own = ("doc_id", "key")
+    in_text = W.partitionBy(*own).orderBy("word")
+    hits = hits.select(*own, "word", "n_words", "byte", "n_bytes", "d1", "d2").dropDuplicates([*own, "word"])
+    hits = hits.withColumn("end", F.col("word") + F.col("n_words"))
+    hits = hits.withColumn("new", (F.col("word") != F.coalesce(F.lag("end").over(in_text), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(in_text))
+    # a piece ends with the first chunk that reaches min_span words from where it starts: at most that many chunks on
+    ahead = W.partitionBy(*own, "run").orderBy("word").rowsBetween(0, min_span - 1)
+    next_ = F.collect_list(F.struct("end", (F.col("byte") + F.col("n_bytes")).alias("end_byte"), "d1", "d2")).over(ahead)
+    steps = hits.select(*own, "word", "byte", next_.alias("steps"))
+    upto = F.size(F.filter("steps", lambda x: x["end"] < F.col("word") + min_span)) + 1
+    steps = steps.withColumn("n", upto).filter(F.col("n") <= F.size("steps"))
+    part = F.slice("steps", F.lit(1), F.col("n"))
+    digests = [F.xxhash64(F.lit(seed), F.transform(part, lambda x: F.struct(x["d1"], x["d2"]))) for seed in (1, 2)]
+    stop = F.element_at("steps", F.col("n"))
+    pieces = run.cut(steps.select(*own, "word", "byte", stop["end"].alias("end"), stop["end_byte"].alias("end_byte"), digests[0].alias("p1"), digests[1].alias("p2")))
+    hits = pieces.join(run.cut(_several(pieces, "p1", "p2")), ["p1", "p2"]).withColumn("is_first", F.col("first_doc") == F.col("doc_id"))
+    by_doc = W.partitionBy(*own, "is_first").orderBy("word")
+    ends = F.max("end").over(by_doc.rowsBetween(W.unboundedPreceding, -1))
     spans = hits.withColumn("new", F.when(F.col("word") <= ends, 0).otherwise(1)).withColumn("span", F.sum("new").over(by_doc.rowsBetween(W.unboundedPreceding, 0)))
-    most = F.max(F.struct("n_places", -F.col("first_doc")))
-    out = spans.groupBy("doc_id", "is_first", "span").agg(
-        F.min("word").alias("word"),
-        F.max(F.col("word") + F.col("n_words")).alias("end"),
-        F.min("byte").alias("byte"),
-        F.max(F.col("byte") + F.col("n_bytes")).alias("end_byte"),
-        most.alias("most"),
-    )
-    out = out.withColumn("n_words", F.col("end") - F.col("word")).filter(F.col("n_words") >= min_span)
-    return out.select("doc_id", "word", "n_words", "byte", (F.col("end_byte") - F.col("byte")).alias("n_bytes"), (-F.col("most.col2")).alias("first_doc"), F.col("most.n_places").alias("n_places"), "is_first")
-
-
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    out = spans.groupBy(*own, "is_first", "span").agg(F.min("word").alias("word"), F.max("end").alias("end"), F.min("byte").alias("byte"), F.max("end_byte").alias("end_byte"), F.max(F.struct("n_places", -F.col("first_doc"))).alias("most"))
+    out = last.cut(out.select("doc_id", "key", "word", (F.col("end") - F.col("word")).alias("n_words"), "byte", (F.col("end_byte") - F.col("byte")).alias("n_bytes"), (-F.col("most.col2")).alias("first_doc"), F.col("most.n_places").alias("n_places"), "is_first"))
+    run.clear()
+    return out
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_span: int = MIN_SPAN) -> DataFrame:
     """docs without the repeated spans that have an earlier document; the text around them is kept as it is."""
-    spans = repeated_spans(docs, id_col, text_col, **options).filter(~F.col("is_first"))
-    cuts = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("byte", "n_bytes"))).alias("_cuts"))
+    spans = _spans(docs, id_col, text_col, window, min_span).filter(~F.col("is_first"))
+    cuts = spans.groupBy(F.col("doc_id").alias("cut_doc"), F.col("key").alias("cut_key")).agg(F.array_sort(F.collect_list(F.struct("byte", "n_bytes"))).alias("cuts"))
 
     @F.arrow_udf(T.StringType())
     def drop(texts: pa.Array, places: pa.Array) -> pa.Array:
@@ -172,10 +192,10 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 raw, kept, at = text.encode(), [], 0
                 for c in some:
                     kept.append(raw[at : c["byte"]])
-                    at = c["byte"] + c["n_bytes"]
+                    at = max(at, c["byte"] + c["n_bytes"])
                 text = b"".join([*kept, raw[at:]]).decode()
             out.append(text)
         return pa.array(out, pa.string())
 
-    both = docs.join(cuts, docs[id_col].cast("long") == cuts["_doc"], "left")
-    return both.withColumn(text_col, drop(F.col(text_col), F.col("_cuts"))).select(*docs.columns)
+    both = docs.join(cuts, (docs[id_col].cast("long") == cuts["cut_doc"]) & (F.xxhash64(docs[text_col]) == cuts["cut_key"]), "left")
+    return both.select(*[drop(docs[text_col], cuts["cuts"]).alias(text_col) if c == text_col else docs[c] for c in docs.columns])

@@ -33,11 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+class Run:
+    """Tables that one query writes to the shared folder, under one folder of its own, which clear() removes."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write the rows and read them back: later steps don't recompute them, and a lost executor loses nothing."""
+        path = f"{self.path}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Remove what was written; nothing that is still to be computed may read it."""
+        jvm = self.spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them back: later steps don't recompute them, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write the rows to the shared folder and read them back, for results that are read after the query has returned."""
+    return Run(df.sparkSession).cut(df)
 
 
 def doc_hash(*cols: str | Column) -> Column:

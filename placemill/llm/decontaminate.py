@@ -2,19 +2,22 @@
 
 Size-partitioned MinHash containment search. A text's domain is its set of five-word shingles, each hashed to 64 bits;
 one random order of hashes serves all sets. Items are partitioned by size (powers of two), and each partition has its own
-sketch length: with at most u shingles in its items, an item's MinHash sketch is its floor((1 - t) u) + 1 smallest
-hashes. A document that holds the share t of an item lacks at most floor((1 - t) n) of its n shingles, so at least one
-hash of the sketch is in the document: the search over sketches loses nothing, and it probes about a fifth of the item
-hashes. The documents stay whole and are never sketched: a short item is a tiny part of a long document, and the
-document's own MinHash would nearly never agree with it.
-
-Candidates are then verified exactly, on the words of the shingles, over the candidate documents only.
-
-The items' tables are broadcast while they have at most MAX_BROADCAST rows, and are joined by shuffle beyond that.
-
-Words are runs of letters and digits, lower-cased. Defined cases: a text of fewer than five words has no shingle, so such
-an item matches nothing and such a document holds nothing; null counts as empty; rows with a null id are left out; rows
-that share an id are one document (or item).
+sketch length: with at most u shingles in its items and l = floor((1 - t) u), an item's MinHash sketch is its 2 l + 1
+smallest hashes (all, if it has fewer). The partition's largest sketch hash is its threshold. A document's sketch for a
+partition is all of its hashes up to that threshold, so that it holds whatever of a sketch the document holds: with a fixed
+number of smallest hashes a long document would nearly never agree with a short item.
+
+A document that holds the share t of an item with n shingles lacks at most floor((1 - t) n) of them, so of the k hashes of
+the item's sketch it holds at least k - floor((1 - t) n): the containment threshold of each size. Pairs below it are
+dropped; the search loses nothing. What is left is verified exactly, on the words of the shingles, over the candidate
+documents only.
+
+An item of fewer than five words is one shingle of its own length, which documents are also cut into where such items
+exist. The items' tables are broadcast while they have at most MAX_BROADCAST rows, and are joined by shuffle beyond that.
+
+Words are runs of letters and digits, lower-cased. Defined cases: an item without words matches nothing, and a text without
+words holds nothing; null counts as empty; rows with a null id are left out of the pairs, but judged by drop_contaminated;
+rows that share an id are one document (or item); an empty table gives no pairs; further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placemill.llm.common import cut
+from placemill.llm.common import Run
 
 WORDS = 5
 SHARE = 0.8
@@ -32,27 +35,44 @@ MAX_BROADCAST = 1_000_000
 
 def words(text: Column) -> Column:
     spaced = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.split(spaced, " ")
+    return F.split(spaced, " ")  # of a text without words: one empty word
+
+
+def _joined(*words_: Column) -> Column:
+    return F.concat_ws(" ", *words_)
 
 
-def _shingles(df: DataFrame, keep: list[str], text_col: str, make, n: int) -> DataFrame:
-    """One row per place of a shingle: the kept columns and s."""
-    df = df.select(*keep, words(F.col(text_col)).alias("w")).filter(F.size("w") >= n)
+def _places(make, n: int) -> Column:
+    """The shingles of n words of the column w, one for each place."""
     starts = F.sequence(F.lit(0), F.size("w") - n)
-    return df.select(*keep, F.explode(F.transform(starts, lambda i: make(*[F.get(F.col("w"), i + k) for k in range(n)]))).alias("s"))
+    return F.when(F.size("w") >= n, F.transform(starts, lambda i: make(*[F.get(F.col("w"), i + k) for k in range(n)])))
 
 
-def _joined(words_: list[Column]) -> Column:
-    return F.concat_ws(" ", *words_)
+def _item_shingles(items: DataFrame, make, n: int) -> DataFrame:
+    """item_id, s: an item's distinct shingles; a short item is one."""
+    df = items.select("item_id", words(F.col("text")).alias("w")).filter(F.get("w", 0) != "")
+    own = F.when(F.size("w") >= n, _places(make, n)).otherwise(F.coalesce(*[F.when(F.size("w") == k, _places(make, k)) for k in range(1, n)]) if n > 1 else F.array())
+    return df.select("item_id", F.explode(own).alias("s")).distinct()
+
+
+def _text_shingles(docs: DataFrame, make, n: int, short: list[int]) -> DataFrame:
+    """doc_id, s: a row for each place of a shingle, and of n or of a short item's number of words."""
+    df = docs.select("doc_id", words(F.col("text")).alias("w"))
+    own = [_places(make, k) for k in (n, *short)]
+    if short:
+        own = [F.coalesce(x, F.array().cast("array<bigint>" if make is F.xxhash64 else "array<string>")) for x in own]
+    return df.select("doc_id", F.explode(F.concat(*own) if short else own[0]).alias("s"))
 
 
 def sketches(items: DataFrame, share: float) -> DataFrame:
-    """item_id, s: each item's smallest hashes, as many as its size partition asks for."""
+    """item_id, s, part, need: each item's smallest hashes, as many as its size partition asks for, and how many a document must hold."""
     own = items.groupBy("item_id").agg(F.array_sort(F.collect_set("s")).alias("all"))
-    own = own.withColumn("upper", F.pow(F.lit(2.0), F.floor(F.log2(F.size("all"))) + 1) - 1)
+    own = own.withColumn("part", F.floor(F.log2(F.size("all"))).cast("int"))
     # the small term keeps a product that is a whole number from falling below it
-    own = own.withColumn("k", (F.floor(F.lit(1.0 - share) * F.col("upper") + 1e-9) + 1).cast("int"))
-    return own.select("item_id", F.explode(F.slice("all", F.lit(1), F.col("k"))).alias("s"))
+    lacks = lambda n: F.floor(F.lit(1.0 - share) * n + 1e-9)
+    own = own.withColumn("k", F.least(2 * lacks(F.pow(F.lit(2.0), F.col("part") + 1) - 1) + 1, F.size("all")).cast("int"))
+    need = F.greatest(F.col("k") - lacks(F.size("all")), F.lit(1)).cast("int")
+    return own.select("item_id", "part", need.alias("need"), F.explode(F.slice("all", F.lit(1), F.col("k"))).alias("s"))
 
 
 def _small(df: DataFrame, most: int) -> DataFrame:
@@ -61,17 +81,31 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, share: float = SHARE, most: int = MAX_BROADCAST) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment: a row for each document that holds at least the share of an item's shingles."""
+    run, last = Run(docs.sparkSession), Run(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     items = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null")
-    sketch = cut(sketches(_shingles(items, ["item_id"], "text", F.xxhash64, n).distinct(), share))
+    own = items.select(words(F.col("text")).alias("w")).filter(F.get("w", 0) != "")
+    short = sorted(r["k"] for r in own.select(F.size("w").alias("k")).filter(F.col("k") < n).distinct().collect())  # at most n - 1
+    sketch = run.cut(sketches(_item_shingles(items, F.xxhash64, n), share))
     top = sketch.agg(F.max("s")).first()[0]
-    probes = _shingles(docs, ["doc_id"], "text", F.xxhash64, n).filter(F.col("s") <= F.lit(top))
-    found = cut(probes.join(_small(sketch, most), "s").select("doc_id", "item_id").distinct())
-    exact = cut(_shingles(items, ["item_id"], "text", lambda *w: _joined(list(w)), n).distinct())
-    sizes = exact.groupBy("item_id").agg(F.count("*").alias("n_item"))
-    suspects = docs.join(_small(found.select("doc_id").distinct(), most), "doc_id", "left_semi")
-    shared = _shingles(suspects, ["doc_id"], "text", lambda *w: _joined(list(w)), n).join(_small(exact, most), "s")
+    probes = _text_shingles(docs, F.xxhash64, n, short).filter(F.col("s") <= F.lit(top))
+    hits = probes.join(_small(sketch, most), "s").groupBy("doc_id", "item_id", "need").agg(F.count_distinct("s").alias("n"))
+    found = run.cut(hits.filter("n >= need").select("doc_id", "item_id"))
+    exact = run.cut(_item_shingles(items, _joined, n))
+    sizes = run.cut(exact.groupBy("item_id").agg(F.count("*").alias("n_item")))
+    suspects = docs.join(_small(run.cut(found.select("doc_id").distinct()), most), "doc_id", "left_semi")
+    shared = _text_shingles(suspects, _joined, n, short).join(_small(exact, most), "s")
     shared = shared.groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_shared"))
     out = shared.join(found, ["doc_id", "item_id"], "left_semi").join(_small(sizes, most), "item_id")
     out = out.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= share)
-    return out.select("doc_id", "item_id", "n_shared", "n_item", "containment")
+    out = last.cut(out.select("doc_id", "item_id", "n_shared", "n_item", "containment"))
+    run.clear()
+    return out
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs whose own text holds no item. Rows are judged by text, so ids may be null or repeat."""
+    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")), F.lit(1)), F.xxhash64(F.coalesce(docs[text_col], F.lit("")), F.lit(2))
+    texts = docs.select(F.struct(key[0].alias("a"), key[1].alias("b")).alias("doc_id"), docs[text_col].alias("text"))
+    found = Run(docs.sparkSession).cut(contained_items(texts, items, **options).select(F.col("doc_id.a").alias("a"), F.col("doc_id.b").alias("b")).distinct())
+    return docs.join(found, (key[0] == found["a"]) & (key[1] == found["b"]), "left_anti")

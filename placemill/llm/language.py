@@ -7,12 +7,14 @@ order 3), taken from a bounded sample of its labelled training texts. A byte see
 statistics are frozen, so a text's code length is a sum of table entries, and the language with the shortest code wins.
 The score is that language's posterior probability when all languages are equally likely beforehand.
 
-The costs are looked up by the strings of four and three bytes that the sample holds, and in dense tables of pairs. They
-are built once per Python worker, from the broadcast counts, and take a few MB a language; the counts grow with the sample
-(`sample_docs` texts a language), not with the corpus.
+The sample is drawn by a hash of id and text: about `sample_docs` texts and `sample_bytes` bytes of each language at most,
+and at least one text, so every label that occurs is learned. The costs are looked up by the strings of four and three
+bytes that the sample holds, and in tables of pairs. They are built once per Python worker from the broadcast counts, for
+TOGETHER languages at a time: the model grows with the number of languages and the sample, not with the corpus.
 
 Defined cases: null, empty and letterless texts are `und` with score 0; with no training text every text is `und`; ties
-go to the language that sorts first; a text of any length is scored whole.
+go to the language that sorts first; ids may be null or repeat, and repeated rows count each; a text of any length is
+scored whole; columns beside id, text and language are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +29,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placemill.llm.common import HashIndex, doc_hash, slices
+from placemill.llm.common import HashIndex, Run, doc_hash, slices
 
 UNKNOWN = "und"
-#: Labelled training texts per language; the bound of the fitted sample.
-SAMPLE_DOCS = 1500
-MAX_LANGUAGES = 200
+#: Labelled training texts, and their bytes, per language; the bound of the fitted sample.
+SAMPLE_DOCS, SAMPLE_BYTES = 1500, 8 << 20
+#: Languages that share a table.
+TOGETHER = 32
 RESULT = "struct<lang_pred: string, score: double, bits: double>"
 _PAD = np.frombuffer(b"\n\n\n", np.uint8)
 
@@ -147,11 +150,11 @@ class Tables:
 _BUILT: dict[str, Tables] = {}
 
 
-def _tables(counts: Counts) -> Tables:
-    if counts.uid not in _BUILT:
+def _tables(model: list[Counts]) -> list[Tables]:
+    if any(c.uid not in _BUILT for c in model):
         _BUILT.clear()
-        _BUILT[counts.uid] = Tables(counts)
-    return _BUILT[counts.uid]
+        _BUILT.update({c.uid: Tables(c) for c in model})
+    return [_BUILT[c.uid] for c in model]
 
 
 def _has_letter(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -165,43 +168,45 @@ def _has_letter(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Counts:
-    """Counts over a hash-chosen sample of about sample_docs texts of each language (all, if it has fewer)."""
-    known = labelled.filter(F.col(lang_col).isNotNull())
-    sizes = known.groupBy(F.col(lang_col).alias("lang")).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not sizes:
-        return Counts([], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))))
-    chance = F.pmod(doc_hash(F.col(id_col)), F.lit(1_000_000)) / F.lit(1e6)
-    sample = known.filter(chance < share[F.col(lang_col)]).select(F.col(lang_col), F.col(text_col))
-    got = sample.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    langs = sorted(set(got.column("lang").to_pylist()))
-    number = {x: i for i, x in enumerate(langs)}
-    return Counts(langs, np.array([number[x] for x in got.column("lang").to_pylist()], np.int64), got.column("code").to_numpy(), got.column("n").to_numpy())
-
-
-def predictor(counts: Broadcast):
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> list[Counts]:
+    """Counts over a hash-chosen sample of each language, for TOGETHER languages each. What reaches the driver is the model."""
+    run = Run(labelled.sparkSession)
+    chance = F.shiftrightunsigned(doc_hash(F.col(id_col), F.col(text_col)), 11) * F.lit(2.0**-53)
+    known = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), chance.alias("chance"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"), F.min("chance").alias("first"))
+    share = F.greatest("first", F.least(F.lit(sample_docs) / F.col("n"), F.lit(sample_bytes) / F.greatest("bytes", F.lit(1))))
+    shares = run.cut(sizes.select(F.col("lang").alias("of"), share.alias("share")))
+    sample = known.join(shares, F.col("lang") == F.col("of")).filter(F.col("chance") <= F.col("share")).select("lang", "text")
+    grams = run.cut(sample.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))
+    langs, out = sorted(r["of"] for r in shares.collect()), []
+    for i in range(0, len(langs), TOGETHER):
+        own = langs[i : i + TOGETHER]
+        got, number = grams.filter(F.col("lang").isin(*own)).toArrow(), {x: k for k, x in enumerate(own)}
+        out.append(Counts(own, np.array([number[x] for x in got.column("lang").to_pylist()], np.int64), got.column("code").to_numpy(), got.column("n").to_numpy()))
+    run.clear()
+    return out
+
+
+def predictor(model: Broadcast):
     """An Arrow UDF over a text column; see RESULT. bits is the winner's code length."""
 
     @F.arrow_udf(RESULT)
     def predict(texts: pa.Array) -> pa.Array:
-        model = counts.value
         lang, score, bits = [], [], []
+        tables = _tables(model.value)
+        langs = [x for t in tables for x in t.langs]
         for _, _, data, lengths in slices(texts):
-            if not model.langs:
+            if not langs:
                 lang += [UNKNOWN] * len(lengths)
                 score += [0.0] * len(lengths)
                 bits += [0.0] * len(lengths)
                 continue
-            t = _tables(model)
-            each = t.bits_of(data, lengths)
+            each = np.concatenate([t.bits_of(data, lengths) for t in tables], axis=1)
             best = each.argmin(axis=1)
             least = each[np.arange(len(best)), best]
             ok = _has_letter(data, lengths)
             sure = 1.0 / np.exp2(np.maximum(least[:, None] - each, -1000.0)).sum(axis=1)
-            lang += [t.langs[b] if o else UNKNOWN for b, o in zip(best, ok, strict=True)]
+            lang += [langs[b] if o else UNKNOWN for b, o in zip(best, ok, strict=True)]
             score += np.where(ok, sure, 0.0).tolist()
             bits += np.where(ok, least, 0.0).tolist()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=["lang_pred", "score", "bits"])
@@ -209,6 +214,6 @@ def predictor(counts: Broadcast):
     return predict
 
 
-def identify(docs: DataFrame, counts: Counts, text_col: str = "text") -> Column:
+def identify(docs: DataFrame, model: list[Counts], text_col: str = "text") -> Column:
     """The struct RESULT for each row's text."""
-    return predictor(docs.sparkSession.sparkContext.broadcast(counts))(F.col(text_col))
+    return predictor(docs.sparkSession.sparkContext.broadcast(model))(F.col(text_col))

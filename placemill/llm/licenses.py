@@ -1,27 +1,34 @@
 """License scans: phrases of licenses, and an exact set-similarity join of text blocks with license notices.
 
-A block is a line of a document, as a set of words; a template is the word set of a license notice. A block meets a
-template if it holds at least the share t of the template's words. The join is exact and has the usual filters. One
+A template is the word set of a license notice. Its blocks are windows of the text's words, whatever lines these stand in:
+windows of 2 m words that start every m words, m being the notice's number of words rounded up to a power of two. So each m
+consecutive words lie in some block, and a block of a long line without breaks holds no more words than any other. A block
+meets a template if it holds at least the share t of the template's words. The join is exact and has the usual filters. One
 global order of words, from rare to frequent, comes from counts over all documents. Of a template with a = ceil(t |T|)
-words needed, the first |T| - a + 1 in that order are its prefix: a block that meets it holds one of them. Length filter:
-a block with fewer than a words of the templates' vocabulary cannot meet it. Positional filter: a shared word at place i
-of T and j of B leaves at most 1 + min(|T| - i - 1, |B| - j - 1) shared words. What passes is verified on the whole sets.
-Words outside the templates' vocabulary can't be shared; they stand last in the order and are dropped.
+words needed, the first |T| - a + 1 in that order are its prefix: a block that meets it holds one of them, so blocks are made
+only around places of prefix words. Length filter: a block with fewer than a words of the templates' vocabulary cannot meet
+it. Positional filter: a shared word at place i of T and j of B leaves at most 1 + min(|T| - i - 1, |B| - j - 1) shared words.
+What passes is verified on the whole sets. Words outside the templates' vocabulary can't be shared and are dropped.
 
-A template is dropped where another one shares all of its shared words with the same block, and shares more or has fewer
-words that the block lacks ("cc by" and "cc by nc nd" give way to "cc by nc"). All of it runs on DataFrame functions; templates, their prefixes and the vocabulary are literals.
+A match is dropped where another one, whose block overlaps its block, shares all of its shared words, and shares more or has
+fewer words that the block lacks ("cc by" and "cc by nc nd" give way to "cc by nc"). All of it runs on DataFrame functions;
+the templates are a small table that the caller may pass.
+
+A hot word costs a row for each of its places; a place carries at most a few hundred words around it, not its text.
 
 Defined cases: null or empty text has 0 words, no places, empty labels and score 0; rows that repeat an id are judged
-each by its own text; a text of any length is read whole.
+each by its own text; null ids are ids like any other; a text of any length is read whole; an empty table gives no rows;
+further columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHARE = 0.85
@@ -81,57 +88,77 @@ def _fits(parts: list[str]):
     return lambda i: reduce(Column.__and__, [F.get(F.col("w"), i + k) == p for k, p in enumerate(parts)])
 
 
-def _templates(spark, counts: dict[str, int], share: float) -> tuple[DataFrame, DataFrame, list[str], int]:
-    """Vocabulary with places in the global order; postings of the prefixes; the prefix words; the fewest words needed."""
-    sets = [(label, _template_words(notice)) for label, notice in TEMPLATES]
-    order = {w: i for i, w in enumerate(sorted({w for _, s in sets for w in s}, key=lambda w: (counts.get(w, 0), w)))}
-    posts, least = [], math.inf
-    for number, (label, s) in enumerate(sets):
-        ranks = sorted(order[w] for w in s)
+def _stride(notice: str) -> int:
+    """How far apart blocks start: the notice's number of words, rounded up to a power of two."""
+    return 1 << max(3, (len(re.findall(WORD, notice.lower())) - 1).bit_length())
+
+
+def _order(templates: Sequence[tuple[str, str]], counts: dict[str, int]) -> dict[str, int]:
+    """Place of each word of the templates in the global order."""
+    return {w: i for i, w in enumerate(sorted({w for _, notice in templates for w in _template_words(notice)}, key=lambda w: (counts.get(w, 0), w)))}
+
+
+def _postings(spark: SparkSession, templates: Sequence[tuple[str, str]], order: dict[str, int], share: float) -> tuple[DataFrame, list[str]]:
+    """Postings of the prefixes (word, template, label, m, i, need, ranks), and the prefix words."""
+    posts, words = [], {r: w for w, r in order.items()}
+    for number, (label, notice) in enumerate(templates):
+        ranks = sorted(order[w] for w in _template_words(notice))
         need = math.ceil(share * len(ranks) - 1e-9)
-        least = min(least, need)
-        posts += [(ranks[i], number, label, i, need, ranks) for i in range(len(ranks) - need + 1)]
-    vocabulary = spark.createDataFrame(list(order.items()), "word string, r int")
-    postings = spark.createDataFrame(posts, "r int, template int, label string, i int, need int, ranks array<int>")
-    by_rank = {i: w for w, i in order.items()}
-    return vocabulary, postings, sorted({by_rank[p[0]] for p in posts}), int(least)
+        posts += [(words[ranks[i]], number, label, _stride(notice), i, need, ranks) for i in range(len(ranks) - need + 1)]
+    schema = "prefix string, template int, label string, m int, i int, need int, ranks array<int>"
+    return spark.createDataFrame(posts, schema), sorted({p[0] for p in posts})
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
+def word_counts(docs: DataFrame, text_col: str = "text", templates: Sequence[tuple[str, str]] = TEMPLATES) -> dict[str, int]:
     """Counts of the templates' words over all documents: at most as many rows as the templates have words."""
-    vocabulary = sorted({w for _, notice in TEMPLATES for w in _template_words(notice)})
+    vocabulary = sorted({w for _, notice in templates for w in _template_words(notice)})
     known = docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string")
     each = docs.select(F.explode(_words(_lower(F.col(text_col)))).alias("word"))
     return {r["word"]: r["count"] for r in each.join(F.broadcast(known), "word", "left_semi").groupBy("word").count().collect()}
 
 
-def notice_blocks(docs: DataFrame, counts: dict[str, int], share: float = SHARE) -> DataFrame:
-    """doc_id, key, block (line number), label, containment. docs has doc_id, key and t (the lowered text)."""
-    vocabulary, postings, prefixes, least = _templates(docs.sparkSession, counts, share)
+def notice_blocks(docs: DataFrame, counts: dict[str, int], share: float = SHARE, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """doc_id, key, start, m, template, label, containment: the blocks that meet a template, dropped ones left out. docs has doc_id, key and t (the lowered text)."""
+    order = _order(templates, counts)
+    postings, prefixes = _postings(docs.sparkSession, templates, order, share)
+    far = 2 * max(_stride(notice) for _, notice in templates)
     any_prefix = r"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])(?:" + "|".join(re.escape(w) for w in prefixes) + r")(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])"
-    lines = docs.filter(F.col("t").rlike(any_prefix)).select("doc_id", "key", F.posexplode(F.split("t", "\n")).alias("block", "line"))
-    tokens = lines.filter(F.col("line").rlike(any_prefix)).select("doc_id", "key", "block", F.explode(F.array_distinct(_words(F.col("line")))).alias("word"))
-    blocks = tokens.join(F.broadcast(vocabulary), "word").groupBy("doc_id", "key", "block").agg(F.array_sort(F.collect_set("r")).alias("b")).filter(F.size("b") >= least)
-    probes = blocks.select("doc_id", "key", "block", "b", F.posexplode("b").alias("j", "r")).join(F.broadcast(postings), "r")
+    w, at = F.col("w"), F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get(F.col("w"), i).isin(*prefixes))
+    around = lambda p: F.struct(p.alias("p"), F.greatest(p - far, F.lit(0)).alias("low"), F.slice(w, F.greatest(p - far, F.lit(0)) + 1, F.lit(2 * far + 1)).alias("words"))
+    texts = docs.filter(F.col("t").rlike(any_prefix)).select("doc_id", "key", _words(F.col("t")).alias("w"))
+    places = texts.select("doc_id", "key", F.explode(F.transform(at, around)).alias("a")).select("doc_id", "key", "a.*")
+    met = places.join(F.broadcast(postings), F.element_at("words", F.col("p") - F.col("low") + 1) == F.col("prefix"))
+    first = F.floor(F.col("p") / F.col("m")).cast("int")
+    met = met.withColumn("b", F.explode(F.array_distinct(F.array(first, F.greatest(first - 1, F.lit(0)))))).withColumn("start", F.col("b") * F.col("m"))
+    rank_of = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    own = F.slice("words", F.col("start") - F.col("low") + 1, 2 * F.col("m"))
+    block = F.array_sort(F.array_distinct(F.filter(F.transform(own, lambda x: F.try_element_at(rank_of, x)), lambda r: r.isNotNull())))
+    met = met.withColumn("b", block).withColumn("j", F.array_position("b", F.get("ranks", F.col("i"))) - 1)
     left = F.least(F.size("ranks") - F.col("i"), F.size("b") - F.col("j"))
-    passed = probes.filter((F.size("b") >= F.col("need")) & (left >= F.col("need")))
-    shared = F.array_intersect("b", "ranks")
-    met = passed.withColumn("shared", shared).filter(F.size("shared") >= F.col("need"))
-    met = met.groupBy("doc_id", "key", "block").agg(F.collect_set(F.struct("label", "shared", F.size("ranks").alias("size"))).alias("met"))
-    more = lambda x, y: (F.size(y["shared"]) > F.size(x["shared"])) | ((F.size(y["shared"]) == F.size(x["shared"])) & (y["size"] < x["size"]))
-    beaten = lambda x: F.exists("met", lambda y: more(x, y) & (F.size(F.array_except(x["shared"], y["shared"])) == 0))
-    met = met.select("doc_id", "key", "block", F.explode(F.filter("met", lambda x: ~beaten(x))).alias("m"))
-    return met.select("doc_id", "key", "block", "m.label", (F.size("m.shared") / F.col("m.size")).alias("containment"))
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE) -> DataFrame:
+    met = met.filter((F.size("b") >= F.col("need")) & (left >= F.col("need"))).withColumn("shared", F.array_intersect("b", "ranks")).filter(F.size("shared") >= F.col("need"))
+    key = ["doc_id", "key", "start", "m", "template"]
+    met = met.groupBy(*key).agg(F.first("label").alias("label"), F.first("shared").alias("shared"), F.first(F.size("ranks")).alias("size"))
+    # overlapping blocks share a stretch of the text as long as the longest block; a stretch holds few matches
+    met = met.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("start") / far), F.floor((F.col("start") + 2 * F.col("m") - 1) / far))))
+    one = F.struct("start", "m", "template", "label", "shared", "size")
+    beats = lambda y, x: (F.size(y["shared"]) > F.size(x["shared"])) | ((F.size(y["shared"]) == F.size(x["shared"])) & (y["size"] < x["size"]))
+    meets = lambda y, x: (y["start"] < x["start"] + 2 * x["m"]) & (x["start"] < y["start"] + 2 * y["m"])
+    groups = met.groupBy("doc_id", "key", "stretch").agg(F.collect_list(one).alias("met"))
+    each = groups.select("doc_id", "key", F.explode("met").alias("x"), "met")
+    lost = F.exists("met", lambda y: beats(y, F.col("x")) & meets(y, F.col("x")) & (F.size(F.array_except(F.col("x.shared"), y["shared"])) == 0))
+    each = each.select("doc_id", "key", "x.start", "x.m", "x.template", "x.label", (F.size("x.shared") / F.col("x.size")).alias("containment"), lost.alias("lost"))
+    kept = each.groupBy(*key).agg(F.first("label").alias("label"), F.first("containment").alias("containment"), F.max("lost").alias("lost"))
+    return kept.filter("not lost").drop("lost")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score: one row per row of docs.
 
     score is the largest containment that a block reaches, 1 where a phrase stands, else 0.
     """
-    counts = word_counts(docs, text_col)
+    counts = word_counts(docs, text_col, templates)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), _lower(F.col(text_col)).alias("t"))
-    blocks = notice_blocks(keyed, counts, share).groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    blocks = notice_blocks(keyed, counts, share, templates).groupBy("doc_id", "key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     starts = [F.col(f"at_{label}") for _, label in PHRASES]
     n_base = reduce(Column.__add__, [F.coalesce(F.size(s), F.lit(0)) for s in starts])
     own = F.filter(F.array(*[F.when(F.size(s) > 0, F.lit(label)) for s, (_, label) in zip(starts, PHRASES, strict=True)]), lambda x: x.isNotNull())

@@ -1,24 +1,26 @@
 """LM scoring by subword lattice likelihood.
 
-The vocabulary is that of a public tokenizer (its pieces; the tokenizer isn't trained). A word, with a leading space, is
-any sequence of pieces that spells it, and its spelling's probability is the sum over all of these segmentations of the
-product of the pieces' unigram probabilities and that of a stop: a forward recursion in log space over the word's
-lattice. The bytes are pieces too, so every word has a probability. The pieces' scores start from their rank in the
-vocabulary and are re-estimated from the distinct words of all training texts by expected counts over all segmentations
-(forward-backward).
+The vocabulary is that of a public tokenizer (its pieces; the tokenizer isn't trained). A text is its words, each with a
+leading space, and one end; pieces have no space but at their start. The model draws pieces one by one from a unigram
+distribution until it draws the end, so a text's probability is the sum over all segmentations of the product of the pieces'
+probabilities, times that of the end. A piece never spans two words, so the sum factors into one forward recursion in log
+space per word. The bytes are pieces too, so every word has a probability.
 
-A word that the training texts hold has one more arc, from its start to its end, with its discounted relative frequency
-(c - D) / N; all spellings share the discounted mass D V / N (V distinct words). A text is its words and one end, and its
-score is the sum of their log10 probabilities.
+The pieces' scores start from their rank in the vocabulary and are re-estimated from the training texts by expected counts
+over all segmentations (forward-backward), every word counting as often as these texts say it. In the last pass each
+piece's count loses the discount D, and what is lost goes to all pieces by their rank: pieces that the training texts hardly use
+keep some mass for words that were never seen.
 
 The work is done per distinct word: word counts over the whole corpus are one shuffle, and each distinct word's lattice
 is evaluated once per pass. To score, the commonest words (at most HOT_WORDS) are broadcast with their values; a text's
 other words are joined by shuffle. None of them is common, so no key is hot.
 
-Beside it stands a base: the same words and end under add-one unigram counts of whole words.
+Beside it stand a base, the same words and end under add-one unigram counts of whole words, and word_score, the score of a
+model that gives a word seen in training an arc of its own, with its discounted relative frequency, beside its spellings.
 
 Defined cases: a null text counts as empty and has the end alone; with no training text the scores are those of the
-ranks; rows are scored each for itself, also where an id repeats or is null; a word of any length is evaluated whole.
+ranks; rows are scored each for itself, also where they or their ids repeat or ids are null; a word of any length is
+evaluated whole; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -65,7 +67,7 @@ def load_pieces(path: str = VOCABULARY) -> list[bytes]:
 
 
 def rank_scores(n: int) -> np.ndarray:
-    """Natural logarithms of probabilities that fall with the rank; the last is the stop's."""
+    """Natural logarithms of probabilities that fall with the rank; the last is the end's."""
     p = 1.0 / (np.arange(n + 1) + 10.0)
     return np.log(p / p.sum())
 
@@ -144,16 +146,17 @@ def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def word_scores(words: list[bytes], pieces: list[bytes], scores: np.ndarray) -> np.ndarray:
-    """log10 of each word's probability over all segmentations, with the stop."""
+    """log10 of each word's probability over all segmentations; the end, as the empty word, has its own."""
     lattice, padded, out = _lattice(pieces), np.append(scores[:-1], -np.inf), np.zeros(len(words))
     for rows, x in _by_length(words):
         found = {size: padded[e] for size, e in lattice.edges(x).items()}
-        out[rows] = (lattice.forward(found, x.shape[1])[-1] + scores[-1]) / np.log(10)
+        out[rows] = lattice.forward(found, x.shape[1])[-1] / np.log(10)
+    out[[i for i, w in enumerate(words) if w == _END]] = scores[-1] / np.log(10)
     return out
 
 
 def with_counts(spelled: np.ndarray, n: np.ndarray, n_all: int, n_kinds: int) -> np.ndarray:
-    """log10 of the words' probabilities: their own arc and their spellings."""
+    """log10 of the words' probabilities with an arc of their own beside their spellings, which share the discounted mass."""
     if not n_all:
         return spelled
     with np.errstate(divide="ignore"):
@@ -163,8 +166,8 @@ def with_counts(spelled: np.ndarray, n: np.ndarray, n_all: int, n_kinds: int) ->
     return top + np.log10(10.0 ** (own - top) + 10.0 ** (rest - top))
 
 
-def expected_counts(words: list[bytes], pieces: list[bytes], scores: np.ndarray) -> np.ndarray:
-    """How often each piece occurs in the words, on average over their segmentations."""
+def expected_counts(words: list[bytes], pieces: list[bytes], scores: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """How often each piece occurs in the words, each of them so many times, on average over their segmentations."""
     lattice, padded, out = _lattice(pieces), np.append(scores[:-1], -np.inf), np.zeros(len(pieces) + 1)
     for rows, x in _by_length(words):
         edges, n = lattice.edges(x), x.shape[1]
@@ -172,8 +175,9 @@ def expected_counts(words: list[bytes], pieces: list[bytes], scores: np.ndarray)
         a, b = lattice.forward(found, n), lattice.backward(found, n)
         forth, back = np.stack(a, axis=1), np.stack(b, axis=1)
         whole = forth[:, -1:]
+        weight = 1.0 if times is None else times[rows][:, None]
         for size, e in edges.items():
-            p = np.exp(forth[:, : n - size + 1] + found[size] + back[:, size:] - whole)
+            p = np.exp(forth[:, : n - size + 1] + found[size] + back[:, size:] - whole) * weight
             out += np.bincount(e.ravel(), p.ravel(), len(out))
     return out[:-1]
 
@@ -209,33 +213,39 @@ def count_words(docs: DataFrame, held: Column, text_col: str = "text") -> DataFr
 
 
 def learn_scores(words: DataFrame, pieces: list[bytes], passes: int = PASSES) -> np.ndarray:
-    """Natural logarithms of the pieces' and the stop's probabilities. What reaches the driver is a number per piece."""
+    """Natural logarithms of the pieces' and the end's probabilities. What reaches the driver is a number per piece."""
     sc, scores = words.sparkSession.sparkContext, rank_scores(len(pieces))
-    known = words.filter((F.col("n") > 0) & (F.col("word") != F.lit(_END))).select("word")
-    kinds = known.count()
-    if not kinds:
+    ends = words.filter(F.col("word") == F.lit(_END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not ends:
         return scores
-    for _ in range(passes):
+    known = words.filter((F.col("n") > 0) & (F.col("word") != F.lit(_END))).select("word", "n")
+    for step in range(passes):
         shared = sc.broadcast((pieces, scores))
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own, now = shared.value
             total = np.zeros(len(own))
             for batch in batches:
-                total += expected_counts(batch.column(0).to_pylist(), own, now)
+                total += expected_counts(batch.column(0).to_pylist(), own, now, batch.column(1).to_numpy().astype(float))
             some = np.flatnonzero(total > 0)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["piece", "n"])
 
         got = known.mapInArrow(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
-        n = np.full(len(pieces) + 1, _SMOOTH)
-        n[got.column("piece").to_numpy()] += got.column("n").to_numpy()
-        n[-1] += kinds
+        n = np.zeros(len(pieces) + 1)
+        n[got.column("piece").to_numpy()] = got.column("n").to_numpy()
+        n[-1] = ends
+        if step < passes - 1:
+            n += _SMOOTH
+        else:
+            kept = np.maximum(n - DISCOUNT, 0)
+            before = np.exp(rank_scores(len(pieces)))
+            n = kept + (n.sum() - kept.sum() + _SMOOTH) * before
         scores = np.log(n / n.sum())
     return scores
 
 
 def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY, passes: int = PASSES, hot: int = HOT_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of docs."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score: a row for each row of docs."""
     spark = docs.sparkSession
     pieces = load_pieces(vocabulary)
     words = cut(count_words(docs, held, text_col))
@@ -248,29 +258,28 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
         for batch in batches:
             kinds, n = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             spelled = word_scores(kinds, own, scores)
-            if n_all:
-                spelled[[i for i, w in enumerate(kinds) if w == _END]] = -np.inf
-            lm = with_counts(spelled, n.astype(float), n_all, n_kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.log10(n + 1.0) - below), pa.array(lm)], names=["word", "n", "rest", "base", "lm"])
+            whole = with_counts(spelled, n.astype(float), n_all, n_kinds)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.log10(n + 1.0) - below), pa.array(spelled), pa.array(whole)], names=["word", "n", "rest", "base", "lm", "whole"])
 
-    valued = cut(words.mapInArrow(value, "word binary, n long, rest long, base double, lm double"))
+    valued = cut(words.mapInArrow(value, "word binary, n long, rest long, base double, lm double, whole double"))
     step = F.floor(F.log2(F.col("n") + F.col("rest")) * 16).cast("int")
     room, least = hot, 1 << 30
     for r in sorted(valued.groupBy(step.alias("step")).count().collect(), reverse=True):  # at most 16 steps a doubling
         if r["count"] > room:
             break
         room, least = room - r["count"], r["step"]
-    common = valued.filter((step >= least) | (F.col("word") == F.lit(_END))).select("word", "n", "base", "lm").toArrow()
-    at_once = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), zip(common.column("base").to_pylist(), common.column("lm").to_pylist(), pc.greater(common.column("n"), 0).to_pylist(), strict=True), strict=True)))
+    common = valued.filter((step >= least) | (F.col("word") == F.lit(_END))).select("word", "n", "base", "lm", "whole").toArrow()
+    values = zip(common.column("base").to_pylist(), common.column("lm").to_pylist(), common.column("whole").to_pylist(), pc.greater(common.column("n"), 0).to_pylist(), strict=True)
+    at_once = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), values, strict=True)))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text with the sums over its common words, and a row for each of its other words."""
         hot_words, task, row = at_once.value, TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            uid, doc, word, n, base, lm, known = [], [], [], [], [], [], []
+            uid, doc, word, n, base, lm, whole, known = [], [], [], [], [], [], [], []
             for i, text in enumerate(batch.column(2).cast(pa.binary()).to_pylist()):
-                key, own, b, s, k = task + row, 0, 0.0, 0.0, 0
+                key, own, b, s, u, k = task + row, 0, 0.0, 0.0, 0.0, 0
                 tokens = Counter(_words(text))
                 tokens[_END] = 1
                 for w, c in tokens.items():
@@ -281,22 +290,24 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
                         n.append(c)
                         base.append(None)
                         lm.append(None)
+                        whole.append(None)
                         known.append(None)
                     else:
-                        own, b, s, k = own + c, b + c * v[0], s + c * v[1], k + c * v[2]
+                        own, b, s, u, k = own + c, b + c * v[0], s + c * v[1], u + c * v[2], k + c * v[3]
                 uid.append(key)
                 doc.append(i)
                 word.append(b" %d" % key)  # no word has a space
                 n.append(own)
                 base.append(b)
                 lm.append(s)
+                whole.append(u)
                 known.append(k)
                 row += 1
             at = pa.array(doc, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.array(base, pa.float64()), pa.array(lm, pa.float64()), pa.array(known, pa.int64())], names=["uid", "doc_id", "held_out", "word", "n", "base", "lm", "known"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), batch.column(0).take(at), batch.column(1).take(at), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.array(base, pa.float64()), pa.array(lm, pa.float64()), pa.array(whole, pa.float64()), pa.array(known, pa.int64())], names=["uid", "doc_id", "held_out", "word", "n", "base", "lm", "whole", "known"])
 
-    rows = docs.select(F.col(id_col), held.alias("held_out"), F.col(text_col)).mapInArrow(split, f"uid long, doc_id {id_type}, held_out boolean, word binary, n long, base double, lm double, known long")
-    rest = valued.filter((step < least) & (F.col("word") != F.lit(_END))).select(F.col("word").alias("w"), F.col("n").alias("c"), F.col("base").alias("b"), F.col("lm").alias("s"))
+    rows = docs.select(F.col(id_col), held.alias("held_out"), F.col(text_col)).mapInArrow(split, f"uid long, doc_id {id_type}, held_out boolean, word binary, n long, base double, lm double, whole double, known long")
+    rest = valued.filter((step < least) & (F.col("word") != F.lit(_END))).select(F.col("word").alias("w"), F.col("n").alias("c"), F.col("base").alias("b"), F.col("lm").alias("s"), F.col("whole").alias("u"))
     both = rows.join(rest, rows["word"] == rest["w"], "left")
     sums = both.groupBy("uid").agg(
         F.max("doc_id").alias("doc_id"),
@@ -305,5 +316,6 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
         F.sum(F.coalesce("known", F.when(F.col("c") > 0, F.col("n")), F.lit(0))).alias("n_known"),
         F.sum(F.coalesce("base", F.col("n") * F.col("b"))).alias("base_score"),
         F.sum(F.coalesce("lm", F.col("n") * F.col("s"))).alias("score"),
+        F.sum(F.coalesce("whole", F.col("n") * F.col("u"))).alias("word_score"),
     )
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score")
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", "word_score")

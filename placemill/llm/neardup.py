@@ -1,35 +1,36 @@
 """Near-duplicate detection by DartMinHash.
 
-A text is the multiset of its five-word shingles; the n-th copy of a shingle is an element of its own, so the multiset's
-weighted Jaccard similarity is that of the element sets. Every element owns a unit-weight region in which darts fall with
-unit density along the rank axis, at places that its hash decides, the same in all texts. Of a text with total weight W
-the darts with a rank below T / W are thrown, about T in all; each names a coordinate of the signature, and the earliest
-dart of a coordinate stays. T grows until no coordinate is empty. Two signatures agree in a coordinate with the
-probability of the weighted Jaccard similarity. The cost is the elements plus about K log K darts, not their product.
+A text is the weighted set of its five-word shingles; a shingle's weight is how often the text says it. The weight axis of
+an element is cut into strips of width one, the last one as wide as is left; darts fall on a strip with unit density along
+the rank axis, at places that the hash of element and strip decides, the same in all texts, and those beyond the weight are
+dropped, so weights may be any positive numbers. Of a text with total weight W the darts with a rank below T / W are thrown,
+about T in all; each names a coordinate of the signature, and the earliest dart of a coordinate stays. T grows until no
+coordinate is empty. Two signatures agree in a coordinate with the probability of the weighted Jaccard similarity. The cost
+is the strips plus about K log K darts, not their product.
 
 A text that repeats shingles has a second signature, of its plain set of shingles, so that texts that differ only in how
 often they say something are found too; without repeats both are the same.
 
-Exact copies (equal text, by digest) are one class from the start; one text of each goes on. Signatures are banded, both
-alike: texts that share a band's bucket are candidates. Within a bucket no pairs are listed: every text is compared with pivots, in
-rounds. First a random member of each bucket is the pivot; in later rounds, in buckets that hold more than one class,
-the member with the most links, then the best-linked member of another class, and another random member. Pairs whose
-signatures (either kind) agree too little are dropped; all others are verified on the whole element sets, and count as linked if their
-weighted or plain Jaccard similarity is at least 0.8. Classes are the connected components of all links, found by
-hooking to the least label and pointer jumping, in tables.
+Equal texts (by 128-bit digest) are one node from the start; one text of each goes on. Signatures are banded, both alike:
+nodes that share a band's bucket are candidates. Within a bucket no pairs are listed: every node is compared with a pivot, in
+two rounds. First a random member of each bucket is the pivot, then, in buckets that hold more than one class, the member
+with the most links. Pairs whose signatures (either kind) agree in less than the share AGREE are dropped: of pairs of
+similarity 0.8 that is one in 300,000 (binomial, 64 coordinates), beside the 1 in 5,000 that share no band. All others are
+verified on the whole sets, and count as linked if their weighted or plain Jaccard similarity is at least 0.8. Classes are
+the connected components of all links, found by hooking to the least label and pointer jumping, in tables.
 
-Buckets that still hold several classes after the pivots are finished without loss. In those of at most SMALL members every
+Buckets that still hold several classes after that are finished without loss. In those of at most SMALL members every
 pair of different classes is a candidate. The members of larger ones go through an exact prefix-filter join on their
 element sets, plain and weighted: elements are ordered from rare to frequent (those of one class alone first), and of two
 similar sets the first shared element stands early in both. Sizes are put into classes of a ratio of SIZE_STEP, so that a
 prefix is only as long as partners of that size allow; only members of different classes meet. All are verified.
 
 A hot bucket costs as many rows as it has members, in each round; the joins on buckets and pivots have one row per key on
-the other side, so Spark can split a hot key among tasks.
+the other side, and what is grouped by bucket is written first, so Spark can split or pre-aggregate a hot key.
 
-Defined cases: null counts as empty; empty texts are copies of each other; a text of one to four words is one shingle;
-a row with a null id is a class of its own, of which the id is null too; rows that repeat an id are one document, whose
-text is the one with the least digest; a text of any length is read whole.
+Defined cases: null counts as empty; empty texts are copies of each other; a text of one to four words is one shingle; rows
+are told apart by place, so rows that repeat an id are nodes by their own texts; class_id is the least id of the class, null
+if it has none; of each class one row is kept, one with the least id; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from placemill.llm.common import cut, mix64, slices, uniform
+from placemill.llm.common import Run, cut, mix64, slices, uniform
 from placemill.llm.shingles import copies, shingle_hashes, word_hashes, word_spans
 
 WORDS = 5
@@ -57,16 +58,27 @@ MAX_BROADCAST = 2_000_000
 SMALL = 32
 SIZE_STEP = 1.03
 _RUN = 1 << 18
+COPY = np.uint64(0xA24BAED4963EE407)
 
 
-def dart_signatures(elements: np.ndarray, own: np.ndarray, n_texts: int, k: int = K) -> np.ndarray:
-    """n_texts x k hashes of the earliest darts; a text without elements has zeros."""
+def strips(shingles: np.ndarray, own: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weighted elements as strips: the hash of element and strip, its text, and how wide it is (1, but for an element's last)."""
+    n = np.ceil(weights).astype(np.int64)
+    at = np.repeat(np.arange(len(shingles)), n)
+    number = np.arange(len(at)) - (np.cumsum(n) - n)[at]
+    hashes = np.where(number > 0, mix64(shingles[at] + number.astype(np.uint64) * COPY), shingles[at])
+    return hashes, own[at], np.minimum(weights[at] - number, 1.0)
+
+
+def dart_signatures(elements: np.ndarray, own: np.ndarray, n_texts: int, k: int = K, width: np.ndarray | None = None) -> np.ndarray:
+    """n_texts x k hashes of the earliest darts; a text without elements has zeros. width: of each strip, 1 if not given."""
     out = np.zeros((n_texts, k), np.uint64)
-    weight = np.bincount(own, minlength=n_texts)
+    weight = np.bincount(own, width, minlength=n_texts)
     open_, darts = weight > 0, k * np.log(k) + 2 * k
     while open_.any():
         mine = open_[own]
         e, o = elements[mine], own[mine]
+        wide = None if width is None else width[mine]
         limit, rank, number = darts / weight[o], np.zeros(len(e)), 0
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(e):
@@ -74,7 +86,13 @@ def dart_signatures(elements: np.ndarray, own: np.ndarray, n_texts: int, k: int
             rank = rank - np.log(uniform(dart))
             keep = rank < limit
             e, o, limit, rank, dart, number = e[keep], o[keep], limit[keep], rank[keep], dart[keep], number + 1
-            found.append((o * k + (dart >> np.uint64(40)).astype(np.int64) % k, rank, dart))
+            cell = o * k + (dart >> np.uint64(40)).astype(np.int64) % k
+            if wide is None:
+                found.append((cell, rank, dart))
+            else:
+                wide = wide[keep]
+                hit = uniform(dart ^ COPY) < wide
+                found.append((cell[hit], rank[hit], dart[hit]))
         cell, rank, dart = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((rank, cell))
         cell, first = np.unique(cell[order], return_index=True)
@@ -163,7 +181,7 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", cut=cut) -> DataFrame:
     """node, label (the least node of its component) for every node of the links."""
     both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(b, a)).distinct())
     labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least("node", F.min("y")).alias("label")))
@@ -171,13 +189,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("best"))
         # a node's best neighbour is also offered to the node that its label points at
         offers = labels.join(near, "node").select("node", "label", F.least("label", "best").alias("best"))
-        hooked = offers.select(F.col("label").alias("node"), "best").union(offers.select("node", "best")).groupBy("node").agg(F.min("best").alias("label"))
+        every = offers.select("node", "best", F.col("label").alias("old")).union(offers.select("label", "best", F.lit(None).cast("long")))
+        hooked = every.groupBy("node").agg(F.min("best").alias("label"), F.max("old").alias("old"))
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = hooked.join(jump, "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-        new = cut(new)
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").limit(1).count()
-        labels = new
-        if not changed:
+        new = cut(hooked.join(jump, "label", "left").select("node", F.coalesce("next", "label").alias("label"), "old"))
+        labels = new.select("node", "label")
+        if not new.filter("label <> old").limit(1).count():
             return labels
 
 
@@ -205,7 +222,7 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 sets, held = [], 0
 
 
-def _prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
+def _prefix_pairs(texts: DataFrame, least: float, cut=cut) -> DataFrame:
     """a, b: pairs of different labels, with all of those that have a similarity of at least `least`. texts: doc, label, elements."""
     share = least / (1 + least)
 
@@ -234,24 +251,26 @@ def _prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
     return both.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, most: int = MAX_BROADCAST) -> DataFrame:
-    """doc_id, class_id (least id of its class), kept (whether it is that one): one row per row of docs. Ids are whole numbers."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = rows.filter("doc is not null")
-    signed = cut(known.select("doc", F.unhex(F.md5("text")).alias("digest"), signatures()("text").alias("s")).select("doc", "digest", "s.sig", "s.plain", "s.bands"))
-    digests = cut(signed.groupBy("doc").agg(F.min("digest").alias("digest")))
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, most: int = MAX_BROADCAST) -> DataFrame:
+    """row (a number of its own), doc (its id), digest (of its text), class_id and kept, for each row of docs. Ids are whole numbers."""
+    run = Run(docs.sparkSession)
+    cut = run.cut
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    digest = F.unhex(F.md5("text"))
+    signed = cut(texts.select(F.monotonically_increasing_id().alias("row"), "doc", digest.alias("digest"), signatures()("text").alias("s")).select("row", "doc", "digest", "s.sig", "s.plain", "s.bands"))
     # written, so that it is aggregated before its shuffle, and the join with a hot digest can be split
-    firsts = cut(digests.groupBy("digest").agg(F.min("doc").alias("first")))
-    of_first = cut(digests.join(firsts, "digest").select("doc", "first", "digest"))
-    own = signed.join(of_first.filter("doc = first").select("doc", "digest"), ["doc", "digest"], "left_semi").dropDuplicates(["doc"])
-    banded = own.filter("sig is not null").select("doc", F.explode("bands").alias("band"))
+    firsts = cut(signed.groupBy("digest").agg(F.min("row").alias("node"), F.min("doc").alias("low")))
+    own = signed.select("row", "sig", "plain", "bands").filter("sig is not null").join(firsts.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "doc")
+    banded = own.select("doc", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     members = cut(banded.join(shared, "band", "left_semi"))
     suspects = cut(members.select("doc").distinct())
     few = _small(suspects, most)
     sigs = cut(own.join(few, "doc", "left_semi").select("doc", "sig", F.coalesce("plain", "sig").alias("plain")))
-    chosen = known.join(few, "doc", "left_semi")
-    sets = cut(chosen.join(of_first.select("doc", "digest"), "doc").filter(F.unhex(F.md5("text")) == F.col("digest")).dropDuplicates(["doc"]).select("doc", element_sets("text").alias("elements")))
+    wanted = cut(firsts.join(few, firsts["node"] == few["doc"], "left_semi").select(F.col("digest").alias("d"), "node", "low"))
+    # of equal texts the one with the least id; what repeats that id too is dropped
+    one = texts.select(F.col("doc").alias("id"), digest.alias("digest"), "text").join(_small(wanted, most), (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("low")))
+    sets = cut(one.select("node", "text").dropDuplicates(["node"]).select(F.col("node").alias("doc"), element_sets("text").alias("elements")))
 
     def linked(pairs: DataFrame) -> DataFrame:
         """The pairs that are similar."""
@@ -264,45 +283,61 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def joined(fresh: DataFrame, labels: DataFrame) -> DataFrame:
         """The labels after the classes that the links touch are one."""
-        classes = components(fresh.join(labels.select(F.col("doc").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("doc").alias("b"), F.col("label").alias("y")), "b").select("x", "y").distinct(), "x", "y")
-        return cut(labels.join(classes.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("doc", F.coalesce("lower", "label").alias("label")))
+        if not fresh.limit(1).count():
+            return labels
+        merged = components(fresh.join(labels.select(F.col("doc").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("doc").alias("b"), F.col("label").alias("y")), "b").select("x", "y").distinct(), "x", "y", cut)
+        return cut(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("doc", F.coalesce("lower", "label").alias("label")))
 
+    # xor with the bucket's own hash orders its members at random, and can be undone
+    order = F.expr("doc ^ band")
     labels = suspects.select("doc", F.col("doc").alias("label"))
-    links: DataFrame | None = None
-    for number in range(4):
-        now = members.join(labels, "doc")
-        if number:
-            degree = links.select(F.col("a").alias("doc")).union(links.select("b")).groupBy("doc").agg(F.count("*").alias("degree"))
-            now = now.join(degree, "doc", "left").fillna(0, ["degree"])
-            mixed = now.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("band")
-            now = cut(now.join(mixed, "band", "left_semi"))
-            if not now.limit(1).count():
-                break
-        # xor with the bucket's own hash orders its members at random, and can be undone
-        order = F.expr("doc ^ band") if number != 3 else F.expr("doc ^ shiftright(band, 7)")
-        if number in (0, 3):
-            best = now.groupBy("band").agg(F.min(F.struct(order.alias("o"), "doc", "label")).alias("p"))
-        else:
-            best = now.groupBy("band").agg(F.max(F.struct("degree", order.alias("o"), "doc", "label")).alias("p"))
-        pivots = best.select("band", F.col("p.doc").alias("pivot"), F.col("p.label").alias("pivot_label"))
-        if number == 2:
-            rest = now.join(pivots.select("band", "pivot_label"), "band").filter("label <> pivot_label").drop("pivot_label")
-            best = rest.groupBy("band").agg(F.max(F.struct("degree", order.alias("o"), "doc", "label")).alias("p"))
-            pivots = best.select("band", F.col("p.doc").alias("pivot"), F.col("p.label").alias("pivot_label"))
-        # written first: the pivots are then aggregated before the shuffle, and the join on the bucket stands alone, so that Spark can split a hot one
-        fresh = linked(_pairs(now.select("band", "doc", "label"), cut(pivots)))
-        links = fresh if links is None else links.union(fresh)
+    best = members.groupBy("band").agg(F.min(order).alias("o")).select("band", F.expr("o ^ band").alias("pivot"))
+    # written first: the pivots are then aggregated before the shuffle, and the join on the bucket stands alone, so that Spark can split a hot one
+    links = linked(_pairs(members.withColumn("label", F.col("doc")), cut(best.withColumn("pivot_label", F.col("pivot")))))
+    labels = joined(links, labels)
+
+    def mixed(now: DataFrame) -> DataFrame:
+        """band, n: buckets of several classes."""
+        return cut(now.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 2 and low <> high").select("band", "n"))
+
+    now = cut(members.join(labels, "doc"))
+    now = cut(now.join(mixed(now), "band"))
+    if now.limit(1).count():
+        degree = links.select(F.col("a").alias("doc")).union(links.select("b")).groupBy("doc").agg(F.count("*").alias("degree"))
+        many = cut(now.filter(F.col("n") > SMALL).join(degree, "doc", "left").select("band", "doc", "label", F.coalesce("degree", F.lit(0)).alias("degree")))
+        best = many.groupBy("band").agg(F.max(F.struct("degree", order.alias("o"), "doc", "label")).alias("p"))
+        pivots = cut(best.select("band", F.col("p.doc").alias("pivot"), F.col("p.label").alias("pivot_label")))
+        labels = joined(linked(_pairs(many.drop("degree"), pivots)), labels)
+        now = cut(now.select("band", "doc").join(labels, "doc"))
+        now = cut(now.join(mixed(now), "band"))
+        few_each = now.filter(F.col("n") <= SMALL)
+        fresh = linked(_pairs(few_each.select("band", "doc", "label"), few_each.select("band", F.col("doc").alias("pivot"), F.col("label").alias("pivot_label"))))
+        many = cut(now.filter(F.col("n") > SMALL).select("doc", "label").distinct())
+        if many.limit(1).count():
+            fresh = fresh.union(similar(cut(_prefix_pairs(many.join(sets, "doc"), least, cut))))
         labels = joined(fresh, labels)
-    now = members.join(labels, "doc")
-    open_ = cut(now.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("n > 2 and low <> high").select("band", "n"))
-    rest = cut(now.join(open_, "band"))
-    few_each = rest.filter(F.col("n") <= SMALL)
-    other = few_each.select("band", F.col("doc").alias("pivot"), F.col("label").alias("pivot_label"))
-    fresh = linked(_pairs(few_each.select("band", "doc", "label"), other))
-    many = cut(rest.filter(F.col("n") > SMALL).select("doc", "label").distinct())
-    if many.limit(1).count():
-        fresh = fresh.union(similar(cut(_prefix_pairs(many.join(sets, "doc"), least))))
-    labels = joined(fresh, labels)
-    classed = of_first.select("doc", "first").join(labels.withColumnsRenamed({"doc": "first"}), "first", "left").select("doc", F.coalesce("label", "first").alias("class_id"))
-    out = rows.select("doc").join(classed, "doc", "left")
-    return out.select(F.col("doc").alias("doc_id"), "class_id", F.coalesce(F.col("doc") == F.col("class_id"), F.lit(True)).alias("kept"))
+    named = cut(firsts.join(labels.withColumnRenamed("doc", "node"), "node", "left").select("digest", "low", F.coalesce("label", "node").alias("label")))
+    ids = cut(named.groupBy("label").agg(F.min("low").alias("class_id")))
+    known = cut(signed.select("row", "doc", "digest").join(named.select("digest", "label").join(ids, "label"), "digest"))
+    keepers = cut(known.filter(F.col("doc").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("row").alias("row")))
+    keepers = keepers.select("row", F.lit(True).alias("kept"))
+    last = Run(docs.sparkSession).cut(known.join(keepers, "row", "left").select("row", "doc", "digest", "class_id", F.coalesce("kept", F.lit(False)).alias("kept")))
+    run.clear()
+    return last
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, most: int = MAX_BROADCAST) -> DataFrame:
+    """doc_id, class_id (least id of its class), kept (whether it is the one row of its class that stays): one row per row of docs."""
+    return classes(docs, id_col, text_col, least, most).select(F.col("doc").alias("doc_id"), "class_id", "kept")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stay, one of each class, with all of their columns."""
+    found = classes(docs, id_col, text_col, least)
+    # rows are met again by id and text; only those that occur more than once have to be counted out
+    often = found.groupBy(F.col("doc").alias("often_doc"), F.col("digest").alias("often_digest")).agg(F.count("*").alias("n")).filter("n > 1")
+    kept = found.filter("kept").join(often, F.col("doc").eqNullSafe(F.col("often_doc")) & (F.col("digest") == F.col("often_digest")), "left")
+    kept = cut(kept.select(F.col("doc").alias("kept_doc"), F.col("digest").alias("kept_digest"), F.col("n").isNull().alias("alone")))
+    mark = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit(""))))
+    pick = lambda few: docs.join(few, docs[id_col].cast("long").eqNullSafe(few["kept_doc"]) & (mark == few["kept_digest"]), "left_semi")
+    return pick(kept.filter("alone")).unionByName(pick(kept.filter("not alone")).dropDuplicates([id_col, text_col]))

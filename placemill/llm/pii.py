@@ -1,38 +1,53 @@
 """Personal data: format-preserving pseudonyms by a keyed Feistel permutation.
 
-Found and validated: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), US social security numbers, IPv4 addresses,
-phone numbers, e-mail addresses and calendar dates (1900 to 2099). A value is read as a number within its format (digits
+Found and validated: card numbers (13 to 19 digits, Luhn), IBANs (mod 97), US social security numbers, IPv4 and IPv6
+addresses, phone numbers, e-mail addresses (the part before the @; domains stay) and calendar dates (1900 to 2099), as
+numbers or with an English, German, French or Spanish month name. A value is read as a number within its format (digits
 by place, letters by alphabet, days since 1900), mapped to another number of the same format, and written back with the
 punctuation it had; check digits are computed anew, so the result is valid again. Numbers that fail validation stay. Of a
 run of digit groups that is no card number as a whole, the first and longest run of groups within it that is one counts. A date may be
 followed by T and a time, which stays.
 
+The key comes from the session (KEY_SETTING); there is none in the source, so the source alone inverts nothing.
+
 The map is E = P^-1 (P(x) + c), P a ten-round Feistel network over a x b >= n with cycle walking, c from 1 to n - 1, both
 keyed: a permutation of the format without fixed points. Equal values get equal pseudonyms in every document, and
 different values get different ones. Whoever has the key can invert it.
 
-Defined cases: null stays null; an empty text stays; texts of any length are read whole; a value of which nothing can be
-permuted stays.
+Defined cases: null stays null; an empty text and an empty table stay; texts of any length are read whole; repeated rows
+get equal texts; a value of which nothing can be permuted stays; columns beside the text and its count are handed on as they
+are, whatever their names.
 """
 
 from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+import secrets
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: For tests and development; production jobs pass their own key.
-KEY = b"placemill development key"
+#: The session setting that holds the key, any text; jobs whose pseudonyms must agree set the same one.
+KEY_SETTING = "spark.placemill.pii.key"
 RESULT = "struct<text: string, n_found: int, kinds: array<string>>"
 _ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 _PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 _ROUNDS = 10
+# Month names, by language.
+_MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+_MONTH_OF = {name.lower(): (lang, i) for lang, names in reversed(_MONTHS.items()) for i, name in enumerate(names)}
+_MONTH_OF |= {name[:3].lower(): ("en", i) for i, name in enumerate(_MONTHS["en"])}
 
 
 class Permutation:
@@ -83,7 +98,7 @@ def iban_rest(iban: str) -> int:
 
 
 class Pseudonyms:
-    def __init__(self, key: bytes = KEY, back: bool = False):
+    def __init__(self, key: bytes, back: bool = False):
         self.key, self.back = key, back
         self.made: dict[tuple[str, int], Permutation] = {}
 
@@ -178,6 +193,36 @@ class Pseudonyms:
         part = {"y": f"{new.year:04d}", "m": str(new.month) if short else f"{new.month:02d}", "d": str(new.day) if short else f"{new.day:02d}"}
         return sep.join(part[k] for k in order)
 
+    def words(self, m: re.Match) -> str | None:
+        """A date with a month's name: "12 May 1980", "May 12, 1980"; the name stays in its language and length."""
+        one, gap, two, mark, year = re.fullmatch(r"(\d+|[^\W\d]+)((?:\.|er|th|st|nd|rd)?(?: de)? )(\d+|[^\W\d]+)(,? (?:de )?)(\d{4})", m[0]).groups()
+        name, day = (two, one) if one.isdigit() else (one, two)
+        if name.lower() not in _MONTH_OF:
+            return None
+        lang, month = _MONTH_OF[name.lower()]
+        try:
+            at = datetime.date(int(year), month + 1, int(day)).toordinal() - _FIRST_DAY
+        except ValueError:
+            return None
+        if not 0 <= at < _DAYS:
+            return None
+        new = datetime.date.fromordinal(self.move("date", at, _DAYS) + _FIRST_DAY)
+        called = _MONTHS[lang][new.month - 1]
+        called = called[:3] if len(name) == 3 and name.lower() != _MONTHS[lang][month].lower() else called
+        called = called.upper() if name.isupper() else called.capitalize() if name[0].isupper() else called.lower()
+        number = f"{new.day:02d}" if len(day) == 2 and day[0] == "0" else str(new.day)
+        return f"{number if one.isdigit() else called}{gap}{called if one.isdigit() else number}{mark}{new.year:04d}"
+
+    def ip6(self, m: re.Match) -> str | None:
+        """Written out in full, so that it has no shortest form to keep. Fewer than three groups ("a::b") are no address here."""
+        if len(re.findall(r"[0-9A-Fa-f]+", m[0])) < 3:
+            return None
+        try:
+            x = int(ipaddress.IPv6Address(m[0]))
+        except ValueError:
+            return None
+        return ipaddress.IPv6Address(self.move("ip6", x, 1 << 128)).exploded
+
     def email(self, m: re.Match) -> str | None:
         local, _, domain = m[0].partition("@")
         new = self.letters("email", local)
@@ -193,12 +238,16 @@ class Pseudonyms:
                 make: Callable = getattr(self, kind)
                 fit = m if m.lastgroup != "number" else _ANCHORED[kind].fullmatch(m[0])
                 if fit and (new := make(fit)) is not None:
-                    found.append(kind)
+                    found.append(_CALLED.get(kind, kind))
                     return new
             return m[0]
 
         if "@" in text:
             text = _EMAIL.sub(swap, text)
+        if _YEAR.search(text):
+            text = _WORDS.sub(swap, text)
+        if "::" in text or text.count(":") >= 7:
+            text = _IP6.sub(swap, text)
         if _DIGIT.search(text):
             out, at = [], 0
             while m := _NUMBER.search(text, at):
@@ -220,6 +269,11 @@ def _refill(old: str, digits: str) -> str:
 
 _DIGIT = re.compile(r"[0-9]{2}|[0-9][/.)]")
 _EMAIL = re.compile(r"(?<![\w%+.-])(?P<email>[\w%+-]+(?:\.[\w%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})")
+_CALLED = {"words": "date", "ip6": "ip"}
+_YEAR = re.compile(r" (?:19|20)[0-9]{2}")
+_NAMES = "|".join(sorted(_MONTH_OF, key=len, reverse=True))
+_WORDS = re.compile(rf"(?<!\w)(?P<words>[0-9]{{1,2}}(?:\.|er|th|st|nd|rd)?(?: de)? (?i:{_NAMES})(?: de)? (?:19|20)[0-9]{{2}}|(?i:{_NAMES}) [0-9]{{1,2}},? (?:19|20)[0-9]{{2}})(?!\w)")
+_IP6 = re.compile(r"(?<![0-9A-Za-z:.])(?P<ip6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![0-9A-Za-z:]|\.[0-9])")
 _CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
 _PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}"
 _ANCHORED = {"card": re.compile(_CARD), "phone": re.compile(r"\+[0-9]{8,15}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}")}
@@ -233,7 +287,15 @@ _NUMBER = re.compile(
 )
 
 
-def pseudonymiser(key: bytes = KEY):
+def session_key(spark: SparkSession) -> bytes:
+    """The key of KEY_SETTING; where it is unset, a new secret one, which the session then keeps and no other session has."""
+    if not (key := spark.conf.get(KEY_SETTING, None)):
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY_SETTING, key)
+    return hashlib.blake2b(key.encode(), digest_size=64).digest()
+
+
+def pseudonymiser(key: bytes):
     """An Arrow UDF over a text column; see RESULT."""
 
     @F.arrow_udf(RESULT)
@@ -245,11 +307,11 @@ def pseudonymiser(key: bytes = KEY):
     return swap
 
 
-def pseudonyms(text: str | Column = "text", key: bytes = KEY) -> Column:
+def pseudonyms(text: str | Column = "text", *, key: bytes) -> Column:
     return pseudonymiser(key)(text)
 
 
-def replace(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """docs with pseudonyms in the text; n_chars, where there is one, counts the new text."""
-    out = docs.withColumn(text_col, pseudonyms(text_col, key)["text"])
-    return out.withColumn("n_chars", F.coalesce(F.length(text_col), "n_chars").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out
+def replace(docs: DataFrame, text_col: str = "text", count_col: str | None = "n_chars", *, key: bytes) -> DataFrame:
+    """docs with pseudonyms in the text; count_col, where docs has it, then counts the new text's characters."""
+    out = docs.withColumn(text_col, pseudonyms(text_col, key=key)["text"])
+    return out.withColumn(count_col, F.coalesce(F.length(text_col), count_col).cast(dict(docs.dtypes)[count_col])) if count_col in docs.columns else out
