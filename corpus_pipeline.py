@@ -16,27 +16,28 @@ from placemill.llm.common import cut, held_out, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    counts = language.learn(docs.filter(~held_out(F.col("doc_id"), 4, 2)))
-    said = language.identify(docs, counts)["lang_pred"]
-    return docs.withColumn("_said", said).filter(F.col("_said") != language.UNKNOWN).drop("_said")
+    """Drops rows whose text has no language. Ids, sources and labels may be null or repeat; a row goes by its own text."""
+    model = language.learn(docs.filter(~held_out(F.col("doc_id"), 4, 2)))
+    return docs.filter(language.identify(docs, model)["lang_pred"] != language.UNKNOWN)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_kept")).filter("_kept is not null").distinct()
-    out = docs.join(kept, docs["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    return out.unionByName(docs.filter("doc_id is null"))
+    """One row of each class of near-duplicates stays, one with the least id; rows of null ids and repeated rows are rows like any other."""
+    return neardup.deduplicate(docs)
 
 
 def drop_benchmark_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = cut(decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Drops rows whose text holds an item of the benchmark, those of null or repeated ids included."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.replace(docs)
+    """Pseudonyms in the texts; null texts stay null. The key is that of the session (see pii.session_key)."""
+    return pii.replace(docs, key=pii.session_key(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How often each row is taken; rows without words are taken 0 times."""
     return mixing.mix_sources(docs)
 
 
