@@ -59,6 +59,22 @@ def _float(v: str | None) -> float | None:
         return None
 
 
+def listed(text: str) -> tuple[str, ...]:
+    """A comma list, trimmed and without empty parts."""
+    return tuple(x for part in text.split(",") if (x := part.strip()))
+
+
+def split_address(street: str, number: str) -> tuple[str, str]:
+    """Street and house number of a request, as functions.text.split_address has them for columns."""
+    street, number = street.strip(), number.strip()
+    lead = re.match(r"(\d[\w/-]*)[,\s]+(.+)\Z", street)
+    tail = None if lead else re.match(r"(.+?)[,\s]+(\d[\w/-]*)\Z", street)
+    found, rest = (lead[1], lead[2]) if lead else (tail[2], tail[1]) if tail else ("", "")
+    if found and (not number or found.lower() == number.lower()):
+        return rest.strip(), number or found
+    return street, number
+
+
 @dataclass(frozen=True)
 class Params:
     query: str = ""
@@ -103,6 +119,7 @@ class Params:
         out |= {k: args.get(k) in ("1", "true") for k in ("fuzzy", "prefix")}
         out |= {k: tuple(args[k].split(",")) if args.get(k) else () for k in ("keys", "values")}
         out["langs"] = tuple(args["langs"].split(",")) if args.get("langs") else langs
+        out["street"], out["housenumber"] = split_address(out["street"], out["housenumber"])
         return Params(**out, limit=whole(args.get("limit")), offset=max(0, whole(args.get("from"))))
 
     @property

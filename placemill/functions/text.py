@@ -78,24 +78,38 @@ ANALYZERS = {"standard": standard, "edge_ngram": edge_ngrams, "ngram": ngrams, "
 # --- matches of a value with a query -----------------------------------------------------------------------------
 
 
-def text_match(value: Column, query: Column) -> Column:
-    """400 equal, 300 contained, 220 prefix, 160 within one edit, else 0; folded on both sides."""
-    v, q = fold(trim(value)), fold(trim(query))
-    c = compact(q)
-    words = tokens(v)
-    prefix = (c != "") & (F.startswith(compact(v), c) | F.exists(words, lambda t: F.startswith(t, c)))
-    fuzzy = (c != "") & (within_one_edit(compact(v), c) | F.exists(words, lambda t: within_one_edit(t, c)))
-    out = F.when((F.coalesce(value, F.lit("")) == "") | (trim(query) == ""), 0.0)
-    return out.when(trim(v) == trim(q), 400.0).when(F.contains(v, q), 300.0).when(prefix, 220.0).when(fuzzy, 160.0).otherwise(0.0)
+def folded(values: Column) -> Column:
+    """Values as matches look at them; empty ones are left out."""
+    return F.transform(F.filter(values, lambda v: F.coalesce(v, F.lit("")) != ""), lambda v: fold(trim(v)))
+
+
+def _has_word(v: Column, test) -> Column:
+    """Whether the value without its other characters, or one of its words, passes."""
+    return test(compact(v)) | F.exists(tokens(v), test)
 
 
 def best_match(values: Column, query: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(values, lambda v: text_match(v, query))), F.lit(0.0))
+    """The best of the values: 400 equal, 300 contained, 220 prefix, 160 within one edit, else 0. values: folded.
+
+    A worse kind of match is looked for only where no value has a better one.
+    """
+    q = fold(trim(query))
+    c = compact(q)
+    any_ = lambda test: F.exists(values, test)
+    out = F.when((q == "") | (F.size(values) == 0), 0.0).when(any_(lambda v: trim(v) == trim(q)), 400.0).when(any_(lambda v: F.contains(v, q)), 300.0)
+    out = out.when((c != "") & any_(lambda v: _has_word(v, lambda t: F.startswith(t, c))), 220.0)
+    return out.when((c != "") & any_(lambda v: _has_word(v, lambda t: within_one_edit(t, c))), 160.0).otherwise(0.0)
+
+
+def text_match(value: Column, query: Column) -> Column:
+    """best_match of one value, folded on both sides."""
+    return best_match(folded(F.array(value)), query)
 
 
 def exact_match(values: Column, query: Column) -> Column:
+    """Whether one of the values is the query. values: folded."""
     q = fold(trim(query))
-    return (q != "") & F.exists(values, lambda v: fold(trim(v)) == q)
+    return (q != "") & F.array_contains(values, q)
 
 
 def direct_match(value: Column, query: Column, prefix: bool = False, fuzzy: bool = False) -> Column:

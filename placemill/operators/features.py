@@ -20,13 +20,19 @@ def build(objects: DataFrame, conf: Config, levels: Mapping[str, int] | None = N
     """Features of tagged, located objects. Objects without tags, class, coordinates, or (only_named) name are left out."""
     tags = F.col("tags")
     rows = once(objects.filter((F.size("tags") > 0) & (F.size("coords") > 0)), classes=classify.classify(tags, conf.importance, levels)).filter(F.size("classes") > 0)
+    if conf.nodes_only and "entity_type" in objects.columns:
+        rows = rows.filter("entity_type = 'node'")
     if conf.only_named:
         rows = rows.filter(names.has_name(tags, conf.languages))
     rows = geometry.locate(once(opened(rows, classify.best(F.col("classes")), "key", "value", "importance", "ont_level"), plain=names.plain_name(tags, conf.languages)), conf.geometry_mode, conf.simplification_tolerance)
     none = F.array().cast("array<string>")
     lists = [none, none] if conf.disable_key_value else [F.transform("classes", lambda c: c["key"]), F.transform("classes", lambda c: c["value"])]
     centre = F.get(F.col("coords"), 0)
-    x, y = geo.tile_xy(centre["lon"], centre["lat"], GRID_ZOOM)
+    # where searches look for a feature: at its point, if it has one
+    at = [F.col(f"geom.{c}") if conf.geometry_mode.startswith("geopoint") else centre[c] for c in ("lon", "lat")]
+    x, y = geo.tile_xy(*at, GRID_ZOOM)
+    kept = [names.address(tags) if conf.store_address else F.map_filter(tags, lambda k, v: F.lit(False)), names.display_address(tags) if conf.store_address else F.lit("")]
+    contact = [c if conf.store_contact_info else F.lit("") for c in (names.phone(tags), names.tag(tags, "wheelchair"), names.tag(tags, "opening_hours"))]
     return rows.select(
         "id",
         "entity_type",
@@ -39,11 +45,11 @@ def build(objects: DataFrame, conf: Config, levels: Mapping[str, int] | None = N
         lists[1].alias("values"),
         (F.lit(0.0) if conf.disable_importance else F.col("importance")).alias("importance"),
         "tags",
-        names.address(tags).alias("address"),
-        names.display_address(tags).alias("display_address"),
-        names.phone(tags).alias("phone"),
-        names.tag(tags, "wheelchair").alias("wheelchair"),
-        names.tag(tags, "opening_hours").alias("opening_hours"),
+        kept[0].alias("address"),
+        kept[1].alias("display_address"),
+        contact[0].alias("phone"),
+        contact[1].alias("wheelchair"),
+        contact[2].alias("opening_hours"),
         "geom",
         centre["lat"].alias("lat"),
         centre["lon"].alias("lon"),
@@ -74,6 +80,12 @@ def statistics(posts: DataFrame) -> DataFrame:
 
 
 def write(features: DataFrame, posts: DataFrame, path: str) -> None:
-    """An index is two tables: features by grid cell, postings by field, sorted by term so that row groups can be skipped."""
-    features.repartition("cell").sortWithinPartitions("cell", "id").write.mode("overwrite").parquet(f"{path}/features")
-    posts.repartition("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
+    """An index is three tables: features by grid cell, postings by field, and their statistics, sorted so that row groups can be skipped.
+
+    Ranges over (cell, id) and (field, term, id) split a crowded cell or a common term among tasks.
+    """
+    spark = features.sparkSession
+    features.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.mode("overwrite").parquet(f"{path}/features")
+    posts.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
+    stored = spark.read.schema(posts.schema).parquet(f"{path}/postings")
+    statistics(stored).sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/statistics")

@@ -108,8 +108,8 @@ def located(coords: Column, mode: str, tolerance: float = 0.0) -> Column:
     return F.struct(geo.shape_of(shape).alias("type"), none.alias("lon"), none.alias("lat"), rounded(shape).alias("coords"))
 
 
-def locate(df: DataFrame, mode: str, tolerance: float = 0.0) -> DataFrame:
-    """Adds located() of the column coords as geom, in steps."""
+def locate(df: DataFrame, mode: str, tolerance: float = 0.0, rounded: bool = True) -> DataFrame:
+    """Adds located() of the column coords as geom, in steps. rounded: points to five places, as they are stored."""
     c = F.col("coords")
     if mode not in ("geopoint", "geopoint-centroid"):
         return once(df, geom=located(c, mode, tolerance))
@@ -123,7 +123,8 @@ def locate(df: DataFrame, mode: str, tolerance: float = 0.0) -> DataFrame:
         out = opened(out, F.when(ring & ~F.col("_holds"), geo.ring_inner_point(c)), "_in_lon", "_in_lat").drop("_holds")
     else:
         out = out.withColumns({"_in_lon": F.lit(None).cast("double"), "_in_lat": F.lit(None).cast("double")})
-    lon, lat = (geo.round5(F.coalesce(*at[i::2], F.get(c, 0)[k])) for i, k in enumerate(("lon", "lat")))
+    lon, lat = (F.coalesce(*at[i::2], F.get(c, 0)[k]) for i, k in enumerate(("lon", "lat")))
+    lon, lat = (geo.round5(lon), geo.round5(lat)) if rounded else (lon, lat)
     geom = F.struct(F.lit("point").alias("type"), lon.alias("lon"), lat.alias("lat"), F.lit(None).cast(COORDS).alias("coords"))
     return out.withColumn("geom", geom).drop("_shape", *at)
 

@@ -1,11 +1,15 @@
-"""Reports: relation statistics, build counters, and a result cache's hits over a query log."""
+"""Reports: relation statistics, build counters, and what a query log says of repeated queries."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from placemill.config import Config
+from placemill.operators import features
 from placemill.operators.names import tag
 
 
@@ -21,20 +25,18 @@ def route_types(relations: DataFrame) -> DataFrame:
     return relations.select(tag(F.col("tags"), "route").alias("route")).filter("route <> ''").groupBy("route").agg(F.count("*").alias("n"))
 
 
-def cache_hits(log: DataFrame, ttl_seconds: int) -> DataFrame:
-    """key, n, hits, misses of a cache of unlimited size, where an answer is kept for a time from when it was made.
-
-    log: key, ts. An answer is made at a miss, so which query is a miss depends on the misses before it: per key, in order.
-    """
-    by_key = log.groupBy("key").agg(F.array_sort(F.collect_list(F.col("ts").cast("timestamp").cast("double"))).alias("times"))
-    state = F.struct(F.lit(None).cast("double").alias("made"), F.lit(0).alias("misses"))
+def log_buckets(log: DataFrame, seconds: int) -> DataFrame:
+    """key, bucket, n: queries of a key in each stretch of so many seconds. Counts are made before the shuffle, so a hot key is cheap."""
+    bucket = F.floor(F.col("ts").cast("timestamp").cast("double") / seconds)
+    return log.groupBy("key", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
-    def step(s, t):
-        miss = s["made"].isNull() | (t - s["made"] > ttl_seconds)
-        return F.struct(F.when(miss, t).otherwise(s["made"]).alias("made"), (s["misses"] + F.when(miss, 1).otherwise(0)).alias("misses"))
 
-    done = by_key.select("key", F.size("times").alias("n"), F.aggregate("times", state, step)["misses"].alias("misses"))
-    return done.select("key", "n", (F.col("n") - F.col("misses")).alias("hits"), "misses")
+def build_counts(objects: DataFrame, conf: Config, levels: Mapping[str, int] | None = None) -> DataFrame:
+    """entity_type, scanned, imported, skipped: what a build does with the objects of each type."""
+    built = features.build(objects, conf, levels).groupBy("entity_type").agg(F.count("*").alias("imported"))
+    seen = objects.groupBy("entity_type").agg(F.count("*").alias("scanned"))
+    imported = F.coalesce("imported", F.lit(0))
+    return seen.join(built, "entity_type", "left").select("entity_type", "scanned", imported.alias("imported"), (F.col("scanned") - imported).alias("skipped"))
 
 
 def cache_gaps(log: DataFrame, ttl_seconds: int) -> DataFrame:

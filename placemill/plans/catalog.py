@@ -307,7 +307,8 @@ def way_midpoint(spark, d):
 @query
 def way_point(spark, d):
     """Representative points of all ways, rings included."""
-    return geometry.locate(_ways(spark, d), "geopoint").select("id", geo.shape_of(F.col("coords")).alias("shape"), "geom.lon", "geom.lat")
+    points = geometry.locate(_ways(spark, d), "geopoint", rounded=False)
+    return points.select("id", geo.shape_of(F.col("coords")).alias("shape"), F.round("geom.lon", 7).alias("lon"), F.round("geom.lat", 7).alias("lat"))
 
 
 @query
@@ -368,7 +369,7 @@ def direct_search_prefix(spark, d):
 
 @query
 def direct_search_fuzzy(spark, d):
-    return _direct(spark, d, Params(query="castel", fuzzy=True))
+    return _direct(spark, d, Params(query="cestle", fuzzy=True))
 
 
 @query
@@ -383,14 +384,15 @@ def direct_near(spark, d):
 
 @query
 def text_output(spark, d):
-    hits = engine.direct_search(a.objects(spark, d), Params(query="castle", limit=25), CONF, _ontology(spark))
-    total = engine.direct_hits(a.objects(spark, d), Params(query="castle"), CONF, _ontology(spark)).count()
-    return engine.text_block(hits, total)
+    p = Params(query="castle", limit=25)
+    hits = engine.direct_all(a.objects(spark, d), p, CONF, _ontology(spark))
+    return engine.text_block(engine.page(hits, p), engine.totals(hits))
 
 
 @query
 def json_output(spark, d):
-    return engine.as_json(engine.direct_search(a.objects(spark, d), Params(query="castle", limit=25), CONF, _ontology(spark)))
+    hits = engine.direct_search(a.objects(spark, d), Params(query="castle", limit=25), CONF, _ontology(spark))
+    return engine.as_json(hits.withColumn("importance", F.round("importance", 6)))
 
 
 # --- index -------------------------------------------------------------------------------------------------------
@@ -404,8 +406,7 @@ def _index(spark, d):
 
 @query
 def postings(spark, d):
-    own = features.postings(_features(spark, d)).filter("field = 'name'")
-    return own.select(F.split_part("id", F.lit("/"), F.lit(2)).cast("long").alias("osm_id"), "term", "tf")
+    return features.postings(_features(spark, d))
 
 
 @query
@@ -415,24 +416,27 @@ def term_stats(spark, d):
 
 @query
 def exact_names(spark, d):
-    f = _features(spark, d)
-    wanted = f.filter("osm_id = 1").select("name").first()
-    return engine.exact_names(f, wanted["name"] if wanted else "").select("osm_id")
+    queries = _features(spark, d).select(F.col("osm_id").alias("qid"), F.concat(F.lit("  "), F.initcap("name")).alias("query"))
+    return engine.exact_names(_features(spark, d), queries)
+
+
+def _found(hits):
+    return hits.select("id", "name", "key", "value", F.round("importance", 6).alias("importance"), F.round("base", 3).alias("base"), F.round("score", 2).alias("score"))
 
 
 @query
 def index_search(spark, d):
-    return engine.index_search(*_index(spark, d), Params(query="museum"), CONF, _ontology(spark))
+    return _found(engine.index_all(*_index(spark, d), Params(query="museum"), CONF, _ontology(spark)))
 
 
 @query
 def index_multiword(spark, d):
-    return engine.index_search(*_index(spark, d), Params(query="castles er", key="historic"), CONF, _ontology(spark))
+    return _found(engine.index_all(*_index(spark, d), Params(query="castles er", key="historic"), CONF, _ontology(spark)))
 
 
 @query
 def index_near(spark, d):
-    return engine.index_search(*_index(spark, d), Params(query="castles near thent", radius="20km"), CONF, _ontology(spark))
+    return _found(engine.index_all(*_index(spark, d), Params(query="castles near thent", radius="20km"), CONF, _ontology(spark)))
 
 
 @query
@@ -457,7 +461,8 @@ def tile_tags(spark, d):
 @query
 def tile_search(spark, d):
     lat, lon = a.CENTRE
-    return engine.direct_search(tiles.objects(a.tile_features(spark, d)), Params(query="park", lat=lat, lon=lon, radius="10km"), CONF, _ontology(spark))
+    hits = engine.direct_search(tiles.objects(a.tile_features(spark, d)), Params(query="park", lat=lat, lon=lon, radius="10km"), CONF, _ontology(spark), repeated=True)
+    return hits.select("id", "name", "key", "value", "distance", F.round("importance", 6).alias("importance"), F.round("score", 4).alias("score"), "rank")
 
 
 @query
@@ -492,8 +497,13 @@ def cache_gaps(spark, d):
 
 
 @query
-def cache_hits(spark, d):
-    return stats.cache_hits(_log(spark, d), 86400)
+def log_buckets(spark, d):
+    return stats.log_buckets(_log(spark, d), 86400)
+
+
+@query
+def build_counts(spark, d):
+    return stats.build_counts(a.objects(spark, d), CONF, _levels(spark))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -15,6 +15,8 @@ from placemill.functions.frames import once
 from placemill.operators import classify, filters, names, ranking
 
 NEAR_M = 5000
+#: Terms of a query and cells of a window that become a list in the scan.
+MAX_TERMS, MAX_CELLS = 2_000, 1_000
 #: (field, boost) of the three ways in which a word meets a name; the last allows one edit.
 _NAME = (("{}", 5.0, False), ("{}_edge_ngram", 1.0, False), ("{}", 0.5, True))
 
@@ -31,6 +33,8 @@ class Ontology:
         from placemill.operators.ontology import MAX_LITERAL, level_map
 
         rows = table.select("label", "osm_key", "osm_value").limit(MAX_LITERAL + 1).collect()
+        if len(rows) > MAX_LITERAL:
+            raise ValueError(f"more than {MAX_LITERAL} labels: match queries by operators.ontology.label_matches, a join, instead")
         tags: dict[str, list[tuple[str, str]]] = {}
         for r in rows:
             tags.setdefault(r["label"].lower(), []).append((r["osm_key"], r["osm_value"]))
@@ -49,12 +53,13 @@ def page(hits: DataFrame, p: Params) -> DataFrame:
 
 
 def deduplicated(hits: DataFrame) -> DataFrame:
-    """One hit per id, the best."""
-    return hits.groupBy("id").agg(F.max_by(F.struct(*[c for c in hits.columns if c != "id"]), F.col("score")).alias("h")).select("id", "h.*")
+    """One hit per id, the best; of equal scores the one with the greatest fields."""
+    rest = [c for c in hits.columns if c not in ("id", "score")]
+    return hits.groupBy("id").agg(F.max(F.struct("score", *rest)).alias("h")).select("id", "h.*").select(*hits.columns)
 
 
-def direct_hits(objects: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology()) -> DataFrame:
-    """All objects that pass, with score: spatial filter first, then class, then text and fields."""
+def direct_hits(objects: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology(), repeated: bool = False) -> DataFrame:
+    """All objects that pass, with score: spatial filter first, then text, then class and fields. repeated: ids may occur several times, as in tiles."""
     lone = F.size("coords") == 1
     rows = objects
     if p.has_radius or p.has_box:
@@ -65,8 +70,10 @@ def direct_hits(objects: DataFrame, p: Params, conf: Config = Config(), ontology
             rows = rows.filter(F.when(lone, filters.spatial_point(one["lat"], one["lon"], p)).otherwise(filters.spatial_shape(F.col("coords"), p)))
     plain = names.plain_name(F.col("tags"), conf.languages)
     renamed = F.map_concat(F.map_filter("tags", lambda k, _: k != "name"), F.map_filter(F.create_map(F.lit("name"), names.full_name(plain, F.col("tags"))), lambda _, v: v != ""))
-    rows = once(rows, classes=classify.classify(F.col("tags"), conf.importance, ontology.levels), own=renamed).filter(F.size("classes") > 0).drop("tags").withColumnRenamed("own", "tags")
-    rows = rows.filter(filters.direct_fields(F.col("tags"), F.col("classes"), p) & filters.direct_text(F.col("tags"), p))
+    rows = once(rows, own=renamed)
+    rows = rows.filter(filters.direct_text(F.col("own"), p))
+    rows = once(rows, classes=classify.classify(F.col("tags"), conf.importance, ontology.levels)).filter(F.size("classes") > 0).drop("tags").withColumnRenamed("own", "tags")
+    rows = rows.filter(filters.direct_fields(F.col("tags"), F.col("classes"), p))
     tags, classes, q = F.col("tags"), F.col("classes"), F.lit(p.query)
     rank = names.tag(tags, "importance").try_cast("double")
     first = F.get(classes, 0)
@@ -75,13 +82,15 @@ def direct_hits(objects: DataFrame, p: Params, conf: Config = Config(), ontology
     if p.query:
         category = F.array_max(F.transform(classes, lambda c: ranking.category_match(q, c["key"], c["value"], ontology.named(p.query))))
         tier = F.array_max(F.transform(classes, lambda c: ranking.entity_tier(c["key"])))
-        rows = once(rows, known=known).transform(lambda r: once(r, s_base=text.best_match(F.map_values(tags), q), s_name=text.best_match(F.col("known"), q), s_category=category, s_tier=tier, s_exact=text.exact_match(F.col("known"), q)))
+        rows = once(rows, values=text.folded(F.map_values(tags)), known=text.folded(known)).transform(lambda r: once(r, s_base=text.best_match(F.col("values"), q), s_name=text.best_match(F.col("known"), q), s_category=category, s_tier=tier, s_exact=text.exact_match(F.col("known"), q)))
         score = ranking.shared_score(q, F.col("s_base"), F.col("s_name"), F.col("s_category"), F.col("s_tier"), F.col("importance"), F.col("s_exact"), F.size("known") > 0)
     else:
         score = F.greatest(F.col("importance"), F.lit(0.0)) * 1000
     keep = ["id", "lat", "lon"] if {"lat", "lon"} <= set(objects.columns) else ["id"]
-    out = rows.select(*keep, names.tag(tags, "name").alias("name"), first["key"].alias("key"), first["value"].alias("value"), F.col("importance"), F.round(score, 6).alias("score"), names.short_address(tags).alias("address"), names.phone(tags).alias("phone"))
-    return deduplicated(out)
+    by_language = [names.tag(tags, f"name:{x}").alias(f"name:{x}") for x in p.langs]
+    far = [geo.haversine_m(F.col("lat"), F.col("lon"), F.lit(p.lat), F.lit(p.lon)).alias("distance")] if p.has_radius and len(keep) > 1 else []
+    out = rows.select(*keep, *by_language, *far, names.tag(tags, "name").alias("name"), first["key"].alias("key"), first["value"].alias("value"), F.col("importance"), F.round(score, 6).alias("score"), names.short_address(tags).alias("address"), names.phone(tags).alias("phone"))
+    return deduplicated(out) if repeated else out
 
 
 def _reference(hits: DataFrame) -> tuple[float, float] | None:
@@ -89,15 +98,20 @@ def _reference(hits: DataFrame) -> tuple[float, float] | None:
     return (best["lat"], best["lon"]) if best else None
 
 
-def direct_search(objects: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology()) -> DataFrame:
-    """A page of hits; "X near Y" finds Y first and then X around it, with the other filters kept."""
+def direct_all(objects: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology(), repeated: bool = False) -> DataFrame:
+    """All hits; "X near Y" finds Y first and then X around it, with the other filters kept."""
     if p.near:
         what, where = p.near
-        at = _reference(direct_hits(objects, Params(query=where, fuzzy=p.fuzzy, prefix=p.prefix, langs=p.langs), conf, ontology))
+        at = _reference(direct_hits(objects, Params(query=where, fuzzy=p.fuzzy, prefix=p.prefix, langs=p.langs), conf, ontology, repeated))
         if at is None:
-            return page(direct_hits(objects, replace(p, query=what), conf, ontology).filter(F.lit(False)), p)
+            return direct_hits(objects, replace(p, query=what), conf, ontology, repeated).filter(F.lit(False))
         p = replace(p, query=what, lat=at[0], lon=at[1], radius=p.radius or f"{NEAR_M}m", min_lat=None, max_lat=None, min_lon=None, max_lon=None)
-    return page(direct_hits(objects, p, conf, ontology), p)
+    return direct_hits(objects, p, conf, ontology, repeated)
+
+
+def direct_search(objects: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology(), repeated: bool = False) -> DataFrame:
+    """A page of direct_all."""
+    return page(direct_all(objects, p, conf, ontology, repeated), p)
 
 
 # --- index mode --------------------------------------------------------------------------------------------------
@@ -107,8 +121,8 @@ def _name_clauses(words: Sequence[str], name: str) -> list[tuple[str, str, float
     return [(f.format(name), w, boost, fuzzy) for w in words for f, boost, fuzzy in _NAME]
 
 
-def clauses(query: str, ontology: Ontology, place_intent: bool) -> list[tuple[int, float, list[list[tuple[str, str, float, bool]]]]]:
-    """(number, boost, parts) of each reading of the query. A part is met by any of its clauses (field, term, boost, one edit); a reading by all of its parts."""
+def clauses(query: str, ontology: Ontology, place_intent: bool, several: bool = True) -> list[tuple[int, float, list[list[tuple[str, str, float, bool]]]]]:
+    """(number, boost, parts) of each reading of the query; several: more than the one as a whole. A part is met by any of its clauses (field, term, boost, one edit); a reading by all of its parts."""
     folded = _fold(query)
     words = [w for w in _words(folded) if w not in text.STOP_WORDS]
     kinds = ontology.named(query)
@@ -118,7 +132,7 @@ def clauses(query: str, ontology: Ontology, place_intent: bool) -> list[tuple[in
     category = lambda found: [(f, v.lower(), b, False) for _, v in found for f, b in (("value", 8.0), ("values", 7.0))]
     out = [(0, 1.0, [whole + category(kinds)])]
     terms = query.split()
-    if len(terms) > 1:
+    if len(terms) > 1 and several:
         each = [_name_clauses([w for w in _words(_fold(t)) if w not in text.STOP_WORDS], "name") for t in terms]
         if kinds:
             out.append((1, 1.0, [category(kinds)]))
@@ -129,24 +143,33 @@ def clauses(query: str, ontology: Ontology, place_intent: bool) -> list[tuple[in
     return [(n, b, parts) for n, b, parts in out if all(parts)]
 
 
+_FOLD = str.maketrans(text.FOLD_ONE | text.FOLD_TWO)
+
+
 def _fold(s: str) -> str:
-    for a, b in (text.FOLD_ONE | text.FOLD_TWO).items():
-        s = s.lower().replace(a, b)
-    return s
+    return s.lower().translate(_FOLD)
 
 
 def _words(s: str) -> list[str]:
     return "".join(c if c.isalnum() else " " for c in s).split()
 
 
-def base_scores(posts: DataFrame, stats: DataFrame, query: str, ontology: Ontology = Ontology(), place_intent: bool = True) -> DataFrame:
-    """id, base: relevance of what the postings hold, over all readings of the query. Parts of a reading are counted, so a reading needs all of them."""
+def base_scores(posts: DataFrame, stats: DataFrame, query: str, ontology: Ontology = Ontology(), place_intent: bool = True, several: bool = True) -> DataFrame:
+    """id, base: relevance of what the postings hold, over all readings of the query. Parts of a reading are counted, so a reading needs all of them.
+
+    The terms that the query meets are looked up first. While they are few, as they are for words, they become a plain list,
+    so that the scan of the postings skips all row groups without them.
+    """
     spark = posts.sparkSession
-    readings = clauses(query, ontology, place_intent)
+    readings = clauses(query, ontology, place_intent, several)
     rows = [(n, boost, i, len(parts), *c) for n, boost, parts in readings for i, part in enumerate(parts) for c in part]
     asked = F.broadcast(spark.createDataFrame(rows, "reading int, weight double, part int, parts int, field string, word string, boost double, fuzzy boolean"))
-    near = text.within_one_edit(F.col("term"), F.col("word"))
-    terms = stats.join(asked, "field").filter(F.when(F.col("fuzzy"), near).otherwise(F.col("term") == F.col("word")))
+    near = (F.abs(F.octet_length("term") - F.octet_length("word")) <= 1) & text.within_one_edit(F.col("term"), F.col("word"))
+    terms = stats.filter(F.col("field").isin(*sorted({r[4] for r in rows}))).join(asked, "field").filter(F.when(F.col("fuzzy"), near).otherwise(F.col("term") == F.col("word")))
+    few = terms.limit(MAX_TERMS + 1).collect()
+    if len(few) <= MAX_TERMS:
+        terms = F.broadcast(spark.createDataFrame(few, terms.schema))
+        posts = posts.filter(F.col("field").isin(*sorted({r["field"] for r in few})) & F.col("term").isin(*sorted({r["term"] for r in few}))) if few else posts.limit(0)
     found = posts.join(terms, ["field", "term"])
     weight = F.sqrt("tf") * (1 + F.ln(F.col("n_docs") / (F.col("df") + 1))) / F.sqrt("field_len") * F.col("boost")
     part = found.groupBy("id", "reading", "weight", "parts", "part").agg(F.sum(weight).alias("s"))
@@ -158,6 +181,8 @@ def index_hits(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Param
     """All features that match, with base and final score. Filters hold for every kind of query, and ranking is global."""
     q = F.lit(p.query)
     rows = features.filter(filters.indexed_fields(p))
+    if (p.has_radius or p.has_box) and conf.geometry_mode.startswith("geopoint"):
+        rows = rows.filter(_cells(p))
     if (p.has_radius or p.has_box) and conf.geometry_mode != "no-geo":
         if conf.geometry_mode.startswith("geopoint"):
             lat, lon = F.col("geom.lat"), F.col("geom.lon")
@@ -166,7 +191,7 @@ def index_hits(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Param
         else:
             rows = rows.filter(filters.spatial_shape(F.col("geom.coords"), p))
     if p.query.strip():
-        rows = rows.join(base_scores(posts, stats, p.query, ontology, p.place_intent), "id")
+        rows = rows.join(base_scores(posts, stats, p.query, ontology, p.place_intent, not p.fuzzy and not p.prefix), "id")
     else:
         rows = rows.withColumn("base", F.lit(1.0))
     seen = F.col("names") if conf.store_secondary_names else F.map_filter("names", lambda k, v: F.lit(False))
@@ -177,69 +202,107 @@ def index_hits(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Param
         tier = F.array_max(F.transform(F.concat(F.array("key"), "keys"), lambda k: ranking.entity_tier(k)))
     else:
         key, value, importance, category, tier = F.lit(""), F.lit(""), F.lit(0.0), F.lit(0.0), F.lit(0)
-    rows = once(rows, known=known).transform(lambda r: once(r, s_name=text.best_match(F.col("known"), q), s_category=category, s_tier=tier, s_exact=text.exact_match(F.col("known"), q)))
+    rows = once(rows, known=text.folded(known)).transform(lambda r: once(r, s_name=text.best_match(F.col("known"), q), s_category=category, s_tier=tier, s_exact=text.exact_match(F.col("known"), q)))
     score = ranking.shared_score(q, F.col("base"), F.col("s_name"), F.col("s_category"), F.col("s_tier"), importance, F.col("s_exact"), F.size("known") > 0)
     at = [(F.col(f"geom.{c}") if conf.store_geometry else F.lit(None).cast("double")).alias(c) for c in ("lat", "lon")]
-    return rows.select("id", "name", key.alias("key"), value.alias("value"), importance.alias("importance"), *at, F.round("base", 6).alias("base"), F.round(score, 6).alias("score"), "display_address")
+    by_language = [F.coalesce(F.try_element_at("names", F.lit(f"name:{x}")), F.lit("")).alias(f"name:{x}") for x in p.langs]
+    far = [geo.haversine_m(F.col("geom.lat"), F.col("geom.lon"), F.lit(p.lat), F.lit(p.lon)).alias("distance")] if p.has_radius and conf.store_geometry and conf.geometry_mode.startswith("geopoint") else []
+    return rows.select("id", "name", *by_language, *far, key.alias("key"), value.alias("value"), importance.alias("importance"), *at, F.round("base", 6).alias("base"), F.round(score, 6).alias("score"), "display_address")
 
 
-def index_search(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology()) -> DataFrame:
+def _cells(p: Params) -> Column:
+    """The grid cells of the window, as a list or a range, so that the scan skips files and row groups of others."""
+    from placemill.operators.features import GRID_ZOOM
+    from placemill.operators.tiles import tile_range
+
+    window = geo.Window.around(p.lat, p.lon, p.radius_m) if p.has_radius else geo.Window(p.min_lat, p.max_lat, p.min_lon, p.max_lon)
+    window = geo.Window(max(window.min_lat, -85.0), min(window.max_lat, 85.0), window.min_lon, window.max_lon)
+    if window.min_lat > window.max_lat or window.min_lon > window.max_lon or max(abs(window.min_lat), abs(window.max_lat)) >= 85.0:
+        return F.lit(True)
+    x1, y1, x2, y2 = tile_range(window, GRID_ZOOM)
+    if (x2 - x1 + 1) * (y2 - y1 + 1) > MAX_CELLS:
+        return F.col("cell").between((x1 << GRID_ZOOM) + y1, (x2 << GRID_ZOOM) + y2)
+    return F.col("cell").isin(*[(x << GRID_ZOOM) + y for x in range(x1, x2 + 1) for y in range(y1, y2 + 1)])
+
+
+def index_all(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology()) -> DataFrame:
+    """All hits; "X near Y" finds Y first and then X around it, with the other filters kept."""
     if p.near:
         what, where = p.near
         at = _reference(index_hits(features, posts, stats, Params(query=where, langs=p.langs), conf, ontology))
         rest = replace(p, query=what, min_lat=None, max_lat=None, min_lon=None, max_lon=None)
         if at is None:
-            return page(index_hits(features, posts, stats, rest, conf, ontology).filter(F.lit(False)), p)
+            return index_hits(features, posts, stats, rest, conf, ontology).filter(F.lit(False))
         p = replace(rest, lat=at[0], lon=at[1], radius=p.radius or f"{NEAR_M}m")
-    return page(index_hits(features, posts, stats, p, conf, ontology), p)
+    return index_hits(features, posts, stats, p, conf, ontology)
+
+
+def index_search(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology()) -> DataFrame:
+    """A page of index_all. Exact names need no merging in: the postings hold every name's words, and an exact name outranks all else."""
+    return page(index_all(features, posts, stats, p, conf, ontology), p)
 
 
-def exact_names(features: DataFrame, query: str) -> DataFrame:
-    """Features whose name is the query, folded."""
-    return features.filter(text.fold(text.trim(F.col("name"))) == text.fold(text.trim(F.lit(query))))
+def exact_names(features: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, id: features whose name is the query, folded. queries: qid, query."""
+    asked = queries.select("qid", text.fold(text.trim(F.col("query"))).alias("folded")).filter("folded <> ''")
+    return asked.join(features.select("id", text.fold(text.trim(F.col("name"))).alias("folded")), "folded").select("qid", "id")
 
 
 # --- many queries at once ----------------------------------------------------------------------------------------
 
 
+def window_cells(radius_m: int, zoom: int, at: tuple[str, str] = ("lat", "lon")) -> Column:
+    """The grid cells that a radius around a position touches."""
+    lat, lon = F.col(at[0]), F.col(at[1])
+    up = F.lit(radius_m / 111_000)
+    side = F.lit(float(radius_m)) / (F.cos(F.radians(lat)) * F.lit(6_367_000 * 3.141592653589793 / 180))
+    (x1, y1), (x2, y2) = geo.tile_xy(lon - side, lat + up, zoom), geo.tile_xy(lon + side, lat - up, zoom)
+    return F.flatten(F.transform(F.sequence(x1, x2), lambda x: F.transform(F.sequence(y1, y2), lambda y: x * (1 << zoom) + y)))
+
+
 def radius_join(left: DataFrame, right: DataFrame, radius_m: int, left_id: str, right_id: str, zoom: int = 11, at: tuple[str, str] = ("lat", "lon")) -> DataFrame:
     """Pairs within the radius: both sides are dealt to grid cells, the left to every cell that its window touches.
 
     Cells are much wider than the radius where the caller picks the zoom so; a dense cell is a hot key of an equi-join, which Spark can split.
     """
     lat, lon = F.col(at[0]), F.col(at[1])
-    up = F.lit(radius_m / 111_000)
-    side = F.lit(float(radius_m)) / (F.cos(F.radians(lat)) * F.lit(6_367_000 * 3.141592653589793 / 180))
-    (x1, y1), (x2, y2) = geo.tile_xy(lon - side, lat + up, zoom), geo.tile_xy(lon + side, lat - up, zoom)
-    width = 1 << zoom
-    cells = F.flatten(F.transform(F.sequence(x1, x2), lambda x: F.transform(F.sequence(y1, y2), lambda y: x.cast("long") * width + y)))
-    a = left.select(F.col(left_id).alias("left_id"), lat.alias("lat1"), lon.alias("lon1"), F.explode(cells).alias("cell"))
+    a = left.select(F.col(left_id).alias("left_id"), lat.alias("lat1"), lon.alias("lon1"), F.explode(window_cells(radius_m, zoom, at)).alias("cell"))
     x, y = geo.tile_xy(lon, lat, zoom)
-    b = right.select(F.col(right_id).alias("right_id"), lat.alias("lat2"), lon.alias("lon2"), (x.cast("long") * width + y).alias("cell"))
+    b = right.select(F.col(right_id).alias("right_id"), lat.alias("lat2"), lon.alias("lon2"), (x * (1 << zoom) + y).alias("cell"))
     d = geo.haversine_m(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     return a.join(b, "cell").withColumn("metres", d).filter(F.col("metres") <= radius_m).select("left_id", "right_id", "metres")
 
 
-def near_batch(queries: DataFrame, features: DataFrame, radius_m: int = NEAR_M) -> DataFrame:
+def near_batch(queries: DataFrame, features: DataFrame, radius_m: int = NEAR_M, zoom: int = 11) -> DataFrame:
     """qid, ref_id, n_hits, nearest_m for queries of the form "X near Y": Y is the most important feature with that word in its name, X all within the radius that have it."""
     what, where = text.near_parts(F.col("query"))
     asked = queries.select("qid", text.fold(what).alias("what"), text.fold(where).alias("where")).filter("what is not null")
-    words = features.select("id", "lat", "lon", "importance", F.explode(F.array_distinct(text.tokens(text.fold(F.col("name"))))).alias("word"))
+    x, y = geo.tile_xy(F.col("lon"), F.col("lat"), zoom)
+    words = features.select("id", "lat", "lon", "importance", (x * (1 << zoom) + y).alias("cell"), F.explode(F.array_distinct(text.tokens(text.fold(F.col("name"))))).alias("word"))
     wheres = asked.select("qid", "what", F.explode(F.array_distinct(text.tokens(F.col("where")))).alias("word"))
-    best = F.max(F.struct(F.round("importance", 6).alias("importance"), "id", "lat", "lon")).alias("r")
-    refs = wheres.join(words, "word").groupBy("qid", "what").agg(best)
-    refs = refs.select("qid", "what", F.col("r.id").alias("ref_id"), F.col("r.lat").alias("lat1"), F.col("r.lon").alias("lon1"))
-    whats = refs.withColumn("word", F.explode(F.array_distinct(text.tokens(F.col("what")))))
-    hits = whats.join(words.drop("importance"), "word").withColumn("m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"))).filter(F.col("m") <= radius_m)
+    # the best feature of each word first, so that a query meets one row for a word, however common it is
+    best = F.max(F.struct(F.round("importance", 6).alias("importance"), "id", "lat", "lon"))
+    refs = wheres.join(words.groupBy("word").agg(best.alias("r")), "word").groupBy("qid", "what").agg(F.max("r").alias("r"))
+    refs = refs.select("qid", "what", F.col("r.id").alias("ref_id"), F.col("r.lat").alias("lat"), F.col("r.lon").alias("lon"))
+    whats = refs.select("qid", "ref_id", F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), F.explode(window_cells(radius_m, zoom)).alias("cell"), F.array_distinct(text.tokens(F.col("what"))).alias("words"))
+    whats = whats.withColumn("word", F.explode("words")).drop("words")
+    hits = whats.join(words.drop("importance"), ["word", "cell"]).withColumn("m", geo.haversine_m(F.col("lat"), F.col("lon"), F.col("lat1"), F.col("lon1"))).filter(F.col("m") <= radius_m)
     return hits.groupBy("qid", "ref_id").agg(F.count_distinct("id").alias("n_hits"), F.min("m").alias("nearest_m"))
 
 
-def text_block(hits: DataFrame, total: Column | int) -> DataFrame:
-    """rank, block: hits as plain text, and a last row with the totals."""
+def text_block(hits: DataFrame, total: DataFrame) -> DataFrame:
+    """rank, block: hits as plain text, and a last row with the totals. total: one row with the number of all hits."""
     line = lambda label, c: F.when(c != "", F.concat(F.lit(f"{label}: "), c))
-    parts = [F.concat(F.lit("id: "), "id"), F.format_string("score: %.6f", "score"), line("name", F.col("name")), line("key", F.col("key")), line("value", F.col("value")), F.format_string("importance: %.6f", "importance"), F.when(F.col("lat").isNotNull(), F.format_string("lat: %.5f", "lat")), F.when(F.col("lon").isNotNull(), F.format_string("lon: %.5f", "lon")), line("address", F.col("address")), line("phone", F.col("phone"))]
+    address = F.col("address" if "address" in hits.columns else "display_address")
+    parts = [F.concat(F.lit("id: "), "id"), F.format_string("score: %.6f", "score"), line("name", F.col("name")), line("key", F.col("key")), line("value", F.col("value")), F.format_string("importance: %.6f", "importance"), F.when(F.col("lat").isNotNull(), F.format_string("lat: %.5f", "lat")), F.when(F.col("lon").isNotNull(), F.format_string("lon: %.5f", "lon")), line("address", address)]
+    parts += [line("phone", F.col("phone"))] if "phone" in hits.columns else []
     blocks = hits.select("rank", F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), "\n").alias("block"))
-    return blocks.unionByName(hits.agg(F.lit(1_000_000_000).alias("rank"), F.format_string("---\ntotal: %d\nreturned: %d", F.lit(total), F.count("*")).alias("block")))
+    counts = hits.agg(F.count("*").alias("returned")).join(total, F.lit(True))  # one row each
+    return blocks.unionByName(counts.select(F.lit(1_000_000_000).alias("rank"), F.format_string("---\ntotal: %d\nreturned: %d", "total", "returned").alias("block")))
+
+
+def totals(hits: DataFrame) -> DataFrame:
+    return hits.agg(F.count("*").alias("total"))
 
 
 def as_json(hits: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-_ONE = ("àáâãåèéêëìíîïòóôõùúûýÿñçøð", "aaaaaeeeeiiiioooouuuyyncod")
-_TWO = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"), ("æ", "ae"), ("þ", "th"))
-_STOP = "'" + "','".join("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()) + "'"
+from placemill.functions.text import FOLD_ONE, FOLD_TWO, STOP_WORDS
+
+_STOP = "'" + "','".join(STOP_WORDS) + "'"
 
 
 def fold(x: str) -> str:
-    out = f"translate(lower({x}), '{_ONE[0]}', '{_ONE[1]}')"
-    for a, b in _TWO:
+    out = f"translate(lower({x}), '{''.join(FOLD_ONE)}', '{''.join(FOLD_ONE.values())}')"
+    for a, b in FOLD_TWO.items():
         out = f"replace({out}, '{a}', '{b}')"
     return out
 
@@ -44,7 +44,7 @@ POI = """poi AS (
  concat('NATION_', doc_id % 25) AS city, CASE doc_id % 2 WHEN 0 THEN 'LI' ELSE 'CH' END AS country,
  CASE WHEN doc_id % 4 = 0 THEN concat('+423 ', doc_id % 1000) ELSE '' END AS phone, CASE WHEN doc_id % 4 = 1 THEN concat('+41 ', doc_id % 1000) ELSE '' END AS contact_phone,
  CASE doc_id % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'limited' END AS wheelchair, CASE WHEN doc_id % 5 = 0 THEN '24/7' ELSE 'Mo-Fr 09:00-17:00' END AS opening_hours,
- substring(text, 1, 60) AS description,
+ coalesce(text, '') AS description,
  CAST(4700000 + (doc_id * 7919) % 28000 AS DOUBLE) / 100000.0 AS lat, CAST(947000 + (doc_id * 104729) % 18000 AS DOUBLE) / 100000.0 AS lon
  FROM documents)"""
 ID = "concat(entity_type, '/', osm_id)"
@@ -80,7 +80,7 @@ def metres(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
 NAMED = f"""named AS (SELECT *, CASE WHEN name <> '' AND brand NOT IN ('', 'yes', 'no') AND NOT contains(lower(name), lower(brand)) THEN concat(name, ' (', brand, ')') ELSE name END AS full_name FROM poi)"""
 
 
-def direct(q: str, where: str, test: str | None = None, page: str = "") -> str:
+def direct(q: str, where: str, test: str | None = None, page: str = "", more: str = "") -> str:
     """Hits of a one-word query over tags, scored, with rank."""
     v = "[full_name, v, brand, population, wikidata, street, housenumber, postcode, city, country, phone, contact_phone, wheelchair, opening_hours, description]"
     contains = test or f"contains(lower(t), '{q}')"
@@ -92,13 +92,13 @@ def direct(q: str, where: str, test: str | None = None, page: str = "") -> str:
    list_max(list_transform([h.full_name, h.brand], lambda x: {matched(fold('x'), q)})) AS name_score,
    {some("[h.full_name, h.brand]", f"{fold('trim(t)')} = '{q}'")} AS exact, h.osm_id FROM hit h),
  cls AS (SELECT c.osm_id, max(CASE WHEN starts_with(c.key, 'addr:') OR c.key IN ('brand', 'wheelchair') THEN 0.0 ELSE {cat} END) AS cat,
-   max(CASE WHEN c.key = 'place' THEN 2 WHEN c.key IN ('amenity', 'shop', 'tourism', 'leisure', 'historic') THEN 1 ELSE 0 END) AS tier, arg_min(c.importance, c.pos) AS importance, arg_min(c.key, c.pos) AS key
+   max(CASE WHEN c.key = 'place' THEN 2 WHEN c.key IN ('amenity', 'shop', 'tourism', 'leisure', 'historic') THEN 1 ELSE 0 END) AS tier, arg_min(c.importance, c.pos) AS importance, arg_min(c.key, c.pos) AS key, arg_min(c.value, c.pos) AS value
    FROM (SELECT *, CASE WHEN key || '=' || value = 'amenity=restaurant' THEN 'restaurant' WHEN key || '=' || value = 'place=city' THEN 'city' WHEN key || '=' || value = 'historic=castle' THEN 'castle' ELSE '' END AS ont FROM classes) c GROUP BY c.osm_id),
  scored AS (SELECT s.id, s.name, c.key, round(c.importance, 6) AS importance, round(s.base + 1000 * s.name_score + 1000 * c.cat + CASE WHEN s.exact THEN 160000.0 ELSE 0.0 END
    + CASE c.tier WHEN 2 THEN (CASE WHEN s.exact OR s.name_score >= 300 THEN 120000.0 ELSE 0.0 END) WHEN 1 THEN (CASE WHEN c.cat > 0 THEN 140000.0 WHEN s.name_score > 0 THEN 70000.0 ELSE 0.0 END)
      ELSE (CASE WHEN c.cat > 0 THEN 60000.0 WHEN s.name_score > 0 THEN 15000.0 ELSE 0.0 END) END
-   + ln(1 + c.importance) * 1000, 6) AS score FROM sig s JOIN cls c ON c.osm_id = s.osm_id)
- SELECT id, name, key, importance, round(score, 4) AS score, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored ORDER BY score DESC, id {page or 'LIMIT 100'}"""
+   + ln(1 + c.importance) * 1000, 6) AS score{", " + more if more else ""} FROM sig s JOIN cls c ON c.osm_id = s.osm_id JOIN poi p ON p.osm_id = s.osm_id)
+ SELECT {"* EXCLUDE (score), round(score, 6) AS score," if more else "id, name, key, importance, round(score, 4) AS score,"} CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored ORDER BY score DESC, id {page or 'LIMIT 100'}"""
 
 
 NODES = """nodes AS (SELECT p_partkey AS id, CAST(947000 + (p_partkey * 104729) % 18000 AS DOUBLE) / 100000.0 AS lon, CAST(4700000 + (p_partkey * 7919) % 28000 AS DOUBLE) / 100000.0 AS lat FROM part WHERE p_partkey % 10 <> 0)"""
@@ -114,6 +114,87 @@ s AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS len FROM
 CLOSED = f"closed AS (SELECT id FROM good GROUP BY id HAVING count(*) >= 4 AND arg_min(lon, i) = arg_max(lon, i) AND arg_min(lat, i) = arg_max(lat, i))"
 R5 = "floor({x} * 100000.0 + 0.5) / 100000.0"
 
+def tile(lon: str, lat: str, n: str) -> str:
+    return f"CAST(trunc(({lon} + 180.0) / 360.0 * {n}) AS INTEGER) AS x, CAST(trunc((1.0 - ln(tan(radians({lat})) + 1.0 / cos(radians({lat}))) / pi()) / 2.0 * {n}) AS INTEGER) AS y"
+
+
+# segments in metres around the centre
+FLAT = "flat AS (SELECT id, (x1 - 9.52) * kx AS x1, (y1 - 47.14) * ky AS y1, (x2 - 9.52) * kx AS x2, (y2 - 47.14) * ky AS y2, (x2 - x1) * kx AS dx, (y2 - y1) * ky AS dy FROM (SELECT *, 6371000 * pi() / 180 AS ky, 6371000 * pi() / 180 * cos(radians(47.14)) AS kx FROM s))"
+MORE = "p.lat, p.lon, c.value, concat_ws(', ', p.housenumber, p.street, p.city, p.postcode) AS address, CASE WHEN p.phone <> '' THEN p.phone ELSE p.contact_phone END AS phone"
+_SAID = r"(?i)^(.+?)\s+(near|in|around|close\s+to)\s+(.+)$"
+_EDGES = r"^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$"
+NEAR = rf"""WITH q AS (SELECT conv_id * 100 + turn AS qid, CASE WHEN (conv_id * 100 + turn) % 5 = 0 THEN regexp_replace(text, '^([^ ]+) ', '\1 near ') ELSE text END AS query FROM conversations WHERE role = 'user'),
+near AS (SELECT *, what <> '' AND place <> '' AND len(regexp_extract_all(what, '\S+')) <= 5 AS ok FROM (SELECT qid, regexp_replace(regexp_extract(query, '{_SAID}', 1), '{_EDGES}', '', 'g') AS what, regexp_replace(regexp_extract(query, '{_SAID}', 3), '{_EDGES}', '', 'g') AS place FROM q))"""
+
+
+def direct_near(what: str, where: str, radius_m: int) -> str:
+    """The best hit of a place, and the hits of a text around it."""
+    ref = lambda c: f"(SELECT {c} FROM ({direct(where, 'true', page='LIMIT 1', more=MORE)}))"
+    return direct(what, metres("lat", "lon", ref("lat"), ref("lon")) + f" <= {radius_m}")
+
+
+_KEYWORDS = "k.key, k.value, list(c.key ORDER BY c.pos) AS keys, list(c.value ORDER BY c.pos) AS vals"
+# all postings: field, term, id, tf, field_len; other names are the brand alone
+POSTS = f"""{BEST}, {NAMED}, feats AS (SELECT k.osm_id, any_value({ID.replace('entity_type', 'n.entity_type').replace('osm_id', 'n.osm_id')}) AS id, any_value(n.full_name) AS full_name, any_value(n.brand) AS brand, any_value(n.lat) AS lat, any_value(n.lon) AS lon, any_value(k.importance) AS importance, any_value(k.key) AS key, any_value(k.value) AS value, list(c.key ORDER BY c.pos) AS keys, list(c.value ORDER BY c.pos) AS vals
+  FROM best k JOIN named n USING (osm_id) JOIN classes c USING (osm_id) GROUP BY k.osm_id),
+ toks AS (SELECT id, {words(fold('full_name'))} AS nw, {words(fold('brand'))} AS bw, key, value, keys, vals FROM feats),
+ each AS (SELECT id, 'name' AS field, list_filter(nw, lambda t: t NOT IN ({_STOP})) AS terms FROM toks UNION ALL SELECT id, 'search_names', list_filter(bw, lambda t: t NOT IN ({_STOP})) FROM toks
+  UNION ALL SELECT id, 'name_edge_ngram', flatten(list_transform(nw, lambda t: list_transform(range(1, least(12, length(t)) + 1), lambda n: substring(t, 1, n)))) FROM toks
+  UNION ALL SELECT id, 'search_names_edge_ngram', flatten(list_transform(bw, lambda t: list_transform(range(1, least(12, length(t)) + 1), lambda n: substring(t, 1, n)))) FROM toks
+  UNION ALL SELECT id, 'key', [lower(key)] FROM toks UNION ALL SELECT id, 'value', [lower(value)] FROM toks
+  UNION ALL SELECT id, 'keys', list_transform(keys, lambda x: lower(x)) FROM toks UNION ALL SELECT id, 'values', list_transform(vals, lambda x: lower(x)) FROM toks),
+ posts AS (SELECT field, term, id, count(*) AS tf, CAST(any_value(n) AS INTEGER) AS field_len FROM (SELECT id, field, len(terms) AS n, unnest(terms) AS term FROM each) WHERE term <> '' GROUP BY field, term, id)"""
+
+
+def index(query: tuple[str, ...], where: str = "true", end: str = "") -> str:
+    """Ids that an index search of one or two plain words meets, with base, as its readings say."""
+    name = lambda w, part: [(f.format("name"), w, b, z, part) for f, b, z in (("{}", 5.0, False), ("{}_edge_ngram", 1.0, False), ("{}", 0.5, True))]
+    whole = [c for w in query for f in ("name", "search_names") for c in [(x[0].replace("name", f, 1), *x[1:]) for x in name(w, 0)]]
+    readings = []
+    known = {"museum": "museum", "castles": "castle", "castle": "castle"}
+    category = lambda w, part: [(f, known[w], b, False, part) for f, b in (("value", 8.0), ("values", 7.0))]
+    readings.append((0, 1.0, whole + (category(query[0], 0) if len(query) == 1 and query[0] in known else [])))
+    if len(query) > 1:
+        each = [c for i, w in enumerate(query) for c in name(w, i)]
+        readings += [(2, 0.9, each), (4, 0.8, each)]
+        if query[0] in known:
+            readings.append((3, 0.9, category(query[0], 0) + [c for w in query[1:] for c in name(w, 1)]))
+    rows = ", ".join(f"({n}, {wt}, {part}, {max(c[4] for c in cs) + 1}, '{f}', '{w}', {b}, {str(z).lower()})" for n, wt, cs in readings for f, w, b, z, part in cs)
+    own = "[full_name, brand]"
+    score = f"""round(base + 1000 * ns + 1000 * cat + CASE WHEN exact THEN 160000.0 ELSE 0.0 END + CASE tier WHEN 2 THEN (CASE WHEN exact OR ns >= 300 THEN 120000.0 ELSE 0.0 END)
+   WHEN 1 THEN (CASE WHEN cat > 0 THEN 140000.0 WHEN ns > 0 THEN 70000.0 ELSE 0.0 END) ELSE (CASE WHEN cat > 0 THEN 60000.0 WHEN ns > 0 THEN 15000.0 ELSE 0.0 END) END + ln(1 + importance) * 1000, 2)"""
+    q = " ".join(query)
+    return f"""WITH {POSTS}, asked(reading, weight, part, parts, field, word, boost, fuzzy) AS (VALUES {rows}), docs AS (SELECT field, count(DISTINCT id) AS n_docs FROM posts GROUP BY field), df AS (SELECT field, term, count(*) AS df FROM posts GROUP BY field, term),
+ terms AS (SELECT a.*, d.term, d.df, n.n_docs FROM asked a JOIN df d ON d.field = a.field AND (d.term = a.word OR (a.fuzzy AND levenshtein(d.term, a.word) <= 1)) JOIN docs n ON n.field = a.field),
+ part AS (SELECT p.id, t.reading, t.weight, t.parts, t.part, sum(sqrt(p.tf) * (1 + ln(CAST(t.n_docs AS DOUBLE) / (t.df + 1))) / sqrt(p.field_len) * t.boost) AS s FROM posts p JOIN terms t ON t.field = p.field AND t.term = p.term GROUP BY ALL),
+ whole AS (SELECT id, reading, weight, sum(s) AS s FROM part GROUP BY id, reading, weight, parts HAVING count(*) = parts), base AS (SELECT id, sum(s * weight) AS base FROM whole GROUP BY id),
+ hit AS (SELECT k.id, k.full_name, k.lat, k.lon, k.key, k.value, k.importance, b.base, list_max(list_transform({own}, lambda x: {matched(fold('x'), q)})) AS ns, {some(own, f"{fold('trim(t)')} = '{q}'")} AS exact,
+   list_max(list_transform(list_concat([k.value], k.vals), lambda v: CASE WHEN starts_with(k.key, 'addr:') OR k.key IN ('brand', 'wheelchair') THEN 0.0 WHEN lower(v) = '{q}' THEN 320.0 WHEN lower(k.key) = '{q}' THEN 140.0 WHEN '{q}' = 'castles' AND k.key = 'historic' AND v = 'castle' THEN 300.0 ELSE 0.0 END)) AS cat,
+   list_max(list_transform(list_concat([k.key], k.keys), lambda x: CASE WHEN x = 'place' THEN 2 WHEN x IN ('amenity', 'shop', 'tourism', 'leisure', 'historic') THEN 1 ELSE 0 END)) AS tier FROM feats k JOIN base b USING (id) WHERE {where}),
+ scored AS (SELECT id, full_name AS name, key, value, round(importance, 6) AS importance, round(base, 3) AS base, {score} AS score, lat, lon FROM hit)
+ SELECT * {end or 'EXCLUDE (lat, lon) FROM scored'}"""
+
+
+def index_near(what: str, where: str, radius_m: int) -> str:
+    """The best hit of a place in the index, and the hits of a text around it."""
+    ref = lambda c: f"(SELECT {c} FROM ({index((where,), end='FROM scored ORDER BY score DESC, id LIMIT 1')}))"
+    return index((what,), metres("k.lat", "k.lon", ref("lat"), ref("lon")) + f" <= {radius_m}")
+
+
+_TILE_VALUES = "list_filter([v, name, rank, housenumber, CASE WHEN layer = 'water' THEN 'water' END], lambda x: x <> '')"
+TILE_SEARCH = f"""WITH {POI}, {LEVELS}, raw AS (SELECT osm_id, ['place','poi','transportation','water','landmark'][osm_id % 5 + 1] AS layer, v, name, CAST(osm_id % 30 AS VARCHAR) AS rank, housenumber, {metres('lat', 'lon', '47.14', '9.52')} AS distance FROM poi),
+ t AS (SELECT *, CASE WHEN osm_id % 10 <> 0 THEN concat('pmtiles/', osm_id) ELSE concat('pmtiles/', layer, '-', osm_id) END AS id, {_TILE_VALUES} AS vals FROM raw WHERE layer <> 'landmark' AND distance <= 10000),
+ hit AS (SELECT * FROM t WHERE {some('vals', "contains(lower(t), 'park')")}),
+ tags AS (SELECT osm_id, u.pos, u.okey, u.value FROM hit, LATERAL (SELECT unnest(CASE layer WHEN 'place' THEN [{{'pos': 1, 'okey': 'place', 'value': v}}] WHEN 'poi' THEN [{{'pos': 2, 'okey': 'amenity', 'value': v}}, {{'pos': 3, 'okey': 'shop', 'value': v}}, {{'pos': 4, 'okey': 'tourism', 'value': v}}]
+   WHEN 'transportation' THEN [{{'pos': 10, 'okey': 'highway', 'value': v}}] ELSE [{{'pos': 7, 'okey': 'natural', 'value': 'water'}}, {{'pos': 56, 'okey': 'water', 'value': v}}] END) AS u) UNION ALL SELECT osm_id, 74, 'addr:housenumber', housenumber FROM hit),
+ cls AS (SELECT osm_id, pos, CASE okey WHEN 'highway' THEN 'street' ELSE okey END AS key, value, CASE WHEN okey LIKE 'addr:%' THEN 0.0 WHEN value = 'park' THEN 320.0 WHEN okey = 'park' THEN 140.0 ELSE 0.0 END AS cat, CASE WHEN okey = 'place' THEN 2 WHEN okey IN ('amenity', 'shop', 'tourism', 'natural') THEN 1 ELSE 0 END AS tier FROM tags),
+ best AS (SELECT osm_id, max(cat) AS cat, max(tier) AS tier, arg_min(key, pos) AS key, arg_min(value, pos) AS value FROM cls GROUP BY osm_id),
+ sig AS (SELECT id, name, key, value, distance, cat, tier, CASE WHEN osm_id % 30 = 0 THEN 0.0 WHEN osm_id % 30 <= 20 THEN 20.0 - osm_id % 30 ELSE osm_id % 30 END AS importance, list_max(list_transform(vals, lambda x: {matched(fold('x'), 'park')})) AS base, {matched(fold('name'), 'park')} AS ns, {fold('trim(name)')} = 'park' AS exact FROM hit JOIN best USING (osm_id)),
+ scored AS (SELECT id, name, key, value, distance, importance, round(base + 1000 * ns + 1000 * cat + CASE WHEN exact THEN 160000.0 ELSE 0.0 END + CASE tier WHEN 2 THEN (CASE WHEN exact OR ns >= 300 THEN 120000.0 ELSE 0.0 END) WHEN 1 THEN (CASE WHEN cat > 0 THEN 140000.0 WHEN ns > 0 THEN 70000.0 ELSE 0.0 END)
+   ELSE (CASE WHEN cat > 0 THEN 60000.0 WHEN ns > 0 THEN 15000.0 ELSE 0.0 END) END - CASE WHEN name = '' THEN 160000.0 ELSE 0.0 END + CASE WHEN importance > 0 THEN ln(1 + importance) * 1000 ELSE 0.0 END, 4) AS score FROM sig)
+ SELECT *, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS rank FROM scored ORDER BY score DESC, id LIMIT 100"""
+
+
 SQL: dict[str, str] = {
     "normalize_text": f"WITH {POI} SELECT osm_id, {fold('name')} AS folded, {compact(fold('name'))} AS compacted FROM poi",
     "tokenize_text": f"WITH {POI} SELECT osm_id, array_to_string(list_filter({words('lower(description)')}, lambda t: t NOT IN ({_STOP})), '|') AS terms FROM poi",
@@ -158,12 +239,16 @@ SQL: dict[str, str] = {
     "direct_search": direct("the", metres("lat", "lon", "47.14", "9.52") + " <= 15000"),
     "direct_category": direct("restaurant", "true"),
     "direct_search_prefix": direct("thth", "true", f"contains(lower(t), 'thth') OR starts_with({compact('lower(t)')}, 'thth') OR {some(words('lower(t)'), 'starts_with(t, chr(116) || chr(104) || chr(116) || chr(104))').replace('lambda t: starts_with(t,', 'lambda u: starts_with(u,')}"),
-    "direct_search_fuzzy": direct("castel", "true", f"contains(lower(t), 'castel') OR levenshtein({compact('lower(t)')}, 'castel') <= 1 OR {some(words('lower(t)'), 'X').replace('lambda t: X', 'lambda u: levenshtein(u, ' + chr(39) + 'castel' + chr(39) + ') <= 1')}"),
+    "direct_search_fuzzy": direct("cestle", "true", f"contains(lower(t), 'cestle') OR levenshtein({compact('lower(t)')}, 'cestle') <= 1 OR {some(words('lower(t)'), 'X').replace('lambda t: X', 'lambda u: levenshtein(u, ' + chr(39) + 'cestle' + chr(39) + ') <= 1')}"),
     "direct_page": direct("the", "true", page="LIMIT 20 OFFSET 15"),
-    "exact_names": f"WITH {POI}, {NAMED} SELECT osm_id FROM named WHERE {fold('trim(full_name)')} = (SELECT {fold('trim(full_name)')} FROM named WHERE osm_id = 1)",
-    "postings": f"""WITH {POI}, t AS (SELECT osm_id, unnest({words(fold("concat(name, CASE WHEN name <> '' AND NOT contains(lower(name), lower(brand)) THEN concat(' (', brand, ')') ELSE '' END)"))}) AS term FROM poi) SELECT osm_id, term, count(*) AS tf FROM t WHERE term NOT IN ({_STOP}) GROUP BY 1, 2""",
-    "near_queries": "WITH q AS (SELECT conv_id * 100 + turn AS qid, string_split(text, ' ') AS w FROM conversations WHERE role = 'user') SELECT qid, CASE WHEN ok THEN w[1] END AS what, CASE WHEN ok THEN b END AS place FROM (SELECT qid, w, coalesce(w[2], 'the') AS b, qid % 5 = 0 AND trim(w[1]) <> '' AND trim(coalesce(w[2], 'the')) <> '' AND NOT contains(w[1], chr(10)) AND NOT contains(coalesce(w[2], ''), chr(10)) AS ok FROM q)",
-    "query_fields": "WITH q AS (SELECT conv_id * 100 + turn AS qid, string_split(text, ' ') AS w FROM conversations WHERE role = 'user'), t AS (SELECT qid, CASE WHEN qid % 5 = 0 THEN concat(w[1], ' near ', coalesce(w[2], 'the')) WHEN qid % 3 = 0 THEN w[1] WHEN qid % 3 = 1 THEN concat(w[1], ' ', coalesce(w[2], 'the')) ELSE concat(w[1], '  ', coalesce(w[2], 'the')) END AS query FROM q) SELECT qid, CAST(CASE WHEN query = '' THEN 0 ELSE length(query) - length(replace(query, ' ', '')) + 1 END AS INTEGER) AS n FROM t",
+    "exact_names": f"WITH {BEST}, {NAMED}, f AS (SELECT osm_id, {ID.replace('entity_type', 'n.entity_type')} AS id, {fold('trim(full_name)')} AS folded FROM named n JOIN best USING (osm_id)) SELECT a.osm_id AS qid, b.id FROM f a JOIN f b USING (folded) WHERE folded <> ''",
+    "postings": f"WITH {POSTS} SELECT field, term, id, tf, field_len FROM posts",
+    "term_stats": f"WITH {POSTS}, n AS (SELECT field, count(DISTINCT id) AS n_docs FROM posts GROUP BY field) SELECT field, term, count(*) AS df, min(n_docs) AS n_docs FROM posts JOIN n USING (field) GROUP BY field, term",
+    "index_search": index(("museum",)),
+    "index_near": index_near("castles", "thent", 20000),
+    "index_multiword": index(("castles", "er"), "k.osm_id IN (SELECT osm_id FROM classes WHERE key = 'historic')"),
+    "near_queries": f"{NEAR} SELECT qid, CASE WHEN ok THEN what END AS what, CASE WHEN ok THEN place END AS place FROM near",
+    "query_fields": f"{NEAR} SELECT qid, CAST(CASE WHEN query = '' THEN 0 ELSE length(query) - length(replace(query, ' ', '')) + 1 END AS INTEGER) AS n FROM q",
     "split_address": f"WITH {POI} SELECT osm_id, 'Main St' AS street, CASE WHEN osm_id % 3 = 2 AND osm_id % 2 = 0 THEN '' ELSE CAST(osm_id AS VARCHAR) END AS number FROM poi WHERE osm_id % 3 <> 2 UNION ALL SELECT osm_id, 'Main St', CASE WHEN osm_id % 2 = 0 THEN '' ELSE CAST(osm_id AS VARCHAR) END FROM poi WHERE osm_id % 3 = 2",
     "parse_radius": f"WITH {POI} SELECT osm_id, CAST(CASE osm_id % 4 WHEN 0 THEN osm_id * 1000 WHEN 1 THEN osm_id WHEN 2 THEN osm_id ELSE 0 END AS INTEGER) AS metres FROM poi",
     "tile_layers": "WITH t AS (SELECT ['place','poi','transportation','water','landmark'][doc_id % 5 + 1] AS layer FROM documents) SELECT layer, count(*) AS n_features, 'class,housenumber,name,rank' AS keys FROM t GROUP BY 1",
@@ -174,10 +259,29 @@ SQL: dict[str, str] = {
     "relation_stats": "WITH r AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1) SELECT CASE id % 4 WHEN 0 THEN 'route' WHEN 1 THEN 'boundary' ELSE 'other' END AS kind, count(*) AS n, CAST(sum(CASE WHEN id % 4 = 0 OR id % 3 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_unique, CAST(sum(n) AS BIGINT) AS members, round(avg(n), 6) AS mean_members FROM r GROUP BY 1",
     "route_types": "SELECT CASE id % 8 WHEN 0 THEN 'bus' ELSE 'train' END AS route, count(*) AS n FROM (SELECT DISTINCT o_custkey AS id FROM orders) WHERE id % 4 = 0 GROUP BY 1",
     "cache_gaps": "WITH l AS (SELECT concat(event_type, user_id) AS key, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY concat(event_type, user_id) ORDER BY ts) AS gap FROM events) SELECT key, count(*) AS n, CAST(sum(CASE WHEN gap <= 86400 THEN 1 ELSE 0 END) AS BIGINT) AS fresh FROM l GROUP BY 1",
+    "log_buckets": "SELECT concat(event_type, user_id) AS key, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY 1, 2",
+    "build_counts": f"WITH {CLASSES} SELECT entity_type, count(*) AS scanned, count(*) FILTER (osm_id IN (SELECT osm_id FROM classes)) AS imported, count(*) FILTER (osm_id NOT IN (SELECT osm_id FROM classes)) AS skipped FROM poi GROUP BY 1",
+    "tile_at_point": f"WITH {POI}, z AS (SELECT unnest(range(6, 13)) AS z), f AS (SELECT z, ['place','poi','transportation','water','landmark'][osm_id % 5 + 1] AS layer, {tile('lon', 'lat', 'pow(2, z)')} FROM poi, z), a AS (SELECT z, {tile('9.52', '47.14', 'pow(2, z)')} FROM z) SELECT CAST(z AS INTEGER) AS z, x, y, layer, count(*) AS n_features FROM f JOIN a USING (z, x, y) GROUP BY ALL",
+    "line_radius_search": f"WITH {SEGMENTS}, {CLOSED}, {FLAT}, near AS (SELECT id, min(sqrt(px * px + py * py)) AS m FROM (SELECT id, x1 + t * dx AS px, y1 + t * dy AS py FROM (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0.0, least(1.0, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) ELSE 0.0 END AS t FROM flat)) GROUP BY id), inside AS (SELECT id FROM flat WHERE id IN (SELECT id FROM closed) GROUP BY id HAVING count(*) FILTER ((y1 > 0) <> (y2 > 0) AND 0 < x1 - y1 * (x2 - x1) / CASE WHEN y2 <> y1 THEN y2 - y1 END) % 2 = 1), d AS (SELECT id, CASE WHEN id IN (SELECT id FROM inside) THEN 0.0 ELSE m END AS m FROM near), v AS (SELECT id, bool_or({metres('lat', 'lon', '47.14', '9.52')} <= 500) AS v FROM good GROUP BY id) SELECT id, round(m, 2) AS metres FROM d JOIN v USING (id) WHERE v OR m <= 500",
+    "way_geojson": f"WITH {WAYS}, {CLOSED}, t AS (SELECT id, string_agg('[' || CAST({R5.format(x='lon')} AS VARCHAR) || ',' || CAST({R5.format(x='lat')} AS VARCHAR) || ']', ',' ORDER BY i) AS c FROM good GROUP BY id) SELECT id, CASE WHEN id IN (SELECT id FROM closed) THEN concat('{{\"type\":\"Polygon\",\"coordinates\":[[', c, ']]}}') ELSE concat('{{\"type\":\"LineString\",\"coordinates\":[', c, ']}}') END AS geojson FROM t",
+    "direct_near": direct_near("museum", "the", 20000),
+    "text_output": f"WITH d AS ({direct('castle', 'true', page='LIMIT 25', more=MORE)}), n AS (SELECT count(*) AS total FROM ({direct('castle', 'true', page=' ')})) SELECT rank, concat_ws(chr(10), 'id: ' || id, printf('score: %.6f', score), CASE WHEN name <> '' THEN 'name: ' || name END, 'key: ' || key, 'value: ' || value, printf('importance: %.6f', importance), printf('lat: %.5f', lat), printf('lon: %.5f', lon), CASE WHEN address <> '' THEN 'address: ' || address END, CASE WHEN phone <> '' THEN 'phone: ' || phone END) AS block FROM d UNION ALL SELECT 1000000000, concat('---', chr(10), 'total: ', min(total), chr(10), 'returned: ', (SELECT count(*) FROM d)) FROM n",
+    "json_output": f"SELECT rank, CAST(json_object('id', id, 'lat', lat, 'lon', lon, 'name', name, 'key', key, 'value', value, 'importance', importance, 'score', score, 'address', address, 'phone', phone) AS VARCHAR) AS json FROM ({direct('castle', 'true', page='LIMIT 25', more=MORE)})",
+    "tile_search": TILE_SEARCH,
+    "way_point": f"""WITH {SEGMENTS}, {CLOSED}, c AS (SELECT *, sum(len) OVER (PARTITION BY id ORDER BY i) AS upto, sum(len) OVER (PARTITION BY id) / 2 AS half FROM s),
+ h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM c WHERE len > 0 AND upto >= half), f AS (SELECT id, min(fx) AS fx, min(fy) AS fy, CASE WHEN sum(len) > 0 THEN sum(len * (x1 + x2) / 2) / sum(len) ELSE min(fx) END AS lx, CASE WHEN sum(len) > 0 THEN sum(len * (y1 + y2) / 2) / sum(len) ELSE min(fy) END AS ly FROM s GROUP BY id),
+ line AS (SELECT f.id, coalesce(x1 + (x2 - x1) * (half - (upto - len)) / len, f.fx) AS lon, coalesce(y1 + (y2 - y1) * (half - (upto - len)) / len, f.fy) AS lat FROM f LEFT JOIN (SELECT * FROM h WHERE r = 1) h ON h.id = f.id WHERE f.id NOT IN (SELECT id FROM closed)),
+ own AS (SELECT * FROM s WHERE id IN (SELECT id FROM closed)), area AS (SELECT id, sum(c) AS tw, sum((x1 - fx + x2 - fx) * c) AS sx, sum((y1 - fy + y2 - fy) * c) AS sy FROM (SELECT *, (x1 - fx) * (y2 - fy) - (x2 - fx) * (y1 - fy) AS c FROM own) GROUP BY id),
+ centre AS (SELECT id, CASE WHEN abs(tw) > 1e-15 THEN fx + sx / (3 * tw) ELSE lx END AS cx, CASE WHEN abs(tw) > 1e-15 THEN fy + sy / (3 * tw) ELSE ly END AS cy, fx, fy FROM area JOIN f USING (id)),
+ inside AS (SELECT id, count(*) FILTER ((y1 > cy) <> (y2 > cy) AND cx < x1 + (cy - y1) * (x2 - x1) / CASE WHEN y2 <> y1 THEN y2 - y1 END) % 2 = 1 AS held FROM own JOIN centre USING (id) GROUP BY id),
+ tall AS (SELECT id, (hs[k] + coalesce(hs[k + 1], hs[k])) / 2 AS y FROM (SELECT id, hs, greatest(len(hs) // 2, 1) AS k FROM (SELECT id, list_sort(list(DISTINCT lat)) AS hs FROM good GROUP BY id))),
+ crossing AS (SELECT id, y, list_sort(list(x1 + (y - y1) * (x2 - x1) / (y2 - y1))) AS xs FROM own JOIN tall USING (id) WHERE (y1 > y) <> (y2 > y) GROUP BY id, y),
+ wide AS (SELECT id, y, list_max(list_transform(list_filter(range(1, len(xs)), lambda k: k % 2 = 1), lambda k: {{'w': xs[k + 1] - xs[k], 'x': (xs[k + 1] + xs[k]) / 2}})) AS m FROM crossing),
+ ring AS (SELECT id, CASE WHEN held THEN cx ELSE coalesce(m.x, fx) END AS lon, CASE WHEN held THEN cy WHEN m IS NULL THEN fy ELSE y END AS lat FROM centre JOIN inside USING (id) LEFT JOIN wide USING (id))
+ SELECT id, 'line' AS shape, round(lon, 7) AS lon, round(lat, 7) AS lat FROM line UNION ALL SELECT id, 'polygon', round(lon, 7), round(lat, 7) FROM ring""",
     "near_batch": f"""WITH {BEST}, {NAMED}, f AS (SELECT n.osm_id, concat(n.entity_type, '/', n.osm_id) AS id, n.full_name, n.lat, n.lon, round(b.importance, 6) AS imp FROM named n JOIN best b USING (osm_id)),
  w AS (SELECT DISTINCT id, lat, lon, imp, unnest({words(fold('full_name'))}) AS word FROM f),
- q AS (SELECT conv_id * 100 + turn AS qid, string_split(text, ' ')[1] AS a, coalesce(string_split(text, ' ')[2], 'the') AS b FROM conversations WHERE role = 'user'),
- asked AS (SELECT qid, {fold('trim(a)')} AS what, {fold('trim(b)')} AS place FROM q WHERE qid % 5 = 0 AND trim(a) <> '' AND trim(b) <> '' AND NOT contains(a, chr(10)) AND NOT contains(b, chr(10))),
+ {NEAR.removeprefix('WITH ')}, asked AS (SELECT qid, {fold('what')} AS what, {fold('place')} AS place FROM near WHERE ok),
  pl AS (SELECT DISTINCT qid, what, unnest({words('place')}) AS word FROM asked),
  ref AS (SELECT * FROM (SELECT p.qid, p.what, w.id AS ref_id, w.lat AS rlat, w.lon AS rlon, row_number() OVER (PARTITION BY p.qid ORDER BY w.imp DESC, w.id DESC) AS r FROM pl p JOIN w USING (word)) WHERE r = 1),
  x AS (SELECT DISTINCT qid, ref_id, rlat, rlon, unnest({words('what')}) AS word FROM ref),

@@ -1,15 +1,11 @@
-"""A service over named sources: routing by mode, a result cache, formats, and versions that are swapped while it runs."""
+"""A service over named sources: routing by mode, totals, formats, and versions that are swapped while it runs."""
 
 from __future__ import annotations
 
-import hashlib
-import time
-from collections import OrderedDict
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field, fields
+from collections.abc import Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from placemill.config import Config, Params
 from placemill.operators import tiles
@@ -22,45 +18,6 @@ class SearchError(Exception):
         self.payload = {"error": text, "code": code, "status": status}
 
 
-class ResultCache:
-    """The latest results of at most `size` queries, each for `ttl` seconds from when it was stored."""
-
-    def __init__(self, size: int, ttl: float, clock: Callable[[], float] = time.monotonic):
-        self.size, self.ttl, self.clock = size, ttl, clock
-        self.kept: OrderedDict[str, tuple[float, object]] = OrderedDict()
-        self.hits = self.misses = self.evictions = 0
-
-    def get(self, key: str):
-        made, value = self.kept.get(key, (None, None))
-        if made is None or self.clock() - made > self.ttl:
-            self.kept.pop(key, None)
-            self.misses += 1
-            return None
-        self.kept.move_to_end(key)
-        self.hits += 1
-        return value
-
-    def put(self, key: str, value) -> None:
-        self.kept[key] = (self.clock(), value)
-        self.kept.move_to_end(key)
-        while len(self.kept) > self.size:
-            self.kept.popitem(last=False)
-            self.evictions += 1
-
-    def clear(self) -> None:
-        self.kept.clear()
-
-    @property
-    def stats(self) -> dict:
-        asked = self.hits + self.misses
-        return {"size": len(self.kept), "capacity": self.size, "hits": self.hits, "misses": self.misses, "evictions": self.evictions, "hit_rate": self.hits / asked if asked else 0.0}
-
-
-def cache_key(p: Params, source: str) -> str:
-    """Over all parameters and the source."""
-    return hashlib.sha256(repr([source, *[(f.name, getattr(p, f.name)) for f in fields(Params)]]).encode()).hexdigest()
-
-
 @dataclass(frozen=True)
 class Index:
     features: DataFrame
@@ -69,10 +26,7 @@ class Index:
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        from placemill.operators.features import statistics
-
-        posts = spark.read.parquet(f"{path}/postings")
-        return Index(spark.read.parquet(f"{path}/features"), posts, statistics(posts))
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("features", "postings", "statistics")))
 
 
 @dataclass
@@ -85,9 +39,6 @@ class Service:
     conf: Config = field(default_factory=Config)
     ontology: engine.Ontology = field(default_factory=engine.Ontology)
 
-    def __post_init__(self):
-        self.cache = ResultCache(self.conf.cache_size, self.conf.cache_ttl_seconds)
-
     def _route(self, mode: str, name: str) -> tuple[str, str]:
         found = {"pbf": self.objects, "pmtiles": self.tiles, "index": self.indexes}
         if mode and mode not in found:
@@ -98,41 +49,32 @@ class Service:
         raise SearchError("no_source", f"no source for mode {mode or 'any'}" + (f" named {name}" if name else ""), 400)
 
     def hits(self, p: Params, mode: str = "", name: str = "") -> DataFrame:
-        """The page of hits, lazily."""
+        """All hits, lazily and unordered."""
         kind, name = self._route(mode, name)
         if kind == "index":
             i = self.indexes[name]
-            return engine.index_search(i.features, i.postings, i.statistics, p, self.conf, self.ontology)
+            return engine.index_all(i.features, i.postings, i.statistics, p, self.conf, self.ontology)
         rows = self.objects[name] if kind == "pbf" else tiles.objects(self.tiles[name], self.conf.languages)
-        return engine.direct_search(rows, p, self.conf, self.ontology)
+        return engine.direct_all(rows, p, self.conf, self.ontology, repeated=kind == "pmtiles")
 
-    def search(self, args: Mapping[str, str]) -> dict:
-        """A request's arguments to a result; results without a position in the query are kept for a while."""
+    def search(self, args: Mapping[str, str]) -> dict | str:
+        """A request's arguments to a result: a page with the total of all hits, or, with format=text, both as plain text."""
         p = Params.from_query(args, self.conf.languages)
-        mode, name = args.get("mode", ""), args.get("index", "")
-        key = cache_key(p, "/".join(self._route(mode, name)))
-        spatial = p.has_radius or p.has_box
-        if not spatial and (kept := self.cache.get(key)) is not None:
-            return kept
-        page = [r.asDict(recursive=True) for r in self.hits(p, mode, name).orderBy("rank").collect()]  # at most 1000
-        out = {"from": p.offset, "limit": p.page_size, "returned": len(page), "hits": page}
-        if not spatial:
-            self.cache.put(key, out)
-        return out
+        hits = self.hits(p, args.get("mode", ""), args.get("index", ""))
+        if args.get("format") == "text":
+            return "\n\n".join(r["block"] for r in engine.text_block(engine.page(hits, p), engine.totals(hits)).orderBy("rank").collect())
+        total = engine.totals(hits).first()["total"]
+        page = [r.asDict(recursive=True) for r in engine.page(hits, p).orderBy("rank").collect()]  # at most 1000
+        return {"from": p.offset, "limit": p.page_size, "total": total, "returned": len(page), "hits": page}
 
     def swap(self, **sources: Mapping) -> None:
-        """Replace sources by new versions; what was kept of the old ones goes."""
+        """Replace sources by new versions; searches that run go on with the old ones."""
         for kind, named in sources.items():
             setattr(self, kind, {**getattr(self, kind), **named})
-        self.cache.clear()
 
     def capabilities(self) -> dict:
         kinds = {"index": sorted(self.indexes), "pbf": sorted(self.objects), "pmtiles": sorted(self.tiles)}
-        return {"modes": [k for k, v in kinds.items() if v], "default_mode": next((k for k, v in kinds.items() if v), None), "sources": kinds, "languages": list(self.conf.languages), "geometry_mode": self.conf.geometry_mode, "formats": ["json", "text"], "cache": self.cache.stats}
+        return {"modes": [k for k, v in kinds.items() if v], "default_mode": next((k for k, v in kinds.items() if v), None), "sources": kinds, "languages": list(self.conf.languages), "geometry_mode": self.conf.geometry_mode, "formats": ["json", "text"]}
 
     def health(self) -> dict:
         return {"status": "ok" if any((self.indexes, self.objects, self.tiles)) else "empty", "sources": len(self.indexes) + len(self.objects) + len(self.tiles)}
-
-
-def totals(hits: DataFrame) -> DataFrame:
-    return hits.agg(F.count("*").alias("total"))

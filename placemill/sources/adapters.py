@@ -46,7 +46,7 @@ def poi(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 4 == 1, F.concat(F.lit("+41 "), (i % 1000).cast("string"))).otherwise("").alias("contact_phone"),
         pick(3, "yes", "no", "limited").alias("wheelchair"),
         F.when(i % 5 == 0, "24/7").otherwise("Mo-Fr 09:00-17:00").alias("opening_hours"),
-        F.substring("text", 1, 60).alias("description"),
+        F.coalesce("text", F.lit("")).alias("description"),
         latitude(i).alias("lat"),
         longitude(i).alias("lon"),
     )
@@ -103,9 +103,7 @@ def tile_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, query: the first words of what users say; every fifth as "a near b"."""
+    """qid, query: what users say; every fifth with "near" behind its first word."""
     c = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    w = F.split("text", " ")
-    a, b, i = F.get(w, 0), F.coalesce(F.get(w, 1), F.lit("the")), F.col("conv_id") * 100 + F.col("turn")
-    text = F.when(i % 5 == 0, F.concat(a, F.lit(" near "), b)).when(i % 3 == 0, a).when(i % 3 == 1, F.concat(a, F.lit(" "), b)).otherwise(F.concat(a, F.lit("  "), b))
-    return c.select(i.alias("qid"), text.alias("query"))
+    i, near = F.col("conv_id") * 100 + F.col("turn"), F.regexp_replace("text", r"^([^ ]+) ", "$1 near ")
+    return c.select(i.alias("qid"), F.when(i % 5 == 0, near).otherwise(F.col("text")).alias("query"))

@@ -154,10 +154,10 @@ def test_ontology_files(spark, tmp_path):
     assert len(ontology.level_map(ontology.built_in(spark))) == 34 - 1 + 0 or ontology.level_map(ontology.built_in(spark))["boundary=administrative"] == 1
 
 
-def test_cache_report(spark):
+def test_log_reports(spark):
     log = spark.createDataFrame([("a", t) for t in (0, 30, 61, 90, 200)] + [("b", 0)], "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
-    got = {r["key"]: (r["n"], r["hits"], r["misses"]) for r in stats.cache_hits(log, 60).collect()}
-    assert got == {"a": (5, 2, 3), "b": (1, 0, 1)}
+    assert {tuple(r) for r in stats.log_buckets(log, 60).collect()} == {("a", 0, 2), ("a", 1, 2), ("a", 3, 1), ("b", 0, 1)}
+    assert {tuple(r) for r in stats.cache_gaps(log, 60).collect()} == {("a", 5, 3), ("b", 1, 0)}
 
 
 def test_tile_tags(spark):

@@ -7,10 +7,10 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from placemill.config import Config, Importance, Params
-from placemill.operators import features, ontology
+from placemill.config import Config, Importance, Params, listed, split_address
+from placemill.operators import features, ontology, stats
 from placemill.plans import engine
-from placemill.plans.service import Index, ResultCache, SearchError, Service, cache_key
+from placemill.plans.service import Index, SearchError, Service
 from placemill.sources import osm_pbf, pmtiles
 from placemill.streaming import publish
 
@@ -96,33 +96,74 @@ def test_build_filters(objects):
 
 def test_outputs(objects, names):
     page = engine.direct_search(objects, Params(query="berlin"), CONF, names)
-    blocks = [r["block"] for r in engine.text_block(page, 2).orderBy("rank").collect()]
-    assert blocks[0].startswith("id: node/1\nscore: ") and "\nlat: 52.52000" in blocks[0] and blocks[-1] == "---\ntotal: 2\nreturned: 2"
+    blocks = [r["block"] for r in engine.text_block(page, engine.totals(objects)).orderBy("rank").collect()]
+    assert blocks[0].startswith("id: node/1\nscore: ") and "\nlat: 52.52000" in blocks[0] and blocks[-1] == "---\ntotal: 7\nreturned: 2"
     assert '"id":"node/1"' in engine.as_json(page).orderBy("rank").first()["json"]
 
 
-def test_cache():
-    now = [0.0]
-    c = ResultCache(2, 50, lambda: now[0])
-    for k in "abc":
-        c.put(k, k)
-    assert c.get("a") is None and c.get("c") == "c" and c.evictions == 1
-    now[0] = 51
-    assert c.get("c") is None and c.stats["hits"] == 1 and c.stats["misses"] == 2
-    assert cache_key(Params(query="a"), "x") == cache_key(Params(query="a"), "x") != cache_key(Params(query="a", phone="1"), "x")
-
-
 def test_service(objects, index, names):
     s = Service({"main": index}, {"raw": objects}, conf=CONF, ontology=names)
     first = s.search({"q": "berlin"})
-    assert first["hits"][0]["id"] == "node/1" and s.search({"q": "berlin"}) is first and s.cache.hits == 1
+    assert first["hits"][0]["id"] == "node/1" and first["total"] >= first["returned"] == len(first["hits"])
     assert s.search({"q": "berlin", "mode": "pbf"})["hits"][0]["id"] == "node/1" and s.capabilities()["default_mode"] == "index" and s.health()["sources"] == 2
     for bad in ({"mode": "pmtiles"}, {"mode": "x"}, {"index": "none", "mode": "index"}):
         with pytest.raises(SearchError) as e:
             s.search(bad)
         assert e.value.payload["status"] == 400
     s.swap(objects={"raw": objects.limit(0)})
-    assert s.search({"q": "berlin", "mode": "pbf"})["hits"] == [] and s.cache.stats["size"] == 1
+    assert s.search({"q": "berlin", "mode": "pbf"})["hits"] == []
+
+
+@pytest.fixture(scope="module")
+def shops(spark):
+    rows = [("node/1", "Restaurant Alpha", "amenity", "restaurant", 47.14, 9.52, "123", "Main St"), ("node/2", "Cafe Beta", "amenity", "cafe", 47.15, 9.53, "456", "Main St"), ("node/3", "Shop Gamma", "shop", "bakery", 47.16, 9.54, "789", "Side St"), ("node/4", "Hotel Delta", "tourism", "hotel", 47.17, 9.55, None, None), ("node/5", "Park Epsilon", "leisure", "park", 47.18, 9.56, None, None)]
+    tags = [{"name": n, k: v} | ({"addr:housenumber": no, "addr:street": st, "addr:city": "Vaduz"} if no else {}) for _, n, k, v, _, _, no, st in rows]
+    df = spark.createDataFrame([(r[0], "node", i, t, r[4], r[5]) for i, (r, t) in enumerate(zip(rows, tags, strict=True))], "id string, entity_type string, osm_id long, tags map<string,string>, lat double, lon double")
+    return df.withColumn("coords", F.array(F.struct("lon", "lat")))
+
+
+@pytest.mark.parametrize("mode", ["index", "pbf"])
+def test_requests(spark, shops, names, tmp_path, mode):
+    """House numbers written into the street, totals beside pages, distances and plain text."""
+    s = Service({"main": Index.read(spark, publish.publish(shops, str(tmp_path), "v1", CONF))}, {"raw": shops}, conf=CONF, ontology=names)
+    ask = lambda **a: s.search({"mode": mode, **a})
+    for a in ({"housenumber": "123"}, {"street": "Main St 123"}, {"street": "123 Main St"}, {"street": "Main St 123", "housenumber": "123"}):
+        assert [h["id"] for h in ask(**a)["hits"]] == ["node/1"], a
+    n = 3 if mode == "index" else 2  # an index matches any of a street's words
+    two = ask(street="Main St", limit="1")
+    assert (two["total"], two["returned"], two["limit"]) == (n, 1, 1) and ask(street="Main St", **{"from": "5"}) == {"from": 5, "limit": 100, "total": n, "returned": 0, "hits": []}
+    near = ask(lat="47.14", lon="9.52", radius="3km")["hits"]
+    assert {h["id"]: h["distance"] for h in near} == {"node/1": 0, "node/2": 1344, "node/3": 2689}
+    text = ask(q="cafe", format="text")
+    assert text.startswith("id: node/2\nscore: ") and "\nname: Cafe Beta" in text and text.endswith("---\ntotal: 1\nreturned: 1")
+
+
+def test_address_split():
+    for street, number in (("Main St 123", ""), ("123 Main St", ""), ("Main St 123", "123"), ("123 Main St", "123")):
+        assert split_address(street, number) == ("Main St", "123")
+    assert split_address("Main St 123", "7") == ("Main St 123", "7") and split_address(" Main St ", "") == ("Main St", "") and listed(" a, ,b ") == ("a", "b")
+
+
+def test_build_options(objects):
+    some = features.build(objects, Config(store_address=False, store_contact_info=False, importance=Importance())).filter("id = 'node/1'").first()
+    assert some["address"] == {} and (some["display_address"], some["phone"], some["opening_hours"]) == ("", "", "")
+    ways = objects.withColumn("entity_type", F.when(F.col("osm_id") > 3, "way").otherwise("node"))
+    assert features.build(ways, Config(nodes_only=True)).count() == 3
+    counts = {r["entity_type"]: tuple(r)[1:] for r in stats.build_counts(ways, CONF).collect()}
+    assert counts == {"node": (3, 3, 0), "way": (4, 3, 1)}
+
+
+def test_plans_of_the_index(index, names):
+    """Terms and cells reach the scans as filters."""
+    find = lambda **p: engine.index_all(index.features, index.postings, index.statistics, Params(**p), CONF, names)._jdf.queryExecution().toString()
+    assert "In(term" in find(query="berlin").replace("EqualTo(term", "In(term") and "cell" in find(lat=52.52, lon=13.4, radius="1km").split("PushedFilters")[1]
+
+
+def test_too_many_labels(spark):
+    many = spark.range(ontology.MAX_LITERAL + 1).select(F.lit("Q1").alias("qid"), F.lit(1).alias("level"), F.concat(F.lit("l"), "id").alias("label"), F.lit("shop").alias("osm_key"), F.lit("bakery").alias("osm_value"))
+    with pytest.raises(ValueError):
+        engine.Ontology.of(many)
+    assert engine.Ontology.of(many.limit(ontology.MAX_LITERAL)).named("L7") == [("shop", "bakery")]
 
 
 def test_stream_of_objects(spark, objects, tmp_path, names):
