@@ -21,8 +21,9 @@ the connected components of all links, found by hooking to the least label and p
 
 Buckets that still hold several classes after that are finished without loss. In those of at most SMALL members every
 pair of different classes is a candidate. The members of larger ones go through an exact prefix-filter join on their
-element sets, plain and weighted: elements are ordered from rare to frequent (those of one class alone first), and of two
-similar sets the first shared element stands early in both. Sizes are put into classes of a ratio of SIZE_STEP, so that a
+element sets, plain and weighted: elements are ordered from rare to frequent, and of two similar sets the first shared
+element stands early in both. Any one order will do, so frequencies are those of hashed slots, a table of fixed size that is
+broadcast; elements in a slot of one class alone come first and meet nobody. A text so hands out its prefix only. Sizes are put into classes of a ratio of SIZE_STEP, so that a
 prefix is only as long as partners of that size allow; only members of different classes meet. All are verified.
 
 A hot bucket costs as many rows as it has members, in each round; the joins on buckets and pivots have one row per key on
@@ -40,10 +41,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from placemill.llm.common import Run, cut, mix64, slices, uniform
 from placemill.llm.shingles import copies, shingle_hashes, word_hashes, word_spans
@@ -57,7 +58,8 @@ MAX_BROADCAST = 2_000_000
 #: Members of a bucket up to which all its pairs are listed.
 SMALL = 32
 SIZE_STEP = 1.03
-_RUN = 1 << 18
+#: Elements are counted in so many slots (as a power of two) per kind of set, to put rare ones first.
+SLOT_BITS = 21
 COPY = np.uint64(0xA24BAED4963EE407)
 
 
@@ -204,22 +206,53 @@ def _pairs(members: DataFrame, pivots: DataFrame) -> DataFrame:
     return both.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
 
 
-def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc, label, weighted (whether of the multiset), n (size of the set), e: a row for each element of both sets of a text."""
+def _kinds(raw: bytes) -> list[np.ndarray]:
+    """The plain set of what element_sets gives, and the weighted one if it is another.
+
+    Where one of two texts repeats nothing, their plain similarity is no less than the weighted one, so texts without repeats
+    needn't be met by weight.
+    """
+    x = np.frombuffer(raw, np.uint64)
+    n = int(x[0])
+    return [x[1 : n + 1], x[1:]] if n + 1 < len(x) else [x[1:]]
+
+
+def _slots(e: np.ndarray, weighted: int) -> np.ndarray:
+    return (e >> np.uint64(64 - SLOT_BITS)).astype(np.int64) + (weighted << SLOT_BITS)
+
+
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """slot, n, low, high: elements of a slot, and the least and largest label among them. Columns: doc, label, elements."""
     for batch in batches:
-        docs, labels, raws = (c.to_pylist() for c in batch.columns)
-        sets: list[tuple[int, int, bool, np.ndarray]] = []
-        held = 0
-        for k, (doc, label, raw) in enumerate(zip(docs, labels, raws, strict=True), 1):
-            x = np.frombuffer(raw, np.uint64)
-            sets += [(doc, label, False, x[1 : int(x[0]) + 1]), (doc, label, True, x[1:])]
-            held += 2 * len(x)
-            if held >= _RUN or k == len(docs):
-                sizes = [len(e) for *_, e in sets]
-                cols = [np.repeat(np.array([v[i] for v in sets], t), sizes) for i, t in ((0, np.int64), (1, np.int64), (2, bool))]
-                each = [*cols, np.repeat(np.array(sizes, np.int32), sizes), np.concatenate([e for *_, e in sets]).view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in each], names=["doc", "label", "weighted", "n", "e"])
-                sets, held = [], 0
+        each = [(_slots(e, k), label) for label, raw in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True) for k, e in enumerate(_kinds(raw))]
+        slots = np.concatenate([s for s, _ in each])
+        labels = np.repeat(np.array([x for _, x in each], np.int64), [len(s) for s, _ in each])
+        order = np.lexsort((labels, slots))
+        slots, labels = slots[order], labels[order]
+        own, first, n = np.unique(slots, return_index=True, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in (own, n.astype(np.int64), labels[first], labels[first + n - 1])], names=["slot", "n", "low", "high"])
+
+
+def _prefixes(frequencies: Broadcast, least: float):
+    """doc, label, weighted, n (size of the set), e, left: a row for each prefix element of both sets of a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = frequencies.value
+        for batch in batches:
+            out = [[np.zeros(0, t)] for t in (np.int64, np.int64, bool, np.int32, np.int64, np.int32)]
+            for doc, label, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for k, e in enumerate(_kinds(raw)):
+                    often = f[_slots(e, k)]
+                    order = np.lexsort((e, often))
+                    # left: elements from this one on, so the most that can be shared if it is the first shared one
+                    left = len(e) - np.arange(len(e))
+                    keep = (left >= math.ceil(least * len(e) - 1e-9)) & (often[order] > 0)
+                    m = int(keep.sum())
+                    for column, v in zip(out, (np.full(m, doc), np.full(m, label), np.full(m, bool(k)), np.full(m, len(e), np.int32), e[order][keep].view(np.int64), left[keep].astype(np.int32)), strict=True):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names=["doc", "label", "weighted", "n", "e", "left"])
+
+    return run
 
 
 def _prefix_pairs(texts: DataFrame, least: float, cut=cut) -> DataFrame:
@@ -233,12 +266,17 @@ def _prefix_pairs(texts: DataFrame, least: float, cut=cut) -> DataFrame:
     def size_class(n: Column) -> Column:
         return F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
 
-    each = cut(texts.select("doc", "label", "elements").mapInArrow(_explode_sets, "doc long, label long, weighted boolean, n int, e long"))
-    common = each.groupBy("weighted", "e").agg(F.count("*").alias("f"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("weighted", "e", "f")
-    own = W.partitionBy("doc", "weighted")
-    ranked = each.join(cut(common), ["weighted", "e"]).withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "e")) - 1)
-    # left: elements from this one on, so the most that can be shared if it is the first shared one
-    posts = cut(ranked.withColumn("left", F.col("n") - F.col("at")).filter(F.col("left") >= F.ceil(least * F.col("n") - 1e-9)).select("weighted", "e", "doc", "label", "n", "left"))
+    # spread evenly: the members of a hot family are few rows, but much work each
+    texts = texts.select("doc", "label", "elements").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc")
+    counts = texts.mapInArrow(_count_slots, "slot long, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    common = counts.filter("low <> high").select("slot", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()  # at most 2 << SLOT_BITS rows
+    table = np.zeros(2 << SLOT_BITS, np.int32)
+    table[common.column("slot").to_numpy()] = common.column("n").to_numpy()
+    frequencies = texts.sparkSession.sparkContext.broadcast(table)
+    posts = cut(texts.mapInArrow(_prefixes(frequencies, least), "doc long, label long, weighted boolean, n int, e long, left int"))
+    # a prefix element that one class alone has in its prefixes meets nobody
+    met_by = posts.groupBy("weighted", "e").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("weighted", "e")
+    posts = cut(posts.join(met_by, ["weighted", "e"], "left_semi"))
     key = ["weighted", "e", "c"]
     index = posts.filter(F.col("left") >= need("n", "n")).withColumn("c", size_class(F.col("n")))
     index = index.select(*key, F.col("doc").alias("doc2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("left").alias("left2"))
