@@ -40,8 +40,6 @@ def main() -> None:
     start = time.perf_counter()
     index = Index.read(spark, publish.publish(objects, tempfile.mkdtemp(prefix="spark-bench-", dir="/tmp"), "v1", catalog.CONF, levels))
     times["index_build"] = round(time.perf_counter() - start, 3)
-    for df in (index.features, index.postings, index.statistics):
-        df.cache().count()
     lat, lon = adapters.CENTRE
     asked = {"text": Params(query="museum"), "two_words": Params(query="castles er"), "key": Params(key="amenity"), "radius": Params(lat=lat, lon=lon, radius="1km"), "box": Params(min_lat=lat - 0.0045, max_lat=lat + 0.0045, min_lon=lon - 0.0066, max_lon=lon + 0.0066), "address": Params(city="nation_3", street="main")}
     for name, p in asked.items():
