@@ -23,8 +23,9 @@ Buckets that still hold several classes after that are finished without loss. In
 pair of different classes is a candidate. The members of larger ones go through an exact prefix-filter join on their
 element sets, plain and weighted: elements are ordered from rare to frequent, and of two similar sets the first shared
 element stands early in both. Any one order will do, so frequencies are those of hashed slots, a table of fixed size that is
-broadcast; elements in a slot of one class alone come first and meet nobody. A text so hands out its prefix only. Sizes are put into classes of a ratio of SIZE_STEP, so that a
-prefix is only as long as partners of that size allow; only members of different classes meet. All are verified.
+broadcast; elements in a slot of one class alone come first and meet nobody. A text so hands out its prefix only. Sizes are
+put into classes of a ratio of SIZE_STEP, so that a prefix is only as long as partners of that size allow, and a text goes
+only to size classes that hold its element for another class; only members of different classes meet. All are verified.
 
 A hot bucket costs as many rows as it has members, in each round; the joins on buckets and pivots have one row per key on
 the other side, and what is grouped by bucket is written first, so Spark can split or pre-aggregate a hot key.
@@ -280,9 +281,17 @@ def _prefix_pairs(texts: DataFrame, least: float, cut=cut) -> DataFrame:
     key = ["weighted", "e", "c"]
     index = posts.filter(F.col("left") >= need("n", "n")).withColumn("c", size_class(F.col("n")))
     index = index.select(*key, F.col("doc").alias("doc2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("left").alias("left2"))
-    probe = posts.withColumn("c", F.explode(F.sequence(size_class(F.ceil(least * F.col("n") - 1e-9)), size_class(F.col("n")))))
-    least_size = F.greatest(F.pow(F.lit(SIZE_STEP), F.col("c")) * (1 - 1e-9), least * F.col("n"))
-    probe = probe.filter(F.col("left") >= need(least_size, "n"))
+    # a probe goes only to size classes in which another class of texts has the element: one row per element and size class here
+    sizes = index.groupBy(*key).agg(F.min("label2").alias("low"), F.max("label2").alias("high"), F.min("n2").alias("n_min"), F.max("left2").alias("left_max"))
+    sizes = cut(sizes.groupBy("weighted", "e").agg(F.collect_list(F.struct("c", "low", "high", "n_min", "left_max")).alias("sizes")))
+
+    def reachable(s: Column) -> Column:
+        """Whether a size class may hold a partner that is no larger."""
+        other = (s["low"] != F.col("label")) | (s["high"] != F.col("label"))
+        low = F.greatest(s["n_min"], F.ceil(least * F.col("n") - 1e-9))
+        return other & (s["c"] >= size_class(F.ceil(least * F.col("n") - 1e-9))) & (s["n_min"] <= F.col("n")) & (F.least(F.col("left"), s["left_max"]) >= need(low, "n"))
+
+    probe = posts.join(sizes, ["weighted", "e"]).withColumn("c", F.explode(F.transform(F.filter("sizes", reachable), lambda s: s["c"]))).drop("sizes")
     groups = index.groupBy(*key, "label2").agg(F.min("n2").alias("n_min"), F.max("left2").alias("left_max"))
     met = probe.join(groups, key).filter((F.col("label") != F.col("label2")) & (F.least("left", "left_max") >= need("n_min", "n"))).drop("n_min", "left_max")
     both = met.join(index, [*key, "label2"]).filter((F.col("n2") <= F.col("n")) & (F.least("left", "left2") >= need("n", "n2")))
