@@ -59,6 +59,9 @@ MAX_BROADCAST = 2_000_000
 #: Members of a bucket up to which all its pairs are listed.
 SMALL = 32
 SIZE_STEP = 1.03
+#: A bucket's first pivot is the least member by one of so many orders; buckets of one family that share an order share the
+#: pivot, so that a text meets it once, not once in each band.
+ORDERS = 4
 #: Elements are counted in so many slots (as a power of two) per kind of set, to put rare ones first.
 SLOT_BITS = 21
 COPY = np.uint64(0xA24BAED4963EE407)
@@ -335,10 +338,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
         merged = components(fresh.join(labels.select(F.col("doc").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("doc").alias("b"), F.col("label").alias("y")), "b").select("x", "y").distinct(), "x", "y", cut)
         return cut(labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("doc", F.coalesce("lower", "label").alias("label")))
 
-    # xor with the bucket's own hash orders its members at random, and can be undone
-    order = F.expr("doc ^ band")
+    # xor with a hash orders the members of a bucket at random, and can be undone
+    order = F.expr(f"doc ^ xxhash64(pmod(band, {ORDERS}))")
     labels = suspects.select("doc", F.col("doc").alias("label"))
-    best = members.groupBy("band").agg(F.min(order).alias("o")).select("band", F.expr("o ^ band").alias("pivot"))
+    best = members.groupBy("band").agg(F.min(order).alias("o")).select("band", F.expr(f"o ^ xxhash64(pmod(band, {ORDERS}))").alias("pivot"))
     # written first: the pivots are then aggregated before the shuffle, and the join on the bucket stands alone, so that Spark can split a hot one
     links = linked(_pairs(members.withColumn("label", F.col("doc")), cut(best.withColumn("pivot_label", F.col("pivot")))))
     labels = joined(links, labels)
