@@ -304,10 +304,8 @@ def _prefix_pairs(texts: DataFrame, least: float, cut=cut) -> DataFrame:
         return other & (s["c"] >= size_class(F.ceil(least * F.col("n") - 1e-9))) & (s["n_min"] <= F.col("n")) & (F.least(F.col("left"), s["left_max"]) >= need(low, "n"))
 
     probe = posts.join(sizes, ["weighted", "e"]).withColumn("c", F.explode(F.transform(F.filter("sizes", reachable), lambda s: s["c"]))).drop("sizes")
-    groups = index.groupBy(*key, "label2").agg(F.min("n2").alias("n_min"), F.max("left2").alias("left_max"))
-    met = probe.join(groups, key).filter((F.col("label") != F.col("label2")) & (F.least("left", "left_max") >= need("n_min", "n"))).drop("n_min", "left_max")
     differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_2"))) for b in BITS), F.lit(0))
-    both = met.join(index, [*key, "label2"]).filter((F.col("n2") <= F.col("n")) & (F.least("left", "left2") >= need("n", "n2")) & (differ <= F.col("n") + F.col("n2") - 2 * need("n", "n2")))
+    both = probe.join(index, key).filter((F.col("label") != F.col("label2")) & (F.col("n2") <= F.col("n")) & (F.least("left", "left2") >= need("n", "n2")) & (differ <= F.col("n") + F.col("n2") - 2 * need("n", "n2")))
     return both.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
