@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Keys of other names, of addresses, and of addresses as they are shown, in order.
 ALTERNATIVES = ("alt_name", "old_name", "short_name")
 ADDRESS = ("addr:housenumber", "addr:street", "addr:city", "addr:postcode", "addr:country", "addr:state", "addr:district", "addr:suburb", "addr:neighbourhood", "addr:floor", "addr:unit", "level")
 _DISPLAY = ("addr:housenumber", "addr:street", "addr:neighbourhood", "addr:suburb", "addr:district", "addr:city", "addr:state", "addr:postcode", "addr:country")

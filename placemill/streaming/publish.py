@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from placemill.config import Config, Params
 from placemill.functions.frames import once
-from placemill.operators import classify, features, filters
+from placemill.operators import classify, features, filters, ontology
 
 
-def publish(objects: DataFrame, root: str, version: str, conf: Config, levels: Mapping[str, int] | None = None, view: str | None = None) -> str:
-    """Write a version of an index to its own folder; readers move to it when the view is replaced, not before."""
+def publish(objects: DataFrame, root: str, version: str, conf: Config, levels: Mapping[str, int] | None = None, view: str | None = None, importance: DataFrame | None = None) -> str:
+    """Write a version of an index to its own folder; readers move to it when the view is replaced, not before.
+
+    importance: a table as of ontology.read_importance, whose scores are added to those of the objects that name its ids.
+    """
     path, spark = f"{root}/{version}", objects.sparkSession
     built = features.build(objects, conf, levels)
+    if importance is not None and not conf.disable_importance:
+        built = classify.add_importance_table(built, *ontology.importance_scores(importance), conf.languages)
     built.write.mode("overwrite").parquet(f"{path}/built")
     stored = spark.read.parquet(f"{path}/built")
     features.write(stored, features.postings(stored, conf.name_analyzer), path)

@@ -153,6 +153,17 @@ def test_build_options(objects):
     assert counts == {"node": (3, 3, 0), "way": (4, 3, 1)}
 
 
+def test_importance_table_in_a_build(spark, objects, tmp_path):
+    """The score in the object's language, else at all, ten times; none where importance is off or the id is unknown."""
+    table = spark.createDataFrame([("en", "a", "B", 0.5, "Q64"), ("de", "a", "B", 0.9, "Q64"), ("de", "a", "M", 0.3, "Q1726")], "language string, type string, title string, importance double, wikidata_id string")
+    known = F.create_map(F.lit("wikidata"), F.element_at(F.create_map(*[F.lit(x) for x in ("node/1", "Q64", "node/2", "Q1726", "node/3", "Q0")]), F.col("id")))
+    some = objects.filter("osm_id < 4").withColumn("tags", F.map_concat("tags", known))
+    read = lambda v, conf, **o: {r["osm_id"]: r["importance"] for r in spark.read.parquet(publish.publish(some, str(tmp_path), v, conf, **o) + "/features").collect()}
+    plain, more = read("v1", CONF), read("v2", CONF, importance=table)
+    assert {k: round(more[k] - plain[k], 9) for k in plain} == {1: 5.0, 2: 3.0, 3: 0.0}
+    assert set(read("v3", Config(disable_importance=True), importance=table).values()) == {0.0}
+
+
 def test_plans_of_the_index(index, names):
     """Terms and cells reach the scans as filters."""
     find = lambda **p: engine.index_all(index.features, index.postings, index.statistics, Params(**p), CONF, names)._jdf.queryExecution().toString()
