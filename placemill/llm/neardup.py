@@ -279,8 +279,8 @@ def _prefix_pairs(texts: DataFrame, least: float, cut=cut) -> DataFrame:
     def size_class(n: Column) -> Column:
         return F.floor(F.log(n) / math.log(SIZE_STEP)).cast("int")
 
-    # spread evenly: the members of a hot family are few rows, but much work each
-    texts = texts.select("doc", "label", "elements").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc")
+    # written spread evenly, for both readings: the members of a hot family are few rows, but much work each
+    texts = cut(texts.select("doc", "label", "elements").repartition("doc"))
     counts = texts.mapInArrow(_count_slots, "slot long, n long, low long, high long").groupBy("slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
     common = counts.filter("low <> high").select("slot", F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()  # at most 2 << SLOT_BITS rows
     table = np.zeros(2 << SLOT_BITS, np.int32)
