@@ -12,9 +12,8 @@ A text that repeats shingles has a second signature, of its plain set of shingle
 often they say something are found too; without repeats both are the same.
 
 Equal texts (by 128-bit digest) are one node from the start; one text of each goes on. Signatures are banded, both alike:
-nodes that share a band's bucket are candidates. Within a bucket no pairs are listed: every node is compared with a pivot, in
-two rounds. First a random member of each bucket is the pivot, then, in buckets that hold more than one class, the member
-with the most links. Pairs whose signatures (either kind) agree in less than the share AGREE are dropped: of pairs of
+nodes that share a band's bucket are candidates. Within a bucket no pairs are listed at first: every node is compared with a
+pivot, a random member of the bucket. Pairs whose signatures (either kind) agree in less than the share AGREE are dropped: of pairs of
 similarity 0.8 that is one in 300,000 (binomial, 64 coordinates), beside the 1 in 5,000 that share no band. All others are
 verified on the whole sets, and count as linked if their weighted or plain Jaccard similarity is at least 0.8. Classes are
 the connected components of all links, found by hooking to the least label and pointer jumping, in tables.
@@ -28,7 +27,7 @@ put into classes of a ratio of SIZE_STEP, so that a prefix is only as long as pa
 only to size classes that hold its element for another class. Only members of different classes meet, and parity bits of
 both sets rule out, without loss, most pairs that differ in too many elements. All others are verified.
 
-A hot bucket costs as many rows as it has members, in each round; the joins on buckets and pivots have one row per key on
+A hot bucket costs as many rows as it has members; the joins on buckets and pivots have one row per key on
 the other side, and what is grouped by bucket is written first, so Spark can split or pre-aggregate a hot key.
 
 Defined cases: null counts as empty; empty texts are copies of each other; a text of one to four words is one shingle; rows
@@ -60,9 +59,9 @@ MAX_BROADCAST = 2_000_000
 #: Members of a bucket up to which all its pairs are listed.
 SMALL = 32
 SIZE_STEP = 1.03
-#: A bucket's first pivot is the least member by one of so many orders; buckets of one family that share an order share the
+#: A bucket's pivot is the least member by one of so many orders; buckets of one family that share an order share the
 #: pivot, so that a text meets it once, not once in each band.
-ORDERS = 4
+ORDERS = 8
 #: Elements are counted in so many slots (as a power of two) per kind of set, to put rare ones first.
 SLOT_BITS = 21
 #: Parity bits of a set, in words of 64.
@@ -193,7 +192,7 @@ def _small(df: DataFrame, most: int) -> DataFrame:
 
 def components(links: DataFrame, a: str = "a", b: str = "b", cut=cut) -> DataFrame:
     """node, label (the least node of its component) for every node of the links."""
-    both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(b, a)).distinct())
+    both = cut(links.select(F.col(a).alias("x"), F.col(b).alias("y")).union(links.select(b, a)))
     labels = cut(both.groupBy(F.col("x").alias("node")).agg(F.least("node", F.min("y")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy(F.col("x").alias("node")).agg(F.min("label").alias("best"))
@@ -361,13 +360,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     now = cut(members.join(labels, "doc"))
     now = cut(now.join(mixed(now), "band"))
     if now.limit(1).count():
-        degree = links.select(F.col("a").alias("doc")).union(links.select("b")).groupBy("doc").agg(F.count("*").alias("degree"))
-        many = cut(now.filter(F.col("n") > SMALL).join(degree, "doc", "left").select("band", "doc", "label", F.coalesce("degree", F.lit(0)).alias("degree")))
-        best = many.groupBy("band").agg(F.max(F.struct("degree", order.alias("o"), "doc", "label")).alias("p"))
-        pivots = cut(best.select("band", F.col("p.doc").alias("pivot"), F.col("p.label").alias("pivot_label")))
-        labels = joined(linked(_pairs(many.drop("degree"), pivots)), labels)
-        now = cut(now.select("band", "doc").join(labels, "doc"))
-        now = cut(now.join(mixed(now), "band"))
         few_each = now.filter(F.col("n") <= SMALL)
         fresh = linked(_pairs(few_each.select("band", "doc", "label"), few_each.select("band", F.col("doc").alias("pivot"), F.col("label").alias("pivot_label"))))
         many = cut(now.filter(F.col("n") > SMALL).select("doc", "label").distinct())
