@@ -25,7 +25,8 @@ element stands early in both. Any one order will do, so frequencies are those of
 broadcast; elements in a slot of one class alone come first and meet nobody. A text so hands out its prefix only. Sizes are
 put into classes of a ratio of SIZE_STEP, so that a prefix is only as long as partners of that size allow, and a text goes
 only to size classes that hold its element for another class. Only members of different classes meet, and parity bits of
-both sets rule out, without loss, most pairs that differ in too many elements. All others are verified.
+both sets rule out, without loss, most pairs that differ in too many elements. A pair that shares several prefix elements is
+made at the first, as a rule: each element carries the few before it. All others are verified.
 
 A hot bucket costs as many rows as it has members; the joins on buckets and pivots have one row per key on
 the other side, and what is grouped by bucket is written first, so Spark can split or pre-aggregate a hot key.
@@ -67,6 +68,8 @@ SLOT_BITS = 21
 #: Parity bits of a set, in words of 64.
 WORDS_OF_BITS = 4
 BITS = [f"bits_{i}" for i in range(WORDS_OF_BITS)]
+#: A prefix element carries so many elements that stand before it.
+BEFORE = 8
 COPY = np.uint64(0xA24BAED4963EE407)
 
 
@@ -241,10 +244,10 @@ def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(frequencies: Broadcast, least: float):
-    """doc, label, weighted, n (size of the set), e, left, bits: a row for each prefix element of both sets of a text.
+    """doc, label, weighted, n (size of the set), e, left, before, bits: a row for each prefix element of both sets of a text.
 
     bits: of each remainder of elements, whether an odd number of them has it. Two sets differ in at least as many elements as
-    in bits.
+    in bits. before: the last few prefix elements that stand before this one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +265,14 @@ def _prefixes(frequencies: Broadcast, least: float):
                     bits = np.packbits(np.bincount((e % np.uint64(n_bits)).astype(np.int64), minlength=n_bits) & 1).view(np.int64)
                     for column, v in zip(out, (np.full(m, doc), np.full(m, label), np.full(m, bool(k)), np.full(m, len(e), np.int32), e[order][keep].view(np.int64), left[keep].astype(np.int32), *(np.full(m, x) for x in bits)), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in out], names=["doc", "label", "weighted", "n", "e", "left", *BITS])
+            columns = [pa.array(np.concatenate(v)) for v in out]
+            stops = np.cumsum([len(v) for v in out[0]])
+            e, here = np.concatenate(out[4]), np.arange(stops[-1])
+            starts = np.maximum(here - BEFORE, np.repeat(stops - [len(v) for v in out[0]], [len(v) for v in out[0]]))
+            ends = np.cumsum(here - starts)
+            at = np.repeat(starts - ends + (here - starts), here - starts) + np.arange(ends[-1] if len(ends) else 0)
+            before = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(e[at]))
+            yield pa.RecordBatch.from_arrays([*columns, before], names=["doc", "label", "weighted", "n", "e", "left", *BITS, "before"])
 
     return run
 
@@ -285,13 +295,13 @@ def _prefix_pairs(texts: DataFrame, least: float, cut=cut) -> DataFrame:
     table = np.zeros(2 << SLOT_BITS, np.int32)
     table[common.column("slot").to_numpy()] = common.column("n").to_numpy()
     frequencies = texts.sparkSession.sparkContext.broadcast(table)
-    posts = cut(texts.mapInArrow(_prefixes(frequencies, least), "doc long, label long, weighted boolean, n int, e long, left int" + "".join(f", {b} long" for b in BITS)))
+    posts = cut(texts.mapInArrow(_prefixes(frequencies, least), "doc long, label long, weighted boolean, n int, e long, left int" + "".join(f", {b} long" for b in BITS) + ", before array<long>"))
     # a prefix element that one class alone has in its prefixes meets nobody
     met_by = posts.groupBy("weighted", "e").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("weighted", "e")
     posts = cut(posts.join(met_by, ["weighted", "e"], "left_semi"))
     key = ["weighted", "e", "c"]
     index = posts.filter(F.col("left") >= need("n", "n")).withColumn("c", size_class(F.col("n")))
-    index = index.select(*key, F.col("doc").alias("doc2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("left").alias("left2"), *[F.col(b).alias(f"{b}_2") for b in BITS])
+    index = index.select(*key, F.col("doc").alias("doc2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("left").alias("left2"), F.col("before").alias("before2"), *[F.col(b).alias(f"{b}_2") for b in BITS])
     # a probe goes only to size classes in which another class of texts has the element: one row per element and size class here
     sizes = index.groupBy(*key).agg(F.min("label2").alias("low"), F.max("label2").alias("high"), F.min("n2").alias("n_min"), F.max("left2").alias("left_max"))
     sizes = cut(sizes.groupBy("weighted", "e").agg(F.collect_list(F.struct("c", "low", "high", "n_min", "left_max")).alias("sizes")))
@@ -304,7 +314,9 @@ def _prefix_pairs(texts: DataFrame, least: float, cut=cut) -> DataFrame:
 
     probe = posts.join(sizes, ["weighted", "e"]).withColumn("c", F.explode(F.transform(F.filter("sizes", reachable), lambda s: s["c"]))).drop("sizes")
     differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_2"))) for b in BITS), F.lit(0))
-    both = probe.join(index, key).filter((F.col("label") != F.col("label2")) & (F.col("n2") <= F.col("n")) & (F.least("left", "left2") >= need("n", "n2")) & (differ <= F.col("n") + F.col("n2") - 2 * need("n", "n2")))
+    # a pair that also meets at an earlier element is left to that one; its first shared element has none before it
+    again = F.arrays_overlap("before", "before2")
+    both = probe.join(index, key).filter((F.col("label") != F.col("label2")) & (F.col("n2") <= F.col("n")) & (F.least("left", "left2") >= need("n", "n2")) & (differ <= F.col("n") + F.col("n2") - 2 * need("n", "n2")) & ~again)
     return both.select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b")).distinct()
 
 
