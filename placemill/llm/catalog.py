@@ -88,14 +88,14 @@ SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
 """
 
 OP4_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
-q AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
-qs AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(len(w), 5) AS k FROM q WHERE len(w) > 0))),
+WITH d AS (SELECT doc_id, row_number() OVER () AS d, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+q AS (SELECT item_id, row_number() OVER () AS q, list_filter(string_split(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+qs AS (SELECT DISTINCT q, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT q, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT *, least(len(w), 5) AS k FROM q WHERE len(w) > 0))),
 sizes AS (SELECT DISTINCT k FROM qs),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
-n AS (SELECT item_id, count(*) AS n_item FROM qs GROUP BY item_id),
-m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN qs USING (s) GROUP BY doc_id, item_id)
-SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (item_id) WHERE n_shared / n_item >= 0.8
+ds AS (SELECT DISTINCT d, array_to_string(w[i:i + k - 1], ' ') AS s FROM (SELECT d, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
+n AS (SELECT q, count(*) AS n_item FROM qs GROUP BY q),
+m AS (SELECT d, q, count(*) AS n_shared FROM ds JOIN qs USING (s) GROUP BY d, q)
+SELECT DISTINCT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM m JOIN n USING (q) JOIN d USING (d) JOIN q USING (q) WHERE n_shared / n_item >= 0.8
 """
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _NOTICES = ", ".join("('{}', '{}')".format(label, notice.replace("'", "''").lower()) for label, notice in licenses.TEMPLATES)

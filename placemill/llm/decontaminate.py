@@ -5,7 +5,8 @@ one random order of hashes serves all sets. Items are partitioned by size (power
 sketch length: with at most u shingles in its items and l = floor((1 - t) u), an item's MinHash sketch is its 2 l + 1
 smallest hashes (all, if it has fewer). The partition's largest sketch hash is its threshold. A document's sketch for a
 partition is all of its hashes up to that threshold, so that it holds whatever of a sketch the document holds: with a fixed
-number of smallest hashes a long document would nearly never agree with a short item.
+number of smallest hashes a long document would nearly never agree with a short item. A hash of a document is probed once in each
+partition whose threshold it does not pass.
 
 A document that holds the share t of an item with n shingles lacks at most floor((1 - t) n) of them, so of the k hashes of
 the item's sketch it holds at least k - floor((1 - t) n): the containment threshold of each size. Pairs below it are
@@ -15,9 +16,12 @@ documents only.
 An item of fewer than five words is one shingle of its own length, which documents are also cut into where such items
 exist. The items' tables are broadcast while they have at most MAX_BROADCAST rows, and are joined by shuffle beyond that.
 
+Within, documents and items go by a digest of their texts, so rows that share an id, or have none, are judged each for itself.
+
 Words are runs of letters and digits, lower-cased. Defined cases: an item without words matches nothing, and a text without
-words holds nothing; null counts as empty; rows with a null id are left out of the pairs, but judged by drop_contaminated;
-rows that share an id are one document (or item); an empty table gives no pairs; further columns are not read.
+words holds nothing; null counts as empty; rows with a null id are left out of the pairs, but judged (documents and items)
+by drop_contaminated; of rows that share an id each text is a document (or item) of its own, and equal rows of the result are
+given once; texts of any length are cut whole; an empty table gives no pairs; further columns are not read.
 """
 
 from __future__ import annotations
@@ -79,17 +83,22 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, share: float = SHARE, most: int = MAX_BROADCAST) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment: a row for each document that holds at least the share of an item's shingles."""
-    run, last = Run(docs.sparkSession), Run(docs.sparkSession)
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
-    items = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).filter("item_id is not null")
+def _digest(text: Column) -> Column:
+    whole = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(whole, F.lit(1)).alias("a"), F.xxhash64(whole, F.lit(2)).alias("b"))
+
+
+def _found(docs: DataFrame, items: DataFrame, run: Run, n: int, share: float, most: int) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment; both ids are digests of texts."""
     own = items.select(words(F.col("text")).alias("w")).filter(F.get("w", 0) != "")
     short = sorted(r["k"] for r in own.select(F.size("w").alias("k")).filter(F.col("k") < n).distinct().collect())  # at most n - 1
     sketch = run.cut(sketches(_item_shingles(items, F.xxhash64, n), share))
-    top = sketch.agg(F.max("s")).first()[0]
-    probes = _text_shingles(docs, F.xxhash64, n, short).filter(F.col("s") <= F.lit(top))
-    hits = probes.join(_small(sketch, most), "s").groupBy("doc_id", "item_id", "need").agg(F.count_distinct("s").alias("n"))
+    tops = sketch.groupBy("part").agg(F.max("s").alias("top")).collect()  # one row for each power of two
+    open_ = [F.when(F.col("s") <= F.lit(r["top"]), F.lit(r["part"])) for r in sorted(tops)]
+    parts = F.array_compact(F.array(*open_)) if open_ else F.array().cast("array<int>")
+    top = max((r["top"] for r in tops), default=-(1 << 63))
+    probes = _text_shingles(docs, F.xxhash64, n, short).filter(F.col("s") <= F.lit(top)).select("doc_id", "s", F.explode(parts).alias("part"))
+    hits = probes.join(_small(sketch, most), ["part", "s"]).groupBy("doc_id", "item_id", "need").agg(F.count_distinct("s").alias("n"))
     found = run.cut(hits.filter("n >= need").select("doc_id", "item_id"))
     exact = run.cut(_item_shingles(items, _joined, n))
     sizes = run.cut(exact.groupBy("item_id").agg(F.count("*").alias("n_item")))
@@ -97,15 +106,27 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     shared = _text_shingles(suspects, _joined, n, short).join(_small(exact, most), "s")
     shared = shared.groupBy("doc_id", "item_id").agg(F.count_distinct("s").alias("n_shared"))
     out = shared.join(found, ["doc_id", "item_id"], "left_semi").join(_small(sizes, most), "item_id")
-    out = out.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= share)
-    out = last.cut(out.select("doc_id", "item_id", "n_shared", "n_item", "containment"))
+    return run.cut(out.withColumn("containment", F.col("n_shared") / F.col("n_item")).filter(F.col("containment") >= share))
+
+
+def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WORDS, share: float = SHARE, most: int = MAX_BROADCAST) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment: a row for each document that holds at least the share of an item's shingles."""
+    run, last = Run(docs.sparkSession), Run(docs.sparkSession)
+    docs = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text")).filter("own is not null").withColumn("doc_id", _digest(F.col("text")))
+    items = items.select(F.col(item_col).alias("named"), F.col(item_text_col).alias("text")).filter("named is not null").withColumn("item_id", _digest(F.col("text")))
+    found = _found(docs.drop("own"), items.drop("named"), run, n, share, most)
+    named = run.cut(found.join(items.select("item_id", "named").distinct(), "item_id"))
+    out = docs.select("doc_id", "own").join(_small(named, most), "doc_id")
+    out = last.cut(out.select(F.col("own").alias("doc_id"), F.col("named").alias("item_id"), "n_shared", "n_item", "containment").distinct())
     run.clear()
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs whose own text holds no item. Rows are judged by text, so ids may be null or repeat."""
-    key = F.xxhash64(F.coalesce(docs[text_col], F.lit("")), F.lit(1)), F.xxhash64(F.coalesce(docs[text_col], F.lit("")), F.lit(2))
-    texts = docs.select(F.struct(key[0].alias("a"), key[1].alias("b")).alias("doc_id"), docs[text_col].alias("text"))
-    found = Run(docs.sparkSession).cut(contained_items(texts, items, **options).select(F.col("doc_id.a").alias("a"), F.col("doc_id.b").alias("b")).distinct())
-    return docs.join(found, (key[0] == found["a"]) & (key[1] == found["b"]), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_text_col: str = "text", n: int = WORDS, share: float = SHARE, most: int = MAX_BROADCAST) -> DataFrame:
+    """The rows of docs whose own text holds no item. Rows of both tables are judged by text, so ids may be null or repeat."""
+    run, last = Run(docs.sparkSession), Run(docs.sparkSession)
+    texts = docs.select(_digest(docs[text_col]).alias("doc_id"), docs[text_col].alias("text"))
+    asked = items.select(_digest(items[item_text_col]).alias("item_id"), items[item_text_col].alias("text"))
+    found = last.cut(_found(texts, asked, run, n, share, most).select("doc_id").distinct())
+    run.clear()
+    return docs.join(_small(found, most), _digest(docs[text_col]) == found["doc_id"], "left_anti")

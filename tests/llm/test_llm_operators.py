@@ -279,6 +279,24 @@ def test_short_items_and_rows_without_id(spark, odd):
     assert left.columns == odd.columns and sorted((r["doc_id"] for r in left.collect()), key=str) == [1, 2, 3, 4, 7, 8, 9]
 
 
+def test_items_without_id_or_with_one_id_are_held_each_for_itself(spark):
+    """Ids of items and documents may be missing or shared; dropping equals brute force over the texts."""
+    r = random.Random(6)
+    item = lambda n: " ".join(f"v{r.randrange(5000)}" for _ in range(n))
+    items = [(None, item(30)), (None, item(12)), (7, item(40)), (7, item(9)), (7, item(6)), (8, item(25)), (9, "tiny item"), (9, item(200)), (10, item(80))]
+    held = [f"{item(50)} {t} {item(20)}" for _, t in items]
+    partly = [" ".join(t.split()[: len(t.split()) // 2]) + " " + item(30) for _, t in items if len(t.split()) > 8]
+    docs = [(i if i % 3 else None, t, "en", "a") for i, t in enumerate(held + partly + [item(60) for _ in range(20)])] + [(4, held[0], "en", "a"), (4, held[2], "en", "b"), (1, None, "en", "a")]
+    grams = lambda t, n: {tuple(_words(t)[i : i + n]) for i in range(len(_words(t)) - n + 1)}
+    holds = lambda t, x: len(grams(x, n := min(5, len(_words(x)))) & grams(t, n)) >= 0.8 * len(grams(x, n))
+    d, q = _docs(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    left = decontaminate.drop_contaminated(d, q)
+    key = lambda x: (str(x[0]), str(x[1]))
+    assert sorted(((x["doc_id"], x["text"]) for x in left.collect()), key=key) == sorted(((x[0], x[1]) for x in docs if not any(holds(x[1], t) for _, t in items)), key=key)
+    want = {(x[0], i) for x in docs for i, t in items if x[0] is not None and i is not None and holds(x[1], t)}
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.contained_items(d, q).collect()} == want and len(want) >= 5
+
+
 def test_partial_item_is_found_anywhere(spark):
     w = [f"w{i}" for i in range(60)]
     halves = " ".join(w[:28]) + " filler " * 30 + " ".join(w[28:])
