@@ -167,8 +167,12 @@ def ring_inner_point(coords: Column) -> Column:
 
 
 def _on_height(coords: Column, y: Column) -> Column:
-    hits = F.array_sort(F.filter(F.transform(_segments(coords), lambda s: F.when((s["y1"] > y) != (s["y2"] > y), s["x1"] + (y - s["y1"]) * (s["x2"] - s["x1"]) / F.when(s["y2"] != s["y1"], s["y2"] - s["y1"]))), lambda x: x.isNotNull()))
-    first = F.get(coords, 0)
+    return _on_height_of(_segments(coords), F.get(coords, 0), y)
+
+
+def _on_height_of(segments: Column, first: Column, y: Column) -> Column:
+    """The middle of the widest stretch between the segments' odd and even crossings of a height; else the first position."""
+    hits = F.array_sort(F.filter(F.transform(segments, lambda s: F.when((s["y1"] > y) != (s["y2"] > y), s["x1"] + (y - s["y1"]) * (s["x2"] - s["x1"]) / F.when(s["y2"] != s["y1"], s["y2"] - s["y1"]))), lambda x: x.isNotNull()))
 
     def widest(h: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - 2, F.lit(0))), lambda i: (i % 2 == 0) & (i + 1 < F.size(h)))

@@ -1,8 +1,8 @@
-"""Vector-tile features as tagged objects, and what is known of tiles."""
+"""Vector-tile features as tagged objects, and what is known of tiles and archives."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemill.functions import geo
@@ -45,7 +45,8 @@ def objects(features: DataFrame, languages: tuple[str, ...] = (), layers: tuple[
     kept = features.filter(F.col("layer").isin(*layers))
     kept = once(kept, added=added_tags(F.col("props"), F.col("layer"), languages))
     tags = F.map_concat(F.map_filter("props", lambda k, _: ~F.map_contains_key(F.col("added"), k)), F.col("added"))
-    return once(kept, tags=tags).select(F.concat(F.lit("pmtiles/"), own).alias("id"), "tags", "lat", "lon", F.array(F.struct("lon", "lat")).alias("coords"))
+    shape = [c for c in ("kind", "parts") if c in features.columns]
+    return once(kept, tags=tags).select(F.concat(F.lit("pmtiles/"), own).alias("id"), "tags", "lat", "lon", F.array(F.struct("lon", "lat")).alias("coords"), *shape)
 
 
 def layer_inventory(features: DataFrame) -> DataFrame:
@@ -84,3 +85,42 @@ def at_point(features: DataFrame, lat: float, lon: float, least_zoom: int, most_
     placed = own.withColumn("z", F.explode(F.sequence(F.lit(least_zoom), F.lit(most_zoom)))) if "z" not in features.columns else own
     placed = placed.withColumns({"x": fx, "y": fy})
     return placed.join(F.broadcast(asked), ["z", "x", "y"]).groupBy("z", "x", "y", "layer").agg(F.count("*").alias("n_features"))
+
+
+# --- archives ----------------------------------------------------------------------------------------------------
+
+
+def header(spark: SparkSession, path: str) -> DataFrame:
+    """One row with what an archive's header says."""
+    from dataclasses import asdict
+
+    from placemill.sources.pmtiles import Archive
+
+    return spark.createDataFrame([asdict(Archive(path).header)])
+
+
+def shape_summary(kind: Column, parts: Column) -> Column:
+    n = F.aggregate(F.transform(parts, lambda p: F.size(p["coords"])), F.lit(0), lambda a, x: a + x)
+    return F.format_string("%s of %d parts, %d positions", F.coalesce(kind, F.lit("unknown")), F.size(parts), n)
+
+
+def inspect(spark: SparkSession, path: str, lat: float, lon: float, zooms: tuple[int, int] | None = None, layer: str = "", most: int = 100) -> DataFrame:
+    """z, x, y, layer, fid, shape, props, keys of the features in an archive's tiles at a point; props as JSON, cut behind `most` characters."""
+    from placemill.sources.pmtiles import Archive, lookup
+
+    head = Archive(path).header
+    low, high = zooms or (head.least_zoom, head.most_zoom)
+    if not head.least_zoom <= low <= high <= head.most_zoom:
+        raise ValueError(f"zooms {low} to {high} are not within those of the archive, {head.least_zoom} to {head.most_zoom}")
+    x, y = geo.tile_xy(F.lit(lon), F.lit(lat), F.col("z"))
+    asked = spark.range(low, high + 1).select(F.col("id").cast("int").alias("z")).select("z", x.alias("x"), y.alias("y"))
+    rows = lookup(asked, path)
+    rows = rows.filter(F.col("layer") == layer) if layer else rows
+    text = F.to_json("props")
+    short = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+    return rows.select("z", "x", "y", "layer", "fid", shape_summary(F.col("kind"), F.col("parts")).alias("shape"), short.alias("props"), F.array_sort(F.map_keys("props")).alias("keys"))
+
+
+def list_layers(spark: SparkSession, path: str, lat: float, lon: float, zooms: tuple[int, int] | None = None) -> DataFrame:
+    """layer, n_features, and the zooms at which a point's tiles hold it."""
+    return inspect(spark, path, lat, lon, zooms).groupBy("layer").agg(F.count("*").alias("n_features"), F.array_sort(F.collect_set("z")).alias("zooms"))

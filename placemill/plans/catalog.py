@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemill.config import Config, Importance, Params
-from placemill.functions import geo, text
+from placemill.functions import geo, shapes, text
 from placemill.functions.frames import once, opened
 from placemill.operators import classify, features, filters, geometry, names, ontology, ranking, stats, tiles
 from placemill.plans import engine
@@ -311,6 +311,31 @@ def way_point(spark, d):
     return points.select("id", geo.shape_of(F.col("coords")).alias("shape"), F.round("geom.lon", 7).alias("lon"), F.round("geom.lat", 7).alias("lat"))
 
 
+@query
+def multi_line_point(spark, d):
+    """Half way along the longest line of a shape of several."""
+    return shapes.located(a.multi_lines(spark, d)).select("id", F.round("lon", 7).alias("lon"), F.round("lat", 7).alias("lat"))
+
+
+@query
+def multi_shape_search(spark, d):
+    """Shapes of several lines within a radius: by envelope, then by the distance of the nearest part."""
+    p = Params(lat=a.CENTRE[0], lon=a.CENTRE[1], radius="800m")
+    kind, parts = F.col("kind"), F.col("parts")
+    near = once(a.multi_lines(spark, d).filter(shapes.coarse(kind, parts, p)), metres=shapes.distance_m(kind, parts, *a.CENTRE))
+    return near.select("id", (F.col("metres") <= p.radius_m).alias("precise"), F.round("metres", 4).alias("metres"))
+
+
+@query
+def multi_polygon_point(spark, d):
+    """Centroids of polygons with holes, whether they hold them, and whether they hold the point that stands for them."""
+    parts = F.col("parts")
+    c = opened(a.multi_polygons(spark, d), shapes.centroid(parts), "clon", "clat")
+    at = shapes.located(c.select("*", shapes.holds(parts, F.col("clon"), F.col("clat")).alias("held")))
+    at = once(at, inside=shapes.holds(parts, F.col("lon"), F.col("lat")))  # a step of its own: "lon" below is another column
+    return at.select("osm_id", F.round("clon", 6).alias("lon"), F.round("clat", 6).alias("lat"), "held", "inside")
+
+
 @query
 def way_simplified(spark, d):
     return _ways(spark, d).select("id", F.size("coords").alias("n"), F.size(geometry.simplifier(0.01)(F.col("coords"))).alias("n_left"))

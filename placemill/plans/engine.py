@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from placemill.config import Config, Params
-from placemill.functions import geo, text
+from placemill.functions import geo, shapes, text
 from placemill.functions.frames import once
 from placemill.operators import classify, filters, names, ranking
 
@@ -63,7 +63,10 @@ def direct_hits(objects: DataFrame, p: Params, conf: Config = Config(), ontology
     lone = F.size("coords") == 1
     rows = objects
     if p.has_radius or p.has_box:
-        if {"lat", "lon"} <= set(objects.columns):
+        if {"kind", "parts"} <= set(objects.columns):
+            rows = rows.filter(shapes.coarse(F.col("kind"), F.col("parts"), p))
+            rows = rows.filter(shapes.precise(F.col("kind"), F.col("parts"), p)) if conf.pmtiles_post_process else rows
+        elif {"lat", "lon"} <= set(objects.columns):
             rows = rows.filter(filters.spatial_point(F.col("lat"), F.col("lon"), p))
         else:
             one = F.get(F.col("coords"), 0)

@@ -118,6 +118,10 @@ def tile(lon: str, lat: str, n: str) -> str:
     return f"CAST(trunc(({lon} + 180.0) / 360.0 * {n}) AS INTEGER) AS x, CAST(trunc((1.0 - ln(tan(radians({lat})) + 1.0 / cos(radians({lat}))) / pi()) / 2.0 * {n}) AS INTEGER) AS y"
 
 
+# ways as lines of their customers' shapes
+MULTI = f"""{SEGMENTS}, owned AS (SELECT o.o_custkey AS cust, s.* FROM s JOIN orders o ON o.o_orderkey = s.id),
+sizes AS (SELECT cust, id, sum(len) AS total FROM owned GROUP BY cust, id),
+longest AS (SELECT cust, id, total FROM (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY total DESC, id) AS n FROM sizes) WHERE n = 1)"""
 # segments in metres around the centre
 FLAT = "flat AS (SELECT id, (x1 - 9.52) * kx AS x1, (y1 - 47.14) * ky AS y1, (x2 - 9.52) * kx AS x2, (y2 - 47.14) * ky AS y2, (x2 - x1) * kx AS dx, (y2 - y1) * ky AS dy FROM (SELECT *, 6371000 * pi() / 180 AS ky, 6371000 * pi() / 180 * cos(radians(47.14)) AS kx FROM s))"
 MORE = "p.lat, p.lon, c.value, concat_ws(', ', p.housenumber, p.street, p.city, p.postcode) AS address, CASE WHEN p.phone <> '' THEN p.phone ELSE p.contact_phone END AS phone"
@@ -233,6 +237,17 @@ SQL: dict[str, str] = {
     "way_envelope": f"WITH {WAYS} SELECT id, {R5.format(x='min(lon)')} AS min_lon, {R5.format(x='max(lon)')} AS max_lon, {R5.format(x='min(lat)')} AS min_lat, {R5.format(x='max(lat)')} AS max_lat FROM good GROUP BY id",
     "way_centroid": f"WITH {SEGMENTS}, {CLOSED} SELECT id, round(CASE WHEN sum(len) > 0 THEN sum(len * (x1 + x2) / 2) / sum(len) ELSE min(fx) END, 7) AS lon, round(CASE WHEN sum(len) > 0 THEN sum(len * (y1 + y2) / 2) / sum(len) ELSE min(fy) END, 7) AS lat FROM s WHERE id NOT IN (SELECT id FROM closed) GROUP BY id",
     "way_midpoint": f"WITH {SEGMENTS}, {CLOSED}, c AS (SELECT *, sum(len) OVER (PARTITION BY id ORDER BY i) AS upto, sum(len) OVER (PARTITION BY id) / 2 AS half FROM s), h AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS r FROM c WHERE len > 0 AND upto >= half), f AS (SELECT id, min(fx) AS fx, min(fy) AS fy FROM s GROUP BY id) SELECT f.id, round(coalesce(x1 + (x2 - x1) * (half - (upto - len)) / len, f.fx), 7) AS lon, round(coalesce(y1 + (y2 - y1) * (half - (upto - len)) / len, f.fy), 7) AS lat FROM f LEFT JOIN (SELECT * FROM h WHERE r = 1) h ON h.id = f.id WHERE f.id NOT IN (SELECT id FROM closed)",
+    "multi_line_point": f"""WITH {MULTI}, c AS (SELECT o.*, l.total / 2 AS half, sum(o.len) OVER (PARTITION BY o.cust ORDER BY o.i) AS upto FROM owned o JOIN longest l ON l.cust = o.cust AND l.id = o.id),
+ h AS (SELECT *, row_number() OVER (PARTITION BY cust ORDER BY i) AS r FROM c WHERE len > 0 AND upto >= half), f AS (SELECT cust, min(fx) AS fx, min(fy) AS fy FROM c GROUP BY cust)
+ SELECT f.cust AS id, round(coalesce(x1 + (x2 - x1) * (half - (upto - len)) / len, f.fx), 7) AS lon, round(coalesce(y1 + (y2 - y1) * (half - (upto - len)) / len, f.fy), 7) AS lat FROM f LEFT JOIN (SELECT * FROM h WHERE r = 1) h ON h.cust = f.cust""",
+    "multi_shape_search": f"""WITH {MULTI}, {FLAT}, away AS (SELECT id, min(sqrt(pow(x1 + t * dx, 2) + pow(y1 + t * dy, 2))) AS m FROM (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0.0, least(1.0, -(x1 * dx + y1 * dy) / (dx * dx + dy * dy))) ELSE 0.0 END AS t FROM flat) GROUP BY id),
+ env AS (SELECT o.o_custkey AS cust, min(g.lon) AS a, max(g.lon) AS b, min(g.lat) AS c, max(g.lat) AS d FROM good g JOIN orders o ON o.o_orderkey = g.id GROUP BY 1),
+ best AS (SELECT z.cust, min(m) AS m FROM sizes z JOIN away w ON w.id = z.id GROUP BY z.cust)
+ SELECT e.cust AS id, m <= 800 AS precise, round(m, 4) AS metres FROM env e JOIN best USING (cust) WHERE d >= 47.14 - 800 / 111000.0 AND c <= 47.14 + 800 / 111000.0
+ AND b >= 9.52 - 800 / (6367000 * cos(radians(47.14)) * pi() / 180) AND a <= 9.52 + 800 / (6367000 * cos(radians(47.14)) * pi() / 180)""",
+    "multi_polygon_point": f"""WITH {POI}, m AS (SELECT osm_id, lon, lat, 0.002 + 0.006 * (osm_id % 2) AS h, 0.03 * (osm_id % 3) AS away, osm_id % 3 > 0 AS two FROM poi),
+ c AS (SELECT *, CASE WHEN two THEN away * 0.0004 / (0.0008 - 4 * h * h) ELSE 0.0 END AS shift FROM m)
+ SELECT osm_id, round(lon + shift, 6) AS lon, round(lat, 6) AS lat, (shift > h AND shift < 0.01) OR (two AND abs(shift - away) < 0.01) AS held, true AS inside FROM c""",
     "relation_point": f"WITH {NODES}, m AS (SELECT o.o_custkey AS id, o.o_orderkey AS pos, n.lon, n.lat FROM orders o JOIN nodes n ON n.id = o.o_orderkey % 200 + 1 WHERE o.o_orderstatus = 'P') SELECT id, arg_min(lon, pos) AS lon, arg_min(lat, pos) AS lat FROM m GROUP BY id",
     "text_match_score": f"WITH {POI} SELECT osm_id, {matched(fold('name'), 'the')} AS score FROM poi",
     "category_match_score": f"WITH {POI}, {KINDS} SELECT osm_id, max(CASE WHEN starts_with(key, 'addr:') OR key IN ('brand', 'wheelchair') THEN 0.0 WHEN value = 'museum' THEN 320.0 WHEN key = 'museum' THEN 140.0 ELSE 0.0 END) AS score FROM kinds GROUP BY osm_id",

@@ -107,3 +107,30 @@ def query_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").filter("role = 'user'")
     i, near = F.col("conv_id") * 100 + F.col("turn"), F.regexp_replace("text", r"^([^ ]+) ", "$1 near ")
     return c.select(i.alias("qid"), F.when(i % 5 == 0, near).otherwise(F.col("text")).alias("query"))
+
+
+def multi_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, kind, parts: a customer's orders as one shape, each order's way a line of it."""
+    from placemill.operators import geometry
+
+    ways = geometry.way_coords(way_nodes(spark, sf_dir), nodes(spark, sf_dir))
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("cust"))
+    part = F.struct("id", F.lit(False).alias("hole"), "coords")
+    shape = ways.join(own, "id").groupBy(F.col("cust").alias("id")).agg(F.array_sort(F.collect_list(part)).alias("p"))
+    return shape.select("id", F.lit("line").alias("kind"), F.transform("p", lambda p: F.struct(p["hole"].alias("hole"), p["coords"].alias("coords"))).alias("parts"))
+
+
+def multi_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """osm_id, kind, parts: a square around each place with a square hole, and for two of three a second square east of it."""
+    i = F.col("osm_id")
+
+    def square(lon, lat, half):
+        xs = (lon - half, lon + half, lon + half, lon - half, lon - half)
+        ys = (lat - half, lat - half, lat + half, lat + half, lat - half)
+        return F.array(*[F.struct(x.alias("lon"), y.alias("lat")) for x, y in zip(xs, ys, strict=True)])
+
+    lon, lat = F.col("lon"), F.col("lat")
+    ring = lambda coords, hole=False: F.struct(F.lit(hole).alias("hole"), coords.alias("coords"))
+    outer, hole = ring(square(lon, lat, F.lit(0.01))), ring(F.reverse(square(lon, lat, 0.002 + 0.006 * (i % 2))), True)
+    second = ring(square(lon + 0.03 * (i % 3), lat, F.lit(0.01)))
+    return poi(spark, sf_dir).select("osm_id", F.lit("polygon").alias("kind"), F.when(i % 3 == 0, F.array(outer, hole)).otherwise(F.array(outer, hole, second)).alias("parts"))

@@ -231,26 +231,3 @@ def test_pbf_reader(spark, tmp_path):
     way = read("way").first()
     assert way["id"] == 20 and [n["ref"] for n in way["nodes"]] == [7, 9] and way["tags"] == {"highway": "primary"}
     assert [tuple(m) for m in read("relation").first()["members"]] == [("node", 7, "stop"), ("way", 20, "")]
-
-
-def test_pmtiles_reader(spark, tmp_path):
-    for z, x, y in [(0, 0, 0), (1, 0, 1), (3, 5, 2), (14, 8623, 5752)]:
-        assert pmtiles.tile_of(pmtiles.tile_id(z, x, y)) == (z, x, y)
-    point = _f(1, 42) + _f(2, _packed([0, 0])) + _f(3, 1) + _f(4, _packed([9, _zig(2048), _zig(2048)]))
-    ring = _f(2, _packed([1, 1])) + _f(3, 3) + _f(4, _packed([9, _zig(0), _zig(0), 26, _zig(10), 0, 0, _zig(10), _zig(-10), 0, 15, 9, _zig(5), _zig(5)]))
-    layer = _f(1, b"poi") + _f(2, point) + _f(2, ring) + _f(3, b"name") + _f(3, b"rank") + _f(4, _f(1, b"Vaduz")) + _f(4, _varint(3 << 3 | 1) + struct.pack("<d", 3.0)) + _f(5, 4096) + _f(15, 2)
-    tile = gzip.compress(_f(3, layer))
-    n = pmtiles.tile_id(14, 8623, 5752)
-    entries = _varint(1) + _varint(n) + _varint(1) + _varint(len(tile)) + _varint(1)
-    root = gzip.compress(entries)
-    head = bytearray(127)
-    head[:8] = b"PMTiles\x03"
-    struct.pack_into("<8Q", head, 8, 127, len(root), 0, 0, 127 + len(root), 0, 127 + len(root), len(tile))
-    head[100:102] = bytes([0, 14])
-    (tmp_path / "x.pmtiles").write_bytes(bytes(head) + root + tile)
-    pmtiles.register(spark)
-    load = lambda **o: spark.read.format("pmtiles").options(**o).load(str(tmp_path / "x.pmtiles"))
-    rows = sorted(load().collect(), key=lambda r: r["at"])
-    assert [(r["z"], r["x"], r["y"], r["layer"], r["fid"]) for r in rows] == [(14, 8623, 5752, "poi", 42), (14, 8623, 5752, "poi", None)]
-    assert rows[0]["props"] == {"name": "Vaduz"} and rows[1]["props"] == {"rank": "3"} and len(rows[1]["coords"]) == 5 and rows[1]["coords"][0] == rows[1]["coords"][-1]
-    assert rows[0]["lon"] == pytest.approx((8623.5 / 16384) * 360 - 180) and load(tiles="0,0,10,10").count() == 0 and load(zoom="3").count() == 0
