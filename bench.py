@@ -43,7 +43,7 @@ def main() -> None:
     lat, lon = adapters.CENTRE
     asked = {"text": Params(query="museum"), "two_words": Params(query="castles er"), "key": Params(key="amenity"), "radius": Params(lat=lat, lon=lon, radius="1km"), "box": Params(min_lat=lat - 0.0045, max_lat=lat + 0.0045, min_lon=lon - 0.0066, max_lon=lon + 0.0066), "address": Params(city="nation_3", street="main")}
     for name, p in asked.items():
-        find = lambda p=p: engine.index_search(index.features, index.postings, index.statistics, p, catalog.CONF, known)
+        find = lambda p=p: engine.index_search(index.features, index.postings, index.statistics, p, catalog.CONF, known, index.tables)
         timed(find)
         times[f"index_{name}"] = timed(find)
     times["scheduling_floor"] = timed(lambda: spark.range(1))

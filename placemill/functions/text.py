@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ FOLD_TWO = {"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "æ": "ae", "þ": "t
 STOP_WORDS = tuple("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
 _TOKEN = r"[\p{L}\p{Nd}]+"
+_FOLD_NOW = str.maketrans(FOLD_ONE | FOLD_TWO)
 
 
 def trim(c: Column) -> Column:
@@ -57,6 +59,24 @@ def standard(c: Column) -> Column:
     return F.filter(tokens(F.lower(c)), lambda t: ~F.array_contains(stop, t))
 
 
+_WORD_NOW = regex.compile(_TOKEN)
+
+
+def words_now(s: str) -> list[str]:
+    """tokens() of a text that the driver holds."""
+    return _WORD_NOW.findall(s)
+
+
+def fold_now(s: str) -> str:
+    """fold() of a text that the driver holds."""
+    return s.lower().translate(_FOLD_NOW)
+
+
+def standard_words(s: str) -> tuple[str, ...]:
+    """Distinct terms of standard() of a text that the driver holds."""
+    return tuple(sorted(set(words_now(s.lower())) - set(STOP_WORDS)))
+
+
 def edge_ngrams(c: Column, most: int = 12) -> Column:
     return F.flatten(F.transform(tokens(F.lower(c)), lambda t: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), F.length(t))), lambda n: F.substring(t, F.lit(1), n))))
 

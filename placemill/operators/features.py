@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from placemill.config import Config
 from placemill.functions import geo, text
 from placemill.functions.frames import once, opened
-from placemill.operators import classify, geometry, names
+from placemill.operators import classify, geometry, lookups, names
 
 GRID_ZOOM = 10
 FIELDS = {"name": "standard", "name_edge_ngram": "edge_ngram", "search_names": "standard", "search_names_edge_ngram": "edge_ngram", "key": "keyword", "value": "keyword", "keys": "keyword", "values": "keyword"}
+#: Fields of address and contact that filters ask for.
+WORDED, WHOLE = ("addr:street", "addr:city", "addr:country"), ("addr:housenumber", "addr:postcode", "addr:floor", "addr:unit", "level")
+CONTACT = ("phone", "wheelchair", "opening_hours", "display_address")
+FIELDS |= dict.fromkeys(WORDED, "standard") | dict.fromkeys((*WHOLE, *CONTACT), "keyword")
 
 
 def build(objects: DataFrame, conf: Config, levels: Mapping[str, int] | None = None) -> DataFrame:
@@ -63,13 +67,14 @@ def _one(f: Callable[[Column], Column]) -> Callable[[Column], Column]:
 
 
 def postings(features: DataFrame, analyzer: str = "standard", folded: bool = True) -> DataFrame:
-    """field, term, id, tf, field_len: one row for each term of a field of a feature. Names are folded as queries are, unless told otherwise."""
+    """field, term, id, cell, tf, field_len: one row for each term of a field of a feature. Names are folded as queries are, unless told otherwise."""
     kinds = FIELDS | {"name": analyzer}
     name, others = (text.fold(F.col("name")), F.transform(F.map_values("names"), text.fold)) if folded else (F.col("name"), F.map_values("names"))
     source = {"name_edge_ngram": F.array(name), "name": F.array(name), "search_names": others, "search_names_edge_ngram": others, "key": F.array("key"), "value": F.array("value"), "keys": F.col("keys"), "values": F.col("values")}
+    source |= {f: F.array(F.coalesce(F.try_element_at("address", F.lit(f)), F.lit(""))) for f in (*WORDED, *WHOLE)} | {f: F.array(f) for f in CONTACT}
     each = F.array(*[F.struct(F.lit(f).alias("field"), F.flatten(F.transform(source[f], _one(text.ANALYZERS[k]))).alias("terms")) for f, k in kinds.items()])
-    flat = features.select("id", F.explode(each).alias("f")).select("id", "f.field", F.size("f.terms").alias("field_len"), F.explode("f.terms").alias("term")).filter("term <> ''")
-    return flat.groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.max("field_len").alias("field_len"))
+    flat = features.select("id", "cell", F.explode(each).alias("f")).select("id", "cell", "f.field", F.size("f.terms").alias("field_len"), F.explode("f.terms").alias("term")).filter("term <> ''")
+    return flat.groupBy("field", "term", "id").agg(F.first("cell").alias("cell"), F.count("*").alias("tf"), F.max("field_len").alias("field_len"))
 
 
 def statistics(posts: DataFrame) -> DataFrame:
@@ -79,13 +84,18 @@ def statistics(posts: DataFrame) -> DataFrame:
     return terms.join(F.broadcast(docs), "field")
 
 
-def write(features: DataFrame, posts: DataFrame, path: str) -> None:
-    """An index is three tables: features by grid cell, postings by field, and their statistics, sorted so that row groups can be skipped.
+def write(features: DataFrame, posts: DataFrame, path: str, shapes: bool = False) -> None:
+    """An index is tables sorted so that row groups can be skipped: features by grid cell, postings by field and term, their statistics, terms
+    within one edit by key, whole names, and (shapes) features by the cells that their shapes touch.
 
-    Ranges over (cell, id) and (field, term, id) split a crowded cell or a common term among tasks.
+    Ranges over (cell, id), (field, term, id) and (key, term) split a crowded cell or a common term among tasks.
     """
     spark = features.sparkSession
     features.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.mode("overwrite").parquet(f"{path}/features")
     posts.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-    stored = spark.read.schema(posts.schema).parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings").select(*posts.columns)
     statistics(stored).sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/statistics")
+    lookups.neighbours(spark.read.parquet(f"{path}/statistics")).repartitionByRange("field", "key", "term").sortWithinPartitions("field", "key").write.mode("overwrite").partitionBy("field").parquet(f"{path}/neighbours")
+    lookups.whole_names(features).repartitionByRange("folded", "id").sortWithinPartitions("folded").write.mode("overwrite").parquet(f"{path}/names")
+    if shapes:
+        lookups.by_cell(features).repartitionByRange("at", "id").sortWithinPartitions("at").write.mode("overwrite").parquet(f"{path}/shapes")

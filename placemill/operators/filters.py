@@ -71,6 +71,18 @@ def indexed_fields(p: Params) -> Column:
     return _all(out)
 
 
+def field_terms(p: Params) -> list[list[tuple[str, tuple[str, ...]]]]:
+    """indexed_fields by postings: for each filter the fields and terms of which a feature has to hold one."""
+    low = lambda *qs: tuple(sorted({q.lower() for q in qs if q}))
+    out = []
+    for name, one, many in (("key", p.key, p.keys), ("value", p.value, p.values)):
+        if terms := low(one, *many):
+            out.append([(name, terms), (f"{name}s", terms)])
+    out += [[(f, text.standard_words(q))] for f, q in (("addr:street", p.street), ("addr:city", p.city), ("addr:country", p.country)) if q]
+    whole = (("addr:housenumber", p.housenumber), ("addr:postcode", p.postcode), ("addr:floor", p.floor), ("addr:unit", p.unit), ("level", p.level), ("phone", p.phone), ("wheelchair", p.wheelchair), ("opening_hours", p.opening_hours))
+    return out + [[(f, low(q))] for f, q in whole if q]
+
+
 def spatial_point(lat: Column, lon: Column, p: Params) -> Column:
     """A box overrides the radius's own window; the radius itself holds in any case."""
     out = []

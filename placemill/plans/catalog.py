@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placemill.config import Config, Importance, Params
 from placemill.functions import geo, shapes, text
 from placemill.functions.frames import once, opened
-from placemill.operators import classify, features, filters, geometry, names, ontology, ranking, stats, tiles
+from placemill.operators import classify, features, filters, geometry, lookups, names, ontology, ranking, stats, tiles
 from placemill.plans import engine
 from placemill.sources import adapters as a
 
@@ -431,7 +431,7 @@ def _index(spark, d):
 
 @query
 def postings(spark, d):
-    return features.postings(_features(spark, d))
+    return features.postings(_features(spark, d)).drop("cell")
 
 
 @query
@@ -439,6 +439,34 @@ def term_stats(spark, d):
     return features.statistics(features.postings(_features(spark, d)))
 
 
+@query
+def edit_neighbours(spark, d):
+    """Terms of names within one edit of every name's first word, met by keys of what is left without a byte."""
+    stats = features.statistics(features.postings(_features(spark, d)))
+    table = lookups.neighbours(stats, ("name",))
+    words = stats.filter("field = 'name'").select("field", F.col("term").alias("word"))
+    keyed = words.select("*", F.explode(lookups.edit_keys(F.col("word"))).alias("key"))
+    met = keyed.join(table, ["field", "key"]).filter(text.within_one_edit(F.col("term"), F.col("word")))
+    return met.select("word", "term", "df").distinct()
+
+
+@query
+def index_filters(spark, d):
+    """Ids that pass filters of class, address and contact, by intersecting lists of postings."""
+    posts = features.postings(_features(spark, d))
+    return engine.filtered_ids(posts, Params(keys=("Tourism", "shop"), street="Main", city="nation_2", wheelchair="Limited")).select("id")
+
+
+@query
+def index_exact_first(spark, d):
+    """A short text that is the name of as many features as a page holds: these alone are the page."""
+    f, posts, stats = _index(spark, d)
+    tables = lookups.Lookups(names=lookups.whole_names(f))
+    common = tables.names.groupBy("folded").count().orderBy(F.desc("count"), "folded").first()
+    p = Params(query=common["folded"], limit=common["count"])
+    return engine.index_search(f, posts, stats, p, CONF, _ontology(spark), tables).select("id", "name", "rank")
+
+
 @query
 def exact_names(spark, d):
     queries = _features(spark, d).select(F.col("osm_id").alias("qid"), F.concat(F.lit("  "), F.initcap("name")).alias("query"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +14,13 @@ from placemill.config import Config, Params
 from placemill.functions import geo, shapes, text
 from placemill.functions.frames import once
 from placemill.operators import classify, filters, names, ranking
+from placemill.operators.lookups import Lookups, near_terms, touching
 
 NEAR_M = 5000
 #: Terms of a query and cells of a window that become a list in the scan.
 MAX_TERMS, MAX_CELLS = 2_000, 1_000
+#: Features are fetched by cells if the hits are at most one in so many.
+SELECTIVE = 50
 #: (field, boost) of the three ways in which a word meets a name; the last allows one edit.
 _NAME = (("{}", 5.0, False), ("{}_edge_ngram", 1.0, False), ("{}", 0.5, True))
 
@@ -126,8 +130,8 @@ def _name_clauses(words: Sequence[str], name: str) -> list[tuple[str, str, float
 
 def clauses(query: str, ontology: Ontology, place_intent: bool, several: bool = True) -> list[tuple[int, float, list[list[tuple[str, str, float, bool]]]]]:
     """(number, boost, parts) of each reading of the query; several: more than the one as a whole. A part is met by any of its clauses (field, term, boost, one edit); a reading by all of its parts."""
-    folded = _fold(query)
-    words = [w for w in _words(folded) if w not in text.STOP_WORDS]
+    folded = text.fold_now(query)
+    words = [w for w in text.words_now(folded) if w not in text.STOP_WORDS]
     kinds = ontology.named(query)
     whole = _name_clauses(words, "name") + _name_clauses(words, "search_names")
     if len(folded.split()) == 1 and not place_intent:
@@ -136,7 +140,7 @@ def clauses(query: str, ontology: Ontology, place_intent: bool, several: bool =
     out = [(0, 1.0, [whole + category(kinds)])]
     terms = query.split()
     if len(terms) > 1 and several:
-        each = [_name_clauses([w for w in _words(_fold(t)) if w not in text.STOP_WORDS], "name") for t in terms]
+        each = [_name_clauses([w for w in text.words_now(text.fold_now(t)) if w not in text.STOP_WORDS], "name") for t in terms]
         if kinds:
             out.append((1, 1.0, [category(kinds)]))
         out.append((2, 0.9, each))
@@ -146,44 +150,78 @@ def clauses(query: str, ontology: Ontology, place_intent: bool, several: bool =
     return [(n, b, parts) for n, b, parts in out if all(parts)]
 
 
-_FOLD = str.maketrans(text.FOLD_ONE | text.FOLD_TWO)
-
-
-def _fold(s: str) -> str:
-    return s.lower().translate(_FOLD)
-
+@dataclass(frozen=True)
+class Found:
+    """id, cell, base of what the postings hold, and the most hits that it can be of so many features."""
 
-def _words(s: str) -> list[str]:
-    return "".join(c if c.isalnum() else " " for c in s).split()
+    hits: DataFrame
+    most: int
+    of: int
 
 
-def base_scores(posts: DataFrame, stats: DataFrame, query: str, ontology: Ontology = Ontology(), place_intent: bool = True, several: bool = True) -> DataFrame:
-    """id, base: relevance of what the postings hold, over all readings of the query. Parts of a reading are counted, so a reading needs all of them.
+def base_scores(posts: DataFrame, stats: DataFrame, query: str, ontology: Ontology = Ontology(), place_intent: bool = True, several: bool = True, tables: Lookups = Lookups(), exact: bool = False) -> Found:
+    """Relevance of what the postings hold, over all readings of the query. Parts of a reading are counted, so a reading needs all of them.
 
-    The terms that the query meets are looked up first. While they are few, as they are for words, they become a plain list,
-    so that the scan of the postings skips all row groups without them.
+    The terms that the query meets are looked up first: by equality, and within one edit by their keys where the index has these. While they are few,
+    as they are for words, they become a plain list, so that the scan of the postings skips all row groups without them.
+    exact: the words of names alone, as they are.
     """
     spark = posts.sparkSession
-    readings = clauses(query, ontology, place_intent, several)
+    readings = [(0, 1.0, [[("name", w, 1.0, False) for w in text.standard_words(text.fold_now(query))]])] if exact else clauses(query, ontology, place_intent, several)
     rows = [(n, boost, i, len(parts), *c) for n, boost, parts in readings for i, part in enumerate(parts) for c in part]
-    asked = F.broadcast(spark.createDataFrame(rows, "reading int, weight double, part int, parts int, field string, word string, boost double, fuzzy boolean"))
-    near = (F.abs(F.octet_length("term") - F.octet_length("word")) <= 1) & text.within_one_edit(F.col("term"), F.col("word"))
-    terms = stats.filter(F.col("field").isin(*sorted({r[4] for r in rows}))).join(asked, "field").filter(F.when(F.col("fuzzy"), near).otherwise(F.col("term") == F.col("word")))
+    asked = spark.createDataFrame(rows, "reading int, weight double, part int, parts int, field string, word string, boost double, fuzzy boolean")
+    own = stats.filter(F.col("field").isin(*sorted({r[4] for r in rows})))
+    if tables.neighbours is None:
+        near = (F.abs(F.octet_length("term") - F.octet_length("word")) <= 1) & text.within_one_edit(F.col("term"), F.col("word"))
+        terms = own.join(F.broadcast(asked), "field").filter(F.when(F.col("fuzzy"), near).otherwise(F.col("term") == F.col("word")))
+    else:
+        same = own.filter(F.col("term").isin(*sorted({r[5] for r in rows}))).join(F.broadcast(asked.filter("not fuzzy")), "field").filter("term = word")
+        terms = same.unionByName(near_terms(tables.neighbours, asked.filter("fuzzy"))) if any(r[7] for r in rows) else same
     few = terms.limit(MAX_TERMS + 1).collect()
+    most, of = 1 << 62, max((r["n_docs"] for r in few), default=0)
     if len(few) <= MAX_TERMS:
+        most = sum({(r["field"], r["term"]): r["df"] for r in few}.values())
         terms = F.broadcast(spark.createDataFrame(few, terms.schema))
         posts = posts.filter(F.col("field").isin(*sorted({r["field"] for r in few})) & F.col("term").isin(*sorted({r["term"] for r in few}))) if few else posts.limit(0)
     found = posts.join(terms, ["field", "term"])
     weight = F.sqrt("tf") * (1 + F.ln(F.col("n_docs") / (F.col("df") + 1))) / F.sqrt("field_len") * F.col("boost")
-    part = found.groupBy("id", "reading", "weight", "parts", "part").agg(F.sum(weight).alias("s"))
-    whole = part.groupBy("id", "reading", "weight", "parts").agg(F.sum("s").alias("s"), F.count("*").alias("n")).filter("n = parts")
-    return whole.groupBy("id").agg(F.sum(F.col("s") * F.col("weight")).alias("base"))
-
-
-def index_hits(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology()) -> DataFrame:
-    """All features that match, with base and final score. Filters hold for every kind of query, and ranking is global."""
+    part = found.groupBy("id", "cell", "reading", "weight", "parts", "part").agg(F.sum(weight).alias("s"))
+    whole = part.groupBy("id", "cell", "reading", "weight", "parts").agg(F.sum("s").alias("s"), F.count("*").alias("n")).filter("n = parts")
+    return Found(whole.groupBy("id", "cell").agg(F.sum(F.col("s") * F.col("weight")).alias("base")), most, of)
+
+
+def filtered_ids(posts: DataFrame, p: Params) -> DataFrame:
+    """id, cell of the features that the postings show to pass all key, value, address and contact filters."""
+    asked = filters.field_terms(p)
+    alternatives = [(n, f, terms) for n, fields in enumerate(asked) for f, terms in fields if terms]
+    if {n for n, *_ in alternatives} != set(range(len(asked))):
+        return posts.select("id", "cell").limit(0)  # a filter without a word
+    met = lambda f, terms: (F.col("field") == f) & F.col("term").isin(*terms)
+    any_ = reduce(Column.__or__, [met(f, terms) for _, f, terms in alternatives])
+    of = F.coalesce(*[F.when(met(f, terms), n) for n, f, terms in alternatives])
+    # the lists by themselves as well: one skips folders, the other row groups
+    some = posts.filter(F.col("field").isin(*sorted({f for _, f, _ in alternatives})) & F.col("term").isin(*sorted({t for *_, terms in alternatives for t in terms})) & any_)
+    return some.select("id", "cell", of.alias("n")).groupBy("id", "cell").agg(F.count_distinct("n").alias("n")).filter(F.col("n") == len(asked)).select("id", "cell")
+
+
+def _fetched(features: DataFrame, hits: DataFrame, selective: bool) -> DataFrame:
+    """The features of hits (id, cell). Few cells become a list in the scan of the features, which skips all others."""
+    if selective and "cell" in features.columns:
+        cells = [r["cell"] for r in hits.select("cell").distinct().limit(MAX_CELLS + 1).collect()]
+        if len(cells) <= MAX_CELLS:
+            features = features.filter(F.col("cell").isin(*cells)) if cells else features.filter(F.lit(False))
+    return features.join(hits.drop("cell"), "id")
+
+
+def index_hits(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology(), tables: Lookups = Lookups(), exact: bool = False) -> DataFrame:
+    """All features that match, with base and final score. Filters hold for every kind of query, and ranking is global.
+
+    Words and filters are answered by postings, and only the features of their hits are read. exact: only features whose name is the query.
+    """
     q = F.lit(p.query)
-    rows = features.filter(filters.indexed_fields(p))
+    rows, by_shape = features, not conf.geometry_mode.startswith("geopoint")
+    if (p.has_radius or p.has_box) and by_shape and conf.geometry_mode != "no-geo" and tables.shapes is not None:
+        rows = touching(tables.shapes, geo.Window(p.min_lat, p.max_lat, p.min_lon, p.max_lon) if p.has_box and not p.has_radius else geo.Window.around(p.lat, p.lon, p.radius_m))
     if (p.has_radius or p.has_box) and conf.geometry_mode.startswith("geopoint"):
         rows = rows.filter(_cells(p))
     if (p.has_radius or p.has_box) and conf.geometry_mode != "no-geo":
@@ -193,8 +231,15 @@ def index_hits(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Param
             rows = rows.filter(filters.spatial_point(lat, lon, one))
         else:
             rows = rows.filter(filters.spatial_shape(F.col("geom.coords"), p))
+    spatial = p.has_radius or p.has_box
     if p.query.strip():
-        rows = rows.join(base_scores(posts, stats, p.query, ontology, p.place_intent, not p.fuzzy and not p.prefix), "id")
+        found = base_scores(posts, stats, p.query, ontology, p.place_intent, not p.fuzzy and not p.prefix, tables, exact)
+        hits = found.hits.join(filtered_ids(posts, p).select("id"), "id") if filters.field_terms(p) else found.hits
+        if exact:
+            hits = hits.join(tables.names.filter(F.col("folded") == text.fold_now(p.query.strip())).select("id"), "id", "left_semi")
+        rows = _fetched(rows, hits, tables.names is not None and not spatial and SELECTIVE * found.most <= found.of)
+    elif filters.field_terms(p):
+        rows = _fetched(rows, filtered_ids(posts, p), tables.names is not None and not spatial).withColumn("base", F.lit(1.0))
     else:
         rows = rows.withColumn("base", F.lit(1.0))
     seen = F.col("names") if conf.store_secondary_names else F.map_filter("names", lambda k, v: F.lit(False))
@@ -228,21 +273,36 @@ def _cells(p: Params) -> Column:
     return F.col("cell").isin(*[(x << GRID_ZOOM) + y for x in range(x1, x2 + 1) for y in range(y1, y2 + 1)])
 
 
-def index_all(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology()) -> DataFrame:
+def index_all(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology(), tables: Lookups = Lookups()) -> DataFrame:
     """All hits; "X near Y" finds Y first and then X around it, with the other filters kept."""
     if p.near:
         what, where = p.near
-        at = _reference(index_hits(features, posts, stats, Params(query=where, langs=p.langs), conf, ontology))
+        at = _reference(index_hits(features, posts, stats, Params(query=where, langs=p.langs), conf, ontology, tables))
         rest = replace(p, query=what, min_lat=None, max_lat=None, min_lon=None, max_lon=None)
         if at is None:
-            return index_hits(features, posts, stats, rest, conf, ontology).filter(F.lit(False))
+            return index_hits(features, posts, stats, rest, conf, ontology, tables).filter(F.lit(False))
         p = replace(rest, lat=at[0], lon=at[1], radius=p.radius or f"{NEAR_M}m")
-    return index_hits(features, posts, stats, p, conf, ontology)
+    return index_hits(features, posts, stats, p, conf, ontology, tables)
 
 
-def index_search(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology()) -> DataFrame:
-    """A page of index_all. Exact names need no merging in: the postings hold every name's words, and an exact name outranks all else."""
-    return page(index_all(features, posts, stats, p, conf, ontology), p)
+def exact_first(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology(), tables: Lookups = Lookups()) -> DataFrame:
+    """All hits; for a short text that asks for a place, those alone that have it as their name, where these fill the page.
+
+    Where they don't, they are among all hits already, and need no merging in.
+    """
+    if p.place_intent and tables.names is not None:
+        need = p.offset + p.page_size
+        same = tables.names.filter(F.col("folded") == text.fold_now(p.query.strip()))
+        if same.limit(need).count() == need:
+            hits = index_hits(features, posts, stats, p, conf, ontology, tables, exact=True)
+            if not (p.has_radius or p.has_box) or hits.limit(need).count() == need:
+                return hits
+    return index_all(features, posts, stats, p, conf, ontology, tables)
+
+
+def index_search(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology(), tables: Lookups = Lookups()) -> DataFrame:
+    """A page of exact_first."""
+    return page(exact_first(features, posts, stats, p, conf, ontology, tables), p)
 
 
 def exact_names(features: DataFrame, queries: DataFrame) -> DataFrame:

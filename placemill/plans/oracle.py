@@ -139,14 +139,18 @@ def direct_near(what: str, where: str, radius_m: int) -> str:
 
 _KEYWORDS = "k.key, k.value, list(c.key ORDER BY c.pos) AS keys, list(c.value ORDER BY c.pos) AS vals"
 # all postings: field, term, id, tf, field_len; other names are the brand alone
-POSTS = f"""{BEST}, {NAMED}, feats AS (SELECT k.osm_id, any_value({ID.replace('entity_type', 'n.entity_type').replace('osm_id', 'n.osm_id')}) AS id, any_value(n.full_name) AS full_name, any_value(n.brand) AS brand, any_value(n.lat) AS lat, any_value(n.lon) AS lon, any_value(k.importance) AS importance, any_value(k.key) AS key, any_value(k.value) AS value, list(c.key ORDER BY c.pos) AS keys, list(c.value ORDER BY c.pos) AS vals
+POSTS = f"""{BEST}, {NAMED}, feats AS (SELECT k.osm_id, any_value({ID.replace('entity_type', 'n.entity_type').replace('osm_id', 'n.osm_id')}) AS id, any_value(n.full_name) AS full_name, any_value(n.brand) AS brand, any_value(n.lat) AS lat, any_value(n.lon) AS lon, any_value(k.importance) AS importance, any_value(k.key) AS key, any_value(k.value) AS value, list(c.key ORDER BY c.pos) AS keys, list(c.value ORDER BY c.pos) AS vals, any_value(n.street) AS street, any_value(n.city) AS city, any_value(n.country) AS country, any_value(n.housenumber) AS housenumber, any_value(n.postcode) AS postcode, any_value(CASE WHEN n.phone <> '' THEN n.phone ELSE n.contact_phone END) AS phone, any_value(n.wheelchair) AS wheelchair, any_value(n.opening_hours) AS opening_hours
   FROM best k JOIN named n USING (osm_id) JOIN classes c USING (osm_id) GROUP BY k.osm_id),
- toks AS (SELECT id, {words(fold('full_name'))} AS nw, {words(fold('brand'))} AS bw, key, value, keys, vals FROM feats),
+ toks AS (SELECT id, {words(fold('full_name'))} AS nw, {words(fold('brand'))} AS bw, key, value, keys, vals, street, city, country, housenumber, postcode, phone, wheelchair, opening_hours FROM feats),
  each AS (SELECT id, 'name' AS field, list_filter(nw, lambda t: t NOT IN ({_STOP})) AS terms FROM toks UNION ALL SELECT id, 'search_names', list_filter(bw, lambda t: t NOT IN ({_STOP})) FROM toks
   UNION ALL SELECT id, 'name_edge_ngram', flatten(list_transform(nw, lambda t: list_transform(range(1, least(12, length(t)) + 1), lambda n: substring(t, 1, n)))) FROM toks
   UNION ALL SELECT id, 'search_names_edge_ngram', flatten(list_transform(bw, lambda t: list_transform(range(1, least(12, length(t)) + 1), lambda n: substring(t, 1, n)))) FROM toks
   UNION ALL SELECT id, 'key', [lower(key)] FROM toks UNION ALL SELECT id, 'value', [lower(value)] FROM toks
-  UNION ALL SELECT id, 'keys', list_transform(keys, lambda x: lower(x)) FROM toks UNION ALL SELECT id, 'values', list_transform(vals, lambda x: lower(x)) FROM toks),
+  UNION ALL SELECT id, 'keys', list_transform(keys, lambda x: lower(x)) FROM toks UNION ALL SELECT id, 'values', list_transform(vals, lambda x: lower(x)) FROM toks
+  UNION ALL SELECT id, 'addr:street', list_filter({words('lower(street)')}, lambda t: t NOT IN ({_STOP})) FROM toks UNION ALL SELECT id, 'addr:city', list_filter({words('lower(city)')}, lambda t: t NOT IN ({_STOP})) FROM toks
+  UNION ALL SELECT id, 'addr:country', list_filter({words('lower(country)')}, lambda t: t NOT IN ({_STOP})) FROM toks UNION ALL SELECT id, 'addr:housenumber', [housenumber] FROM toks UNION ALL SELECT id, 'addr:postcode', [postcode] FROM toks
+  UNION ALL SELECT id, 'phone', [lower(phone)] FROM toks UNION ALL SELECT id, 'wheelchair', [wheelchair] FROM toks UNION ALL SELECT id, 'opening_hours', [lower(opening_hours)] FROM toks
+  UNION ALL SELECT id, 'display_address', [lower(concat_ws(', ', housenumber, street, city, postcode, country))] FROM toks),
  posts AS (SELECT field, term, id, count(*) AS tf, CAST(any_value(n) AS INTEGER) AS field_len FROM (SELECT id, field, len(terms) AS n, unnest(terms) AS term FROM each) WHERE term <> '' GROUP BY field, term, id)"""
 
 
@@ -259,6 +263,10 @@ SQL: dict[str, str] = {
     "exact_names": f"WITH {BEST}, {NAMED}, f AS (SELECT osm_id, {ID.replace('entity_type', 'n.entity_type')} AS id, {fold('trim(full_name)')} AS folded FROM named n JOIN best USING (osm_id)) SELECT a.osm_id AS qid, b.id FROM f a JOIN f b USING (folded) WHERE folded <> ''",
     "postings": f"WITH {POSTS} SELECT field, term, id, tf, field_len FROM posts",
     "term_stats": f"WITH {POSTS}, n AS (SELECT field, count(DISTINCT id) AS n_docs FROM posts GROUP BY field) SELECT field, term, count(*) AS df, min(n_docs) AS n_docs FROM posts JOIN n USING (field) GROUP BY field, term",
+    "edit_neighbours": f"WITH {POSTS}, t AS (SELECT term, count(*) AS df FROM posts WHERE field = 'name' GROUP BY term) SELECT a.term AS word, b.term AS term, b.df FROM t a JOIN t b ON abs(strlen(a.term) - strlen(b.term)) <= 1 AND levenshtein(a.term, b.term) <= 1",
+    "index_filters": f"WITH {POSTS} SELECT f.id FROM feats f WHERE (f.key IN ('tourism', 'shop') OR list_has_any(f.keys, ['tourism', 'shop'])) AND f.wheelchair = 'limited' AND list_has_any({words('lower(street)')}, ['main']) AND list_has_any({words('lower(city)')}, ['nation', '2'])",
+    "index_exact_first": f"""WITH {POSTS}, n AS (SELECT {fold('trim(full_name)')} AS folded, count(*) AS n FROM feats WHERE full_name <> '' GROUP BY 1), top AS (SELECT folded FROM n ORDER BY n DESC, folded LIMIT 1)
+ SELECT id, full_name AS name, CAST(row_number() OVER (ORDER BY importance DESC, id) AS INTEGER) AS rank FROM feats WHERE {fold('trim(full_name)')} = (SELECT folded FROM top)""",
     "index_search": index(("museum",)),
     "index_near": index_near("castles", "thent", 20000),
     "index_multiword": index(("castles", "er"), "k.osm_id IN (SELECT osm_id FROM classes WHERE key = 'historic')"),

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from placemill.config import Config, Params
 from placemill.operators import tiles
+from placemill.operators.lookups import Lookups
 from placemill.plans import engine
 
 
@@ -23,10 +24,13 @@ class Index:
     features: DataFrame
     postings: DataFrame
     statistics: DataFrame
+    tables: Lookups = field(default_factory=Lookups)
 
     @staticmethod
-    def read(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("features", "postings", "statistics")))
+    def read(spark: SparkSession, path: str, shapes: bool = False) -> Index:
+        """shapes: the index was built in a mode of shapes."""
+        table = lambda name: spark.read.parquet(f"{path}/{name}")
+        return Index(table("features"), table("postings"), table("statistics"), Lookups(table("neighbours"), table("names"), table("shapes") if shapes else None))
 
 
 @dataclass
@@ -53,7 +57,7 @@ class Service:
         kind, name = self._route(mode, name)
         if kind == "index":
             i = self.indexes[name]
-            return engine.index_all(i.features, i.postings, i.statistics, p, self.conf, self.ontology)
+            return engine.exact_first(i.features, i.postings, i.statistics, p, self.conf, self.ontology, i.tables)
         rows = self.objects[name] if kind == "pbf" else tiles.objects(self.tiles[name], self.conf.languages)
         return engine.direct_all(rows, p, self.conf, self.ontology, repeated=kind == "pmtiles")
 

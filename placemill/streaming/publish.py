@@ -23,7 +23,7 @@ def publish(objects: DataFrame, root: str, version: str, conf: Config, levels: M
         built = classify.add_importance_table(built, *ontology.importance_scores(importance), conf.languages)
     built.write.mode("overwrite").parquet(f"{path}/built")
     stored = spark.read.parquet(f"{path}/built")
-    features.write(stored, features.postings(stored, conf.name_analyzer), path)
+    features.write(stored, features.postings(stored, conf.name_analyzer), path, conf.geometry_mode.startswith("geoshape"))
     if view:
         spark.read.parquet(f"{path}/features").createOrReplaceTempView(view)
     return path
