@@ -16,9 +16,18 @@ _TOKEN = r"[\p{L}\p{Nd}]+"
 _FOLD_NOW = str.maketrans(FOLD_ONE | FOLD_TWO)
 
 
+#: White space of any kind: ASCII, next line, and the separators of Unicode.
+_SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(F.regexp_replace(c, r"^[\s\x{85}\p{Z}]+", ""), r"[\s\x{85}\p{Z}]+\z", "")
+    return F.btrim(c, F.lit(_SPACES))
+
+
+def trim_now(s: str) -> str:
+    """trim() of a text that the driver holds."""
+    return s.strip(_SPACES)
 
 
 def fold(c: Column) -> Column:
@@ -103,19 +112,57 @@ def folded(values: Column) -> Column:
     return F.transform(F.filter(values, lambda v: F.coalesce(v, F.lit("")) != ""), lambda v: fold(trim(v)))
 
 
+_W, _N = r"[\p{L}\p{Nd}]", r"[^\p{L}\p{Nd}]"
+
+
+def has_prefix(v: Column, c: str) -> Column:
+    """Whether the value without its other characters, or one of its words, starts with c, which is letters and digits: one search of the value."""
+    return F.rlike(v, F.lit(f"(?:(?<!{_W}){c}|^{_N}*+{f'{_N}*+'.join(c)})"))
+
+
+def has_near_word(v: Column, c: str) -> Column:
+    """Whether the value without its other characters, or one of its words, is within one byte edit of c (lower-case letters and digits).
+
+    Words one edit from ASCII letters are ASCII, so a search for all of them finds such a word; for others each word of a fitting length is compared.
+    A value of more than one letter beyond c's bytes is too long as a whole, which shows after so many of its letters.
+    """
+    n = len(c.encode())
+    if c.isascii():
+        any_ = "[a-z0-9]"
+        less = "?" if len(c) > 1 else ""  # no word is empty
+        ways = [f"{c[:i]}{any_}{less}{c[i + 1 :]}" for i in range(len(c))] + [f"{c[:i]}{any_}{c[i:]}" for i in range(len(c) + 1)]
+        word = F.rlike(v, F.lit(f"(?<!{_W})(?:{'|'.join(dict.fromkeys(ways))})(?!{_W})"))
+    else:
+        word = F.exists(tokens(v), lambda t: (F.abs(F.octet_length(t) - n) <= 1) & within_one_edit(t, F.lit(c)))
+    short = F.rlike(v, F.lit(f"^{_N}*+(?:{_W}{_N}*+){{0,{n + 1}}}+\\z"))
+    return word | (short & within_one_edit(compact(v), F.lit(c)))
+
+
 def _has_word(v: Column, test) -> Column:
     """Whether the value without its other characters, or one of its words, passes."""
     return test(compact(v)) | F.exists(tokens(v), test)
 
 
-def best_match(values: Column, query: Column) -> Column:
+def best_match(values: Column, query: Column | str, held: bool = False) -> Column:
     """The best of the values: 400 equal, 300 contained, 220 prefix, 160 within one edit, else 0. values: folded.
 
-    A worse kind of match is looked for only where no value has a better one.
+    A worse kind of match is looked for only where no value has a better one. A query that the driver holds is searched for by patterns.
+    held: some value is known to contain the query, so that all that matters is whether a value equals it.
     """
+    any_ = lambda test: F.exists(values, test)
+    if isinstance(query, str):
+        said = fold_now(trim_now(query))
+        letters = "".join(words_now(said))
+        if said == "":
+            return F.lit(0.0)
+        if held:
+            return F.when(any_(lambda v: trim(v) == trim_now(said)), 400.0).otherwise(300.0)
+        out = F.when(F.size(values) == 0, 0.0).when(any_(lambda v: trim(v) == trim_now(said)), 400.0).when(any_(lambda v: F.contains(v, F.lit(said))), 300.0)
+        if not letters:
+            return out.otherwise(0.0)
+        return out.when(any_(lambda v: has_prefix(v, letters)), 220.0).when(any_(lambda v: has_near_word(v, letters)), 160.0).otherwise(0.0)
     q = fold(trim(query))
     c = compact(q)
-    any_ = lambda test: F.exists(values, test)
     out = F.when((q == "") | (F.size(values) == 0), 0.0).when(any_(lambda v: trim(v) == trim(q)), 400.0).when(any_(lambda v: F.contains(v, q)), 300.0)
     out = out.when((c != "") & any_(lambda v: _has_word(v, lambda t: F.startswith(t, c))), 220.0)
     return out.when((c != "") & any_(lambda v: _has_word(v, lambda t: within_one_edit(t, c))), 160.0).otherwise(0.0)
@@ -132,16 +179,22 @@ def exact_match(values: Column, query: Column) -> Column:
     return (q != "") & F.array_contains(values, q)
 
 
-def direct_match(value: Column, query: Column, prefix: bool = False, fuzzy: bool = False) -> Column:
+def direct_match(value: Column, query: str, prefix: bool = False, fuzzy: bool = False) -> Column:
     """Lower-cased containment; with the flags also prefix of the compact value or a token, or one edit. No accent folding."""
-    v, q = F.lower(value), F.lower(query)
-    c, words = compact(q), tokens(v)
-    out = F.contains(v, q)
-    if prefix:
-        out = out | ((c != "") & (F.startswith(compact(v), c) | F.exists(words, lambda t: F.startswith(t, c))))
-    if fuzzy:
-        out = out | ((c != "") & (within_one_edit(compact(v), c) | F.exists(words, lambda t: within_one_edit(t, c))))
-    return (F.coalesce(value, F.lit("")) != "") & (q != "") & out
+    v, q = F.lower(value), query.lower()
+    c = "".join(words_now(q))
+    out = F.contains(v, F.lit(q))
+    if prefix and c:
+        out = out | has_prefix(v, c)
+    if fuzzy and c:
+        out = out | has_near_word(v, c)
+    return (F.coalesce(value, F.lit("")) != "") & F.lit(q != "") & out
+
+
+def short_enough(values: Column, query: str) -> Column:
+    """The values that folding can make equal to the query: it takes no letter away, so those of no more letters than it has."""
+    n = len(fold_now(trim_now(query)))
+    return F.filter(F.transform(F.filter(values, lambda v: F.coalesce(v, F.lit("")) != ""), trim), lambda v: F.length(v) <= n)
 
 
 # --- query texts -------------------------------------------------------------------------------------------------

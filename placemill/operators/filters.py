@@ -20,7 +20,7 @@ def direct_text(tags: Column, p: Params) -> Column:
     """Any tag value matches the query."""
     if not p.query:
         return F.lit(True)
-    return F.exists(F.map_values(tags), lambda v: text.direct_match(v, F.lit(p.query), p.prefix, p.fuzzy))
+    return F.exists(F.map_values(tags), lambda v: text.direct_match(v, p.query, p.prefix, p.fuzzy))
 
 
 def direct_fields(tags: Column, classes: Column, p: Params) -> Column:

@@ -52,12 +52,16 @@ Q1255653|3|stadium|leisure=stadium
 """
 SCHEMA = "qid string, level int, label string, osm_key string, osm_value string"
 #: Lookups that are compiled into expressions hold at most so many rows; larger tables are joined.
-MAX_LITERAL = 5_000
+MAX_LITERAL, MAX_BROADCAST = 5_000, 200_000
 
 
-def built_in(spark: SparkSession) -> DataFrame:
+def built_in_rows() -> list[tuple[str, int, str, str, str]]:
     rows = [line.split("|") for line in BUILT_IN.strip().splitlines()]
-    return spark.createDataFrame([(q, int(level), label, *kv.split("=")) for q, level, label, kv in rows], SCHEMA)
+    return [(q, int(level), label, *kv.split("=")) for q, level, label, kv in rows]
+
+
+def built_in(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(built_in_rows(), SCHEMA)
 
 
 def read_ontology(spark: SparkSession, path: str) -> DataFrame:
@@ -88,13 +92,18 @@ def level_map(ontology: DataFrame) -> dict[str, int]:
 
 
 def label_matches(queries: DataFrame, ontology: DataFrame, column: str = "query") -> DataFrame:
-    """Queries with the tags that their text names: by label, or, where no label fits, without a final s."""
+    """Queries with the tags that their text names: by label, or, where no label fits, without a final s.
+
+    The ontology is broadcast while it has at most MAX_BROADCAST rows.
+    """
     text = F.lower(trim(F.col(column)))
+    small = ontology.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    held = lambda df: F.broadcast(df) if small else df
     labels = ontology.select(F.lower("label").alias("l"), "osm_key", "osm_value")
     asked = queries.withColumn("l", text)
-    whole = asked.join(F.broadcast(labels), "l").withColumn("plural", F.lit(False))
-    rest = asked.join(F.broadcast(labels.select("l").distinct()), "l", "left_anti").filter(F.endswith("l", F.lit("s"))).withColumn("l", F.expr("substring(l, 1, length(l) - 1)"))
-    return whole.unionByName(rest.join(F.broadcast(labels), "l").withColumn("plural", F.lit(True))).drop("l")
+    whole = asked.join(held(labels), "l").withColumn("plural", F.lit(False))
+    rest = asked.join(held(labels.select("l").distinct()), "l", "left_anti").filter(F.endswith("l", F.lit("s"))).withColumn("l", F.expr("substring(l, 1, length(l) - 1)"))
+    return whole.unionByName(rest.join(held(labels), "l").withColumn("plural", F.lit(True))).drop("l")
 
 
 def importance_scores(table: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -25,11 +25,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def _levels(spark: SparkSession) -> dict[str, int]:
-    return ontology.level_map(ontology.built_in(spark))
+    return dict(engine.Ontology.built_in().levels)
 
 
 def _ontology(spark: SparkSession) -> engine.Ontology:
-    return engine.Ontology.of(ontology.built_in(spark))
+    return engine.Ontology.built_in()
 
 
 def _classed(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +138,10 @@ def boost_patterns(spark, d):
 
 @query
 def ontology_levels(spark, d):
-    own = ontology.levels(ontology.built_in(spark)).filter(F.size("qids") > 1)
+    """Levels of an ontology that is made of the places: each place's class under the id of its wiki entry, at a level by its population."""
+    level = (F.length("population") % 7).cast("int")
+    table = a.poi(spark, d).select(F.col("wikidata").alias("qid"), level.alias("level"), F.col("v").alias("label"), F.col("k").alias("osm_key"), F.col("v").alias("osm_value"))
+    own = ontology.levels(table).filter(F.size("qids") > 1)
     return own.select("osm_key", "osm_value", "level", F.array_join("qids", ",").alias("qids"))
 
 

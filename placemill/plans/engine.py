@@ -39,10 +39,24 @@ class Ontology:
         rows = table.select("label", "osm_key", "osm_value").limit(MAX_LITERAL + 1).collect()
         if len(rows) > MAX_LITERAL:
             raise ValueError(f"more than {MAX_LITERAL} labels: match queries by operators.ontology.label_matches, a join, instead")
+        return Ontology(level_map(table), Ontology._tags(rows))
+
+    @staticmethod
+    def built_in() -> Ontology:
+        """The ontology that comes with the code, without a job."""
+        from placemill.operators.ontology import built_in_rows
+
+        levels: dict[str, int] = {}
+        for _, level, _, key, value in built_in_rows():
+            levels[f"{key}={value}"] = min(level, levels.get(f"{key}={value}", level))
+        return Ontology(levels, Ontology._tags([r[2:] for r in built_in_rows()]))
+
+    @staticmethod
+    def _tags(rows: Sequence[tuple[str, str, str]]) -> dict[str, list[tuple[str, str]]]:
         tags: dict[str, list[tuple[str, str]]] = {}
-        for r in rows:
-            tags.setdefault(r["label"].lower(), []).append((r["osm_key"], r["osm_value"]))
-        return Ontology(level_map(table), tags)
+        for label, key, value in rows:
+            tags.setdefault(label.lower(), []).append((key, value))
+        return tags
 
     def named(self, query: str) -> list[tuple[str, str]]:
         q = query.strip().lower()
@@ -89,7 +103,10 @@ def direct_hits(objects: DataFrame, p: Params, conf: Config = Config(), ontology
     if p.query:
         category = F.array_max(F.transform(classes, lambda c: ranking.category_match(q, c["key"], c["value"], ontology.named(p.query))))
         tier = F.array_max(F.transform(classes, lambda c: ranking.entity_tier(c["key"])))
-        rows = once(rows, values=text.folded(F.map_values(tags)), known=text.folded(known)).transform(lambda r: once(r, s_base=text.best_match(F.col("values"), q), s_name=text.best_match(F.col("known"), q), s_category=category, s_tier=tier, s_exact=text.exact_match(F.col("known"), q)))
+        # without the flags every row that is left holds the query; what folding can make equal to it is short
+        held = not p.prefix and not p.fuzzy
+        values = text.short_enough(F.map_values(tags), p.query) if held else F.map_values(tags)
+        rows = once(rows, values=text.folded(values), known=text.folded(known)).transform(lambda r: once(r, s_base=text.best_match(F.col("values"), p.query, held), s_name=text.best_match(F.col("known"), p.query), s_category=category, s_tier=tier, s_exact=text.exact_match(F.col("known"), q)))
         score = ranking.shared_score(q, F.col("s_base"), F.col("s_name"), F.col("s_category"), F.col("s_tier"), F.col("importance"), F.col("s_exact"), F.size("known") > 0)
     else:
         score = F.greatest(F.col("importance"), F.lit(0.0)) * 1000
@@ -250,7 +267,7 @@ def index_hits(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Param
         tier = F.array_max(F.transform(F.concat(F.array("key"), "keys"), lambda k: ranking.entity_tier(k)))
     else:
         key, value, importance, category, tier = F.lit(""), F.lit(""), F.lit(0.0), F.lit(0.0), F.lit(0)
-    rows = once(rows, known=text.folded(known)).transform(lambda r: once(r, s_name=text.best_match(F.col("known"), q), s_category=category, s_tier=tier, s_exact=text.exact_match(F.col("known"), q)))
+    rows = once(rows, known=text.folded(known)).transform(lambda r: once(r, s_name=text.best_match(F.col("known"), p.query), s_category=category, s_tier=tier, s_exact=text.exact_match(F.col("known"), q)))
     score = ranking.shared_score(q, F.col("base"), F.col("s_name"), F.col("s_category"), F.col("s_tier"), importance, F.col("s_exact"), F.size("known") > 0)
     at = [(F.col(f"geom.{c}") if conf.store_geometry else F.lit(None).cast("double")).alias(c) for c in ("lat", "lon")]
     by_language = [F.coalesce(F.try_element_at("names", F.lit(f"name:{x}")), F.lit("")).alias(f"name:{x}") for x in p.langs]

@@ -214,7 +214,7 @@ SQL: dict[str, str] = {
     "classify_best": f"WITH {BEST} SELECT osm_id, key, value, ont_level, round(importance, 6) AS importance FROM best",
     "classify_counts": f"WITH {BEST} SELECT key, count(*) AS n, round(max(importance), 6) AS top, round(avg(importance), 6) AS mean FROM best GROUP BY key",
     "boost_patterns": f"WITH {POI} SELECT osm_id, k = 'place' OR v = 'place' AS plain, k = 'amenity' AND v = 'cafe' AS both, k = 'shop' AS any_value, k = 'shop' AS no_value, v = 'castle' AS any_key, v = 'castle' AS no_key FROM poi",
-    "ontology_levels": "WITH o(osm_key, osm_value, level) AS (VALUES ('natural','water',2), ('boundary','administrative',1)) SELECT osm_key, osm_value, CAST(level AS INTEGER) AS level, CASE osm_value WHEN 'water' THEN 'Q15324,Q23397' ELSE 'Q108681067,Q13220611,Q13414608,Q20166006,Q22927291,Q24010666' END AS qids FROM o",
+    "ontology_levels": f"WITH {POI} SELECT k AS osm_key, v AS osm_value, CAST(min(length(population) % 7) AS INTEGER) AS level, array_to_string(list_sort(list(DISTINCT wikidata)), ',') AS qids FROM poi GROUP BY k, v HAVING count(DISTINCT wikidata) > 1",
     "ontology_label_lookup": f"WITH {POI}, o(label, k, val) AS (VALUES ('city','place','city'), ('museum','tourism','museum'), ('park','leisure','park'), ('castle','historic','castle'), ('restaurant','amenity','restaurant'), ('cafe','amenity','cafe'), ('village','place','village')) SELECT osm_id, o.k AS osm_key, o.val AS osm_value, osm_id % 2 = 0 AS plural FROM poi JOIN o ON o.label = poi.v",
     "wikidata_scores": "SELECT concat('Q', o_custkey % 200) AS wikidata_id, round(max(o_totalprice / 1e6), 9) AS score FROM orders GROUP BY 1",
     "wikidata_scores_by_language": "SELECT concat('Q', o_custkey % 200) AS wikidata_id, ['en','de','fr','es','it'][o_orderkey % 5 + 1] AS language, round(max(o_totalprice / 1e6), 9) AS score FROM orders GROUP BY 1, 2",

@@ -165,3 +165,28 @@ def test_tile_tags(spark):
     assert row("poi", **{"class": "cafe", "rank": "3", "name": "X"}) == {"amenity": "cafe", "shop": "cafe", "tourism": "cafe", "importance": "3"}
     assert row("water", subclass="lake") == {"natural": "water", "water": "lake"} and row("housenumber", **{"class": "h", "housenumber": "4"}) == {"amenity": "address", "addr:housenumber": "4"}
     assert row("building", **{"class": "b"}) == {"building": "yes"} and row("transportation", **{"class": "primary"}) == {"highway": "primary"}
+
+
+@pytest.mark.parametrize("query", ["cestle", "castle", "a", "st. peter", "münster", "éa", "x1", "--", "", " the "])
+def test_patterns_of_known_queries_match_as_columns_do(spark, query):
+    """A query that the driver holds is searched for by patterns; the same query as a column is compared word by word."""
+    import random
+
+    r = random.Random(query)
+    words = ["castle", "castl", "cestle", "acastle", "cast1e", "xcastlex", "stpeter", "peter", "muenster", "munster", "müenster", "éa", "ea", "éb", "x", "x1", "x12", "th", "the", "日本"]
+    texts = ["".join(w + r.choice([" ", "-", ".", "", "  ", "\n"]) for w in r.choices(words, k=r.randrange(4))) for _ in range(400)] + ["", "  ", "..."]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("f", text.folded(F.array("t")))
+    got = rows.select("t", text.best_match(F.col("f"), query).alias("now"), text.best_match(F.col("f"), F.lit(query)).alias("column"))
+    assert [x for x in got.collect() if x["now"] != x["column"]] == []
+    q = query.lower()
+    c = "".join(text.words_now(q))
+    v = F.lower("t")
+    plain = lambda test: (F.col("t") != "") & F.lit(q != "") & (F.contains(v, F.lit(q)) | (F.lit(c != "") & (test(text.compact(v)) | F.exists(text.tokens(v), test))))
+    both = rows.select("t", text.direct_match(F.col("t"), query, prefix=True).alias("a"), plain(lambda w: F.startswith(w, F.lit(c))).alias("b"), text.direct_match(F.col("t"), query, fuzzy=True).alias("c"), plain(lambda w: text.within_one_edit(w, F.lit(c))).alias("d"))
+    assert [x for x in both.collect() if x["a"] != x["b"] or x["c"] != x["d"]] == []
+
+
+def test_white_space_is_trimmed_alike(spark):
+    every = [chr(c) + "x" + chr(c) for c in (*range(0x21), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2030), 0x205F, 0x3000, 0xFEFF)]
+    rows = spark.createDataFrame([(t,) for t in every], "t string").select("t", text.trim(F.col("t")).alias("s"), F.regexp_replace(F.regexp_replace("t", r"^[\s\x{85}\p{Z}]+", ""), r"[\s\x{85}\p{Z}]+\z", "").alias("p")).collect()
+    assert all(x["s"] == x["p"] == text.trim_now(x["t"]) for x in rows)
