@@ -35,8 +35,6 @@ class Config:
     store_contact_info: bool = True
     store_address: bool = True
     pmtiles_post_process: bool = False
-    cache_size: int = 1000
-    cache_ttl_seconds: float = 300.0
 
     @staticmethod
     def from_toml(text: str, base: Config | None = None) -> Config:

@@ -84,18 +84,18 @@ def statistics(posts: DataFrame) -> DataFrame:
     return terms.join(F.broadcast(docs), "field")
 
 
-def write(features: DataFrame, posts: DataFrame, path: str, shapes: bool = False) -> None:
+def write(features: DataFrame, posts: DataFrame, path: str, shapes: bool = False, stats: DataFrame | None = None) -> None:
     """An index is tables sorted so that row groups can be skipped: features by grid cell, postings by field and term, their statistics, terms
     within one edit by key, whole names, and (shapes) features by the cells that their shapes touch.
 
-    Ranges over (cell, id), (field, term, id) and (key, term) split a crowded cell or a common term among tasks.
+    Ranges over (cell, id), (field, term, id) and (key, term) split a crowded cell or a common term among tasks. stats: those of the postings, where they are known.
     """
     spark = features.sparkSession
     features.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.mode("overwrite").parquet(f"{path}/features")
     posts.repartitionByRange("field", "term", "id").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
-    stored = spark.read.parquet(f"{path}/postings").select(*posts.columns)
-    statistics(stored).sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/statistics")
-    lookups.neighbours(spark.read.parquet(f"{path}/statistics")).repartitionByRange("field", "key", "term").sortWithinPartitions("field", "key").write.mode("overwrite").partitionBy("field").parquet(f"{path}/neighbours")
+    stored = spark.read.schema(posts.schema).parquet(f"{path}/postings")
+    (statistics(stored) if stats is None else stats).sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/statistics")
+    lookups.neighbours(spark.read.schema("term string, df long, n_docs long, field string").parquet(f"{path}/statistics")).repartitionByRange("field", "key", "term").sortWithinPartitions("field", "key").write.mode("overwrite").partitionBy("field").parquet(f"{path}/neighbours")
     lookups.whole_names(features).repartitionByRange("folded", "id").sortWithinPartitions("folded").write.mode("overwrite").parquet(f"{path}/names")
     if shapes:
         lookups.by_cell(features).repartitionByRange("at", "id").sortWithinPartitions("at").write.mode("overwrite").parquet(f"{path}/shapes")

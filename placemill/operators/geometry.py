@@ -29,12 +29,21 @@ def way_coords(way_nodes: DataFrame, nodes: DataFrame) -> DataFrame:
     return points.select("id", coords.alias("coords")).filter(F.size("coords") >= 2)
 
 
-def relation_points(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, lon, lat: the first member that is a node with known coordinates."""
-    known = members.filter("type = 'node'").join(nodes.withColumnRenamed("id", "ref"), "ref")
+def relation_points(members: DataFrame, nodes: DataFrame, ways: DataFrame | None = None) -> DataFrame:
+    """id, lon, lat: the first member that is a node with known coordinates, or (ways: id, lon, lat) a way that carries some of its own."""
+    node, way = members.filter("type = 'node'"), members.filter("type = 'way'")
+    known = node.join(nodes.select(F.col("id").alias("ref"), "lon", "lat"), "ref").select("id", "at", "lon", "lat")
+    if ways is not None:
+        known = known.unionByName(way.join(ways.select(F.col("id").alias("ref"), "lon", "lat"), "ref").select("id", "at", "lon", "lat"))
     return known.groupBy("id").agg(F.min(F.struct("at", "lon", "lat")).alias("m")).select("id", "m.lon", "m.lat")
 
 
+def own_points(way_nodes: DataFrame) -> DataFrame:
+    """id, lon, lat: the first of the coordinates that a way carries itself."""
+    own = way_nodes.filter("not (lon = 0 and lat = 0)")
+    return own.groupBy("id").agg(F.min(F.struct("at", "lon", "lat")).alias("m")).select("id", "m.lon", "m.lat")
+
+
 def _simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
     """Which points of a line stay (Douglas-Peucker); the first and last always do."""
     keep = np.zeros(len(points), bool)
@@ -55,12 +64,40 @@ def _simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
+#: Pairs of segments that are compared at once.
+_PAIRS = 1 << 20
+
+
 def _crosses(points: np.ndarray) -> bool:
-    """Whether a ring's edges meet elsewhere than at shared ends."""
-    a, b = points[:-1], points[1:]
-    side = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
-    p, q, r, s = a[:, None], b[:, None], a[None], b[None]
-    return bool(((side(p, q, r) * side(p, q, s) < 0) & (side(r, s, p) * side(r, s, q) < 0)).any())
+    """Whether a ring's edges meet elsewhere than at shared ends.
+
+    A sweep along the axis on which fewer edges overlap: each edge is compared with those that start before it ends, in blocks of bounded size.
+    """
+    low, high = np.minimum(points[:-1], points[1:]), np.maximum(points[:-1], points[1:])
+
+    def sweep(axis: int) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(low[:, axis], kind="stable")
+        return order, np.searchsorted(low[order, axis], high[order, axis], "right") - np.arange(len(order)) - 1
+
+    order, behind = min((sweep(axis) for axis in (0, 1)), key=lambda s: int(s[1].sum()))
+    p, q, low, high = points[:-1][order], points[1:][order], low[order], high[order]
+    side = lambda p, q, r: np.sign((q[:, 0] - p[:, 0]) * (r[:, 1] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (r[:, 0] - p[:, 0]))
+    upto = np.cumsum(behind)
+    start = 0
+    while start < len(behind):
+        done = upto[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(upto, done + _PAIRS, "right")))
+        own = behind[start:stop]
+        for first in range(0, int(own.max(initial=0)), _PAIRS):  # one edge may overlap more than a block
+            n = np.clip(own - first, 0, _PAIRS)
+            i = np.repeat(np.arange(start, stop), n)
+            j = i + 1 + first + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+            near = ((low[i] <= high[j]) & (low[j] <= high[i])).all(axis=1)
+            i, j = i[near], j[near]
+            if ((side(p[i], q[i], p[j]) * side(p[i], q[i], q[j]) < 0) & (side(p[j], q[j], p[i]) * side(p[j], q[j], q[i]) < 0)).any():
+                return True
+        start = stop
+    return False
 
 
 def simplifier(tolerance: float):

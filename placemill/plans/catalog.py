@@ -355,6 +355,13 @@ def line_radius_search(spark, d):
     return _ways(spark, d).filter(geo.near_shape(F.col("coords"), lat, lon, 500)).select("id", F.round(geo.planar_distance_m(F.col("coords"), lat, lon), 2).alias("metres"))
 
 
+@query
+def relation_point_any(spark, d):
+    """Points of relations by the first member that is a resolvable node, or a way that carries coordinates of its own."""
+    points = geometry.relation_points(a.relation_members(spark, d), a.nodes(spark, d), geometry.own_points(a.way_nodes(spark, d)))
+    return points.select("id", "lon", "lat")
+
+
 @query
 def relation_point(spark, d):
     return geometry.relation_points(a.relation_members(spark, d), a.nodes(spark, d))

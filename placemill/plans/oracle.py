@@ -252,6 +252,10 @@ SQL: dict[str, str] = {
     "multi_polygon_point": f"""WITH {POI}, m AS (SELECT osm_id, lon, lat, 0.002 + 0.006 * (osm_id % 2) AS h, 0.03 * (osm_id % 3) AS away, osm_id % 3 > 0 AS two FROM poi),
  c AS (SELECT *, CASE WHEN two THEN away * 0.0004 / (0.0008 - 4 * h * h) ELSE 0.0 END AS shift FROM m)
  SELECT osm_id, round(lon + shift, 6) AS lon, round(lat, 6) AS lat, (shift > h AND shift < 0.01) OR (two AND abs(shift - away) < 0.01) AS held, true AS inside FROM c""",
+    "relation_point_any": f"""WITH {NODES}, own AS (SELECT l_orderkey AS id, arg_min(olon, k) AS lon, arg_min(olat, k) AS lat FROM (SELECT l_orderkey, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey AS k,
+  CAST(947000 + ((l_partkey + 1) * 104729) % 18000 AS DOUBLE) / 100000.0 AS olon, CAST(4700000 + ((l_partkey + 1) * 7919) % 28000 AS DOUBLE) / 100000.0 AS olat FROM lineitem WHERE l_partkey % 7 = 0) GROUP BY 1),
+ m AS (SELECT o.o_custkey AS id, o.o_orderkey AS pos, n.lon, n.lat FROM orders o JOIN nodes n ON n.id = o.o_orderkey % 200 + 1 WHERE o.o_orderstatus = 'P' UNION ALL SELECT o.o_custkey, o.o_orderkey, w.lon, w.lat FROM orders o JOIN own w ON w.id = o.o_orderkey % 200 + 1 WHERE o.o_orderstatus = 'O')
+ SELECT id, arg_min(lon, pos) AS lon, arg_min(lat, pos) AS lat FROM m GROUP BY id""",
     "relation_point": f"WITH {NODES}, m AS (SELECT o.o_custkey AS id, o.o_orderkey AS pos, n.lon, n.lat FROM orders o JOIN nodes n ON n.id = o.o_orderkey % 200 + 1 WHERE o.o_orderstatus = 'P') SELECT id, arg_min(lon, pos) AS lon, arg_min(lat, pos) AS lat FROM m GROUP BY id",
     "text_match_score": f"WITH {POI} SELECT osm_id, {matched(fold('name'), 'the')} AS score FROM poi",
     "category_match_score": f"WITH {POI}, {KINDS} SELECT osm_id, max(CASE WHEN starts_with(key, 'addr:') OR key IN ('brand', 'wheelchair') THEN 0.0 WHEN value = 'museum' THEN 320.0 WHEN key = 'museum' THEN 140.0 ELSE 0.0 END) AS score FROM kinds GROUP BY osm_id",
