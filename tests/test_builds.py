@@ -139,3 +139,28 @@ def test_a_ring_of_a_hundred_thousand_points(spark):
     assert time.perf_counter() - start < 20
     df = spark.createDataFrame([([tuple(map(float, p)) for p in ring],)], "coords array<struct<lon:double,lat:double>>")
     assert 4 <= df.select(F.size(geometry.simplifier(0.001)(F.col("coords"))).alias("n")).first()["n"] < n / 10
+
+
+def test_objects_of_a_map_are_built_and_searched(spark, tmp_path, monkeypatch, capsys):
+    """From nodes, ways and relations to an index, and a search from the command line."""
+    from placemill import __main__ as command
+    from placemill.sources import map_objects
+
+    tags = "tags map<string,string>"
+    none: dict = {}
+    nodes = spark.createDataFrame([(1, 9.5, 47.1, {"amenity": "cafe", "name": "Cafe Rhein"}), (2, 9.51, 47.11, none), (3, 9.52, 47.11, none), (4, 9.0, 47.0, none)], f"id long, lon double, lat double, {tags}")
+    step = lambda ref, lon=0.0, lat=0.0: (ref, lon, lat)
+    ways = spark.createDataFrame([(10, [step(2), step(3)], {"highway": "primary", "name": "Rheinstrasse"}), (11, [step(2), step(99)], {"highway": "primary", "name": "Short"}), (12, [step(98, 9.6, 47.2), step(3)], none)], f"id long, nodes array<struct<ref: long, lon: double, lat: double>>, {tags}")
+    relations = spark.createDataFrame([(20, [("way", 12, ""), ("node", 3, "")], {"tourism": "museum", "name": "Rhein Museum"}), (21, [("node", 77, "")], {"tourism": "museum", "name": "Nowhere"})], f"id long, members array<struct<type: string, ref: long, role: string>>, {tags}")
+    got = {x["id"]: [(c["lon"], c["lat"]) for c in x["coords"]] for x in map_objects.objects(nodes, ways, relations).collect()}
+    assert got == {"node/1": [(9.5, 47.1)], "way/10": [(9.51, 47.11), (9.52, 47.11)], "relation/20": [(9.6, 47.2)]}
+    assert [x["id"] for x in map_objects.objects(nodes, ways, relations, Config(nodes_only=True)).collect()] == ["node/1"]
+    monkeypatch.setattr(map_objects, "read", lambda spark, path, kind: {"node": nodes, "way": ways, "relation": relations}[kind])
+    built = command.main(["build", str(tmp_path), "v1", "x.osm.pbf"], spark)
+    assert next(c for c in built["counts"] if c["entity_type"] == "all")["imported"] == 3
+    found = command.main(["search", built["path"], "q=rhein", "limit=5"], spark)
+    assert {h["id"] for h in found["hits"]} == {"node/1", "way/10", "relation/20"} and '"total": 3' in capsys.readouterr().out
+    spark.createDataFrame([("node/1", "node", 1, none, 47.1, 9.5, [(9.5, 47.1)], True)], SCHEMA + ", deleted boolean").write.parquet(str(tmp_path / "changes"))
+    after = command.main(["update", built["path"], str(tmp_path / "v2"), str(tmp_path / "changes")], spark)
+    assert {h["id"] for h in command.main(["search", after["path"], "q=rhein"], spark)["hits"]} == {"way/10", "relation/20"}
+    assert command.main(["search", after["path"], "mode=pbf"], spark)["code"] == "no_source"
