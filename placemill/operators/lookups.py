@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,15 +53,35 @@ def neighbours(statistics: DataFrame, fields: tuple[str, ...] = EDITED) -> DataF
     return own.select("field", F.explode(edit_keys(F.col("term"))).alias("key"), "term", "df", "n_docs")
 
 
-def near_terms(table: DataFrame, asked: DataFrame) -> DataFrame:
-    """The asked rows (field, word, and others) with each term of the field within one edit of the word.
+def edit_keys_now(term: str) -> set[int]:
+    """edit_keys() of a word that the driver holds."""
+
+    def key(*texts: str) -> int:
+        seed = 42
+        for t in texts:
+            seed = xxhash.xxh64_intdigest(t.encode(), seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    b = term.encode().decode("latin-1")
+    n, out = len(b), set()
+    if 1 <= n <= SHORT:
+        out |= {key(b)} | {key(b[:i] + b[i + 1 :]) for i in range(n)}
+    if n >= SHORT:
+        for h in {(n - 1) // 2, n // 2}:
+            out |= {key("first", b[:h]), key("last", b[n - h :])}
+    return out
+
+
+def near_terms(table: DataFrame, asked: DataFrame, words: Collection[tuple[str, str]]) -> DataFrame:
+    """The asked rows (field, word, and others) with each term of the field within one edit of the word. words: their fields and words.
 
     The words' keys are few and become a list in the scan of the sorted table; no other terms are read.
     """
+    keys = sorted({k for _, w in words for k in edit_keys_now(w)})
+    if not keys:
+        return table.select("field", "term", "df", "n_docs").limit(0).join(asked, "field")
+    some = table.filter(F.col("field").isin(*sorted({f for f, _ in words})) & F.col("key").isin(*keys))
     keyed = asked.select("*", F.explode(edit_keys(F.col("word"))).alias("key"))
-    keys = sorted({r["key"] for r in keyed.select("key").collect()})  # of the words of one query
-    fields = sorted({r["field"] for r in asked.select("field").distinct().collect()})
-    some = table.filter(F.col("field").isin(*fields) & F.col("key").isin(*keys)) if keys else table.limit(0)
     met = some.join(F.broadcast(keyed), ["field", "key"]).filter(text.within_one_edit(F.col("term"), F.col("word")))
     return met.drop("key").distinct()
 

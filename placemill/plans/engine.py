@@ -193,7 +193,7 @@ def base_scores(posts: DataFrame, stats: DataFrame, query: str, ontology: Ontolo
         terms = own.join(F.broadcast(asked), "field").filter(F.when(F.col("fuzzy"), near).otherwise(F.col("term") == F.col("word")))
     else:
         same = own.filter(F.col("term").isin(*sorted({r[5] for r in rows}))).join(F.broadcast(asked.filter("not fuzzy")), "field").filter("term = word")
-        terms = same.unionByName(near_terms(tables.neighbours, asked.filter("fuzzy"))) if any(r[7] for r in rows) else same
+        terms = same.unionByName(near_terms(tables.neighbours, asked.filter("fuzzy"), {(r[4], r[5]) for r in rows if r[7]})) if any(r[7] for r in rows) else same
     few = terms.limit(MAX_TERMS + 1).collect()
     most, of = 1 << 62, max((r["n_docs"] for r in few), default=0)
     if len(few) <= MAX_TERMS:

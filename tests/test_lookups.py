@@ -50,6 +50,12 @@ def test_terms_within_one_edit_share_a_key(spark):
     assert not next(x for x in rows if x["b"] == "s" * 90)["share"] and all(x["n"] <= 60 for x in rows)
 
 
+def test_keys_of_driver_and_columns_agree(spark):
+    words = ["", "a", "castle", "münster", "日本", "x" * 47, "é" * 24, "x" * 48, "x" * 49, "ab" * 90]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", lookups.edit_keys(F.col("w")).alias("k")).collect()
+    assert all(set(x["k"]) == lookups.edit_keys_now(x["w"]) for x in rows)
+
+
 def test_words_of_driver_and_columns_agree(spark):
     """Folding and words of a query text, as the driver and as columns have them."""
     r = random.Random(2)
@@ -72,7 +78,7 @@ def test_tables_do_not_change_hits(index, known, asked):
 
 def test_plans_read_few_terms_and_cells(index, known):
     asked = index.features.sparkSession.createDataFrame([("name", "castle")], "field string, word string")
-    near = plan(lookups.near_terms(index.tables.neighbours, asked))
+    near = plan(lookups.near_terms(index.tables.neighbours, asked, {("name", "castle")}))
     assert re.search(r"PushedFilters: \[[^\]]*(In|Equal\w*|Or)\(key", near) and "BroadcastHashJoin" in near
     hits = plan(engine.filtered_ids(index.postings, Params(city="nation_3", street="main")))
     assert "addr:city" in hits and re.search(r"PushedFilters: \[[^\]]*In\(term", hits)
