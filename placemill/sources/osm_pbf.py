@@ -2,7 +2,7 @@
 
 A file is a run of blobs; the plan reads their headers only, and every partition decodes its own run of blobs. Rows are
 nodes(id, lon, lat, tags), ways(id, nodes, tags) or relations(id, members, tags); ways and relations carry no positions,
-which come by a join. The path must be one that the executors can open.
+which come by a join. Blocks become Arrow batches, dense nodes column by column. The path is one that executors can open (sources.files).
 """
 
 from __future__ import annotations
@@ -11,15 +11,27 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from placemill.sources.files import open_file
+
 SCHEMAS = {
     "node": "id long, lon double, lat double, tags map<string, string>",
     "way": "id long, nodes array<struct<ref: long, lon: double, lat: double>>, tags map<string, string>",
     "relation": "id long, members array<struct<type: string, ref: long, role: string>>, tags map<string, string>",
 }
 _MEMBERS = ("node", "way", "relation")
+_TAGS = pa.map_(pa.string(), pa.string())
+_STEP = pa.struct([("ref", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64())])
+_MEMBER = pa.struct([("type", pa.string()), ("ref", pa.int64()), ("role", pa.string())])
+ARROW = {
+    "node": pa.schema([("id", pa.int64()), ("lon", pa.float64()), ("lat", pa.float64()), ("tags", _TAGS)]),
+    "way": pa.schema([("id", pa.int64()), ("nodes", pa.list_(_STEP)), ("tags", _TAGS)]),
+    "relation": pa.schema([("id", pa.int64()), ("members", pa.list_(_MEMBER)), ("tags", _TAGS)]),
+}
 
 
 def varint(b: bytes, i: int) -> tuple[int, int]:
@@ -71,6 +83,23 @@ def running(b: bytes) -> list[int]:
     return out
 
 
+def varints(b: bytes) -> np.ndarray:
+    """All numbers of a run of base-128 numbers, at once."""
+    raw = np.frombuffer(b, np.uint8)
+    last = raw < 128
+    ends = np.flatnonzero(last)
+    starts = np.append(0, ends[:-1] + 1)
+    place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1) if len(ends) else np.zeros(0, np.int64)
+    bits = (raw[: len(place)].astype(np.uint64) & np.uint64(127)) << (np.uint64(7) * place.astype(np.uint64))
+    return np.add.reduceat(bits, starts).view(np.int64) if len(ends) else np.zeros(0, np.int64)
+
+
+def sums(b: bytes) -> np.ndarray:
+    """Delta-coded signed numbers as sums, at once."""
+    n = varints(b).view(np.uint64)
+    return np.cumsum((n >> np.uint64(1)).view(np.int64) ^ -(n & np.uint64(1)).view(np.int64))
+
+
 def blobs(f, start: int, stop: int) -> Iterator[tuple[str, int, int]]:
     """Type, place and size of the blobs whose headers start in a range."""
     while start < stop:
@@ -93,7 +122,8 @@ def inflate(blob: bytes) -> bytes:
     raise ValueError("a blob is neither plain nor zlib")
 
 
-def decode(block: bytes, want: str) -> Iterator[tuple]:
+def decode(block: bytes, want: str) -> Iterator[pa.RecordBatch]:
+    """The objects of a kind in a block: dense nodes by columns, others as rows that are gathered to one batch."""
     strings, groups, grain, lat0, lon0 = [], [], 100, 0, 0
     for k, v in message(block):
         if k == 1:
@@ -107,27 +137,46 @@ def decode(block: bytes, want: str) -> Iterator[tuple]:
         elif k == 20:
             lon0 = v - (1 << 64) if v >> 63 else v
     degrees = lambda n, o: 1e-9 * (o + grain * n)
+    rows: list[tuple] = []
     for g in groups:
         for k, v in message(g):
             m = dict(message(v)) if k in (1, 3, 4) else {}
-            tags = lambda m=m: {strings[a]: strings[b] for a, b in zip(packed(m.get(2, b"")), packed(m.get(3, b"")), strict=True)}
+            tags = lambda m=m: list({strings[a]: strings[b] for a, b in zip(packed(m.get(2, b"")), packed(m.get(3, b"")), strict=True)}.items())
             if k == 1 and want == "node":
-                yield signed(m[1]), degrees(signed(m[9]), lon0), degrees(signed(m[8]), lat0), tags()
+                rows.append((signed(m[1]), degrees(signed(m[9]), lon0), degrees(signed(m[8]), lat0), tags()))
             elif k == 2 and want == "node":
-                yield from _dense(dict(message(v)), strings, degrees, lat0, lon0)
+                m = dict(message(v))
+                ids = sums(m[1])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(degrees(sums(m[9]), lon0)), pa.array(degrees(sums(m[8]), lat0)), _dense_tags(m.get(10, b""), len(ids), strings)], schema=ARROW["node"])
             elif k == 3 and want == "way":
-                yield m[1], [(r, 0.0, 0.0) for r in running(m.get(8, b""))], tags()
+                rows.append((m[1], [(r, 0.0, 0.0) for r in running(m.get(8, b""))], tags()))
             elif k == 4 and want == "relation":
-                yield m[1], [(_MEMBERS[t], r, strings[s]) for s, r, t in zip(packed(m.get(8, b"")), running(m.get(9, b"")), packed(m.get(10, b"")), strict=True)], tags()
-
-
-def _dense(m: dict, strings: list[str], degrees, lat0: int, lon0: int) -> Iterator[tuple]:
-    pairs = iter(packed(m.get(10, b"")))
-    for i, lat, lon in zip(running(m[1]), running(m[8]), running(m[9]), strict=True):
+                rows.append((m[1], [(_MEMBERS[t], r, strings[s]) for s, r, t in zip(packed(m.get(8, b"")), running(m.get(9, b"")), packed(m.get(10, b"")), strict=True)], tags()))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(ARROW[want])], schema=ARROW[want])
+
+
+def _dense_tags(b: bytes, n: int, strings: list[str]) -> pa.Array:
+    """Maps of n nodes from their keys and values, 0 behind each node's last."""
+    kv = varints(b)
+    if not len(kv):
+        return pa.array([[]] * n, _TAGS)
+    ends = np.flatnonzero(kv == 0)
+    counts = (np.diff(np.append(-1, ends)) - 1) // 2
+    pairs = kv[kv > 0]
+    node = np.repeat(np.arange(len(ends)), counts)
+    whole = len(ends) == n and len(pairs) == 2 * counts.sum() and len(np.unique(node * (len(strings) + 1) + pairs[::2])) == len(node)
+    if whole:
+        table = pa.array(strings, pa.string())
+        return pa.MapArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), table.take(pa.array(pairs[::2])), table.take(pa.array(pairs[1::2])))
+    # an empty value, or a key twice: one node after the other
+    out, rest = [], iter(kv.tolist())
+    for _ in range(n):
         tags = {}
-        while (k := next(pairs, 0)) != 0:
-            tags[strings[k]] = strings[next(pairs)]
-        yield i, degrees(lon, lon0), degrees(lat, lat0), tags
+        while (k := next(rest, 0)) != 0:
+            tags[strings[k]] = strings[next(rest)]
+        out.append(list(tags.items()))
+    return pa.array(out, _TAGS)
 
 
 @dataclass
@@ -138,12 +187,12 @@ class Run(InputPartition):
 
 class PbfReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.kind = options["path"].removeprefix("file:"), options.get("kind", "node")
+        self.path, self.kind = options["path"], options.get("kind", "node")
         self.size = int(options.get("partitionBytes", 32 << 20))
 
     def partitions(self) -> list[Run]:
         out, first = [], None
-        with open(self.path, "rb") as f:
+        with open_file(self.path) as f:
             end = f.seek(0, 2)
             for _, at, n in blobs(f, 0, end):
                 first = 0 if first is None else first
@@ -152,8 +201,8 @@ class PbfReader(DataSourceReader):
                     first = at + n
         return [*out, Run(first or 0, end)]
 
-    def read(self, run: Run) -> Iterator[tuple]:
-        with open(self.path, "rb") as f:
+    def read(self, run: Run) -> Iterator[pa.RecordBatch]:
+        with open_file(self.path) as f:
             for kind, at, n in blobs(f, run.start, run.stop):
                 if kind == "OSMData":
                     f.seek(at)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 from placemill.sources.files import open_file
-from placemill.sources.osm_pbf import message, packed, signed
+from placemill.sources.osm_pbf import message, packed, signed, varints
 
 POSITIONS = "array<struct<lon: double, lat: double>>"
 SCHEMA = f"z int, x int, y int, layer string, fid long, at long, props map<string, string>, lon double, lat double, coords {POSITIONS}, kind string, parts array<struct<hole: boolean, coords: {POSITIONS}>>"
@@ -102,17 +102,6 @@ def window_ranges(z: int, x1: int, y1: int, x2: int, y2: int, most: int = MAX_RA
     return out
 
 
-def varints(b: bytes) -> np.ndarray:
-    """All numbers of a run of base-128 numbers, at once."""
-    raw = np.frombuffer(b, np.uint8)
-    last = raw < 128
-    ends = np.flatnonzero(last)
-    starts = np.append(0, ends[:-1] + 1)
-    place = np.arange(len(raw)) - np.repeat(starts, ends - starts + 1) if len(ends) else np.zeros(0, np.int64)
-    bits = (raw[: len(place)].astype(np.uint64) & np.uint64(127)) << (np.uint64(7) * place.astype(np.uint64))
-    return np.add.reduceat(bits, starts).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-
-
 @dataclass
 class Entries:
     """A directory: first number, run (0: a further directory), offset and size of each entry, by number."""

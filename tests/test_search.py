@@ -1,6 +1,5 @@
 """Searches over small tables, sources and the service."""
 
-import gzip
 import struct
 import zlib
 
@@ -11,7 +10,7 @@ from placemill.config import Config, Importance, Params, listed, split_address
 from placemill.operators import features, ontology, stats
 from placemill.plans import engine
 from placemill.plans.service import Index, SearchError, Service
-from placemill.sources import osm_pbf, pmtiles
+from placemill.sources import osm_pbf
 from placemill.streaming import publish
 
 ROWS = [
@@ -231,3 +230,17 @@ def test_pbf_reader(spark, tmp_path):
     way = read("way").first()
     assert way["id"] == 20 and [n["ref"] for n in way["nodes"]] == [7, 9] and way["tags"] == {"highway": "primary"}
     assert [tuple(m) for m in read("relation").first()["members"]] == [("node", 7, "stop"), ("way", 20, "")]
+
+
+def test_dense_nodes_by_columns():
+    """Tags of dense nodes by columns equal those read one node after the other, also where a value is empty or a key comes twice."""
+    strings = ["", "a", "b", "c", "d"]
+    for kv in ([1, 2, 0, 0, 3, 4, 1, 1, 0], [0, 0, 0], [], [1, 0, 0, 0, 2, 3, 0], [1, 2, 1, 3, 0, 0, 0]):
+        want, rest = [], iter(kv)
+        for _ in range(3):
+            tags = {}
+            while (k := next(rest, 0)) != 0:
+                tags[strings[k]] = strings[next(rest)]
+            want.append(tags)
+        assert [dict(x) for x in osm_pbf._dense_tags(_packed(kv), 3, strings).to_pylist()] == want
+    assert osm_pbf.sums(_deltas([5, -7, 1 << 60, 3])).tolist() == osm_pbf.running(_deltas([5, -7, 1 << 60, 3])) == [5, -7, 1 << 60, 3]
