@@ -234,3 +234,16 @@ def test_index_counts_terms_over_all_documents(spark, sf):
     got = {r["term"]: r["w"] for r in index.weights(wanted.filter("term <> ''")).collect()}
     df = Counter(w for r in docs.collect() for w in set(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"]))))
     assert got and all(w == math.floor(1000 * math.log((2 * index.n_docs + 2) / (2 * df[t] + 1))) for t, w in got.items())
+
+
+def test_sql_of_nearest_vectors_on_repeated_queries(spark, tmp_path):
+    """Of several rows with one id the greatest vector asks, in the SQL as in the operator; repeated candidates count each for itself."""
+    r = random.Random(7)
+    rows = [(i, [r.gauss(0, 0.3) for _ in range(6)]) for i in range(60)]
+    rows += [rows[20], (20, [r.gauss(0, 0.3) for _ in range(6)]), (40, [9.0] * 6), rows[7], rows[7], (41, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.OP1_SQL).fetchall())
+    got = catalog.op1_topk_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == want and len(want) == 3 * 20
