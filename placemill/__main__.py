@@ -28,11 +28,14 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("version")
     build.add_argument("file")
     build.add_argument("--importance", help="a table of importance by wiki id")
+    build.add_argument("--ranked", action="store_true", help="with lists by impact, for pages of searches by filters alone")
     update = commands.add_parser("update", help="the next version of an index from a table of changes")
     for name in ("old", "new", "changes"):
         update.add_argument(name)
+    update.add_argument("--ranked", action="store_true")
     search = commands.add_parser("search", help="a request against an index: q=..., key=..., lat=..., limit=...")
     search.add_argument("path")
+    search.add_argument("--ranked", action="store_true")
     search.add_argument("args", nargs="*")
     tile = commands.add_parser("tile", help="what the tiles of an archive hold at a point")
     tile.add_argument("file")
@@ -52,12 +55,12 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     known = Ontology.of(ontology.read_ontology(spark, a.ontology)) if a.ontology else Ontology.built_in()
     if a.command == "build":
         importance = ontology.read_importance(spark, a.importance) if a.importance else None
-        path = publish.publish(map_objects.from_file(spark, a.file, conf), a.root, a.version, conf, known.levels, importance=importance)
+        path = publish.publish(map_objects.from_file(spark, a.file, conf), a.root, a.version, conf, known.levels, importance=importance, ranked=a.ranked)
         out: object = {"path": path, "counts": [r.asDict() for r in spark.read.parquet(f"{path}/counts").collect()]}
     elif a.command == "update":
-        out = {"path": publish.update(spark, a.old, a.new, spark.read.parquet(a.changes), conf, known.levels)}
+        out = {"path": publish.update(spark, a.old, a.new, spark.read.parquet(a.changes), conf, known.levels, a.ranked)}
     elif a.command == "search":
-        service = Service(indexes={"index": Index.read(spark, a.path, conf.geometry_mode.startswith("geoshape"))}, conf=conf, ontology=known)
+        service = Service(indexes={"index": Index.read(spark, a.path, conf.geometry_mode.startswith("geoshape"), a.ranked)}, conf=conf, ontology=known)
         try:
             out = service.search(dict(x.split("=", 1) for x in a.args))
         except SearchError as e:

@@ -17,6 +17,8 @@ FIELDS = {"name": "standard", "name_edge_ngram": "edge_ngram", "search_names": "
 #: Fields of address and contact that filters ask for.
 WORDED, WHOLE = ("addr:street", "addr:city", "addr:country"), ("addr:housenumber", "addr:postcode", "addr:floor", "addr:unit", "level")
 CONTACT = ("phone", "wheelchair", "opening_hours", "display_address")
+#: Fields whose lists an index may also hold by impact: those of filters.
+LISTS = ("key", "value", "keys", "values", *WORDED, *WHOLE, "phone", "wheelchair", "opening_hours")
 FIELDS |= dict.fromkeys(WORDED, "standard") | dict.fromkeys((*WHOLE, *CONTACT), "keyword")
 
 
@@ -84,9 +86,9 @@ def statistics(posts: DataFrame) -> DataFrame:
     return terms.join(F.broadcast(docs), "field")
 
 
-def write(features: DataFrame, posts: DataFrame, path: str, shapes: bool = False, stats: DataFrame | None = None) -> None:
+def write(features: DataFrame, posts: DataFrame, path: str, shapes: bool = False, stats: DataFrame | None = None, ranked: bool = False) -> None:
     """An index is tables sorted so that row groups can be skipped: features by grid cell, postings by field and term, their statistics, terms
-    within one edit by key, whole names, and (shapes) features by the cells that their shapes touch.
+    within one edit by key, whole names, (shapes) features by the cells that their shapes touch, and (ranked) the lists of filters by impact, with their blocks.
 
     Ranges over (cell, id), (field, term, id) and (key, term) split a crowded cell or a common term among tasks. stats: those of the postings, where they are known.
     """
@@ -99,3 +101,9 @@ def write(features: DataFrame, posts: DataFrame, path: str, shapes: bool = False
     lookups.whole_names(features).repartitionByRange("folded", "id").sortWithinPartitions("folded").write.mode("overwrite").parquet(f"{path}/names")
     if shapes:
         lookups.by_cell(features).repartitionByRange("at", "id").sortWithinPartitions("at").write.mode("overwrite").parquet(f"{path}/shapes")
+    if ranked:
+        lists = lookups.ranked(features, stored, LISTS)
+        # small row groups, so that the head of a long list is a small part of its file
+        lists.write.mode("overwrite").option("parquet.block.size", 4 << 20).partitionBy("field").parquet(f"{path}/ranked")
+        held = spark.read.schema(lists.schema).parquet(f"{path}/ranked")
+        lookups.blocks(held).repartitionByRange("field", "term", "least").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/blocks")

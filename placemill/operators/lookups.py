@@ -1,9 +1,10 @@
-"""Tables beside an index that answer a question from a few row groups: terms within one edit, whole names, shapes by the cells they touch."""
+"""Tables beside an index that answer a question from a few row groups: terms within one edit, whole names, shapes by the cells they touch, the best of a list."""
 
 from __future__ import annotations
 
 from collections.abc import Collection
 from dataclasses import dataclass
+from functools import reduce
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,8 @@ class Lookups:
     neighbours: DataFrame | None = None
     names: DataFrame | None = None
     shapes: DataFrame | None = None
+    ranked: DataFrame | None = None
+    blocks: DataFrame | None = None
 
 
 # --- terms within one edit ---------------------------------------------------------------------------------------
@@ -143,3 +146,62 @@ def touching(shapes: DataFrame, window: geo.Window, most: int = 1000) -> DataFra
     met = shapes.filter(inside(F.col("at")))
     # of a feature's cells in the window, the first stands for it
     return met.filter(F.col("at") == F.get(F.filter("covers", inside), 0)).drop("covers", "at")
+
+
+# --- lists by impact ---------------------------------------------------------------------------------------------
+
+#: Rows of a block of a list.
+BLOCK = 1024
+#: The list of all features, with one empty term.
+EVERY = "every"
+
+
+def impact(importance: Column) -> Column:
+    """What a feature scores in a search without a text, exactly."""
+    return F.round(F.lit(1.0) + F.greatest(importance, F.lit(0.0)) * 1000, 6)
+
+
+def ranked(features: DataFrame, posts: DataFrame, fields: Collection[str]) -> DataFrame:
+    """field, term, impact, id, cell, block: the lists of the fields, and that of all features, the greatest impact first, equal ones by id.
+
+    Ranges over the whole order split a common term among tasks, so a list's blocks of BLOCK rows don't overlap; those at the ends of a range are shorter.
+    """
+    own = features.select("id", "cell", impact(F.col("importance")).alias("impact"))
+    rows = posts.filter(F.col("field").isin(*fields)).select("field", "term", "id").join(own, "id")
+    rows = rows.unionByName(own.select(F.lit(EVERY).alias("field"), F.lit("").alias("term"), "*"))
+    order = ["field", "term", F.desc("impact"), "id"]
+    placed = rows.select("field", "term", "impact", "id", "cell").repartitionByRange(*order).sortWithinPartitions(*order)
+    # the rows of a partition are numbered in order from a multiple of 2^33, so a block is of one partition
+    return placed.withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK))
+
+
+def blocks(table: DataFrame) -> DataFrame:
+    """field, term, n, greatest, least, last_id: the impacts of each block, and the last id of its least."""
+    last = F.max(F.struct((-F.col("impact")).alias("below"), "id"))
+    some = table.groupBy("field", "term", "block").agg(F.count("*").alias("n"), F.max("impact").alias("greatest"), last.alias("last"))
+    return some.select("field", "term", "n", "greatest", (-F.col("last.below")).alias("least"), F.col("last.id").alias("last_id"))
+
+
+def listed(fields: Collection[tuple[str, tuple[str, ...]]]) -> Column:
+    """Rows of any of the lists. The fields and terms by themselves as well: one skips folders, the other row groups."""
+    any_ = reduce(Column.__or__, [(F.col("field") == f) & F.col("term").isin(*terms) for f, terms in fields])
+    return F.col("field").isin(*sorted({f for f, _ in fields})) & F.col("term").isin(*sorted({t for _, terms in fields for t in terms})) & any_
+
+
+def frontier(table: DataFrame, fields: Collection[tuple[str, tuple[str, ...]]], rows: int) -> tuple[float, str] | None:
+    """(impact, id) down to which the lists hold at least so many rows in all, or as many as the blocks that were looked at; None: these are all."""
+    most = 2 * rows // BLOCK + 32
+    found = table.filter(listed(fields)).orderBy(F.desc("least"), "last_id").limit(most).collect()
+    held = 0
+    for b in found:
+        held += b["n"]
+        if held >= rows:
+            return b["least"], b["last_id"]
+    return (found[-1]["least"], found[-1]["last_id"]) if len(found) == most else None
+
+
+def down_to(edge: tuple[float, str] | None) -> Column:
+    """Rows up to the frontier; the first comparison reaches the scan's row groups."""
+    if edge is None:
+        return F.lit(True)
+    return (F.col("impact") >= edge[0]) & ((F.col("impact") > edge[0]) | (F.col("id") <= edge[1]))

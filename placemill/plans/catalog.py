@@ -477,6 +477,16 @@ def index_exact_first(spark, d):
     return engine.index_search(f, posts, stats, p, CONF, _ontology(spark), tables).select("id", "name", "rank")
 
 
+@query
+def index_best_filtered(spark, d):
+    """A page of a search by filters alone, from the heads of lists by impact."""
+    f, posts, stats = _index(spark, d)
+    lists = lookups.ranked(f, posts, features.LISTS)
+    tables = lookups.Lookups(ranked=lists, blocks=lookups.blocks(lists))
+    p = Params(keys=("Tourism", "shop"), street="Main", wheelchair="Limited", limit=25, offset=5)
+    return engine.best_page(f, posts, stats, p, CONF, _ontology(spark), tables, long=0).select("id", "name", F.round("score", 2).alias("score"), "rank")
+
+
 @query
 def exact_names(spark, d):
     queries = _features(spark, d).select(F.col("osm_id").alias("qid"), F.concat(F.lit("  "), F.initcap("name")).alias("query"))

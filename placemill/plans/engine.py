@@ -14,13 +14,17 @@ from placemill.config import Config, Params
 from placemill.functions import geo, shapes, text
 from placemill.functions.frames import once
 from placemill.operators import classify, filters, names, ranking
-from placemill.operators.lookups import Lookups, near_terms, touching
+from placemill.operators.lookups import EVERY, Lookups, down_to, frontier, listed, near_terms, touching
 
 NEAR_M = 5000
 #: Terms of a query and cells of a window that become a list in the scan.
 MAX_TERMS, MAX_CELLS = 2_000, 1_000
 #: Features are fetched by cells if the hits are at most one in so many.
 SELECTIVE = 50
+#: A search without a text goes down lists by impact where its rarest filter has more features than this, and its page ends within so many hits.
+LONG, DEEP = 100_000, 2_000
+#: Rows of lists whose blocks are looked up to place a cut; beyond that the lists are read to their ends.
+WIDE = 1 << 22
 #: (field, boost) of the three ways in which a word meets a name; the last allows one edit.
 _NAME = (("{}", 5.0, False), ("{}_edge_ngram", 1.0, False), ("{}", 0.5, True))
 
@@ -214,13 +218,41 @@ def filtered_ids(posts: DataFrame, p: Params) -> DataFrame:
     if {n for n, *_ in alternatives} != set(range(len(asked))):
         return posts.select("id", "cell").limit(0)  # a filter without a word
     met = lambda f, terms: (F.col("field") == f) & F.col("term").isin(*terms)
-    any_ = reduce(Column.__or__, [met(f, terms) for _, f, terms in alternatives])
     of = F.coalesce(*[F.when(met(f, terms), n) for n, f, terms in alternatives])
-    # the lists by themselves as well: one skips folders, the other row groups
-    some = posts.filter(F.col("field").isin(*sorted({f for _, f, _ in alternatives})) & F.col("term").isin(*sorted({t for *_, terms in alternatives for t in terms})) & any_)
+    some = posts.filter(listed([(f, terms) for _, f, terms in alternatives]))
     return some.select("id", "cell", of.alias("n")).groupBy("id", "cell").agg(F.count_distinct("n").alias("n")).filter(F.col("n") == len(asked)).select("id", "cell")
 
 
+def best_filtered(ranked: DataFrame, blocks: DataFrame, stats: DataFrame, p: Params, long: int = LONG) -> DataFrame | None:
+    """id, cell of the hits up to the page's end of a search by filters alone, in the order of their scores; None where reading whole lists is as well.
+
+    Blocks of the rarest filter's lists, the greatest impacts first, give an impact down to which these hold rows enough. All lists are cut there:
+    a feature has one impact, so what passes all filters above the cut is just the best hits. If they don't fill the page, the cut moves down eightfold,
+    at last to the lists' ends. Bounded by the page, not by the lists.
+    """
+    asked, need = filters.field_terms(p) or [[(EVERY, ("",))]], p.offset + p.page_size
+    if need > DEEP or not all(any(terms for _, terms in fields) for fields in asked):
+        return None
+    asked = [[(f, terms) for f, terms in fields if terms] for fields in asked]
+    sizes = [0] * len(asked)
+    for r in stats.filter(listed([x for fields in asked for x in fields])).select("field", "term", "df").collect() if asked[0][0][0] != EVERY else []:  # the terms of a request
+        for n, fields in enumerate(asked):
+            sizes[n] += r["df"] * any(f == r["field"] and r["term"] in terms for f, terms in fields)
+    rarest = min(range(len(asked)), key=sizes.__getitem__)
+    if asked[0][0][0] != EVERY and sizes[rarest] <= long:
+        return None
+    rows = need
+    while True:
+        edge = frontier(blocks, asked[rarest], rows) if rows <= WIDE else None
+        of = F.array_compact(F.array(*[F.when(listed(fields), n) for n, fields in enumerate(asked)]))
+        some = ranked.filter(listed([x for fields in asked for x in fields]) & down_to(edge)).select("id", "cell", "impact", F.explode(of).alias("n"))
+        passed = some.groupBy("id", "cell", "impact").agg(F.count_distinct("n").alias("n")).filter(F.col("n") == len(asked))
+        top = passed.orderBy(F.desc("impact"), "id").limit(need).select("id", "cell").collect()  # at most DEEP
+        if edge is None or len(top) == need:
+            return ranked.sparkSession.createDataFrame(top, "id string, cell long")
+        rows *= 8
+
+
 def _fetched(features: DataFrame, hits: DataFrame, selective: bool) -> DataFrame:
     """The features of hits (id, cell). Few cells become a list in the scan of the features, which skips all others."""
     if selective and "cell" in features.columns:
@@ -317,9 +349,21 @@ def exact_first(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Para
     return index_all(features, posts, stats, p, conf, ontology, tables)
 
 
+def best_page(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology(), tables: Lookups = Lookups(), long: int = LONG) -> DataFrame | None:
+    """The page of a search by filters alone, read from the heads of lists by impact; None where these don't serve."""
+    if p.query.strip() or p.has_radius or p.has_box or tables.ranked is None or tables.blocks is None or not conf.store_metadata:
+        return None
+    best = best_filtered(tables.ranked, tables.blocks, stats, p, long)
+    if best is None:
+        return None
+    few = _fetched(features, best, True).select(*features.columns)
+    return page(index_hits(few, posts, stats, Params(langs=p.langs), conf, ontology), p)
+
+
 def index_search(features: DataFrame, posts: DataFrame, stats: DataFrame, p: Params, conf: Config = Config(), ontology: Ontology = Ontology(), tables: Lookups = Lookups()) -> DataFrame:
-    """A page of exact_first."""
-    return page(exact_first(features, posts, stats, p, conf, ontology, tables), p)
+    """A page of exact_first. A search by filters alone reads the best of its lists where the index has these by impact."""
+    best = best_page(features, posts, stats, p, conf, ontology, tables)
+    return page(exact_first(features, posts, stats, p, conf, ontology, tables), p) if best is None else best
 
 
 def exact_names(features: DataFrame, queries: DataFrame) -> DataFrame:

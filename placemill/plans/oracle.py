@@ -271,6 +271,9 @@ SQL: dict[str, str] = {
     "index_filters": f"WITH {POSTS} SELECT f.id FROM feats f WHERE (f.key IN ('tourism', 'shop') OR list_has_any(f.keys, ['tourism', 'shop'])) AND f.wheelchair = 'limited' AND list_has_any({words('lower(street)')}, ['main']) AND list_has_any({words('lower(city)')}, ['nation', '2'])",
     "index_exact_first": f"""WITH {POSTS}, n AS (SELECT {fold('trim(full_name)')} AS folded, count(*) AS n FROM feats WHERE full_name <> '' GROUP BY 1), top AS (SELECT folded FROM n ORDER BY n DESC, folded LIMIT 1)
  SELECT id, full_name AS name, CAST(row_number() OVER (ORDER BY importance DESC, id) AS INTEGER) AS rank FROM feats WHERE {fold('trim(full_name)')} = (SELECT folded FROM top)""",
+    "index_best_filtered": f"""WITH {POSTS}, s AS (SELECT id, full_name AS name, round(1.0 + importance * 1000, 6) AS score FROM feats f
+  WHERE (f.key IN ('tourism', 'shop') OR list_has_any(f.keys, ['tourism', 'shop'])) AND f.wheelchair = 'limited' AND list_has_any({words('lower(street)')}, ['main']))
+ SELECT id, name, round(score, 2) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s) WHERE rank BETWEEN 6 AND 30""",
     "index_search": index(("museum",)),
     "index_near": index_near("castles", "thent", 20000),
     "index_multiword": index(("castles", "er"), "k.osm_id IN (SELECT osm_id FROM classes WHERE key = 'historic')"),

@@ -27,10 +27,10 @@ class Index:
     tables: Lookups = field(default_factory=Lookups)
 
     @staticmethod
-    def read(spark: SparkSession, path: str, shapes: bool = False) -> Index:
-        """shapes: the index was built in a mode of shapes."""
+    def read(spark: SparkSession, path: str, shapes: bool = False, ranked: bool = False) -> Index:
+        """shapes: the index was built in a mode of shapes; ranked: with lists by impact."""
         table = lambda name: spark.read.parquet(f"{path}/{name}")
-        return Index(table("features"), table("postings"), table("statistics"), Lookups(table("neighbours"), table("names"), table("shapes") if shapes else None))
+        return Index(table("features"), table("postings"), table("statistics"), Lookups(table("neighbours"), table("names"), table("shapes") if shapes else None, *((table("ranked"), table("blocks")) if ranked else ())))
 
 
 @dataclass
@@ -61,6 +61,15 @@ class Service:
         rows = self.objects[name] if kind == "pbf" else tiles.objects(self.tiles[name], self.conf.languages)
         return engine.direct_all(rows, p, self.conf, self.ontology, repeated=kind == "pmtiles")
 
+    def page(self, hits: DataFrame, p: Params, mode: str = "", name: str = "") -> DataFrame:
+        """The page of hits; from lists by impact where an index has them."""
+        kind, name = self._route(mode, name)
+        best = None
+        if kind == "index":
+            i = self.indexes[name]
+            best = engine.best_page(i.features, i.postings, i.statistics, p, self.conf, self.ontology, i.tables)
+        return engine.page(hits, p) if best is None else best
+
     def search(self, args: Mapping[str, str]) -> dict | str:
         """A request's arguments to a result: a page with the total of all hits, or, with format=text, both as plain text."""
         p = Params.from_query(args, self.conf.languages)
@@ -68,7 +77,7 @@ class Service:
         if args.get("format") == "text":
             return "\n\n".join(r["block"] for r in engine.text_block(engine.page(hits, p), engine.totals(hits)).orderBy("rank").collect())
         total = engine.totals(hits).first()["total"]
-        page = [r.asDict(recursive=True) for r in engine.page(hits, p).orderBy("rank").collect()]  # at most 1000
+        page = [r.asDict(recursive=True) for r in self.page(hits, p, args.get("mode", ""), args.get("index", "")).orderBy("rank").collect()]  # at most 1000
         return {"from": p.offset, "limit": p.page_size, "total": total, "returned": len(page), "hits": page}
 
     def swap(self, **sources: Mapping) -> None:

@@ -40,10 +40,11 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def publish(objects: DataFrame, root: str, version: str, conf: Config, levels: Mapping[str, int] | None = None, view: str | None = None, importance: DataFrame | None = None) -> str:
+def publish(objects: DataFrame, root: str, version: str, conf: Config, levels: Mapping[str, int] | None = None, view: str | None = None, importance: DataFrame | None = None, ranked: bool = False) -> str:
     """Write a version of an index to its own folder; readers move to it when the view is replaced, not before.
 
     importance: a table as of ontology.read_importance, whose scores are added to those of the objects that name its ids.
+    ranked: with lists by impact, for pages of searches by filters alone.
     The numbers of objects scanned, imported and skipped by type are observed in the build's own job and written beside the index (`counts`).
     """
     path, spark = f"{root}/{version}", objects.sparkSession
@@ -53,14 +54,14 @@ def publish(objects: DataFrame, root: str, version: str, conf: Config, levels: M
     built.write.mode("overwrite").parquet(f"{path}/built")
     _write_counts(spark, path, scanned, imported)
     stored = spark.read.schema(built.schema).parquet(f"{path}/built")
-    features.write(stored, features.postings(stored, conf.name_analyzer), path, conf.geometry_mode.startswith("geoshape"))
+    features.write(stored, features.postings(stored, conf.name_analyzer), path, conf.geometry_mode.startswith("geoshape"), ranked=ranked)
     _remove(spark, f"{path}/built")
     if view:
         spark.read.parquet(f"{path}/features").createOrReplaceTempView(view)
     return path
 
 
-def update(spark: SparkSession, old: str, new: str, changes: DataFrame, conf: Config, levels: Mapping[str, int] | None = None) -> str:
+def update(spark: SparkSession, old: str, new: str, changes: DataFrame, conf: Config, levels: Mapping[str, int] | None = None, ranked: bool = False) -> str:
     """Write the next version of an index from the one before and a batch of changes: objects with a column `deleted`.
 
     Only changed objects are built and analysed. Features and postings of their ids are left out and the new ones added; the statistics are the old
@@ -89,17 +90,17 @@ def update(spark: SparkSession, old: str, new: str, changes: DataFrame, conf: Co
     # one row for each of the fixed fields
     merged = df.join(F.broadcast(n_docs), "field").select("field", "term", "df", "n_docs")
     every = before.join(ids, "id", "left_anti").unionByName(came)
-    features.write(every, posts.join(ids, "id", "left_anti").unionByName(came_posts), new, conf.geometry_mode.startswith("geoshape"), merged)
+    features.write(every, posts.join(ids, "id", "left_anti").unionByName(came_posts), new, conf.geometry_mode.startswith("geoshape"), merged, ranked)
     for name in ("changes", "built"):
         _remove(spark, f"{new}/{name}")
     return new
 
 
-def follow(changes: DataFrame, base: str, root: str, checkpoint: str, conf: Config, levels: Mapping[str, int] | None = None):
+def follow(changes: DataFrame, base: str, root: str, checkpoint: str, conf: Config, levels: Mapping[str, int] | None = None, ranked: bool = False):
     """A stream of changes as versions b0, b1, ... of an index, one for each micro-batch. A batch that is run again writes its version again, from the one before."""
 
     def apply(batch: DataFrame, n: int) -> None:
-        update(batch.sparkSession, base if n == 0 else f"{root}/b{n - 1}", f"{root}/b{n}", batch, conf, levels)
+        update(batch.sparkSession, base if n == 0 else f"{root}/b{n - 1}", f"{root}/b{n}", batch, conf, levels, ranked)
 
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

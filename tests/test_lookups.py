@@ -142,3 +142,54 @@ def test_postings_follow_what_is_stored(spark, sf):
     """No address or contact in the postings where the configuration doesn't store them."""
     f = features.build(adapters.objects(spark, sf), Config(store_address=False, store_contact_info=False), {})
     assert {x["field"] for x in features.postings(f).select("field").distinct().collect()} == {"name", "name_edge_ngram", "search_names", "search_names_edge_ngram", "key", "value", "keys", "values"}
+
+
+@pytest.fixture(scope="module")
+def ranked(spark, tmp_path_factory):
+    """An index with lists by impact in blocks of 16, many features with equal scores, and one class for most of them."""
+    r = random.Random(5)
+    rows = []
+    for i in range(3000):
+        tags = {"amenity" if r.random() < 0.8 else "shop": r.choice(["cafe", "bar"]), "name": f"N{i}", "addr:city": r.choice(["Vaduz", "Chur", "Bad Ragaz"]), "wheelchair": r.choice(["limited", "designated"]), "population": str(r.choice([0, 10, 10, 1000]))}
+        rows.append((f"node/{i}", "node", i, tags, 47.0, 9.0, [(9 + r.random(), 47 + r.random())]))
+    schema = "id string, entity_type string, osm_id long, tags map<string,string>, lat double, lon double, coords array<struct<lon:double,lat:double>>"
+    before, lookups.BLOCK = lookups.BLOCK, 16
+    path = publish.publish(spark.createDataFrame(rows, schema), str(tmp_path_factory.mktemp("ranked")), "v1", catalog.CONF, {}, ranked=True)
+    yield Index.read(spark, path, ranked=True)
+    lookups.BLOCK = before
+
+
+@pytest.mark.parametrize("asked", [{"key": "amenity"}, {"keys": ("shop", "Amenity"), "city": "bad chur"}, {"key": "shop", "value": "bar", "city": "vaduz", "wheelchair": "limited"}, {"value": "cafe", "offset": 37}, {}, {"key": "nothing"}, {"city": "--"}, {"key": "amenity", "offset": 2950, "limit": 100}, {"wheelchair": "limited", "limit": 1}])
+def test_pages_from_lists_by_impact(ranked, known, asked):
+    p = Params(**{"limit": 20, **asked})
+    rows = lambda df: [tuple(x) for x in df.orderBy("rank").collect()]
+    best = engine.best_page(ranked.features, ranked.postings, ranked.statistics, p, catalog.CONF, known, ranked.tables, long=0)
+    whole = rows(engine.page(engine.exact_first(ranked.features, ranked.postings, ranked.statistics, p, catalog.CONF, known), p))
+    if best is None:
+        assert p.key == "nothing" or p.city == "--" or p.offset + p.page_size > engine.DEEP
+    else:
+        assert rows(best) == whole
+    assert rows(engine.index_search(ranked.features, ranked.postings, ranked.statistics, p, catalog.CONF, known, ranked.tables)) == whole
+    assert Service({"i": ranked}, conf=catalog.CONF, ontology=known).search({"key": "amenity", "limit": "3"})["returned"] == 3
+
+
+def test_lists_by_impact_are_read_from_their_heads(ranked):
+    """Blocks of a list don't overlap, and what is read of it grows with the page, ties of the greatest impact or not."""
+    lists = [("key", ("amenity",))]
+    rows = ranked.tables.ranked.filter(lookups.listed(lists))
+    at = {k: lookups.frontier(ranked.tables.blocks, lists, k) for k in (1, 20, 200)}
+    read = {k: rows.filter(lookups.down_to(e)).count() for k, e in at.items()}
+    assert all(k <= read[k] <= k + 16 for k in read) and read[200] < rows.count() / 3
+    assert lookups.frontier(ranked.tables.blocks, [("value", ("bar",)), ("values", ("cafe",))], 1 << 20) is None
+    blocks = ranked.tables.blocks.filter(lookups.listed(lists)).orderBy(F.desc("least"), "last_id").collect()
+    assert all(a["least"] >= b["greatest"] for a, b in zip(blocks, blocks[1:])) and all(b["n"] <= 16 for b in blocks)
+    seen = plan(rows.filter(lookups.down_to(at[20])))
+    assert "GreaterThanOrEqual(impact" in seen and "PartitionFilters: [isnotnull(field" in seen
+
+
+def test_rounds_go_on_until_the_page_is_full(ranked):
+    """A filter that few of the rarest list's heads pass moves the cut down, to the end if need be."""
+    p = Params(key="shop", value="bar", city="chur", wheelchair="designated", limit=60)
+    best = engine.best_filtered(ranked.tables.ranked, ranked.tables.blocks, ranked.statistics, p, long=0)
+    want = ranked.features.filter(filters.indexed_fields(p)).orderBy(F.desc(lookups.impact(F.col("importance"))), "id").limit(60)
+    assert {x["id"] for x in best.collect()} == {x["id"] for x in want.collect()}
