@@ -19,9 +19,11 @@ all. A word end outside that window can't displace it, since the window's least
 A common passage is a hot digest. Counts and least documents are aggregated before the shuffle; the join back to the places
 has one row per digest on the other side, so Spark can split a hot digest among tasks. Python reads the texts once.
 
-Defined cases: null or empty texts have no row, and a text of fewer than MIN_SPAN words none either; rows with a null id
-are left out; rows that share an id are one document, and repeats within one document alone don't count; rows of one id are
-told apart by text, and equal ones have equal spans; a text of any length is read whole; an empty table gives no rows.
+Defined cases: null or empty texts have no row, and a text of fewer than MIN_SPAN words none either; rows that share an id
+are one document, and repeats within one document alone don't count; rows of one id are told apart by text, and equal ones
+have equal spans; rows with a null id are a document for each different text, later than all with an id (and among
+themselves in the order of their texts' hashes); a text of any length is read whole; an empty table gives no rows; columns
+besides id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -127,21 +129,22 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
                 rows = batch.slice(first, last - first).select([0, 1]).take(pa.array(c["text"]))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(c[k].astype(t)) for k, t in kinds.items())], names=["doc_id", "key", *kinds])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     return rows.mapInArrow(cut_up, "doc_id long, key long, word int, n_words int, byte int, n_bytes int, d1 long, d2 long")
 
 
 def _several(rows: DataFrame, *digest: str) -> DataFrame:
-    """The digests that two or more documents hold, and the least of these."""
-    held = rows.groupBy(*digest).agg(F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-    return held.filter("first_doc < last_doc").drop("last_doc")
+    """The digests that two or more documents hold, the least of these with an id, and the least text without one."""
+    other = F.when(F.col("doc_id").isNull(), F.col("key"))
+    held = rows.groupBy(*digest).agg(F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(other).alias("first_key"), F.max(other).alias("last_key"))
+    return held.filter("first_doc < last_doc or first_key < last_key or (first_doc is not null and first_key is not null)").drop("last_doc", "last_key")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_span: int = MIN_SPAN) -> DataFrame:
     """doc_id, word, n_words, byte, n_bytes, first_doc, n_places, is_first: a row for each span of at least min_span words that repeats.
 
     word and byte are where it starts in the text (UTF-8 bytes); first_doc is the document of the first place of the span's
-    most repeated piece, n_places the number of places of that piece; is_first says that no earlier document holds its
+    most repeated piece (null if only rows without ids hold it), n_places the number of places of that piece; is_first says that no earlier document holds its
     pieces. Dropping the spans where it is false keeps the first copy of each passage.
     """
     return _spans(docs, id_col, text_col, window, min_span).drop("key")
@@ -169,7 +172,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str, window: int, min_span: i
     digests = [F.xxhash64(F.lit(seed), F.transform(part, lambda x: F.struct(x["d1"], x["d2"]))) for seed in (1, 2)]
     stop = F.element_at("steps", F.col("n"))
     pieces = run.cut(steps.select(*own, "word", "byte", stop["end"].alias("end"), stop["end_byte"].alias("end_byte"), digests[0].alias("p1"), digests[1].alias("p2")))
-    hits = pieces.join(run.cut(_several(pieces, "p1", "p2")), ["p1", "p2"]).withColumn("is_first", F.col("first_doc") == F.col("doc_id"))
+    hits = pieces.join(run.cut(_several(pieces, "p1", "p2")), ["p1", "p2"]).withColumn("is_first", F.coalesce(F.col("first_doc") == F.col("doc_id"), F.col("first_doc").isNull() & (F.col("first_key") == F.col("key"))))
     by_doc = W.partitionBy(*own, "is_first").orderBy("word")
     ends = F.max("end").over(by_doc.rowsBetween(W.unboundedPreceding, -1))
     spans = hits.withColumn("new", F.when(F.col("word") <= ends, 0).otherwise(1)).withColumn("span", F.sum("new").over(by_doc.rowsBetween(W.unboundedPreceding, 0)))
@@ -197,5 +200,5 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(text)
         return pa.array(out, pa.string())
 
-    both = docs.join(cuts, (docs[id_col].cast("long") == cuts["cut_doc"]) & (F.xxhash64(docs[text_col]) == cuts["cut_key"]), "left")
+    both = docs.join(cuts, docs[id_col].cast("long").eqNullSafe(cuts["cut_doc"]) & (F.xxhash64(docs[text_col]) == cuts["cut_key"]), "left")
     return both.select(*[drop(docs[text_col], cuts["cuts"]).alias(text_col) if c == text_col else docs[c] for c in docs.columns])

@@ -13,7 +13,8 @@ labels and more, with or without pages (a single label, which unrelated hosts sh
 Edges are aggregated per pair of hosts before anything else is shuffled, so the many pages of a hot host are one row per
 linked host. An iteration is a join and an aggregate; lineage is cut every few iterations. After i of them each score is
 within damping^i of its limit for each unit of seeds, so they go on until that is below TOLERANCE and below what separates
-any host from its threshold, or below TIE; scores that then differ by the share EQUAL at most are equal, and don't block. All of it is DataFrame functions.
+any host from its threshold, or below TIE. A host that one kind alone can ever reach is settled however small its score is: the
+hosts that a kind reaches only grow in number, and once they don't, none is reached later. Scores that then differ by the share EQUAL at most are equal, and don't block. All of it is DataFrame functions.
 
 Defined cases: a null url or one without "://" has an empty host and path, fits no rule, and is allowed; null html has no
 links; repeated rows and null ids are judged each; html of any length is read whole; a host without seeds in reach has no
@@ -88,6 +89,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
     mass = max(1.0, seeds.agg(F.max("seed")).first()[0] or 0.0, *(r["s"] for r in seeds.groupBy("kind").agg(F.sum("seed").alias("s")).collect()))
     # without edges nothing moves, and one step is the limit
     most = iterations if iterations is not None else 1 if not steps.limit(1).count() else math.ceil(math.log(TIE / mass) / math.log(damping))
+    reached, closed = -1, False
     gap = F.sum(F.when(F.col("kind") == "trust", threshold * F.col("score")).otherwise(-F.col("score")))
     for i in range(1, most + 1):
         moved = scores.join(steps, ["kind", "host"]).select(F.col("to").alias("host"), "kind", (F.col("score") * F.col("share")).alias("score"))
@@ -95,8 +97,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iter
         if i % CUT_EVERY == 0 or i == most:
             scores = cut(scores)
             error = mass * damping**i
-            if iterations is None and error <= TOLERANCE * mass and not scores.groupBy("host").agg(gap.alias("gap")).filter(F.abs("gap") <= (1 + threshold) * error).limit(1).count():
-                break
+            if iterations is None and error <= TOLERANCE * mass:
+                if not closed:
+                    closed, reached = (n := scores.count()) == reached, n
+                open_ = F.abs("gap") <= (1 + threshold) * error
+                by_host = scores.groupBy("host").agg(gap.alias("gap"), F.count("*").alias("kinds"))
+                if not by_host.filter(open_ & (F.col("kinds") > 1) if closed else open_).limit(1).count():
+                    break
     return scores
 
 

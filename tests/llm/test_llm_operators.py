@@ -507,6 +507,20 @@ def test_rows_that_share_an_id(spark):
     assert sum(map(len, after.values())) < sum(map(len, before.values())) and chunks.deduplicate(docs).filter(F.col("text") == passage).count() == 1
 
 
+def test_passages_of_rows_without_ids(spark):
+    """Each text without an id is a document, behind those with one; rows of one text without an id are one document."""
+    r = random.Random(7)
+    w = lambda n: " ".join("".join(r.choices("abcdefghé", k=5)) for _ in range(n))
+    one, two, three = w(80), w(80), w(80)
+    texts = [(9, f"{w(40)} {one}"), (None, f"{w(30)} {one} {w(5)}"), (None, f"{w(20)} {two}"), (None, f"{w(60)} {two} {w(9)}"), (None, three), (None, three), (None, None)]
+    docs = _docs(spark, [(i, t, "en", "x") for i, t in texts]).withColumn("key", F.lit(1)).withColumn("word", F.lit("x"))
+    spans = sorted((x["first_doc"] or 0, x["is_first"], x["doc_id"] or 0) for x in chunks.repeated_spans(docs).collect())
+    assert spans == [(0, False, 0), (0, True, 0), (9, False, 0), (9, True, 9)]
+    kept = [x["text"] for x in chunks.deduplicate(docs).collect()]
+    count = lambda p: sum(" ".join(p.split()[12:-12]) in (t or "") for t in kept)
+    assert (count(one), count(two), count(three), len(kept)) == (1, 1, 2, 7)
+
+
 def test_substring_shift_and_drop(spark, odd, none):
     r = random.Random(1)
     w = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
@@ -654,6 +668,27 @@ def test_propagation_matches_plain_iteration(spark):
     assert {(r["host"], r["kind"]): pytest.approx(r["score"]) for r in got.collect()} == score
 
 
+@pytest.mark.parametrize("far", [False, True])
+def test_rounds_end_when_traces_of_one_kind_are_all_that_is_open(spark, far):
+    """10^4 hosts, most of them reached by a trace of trust; a host that both kinds reach equally keeps the rounds going to the last."""
+    r = random.Random(6)
+    edges = {(f"t{r.randrange(10_000)}", f"t{r.randrange(10_000)}"): 1 for _ in range(30_000)} | {("b1", "b2"): 1}
+    seeds = [("t1", "trust", 1.0), ("b2", "distrust", 1.0), *((f"t{i}", "trust", 1.0) for i in range(50, 60))]
+    if far:
+        edges |= {("a", "m"): 1, ("m", "z"): 1}
+        seeds += [("a", "trust", 1.0), ("z", "distrust", 1.0)]
+    calls = []
+
+    def counted(df):
+        calls.append(1)
+        return urls.cut(df)
+
+    got = urls.propagate(spark.createDataFrame([(*k, n) for k, n in edges.items()], "src string, dst string, n long"), spark.createDataFrame(seeds, "host string, kind string, seed double"), cut=counted)
+    rounds = 5 * (len(calls) - 1)
+    assert rounds >= 150 if far else rounds <= 65
+    assert {x["host"] for x in got.filter("kind = 'distrust' and host not in ('z', 'm', 'a')").collect()} == {"b1", "b2"} and got.filter("kind = 'trust'").count() > 8000
+
+
 def test_links_spread_distrust(spark):
     html = '<a href="http://bad.example.com/x">x</a> <a HREF=//bad.example.com/y>y</a> <a href="/local">z</a>'
     rows = [(1, "http://bad.example.com/en/1", None), (2, "http://friend.test/a", html), (3, "http://other.test/a", "<p>")]
