@@ -134,10 +134,11 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
 
 
 def _several(rows: DataFrame, *digest: str) -> DataFrame:
-    """The digests that two or more documents hold, the least of these with an id, and the least text without one."""
+    """The digests that two or more documents hold: their places, the least document with an id, and the least text without one."""
+    who = F.coalesce("doc_id", "key")  # a text without an id stands for itself
     other = F.when(F.col("doc_id").isNull(), F.col("key"))
-    held = rows.groupBy(*digest).agg(F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min(other).alias("first_key"), F.max(other).alias("last_key"))
-    return held.filter("first_doc < last_doc or first_key < last_key or (first_doc is not null and first_key is not null)").drop("last_doc", "last_key")
+    held = rows.groupBy(*digest).agg(F.count("*").alias("n_places"), F.min("doc_id").alias("first_doc"), F.min(other).alias("first_key"), F.min(who).alias("least"), F.max(who).alias("most"))
+    return held.filter("least < most").drop("least", "most")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, min_span: int = MIN_SPAN) -> DataFrame:
