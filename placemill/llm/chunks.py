@@ -5,7 +5,7 @@ depends on the last 32 bytes alone; what stands before the last three words is t
 their neighbours. In every WINDOW consecutive word ends the one with the least hash (scrambled; the last of equal ones) is a
 boundary, and so are a text's start and end. The boundaries partition the text into variable chunks of at most WINDOW words
 (more only at the ends of a text), which follow the content: an insertion moves them along and changes those around it only.
-Chunks are compared by a 128-bit digest of their words.
+Chunks are compared by a 64-bit digest of their words, pieces (of two chunks and more) by a 128-bit one of their chunks' digests.
 
 A digest that two or more documents hold is repeated. Runs of adjacent repeated chunks are put together to pieces: from each
 boundary of a run to the first one at least MIN_SPAN words later. A piece, by the digest of its chunks' digests, that two or
@@ -154,23 +154,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _spans(docs: DataFrame, id_col: str, text_col: str, window: int, min_span: int) -> DataFrame:
     spark = docs.sparkSession
     run, last = Run(spark), Run(spark)
-    found = run.cut(chunks(docs, id_col, text_col, window))
-    repeated = run.cut(_several(found, "d1", "d2").select("d1", "d2"))
-    hits = found.join(repeated, ["d1", "d2"])
+    found = run.cut(chunks(docs, id_col, text_col, window).drop("d2"))
+    repeated = run.cut(_several(found, "d1").select("d1"))
+    hits = found.join(repeated, "d1")
     # adjacent repeated chunks of a text; repeated rows of a document are one
     own = ("doc_id", "key")
     in_text = W.partitionBy(*own).orderBy("word")
-    hits = hits.select(*own, "word", "n_words", "byte", "n_bytes", "d1", "d2").dropDuplicates([*own, "word"])
+    hits = hits.select(*own, "word", "n_words", "byte", "n_bytes", "d1").dropDuplicates([*own, "word"])
     hits = hits.withColumn("end", F.col("word") + F.col("n_words"))
     hits = hits.withColumn("new", (F.col("word") != F.coalesce(F.lag("end").over(in_text), F.lit(-1))).cast("int")).withColumn("run", F.sum("new").over(in_text))
     # a piece ends with the first chunk that reaches min_span words from where it starts: at most that many chunks on
     ahead = W.partitionBy(*own, "run").orderBy("word").rowsBetween(0, min_span - 1)
-    next_ = F.collect_list(F.struct("end", (F.col("byte") + F.col("n_bytes")).alias("end_byte"), "d1", "d2")).over(ahead)
+    next_ = F.collect_list(F.struct("end", (F.col("byte") + F.col("n_bytes")).alias("end_byte"), "d1")).over(ahead)
     steps = hits.select(*own, "word", "byte", next_.alias("steps"))
     upto = F.size(F.filter("steps", lambda x: x["end"] < F.col("word") + min_span)) + 1
     steps = steps.withColumn("n", upto).filter(F.col("n") <= F.size("steps"))
     part = F.slice("steps", F.lit(1), F.col("n"))
-    digests = [F.xxhash64(F.lit(seed), F.transform(part, lambda x: F.struct(x["d1"], x["d2"]))) for seed in (1, 2)]
+    digests = [F.xxhash64(F.lit(seed), F.transform(part, lambda x: x["d1"])) for seed in (1, 2)]
     stop = F.element_at("steps", F.col("n"))
     pieces = run.cut(steps.select(*own, "word", "byte", stop["end"].alias("end"), stop["end_byte"].alias("end_byte"), digests[0].alias("p1"), digests[1].alias("p2")))
     hits = pieces.join(run.cut(_several(pieces, "p1", "p2")), ["p1", "p2"]).withColumn("is_first", F.coalesce(F.col("first_doc") == F.col("doc_id"), F.col("first_doc").isNull() & (F.col("first_key") == F.col("key"))))
