@@ -160,6 +160,8 @@ def test_objects_of_a_map_are_built_and_searched(spark, tmp_path, monkeypatch, c
     assert next(c for c in built["counts"] if c["entity_type"] == "all")["imported"] == 3
     found = command.main(["search", built["path"], "q=rhein", "limit=5"], spark)
     assert {h["id"] for h in found["hits"]} == {"node/1", "way/10", "relation/20"} and '"total": 3' in capsys.readouterr().out
+    lists = command.main(["build", "--ranked", str(tmp_path), "lists", "x.osm.pbf"], spark)
+    assert [h["id"] for h in command.main(["search", "--ranked", lists["path"], "key=amenity"], spark)["hits"]] == ["node/1"]
     spark.createDataFrame([("node/1", "node", 1, none, 47.1, 9.5, [(9.5, 47.1)], True)], SCHEMA + ", deleted boolean").write.parquet(str(tmp_path / "changes"))
     after = command.main(["update", built["path"], str(tmp_path / "v2"), str(tmp_path / "changes")], spark)
     assert {h["id"] for h in command.main(["search", after["path"], "q=rhein"], spark)["hits"]} == {"way/10", "relation/20"}
