@@ -12,8 +12,10 @@ piece's count loses the discount D, and what is lost goes to all pieces by their
 keep some mass for words that were never seen.
 
 The work is done per distinct word: word counts over the whole corpus are one shuffle, and each distinct word's lattice
-is evaluated once per pass. To score, the commonest words (at most HOT_WORDS) are broadcast with their values; a text's
-other words are joined by shuffle. None of them is common, so no key is hot.
+is evaluated once per pass. Short words of one length go side by side; a word beyond LONG bytes goes alone, segment by segment,
+with the last positions' values carried over, so that memory stays that of a segment, and a few numbers for each border.
+To score, the commonest words (at most HOT_WORDS, and HOT_BYTES) are broadcast with their values; a text's
+other words are joined by shuffle. Commoner words are taken first, so a hot key is among those that are broadcast.
 
 Beside it stand a base, the same words and end under add-one unigram counts of whole words, and word_score, the score of a
 model that gives a word seen in training an arc of its own, with its discounted relative frequency, beside its spellings.
@@ -25,6 +27,7 @@ evaluated whole; an empty table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,7 +43,9 @@ from placemill.llm.common import HashIndex, cut
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PASSES = 3
-HOT_WORDS = 200_000
+HOT_WORDS, HOT_BYTES = 200_000, 32 << 20
+#: Words of more bytes are evaluated in segments.
+LONG, SEGMENT = 1024, 1 << 16
 FLUSH = 300_000
 DISCOUNT = 0.75
 _SMOOTH = 0.01
@@ -122,6 +127,80 @@ class Lattice:
             b[t] = self._sum([b[t + size] + s[:, t] for size, s in scores.items() if t + size <= n])
         return b
 
+    def arcs(self, x: np.ndarray, padded: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end, piece and score of each piece in a stretch of a word that begins at that place of it."""
+        start, end, piece = [], [], []
+        for size, e in self.edges(x[None]).items():
+            i = np.flatnonzero(e[0] < self.k)
+            start.append(i + at)
+            end.append(i + at + size)
+            piece.append(e[0, i])
+        own = np.concatenate(piece)
+        return np.concatenate(start), np.concatenate(end), own, padded[own]
+
+
+def _chain(known: list[float], first: int, new: np.ndarray, old: np.ndarray, w: np.ndarray, places: range) -> list[float]:
+    """Values of the places, one after the other: the log-sum of the arcs from places whose values are there already.
+
+    known: values from the place `first` on, in the direction of the places; the new ones are appended.
+    """
+    order = np.argsort(new if places.step > 0 else -new, kind="stable")
+    new, w = new[order], w[order].tolist()
+    at = ((old[order] - first) * places.step).tolist()
+    ends = np.searchsorted(new * places.step, np.arange(places.start, places.stop, places.step) * places.step, "right").tolist()
+    i, log, exp = 0, math.log, math.exp
+    for j in ends:
+        if j - i == 1:
+            known.append(known[at[i]] + w[i])
+        else:
+            terms = [known[at[n]] + w[n] for n in range(i, j)]
+            top = max(terms, default=-math.inf)
+            known.append(top + log(sum([exp(t - top) for t in terms])) if top > -math.inf else top)
+        i = j
+    return known
+
+
+class Long:
+    """The lattice of one long word, in segments."""
+
+    def __init__(self, word: bytes, lattice: Lattice, padded: np.ndarray):
+        self.x, self.lattice, self.padded = np.frombuffer(b" " + word, np.uint8), lattice, padded
+        self.n, self.reach = len(self.x), lattice.lengths[-1]
+        self.borders = list(range(0, self.n, SEGMENT))
+        # forward values of the places up to each border that a piece can start at
+        self.carried: list[list[float]] = []
+
+    def _forward(self, lo: int, before: list[float]) -> tuple[int, list[float]]:
+        """The first place, and the values from it to the end of the segment."""
+        first, hi = lo + 1 - len(before), min(self.n, lo + SEGMENT)
+        start, end, _, w = self.lattice.arcs(self.x[first:hi], self.padded, first)
+        new = end > lo
+        return first, _chain(list(before), first, end[new], start[new], w[new], range(lo + 1, hi + 1))
+
+    def whole(self) -> float:
+        """Log-probability of the word over all segmentations."""
+        now = [0.0]
+        self.carried.clear()
+        for lo in self.borders:
+            self.carried.append(now)
+            now = self._forward(lo, now)[1][-self.reach :]
+        return now[-1]
+
+    def counts(self, out: np.ndarray, times: float) -> None:
+        """Adds how often each piece occurs on average, so many times. Forward values are made anew segment by segment, from the last."""
+        whole, after = self.whole(), [0.0]
+        for lo, before in zip(reversed(self.borders), reversed(self.carried), strict=True):
+            hi = min(self.n, lo + SEGMENT)
+            first, forth = self._forward(lo, before)
+            last = hi + len(after) - 1
+            start, end, piece, w = self.lattice.arcs(self.x[lo:last], self.padded, lo)
+            own = start < hi
+            start, end, piece, w = start[own], end[own], piece[own], w[own]
+            back = _chain(list(after), last, start, end, w, range(hi - 1, lo - 1, -1))
+            p = np.exp(np.array(forth)[start - first] + w + np.array(back)[last - end] - whole) * times
+            out += np.bincount(piece, p, len(out))
+            after = back[-self.reach :]
+
 
 _BUILT: dict[int, Lattice] = {}
 
@@ -135,9 +214,9 @@ def _lattice(pieces: list[bytes]) -> Lattice:
 
 
 def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of words of one length, and these words, with a leading space, as a matrix of bytes."""
+    """Rows of words of one length, and these words, with a leading space, as a matrix of bytes. Long ones are left out."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    for n in np.unique(sizes):
+    for n in np.unique(sizes[sizes <= LONG]):
         rows, most = np.flatnonzero(sizes == n), max(1, _CELLS // (16 * (int(n) + 1)))
         for i in range(0, len(rows), most):
             own = rows[i : i + most]
@@ -151,6 +230,9 @@ def word_scores(words: list[bytes], pieces: list[bytes], scores: np.ndarray) ->
     for rows, x in _by_length(words):
         found = {size: padded[e] for size, e in lattice.edges(x).items()}
         out[rows] = lattice.forward(found, x.shape[1])[-1] / np.log(10)
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            out[i] = Long(w, lattice, padded).whole() / np.log(10)
     out[[i for i, w in enumerate(words) if w == _END]] = scores[-1] / np.log(10)
     return out
 
@@ -179,6 +261,9 @@ def expected_counts(words: list[bytes], pieces: list[bytes], scores: np.ndarray,
         for size, e in edges.items():
             p = np.exp(forth[:, : n - size + 1] + found[size] + back[:, size:] - whole) * weight
             out += np.bincount(e.ravel(), p.ravel(), len(out))
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            Long(w, lattice, padded).counts(out, 1.0 if times is None else float(times[i]))
     return out[:-1]
 
 
@@ -263,11 +348,12 @@ def score_texts(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col:
 
     valued = cut(words.mapInArrow(value, "word binary, n long, rest long, base double, lm double, whole double"))
     step = F.floor(F.log2(F.col("n") + F.col("rest")) * 16).cast("int")
-    room, least = hot, 1 << 30
-    for r in sorted(valued.groupBy(step.alias("step")).count().collect(), reverse=True):  # at most 16 steps a doubling
-        if r["count"] > room:
+    room, space, least = hot, HOT_BYTES, 1 << 30
+    by_step = valued.groupBy(step.alias("step")).agg(F.count("*").alias("kinds"), F.sum(F.octet_length("word")).alias("size"))
+    for r in sorted(by_step.collect(), reverse=True):  # at most 16 steps a doubling
+        if r["kinds"] > room or r["size"] > space:
             break
-        room, least = room - r["count"], r["step"]
+        room, space, least = room - r["kinds"], space - r["size"], r["step"]
     common = valued.filter((step >= least) | (F.col("word") == F.lit(_END))).select("word", "n", "base", "lm", "whole").toArrow()
     values = zip(common.column("base").to_pylist(), common.column("lm").to_pylist(), common.column("whole").to_pylist(), pc.greater(common.column("n"), 0).to_pylist(), strict=True)
     at_once = spark.sparkContext.broadcast(dict(zip(common.column("word").to_pylist(), values, strict=True)))

@@ -116,6 +116,32 @@ def test_lattice_sums_over_all_segmentations():
     assert sum(c * len(x) for c, x in zip(counts, pieces, strict=True)) == pytest.approx(5)
 
 
+@pytest.mark.parametrize("segment", [1, 2, 7, 64, 1000])
+def test_long_words_in_segments_equal_the_plain_lattice(monkeypatch, segment):
+    pieces = [*[bytes([b]) for b in range(32, 128)], b" a", b"ab", b"abc", b"bca", b"abcabc", b" abca", b"cab"]
+    rng = np.random.default_rng(3)
+    scores = np.log(rng.dirichlet(np.ones(len(pieces) + 1)))
+    words = [bytes(rng.choice(list(b"abcx"), n).astype(np.uint8)) for n in (1, 2, 3, 5, 63, 64, 65, 300)] + [b"abc" * 40, b""]
+    times = rng.integers(1, 9, len(words)).astype(float)
+    plain = lm.word_scores(words, pieces, scores), lm.expected_counts(words, pieces, scores, times)
+    monkeypatch.setattr(lm, "LONG", 0)
+    monkeypatch.setattr(lm, "SEGMENT", segment)
+    assert lm.word_scores(words, pieces, scores) == pytest.approx(plain[0], rel=1e-12)
+    assert lm.expected_counts(words, pieces, scores, times) == pytest.approx(plain[1], rel=1e-9, abs=1e-12)
+
+
+def test_a_word_of_a_megabyte_is_scored_whole(spark):
+    """The bound of the broadcast is one of bytes, so the long word is joined; its copies are one word."""
+    blob = "".join(map(chr, np.random.default_rng(5).integers(97, 123, 1 << 20)))
+    docs = _docs(spark, [(1, f"{PROSE} {blob}", "en", "a"), (2, blob, "en", "a"), (3, PROSE, "en", "a")])
+    got = {r["doc_id"]: r for r in lm.score_texts(docs, F.col("doc_id") == 3).collect()}
+    pieces = lm.load_pieces()
+    scores = lm.learn_scores(lm.count_words(docs, F.col("doc_id") == 3), pieces)
+    assert got[2]["score"] == pytest.approx(lm.word_scores([blob.encode()], pieces, scores)[0] + scores[-1] / math.log(10))
+    assert got[1]["score"] - got[3]["score"] == pytest.approx(got[2]["score"] - scores[-1] / math.log(10))
+    assert got[2]["n_tokens"] == 2 and got[2]["n_known"] == 2
+
+
 def test_lm_base_and_edges(spark, odd, none):
     held = F.col("doc_id").eqNullSafe(6)
     got = lm.score_texts(odd, held, hot=3).collect()
