@@ -52,13 +52,14 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("placemill").getOrCreate()
     conf = Config.from_toml(Path(a.config).read_text(), Config.trimmed() if a.command == "build" else None) if a.config else Config.trimmed() if a.command == "build" else Config()
-    known = Ontology.of(ontology.read_ontology(spark, a.ontology)) if a.ontology else Ontology.built_in()
+    known = Ontology.fitting(ontology.read_ontology(spark, a.ontology)) if a.ontology else Ontology.built_in()
+    levels = known.levels if known.table is None else known.table
     if a.command == "build":
         importance = ontology.read_importance(spark, a.importance) if a.importance else None
-        path = publish.publish(map_objects.from_file(spark, a.file, conf), a.root, a.version, conf, known.levels, importance=importance, ranked=a.ranked)
+        path = publish.publish(map_objects.from_file(spark, a.file, conf), a.root, a.version, conf, levels, importance=importance, ranked=a.ranked)
         out: object = {"path": path, "counts": [r.asDict() for r in spark.read.parquet(f"{path}/counts").collect()]}
     elif a.command == "update":
-        out = {"path": publish.update(spark, a.old, a.new, spark.read.parquet(a.changes), conf, known.levels, a.ranked)}
+        out = {"path": publish.update(spark, a.old, a.new, spark.read.parquet(a.changes), conf, levels, a.ranked)}
     elif a.command == "search":
         service = Service(indexes={"index": Index.read(spark, a.path, conf.geometry_mode.startswith("geoshape"), a.ranked)}, conf=conf, ontology=known)
         try:

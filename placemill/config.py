@@ -35,6 +35,7 @@ class Config:
     store_contact_info: bool = True
     store_address: bool = True
     pmtiles_post_process: bool = False
+    index_wikidata_redirects: bool = False
 
     @staticmethod
     def from_toml(text: str, base: Config | None = None) -> Config:

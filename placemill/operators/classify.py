@@ -56,10 +56,10 @@ def _tag(tags: Column, key: str) -> Column:
     return F.coalesce(F.try_element_at(tags, F.lit(key)), F.lit(""))
 
 
-def classify(tags: Column, weights: Importance, levels: Mapping[str, int] | None = None) -> Column:
-    """array<struct<key, value, importance, ont_level>> in the order of KEYS. levels: least ontology level by "key=value"."""
+def classify(tags: Column, weights: Importance, levels: Mapping[str, int] | Column | None = None) -> Column:
+    """array<struct<key, value, importance, ont_level>> in the order of KEYS. levels: least ontology level by "key=value", as a mapping or a column of maps."""
     fresh = F.array_intersect(F.array(*[F.lit(k) for k in KEYS]), F.map_keys(tags))
-    level_map = F.create_map(*[F.lit(x) for kv in levels.items() for x in kv]) if levels else None
+    level_map = levels if isinstance(levels, Column) else F.create_map(*[F.lit(x) for kv in levels.items() for x in kv]) if levels else None
     population, more = _tag(tags, "population"), F.lit(0.0)
     if weights.population_boost_weight > 0:
         n = F.when(population.rlike(r"^[+-]?[0-9]+\z"), population.try_cast("long"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placemill.config import Config
 from placemill.functions import geo, text
 from placemill.functions.frames import once, opened
-from placemill.operators import classify, geometry, lookups, names
+from placemill.operators import classify, geometry, lookups, names, ontology
 
 GRID_ZOOM = 10
 FIELDS = {"name": "standard", "name_edge_ngram": "edge_ngram", "search_names": "standard", "search_names_edge_ngram": "edge_ngram", "key": "keyword", "value": "keyword", "keys": "keyword", "values": "keyword"}
@@ -22,10 +22,15 @@ LISTS = ("key", "value", "keys", "values", *WORDED, *WHOLE, "phone", "wheelchair
 FIELDS |= dict.fromkeys(WORDED, "standard") | dict.fromkeys((*WHOLE, *CONTACT), "keyword")
 
 
-def build(objects: DataFrame, conf: Config, levels: Mapping[str, int] | None = None) -> DataFrame:
-    """Features of tagged, located objects. Objects without tags, class, coordinates, or (only_named) name are left out."""
+def build(objects: DataFrame, conf: Config, levels: Mapping[str, int] | DataFrame | None = None) -> DataFrame:
+    """Features of tagged, located objects. Objects without tags, class, coordinates, or (only_named) name are left out.
+
+    levels: the ontology's, compiled into the expressions, or an ontology of any size, which is joined.
+    """
     tags = F.col("tags")
-    rows = once(objects.filter((F.size("tags") > 0) & (F.size("coords") > 0)), classes=classify.classify(tags, conf.importance, levels)).filter(F.size("classes") > 0)
+    rows = objects.filter((F.size("tags") > 0) & (F.size("coords") > 0))
+    rows, known = (ontology.with_levels(rows, levels), F.col("levels")) if isinstance(levels, DataFrame) else (rows, levels)
+    rows = once(rows, classes=classify.classify(tags, conf.importance, known)).filter(F.size("classes") > 0)
     if conf.nodes_only and "entity_type" in objects.columns:
         rows = rows.filter("entity_type = 'node'")
     if conf.only_named:

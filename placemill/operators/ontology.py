@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placemill.functions.text import trim
+from placemill.operators.classify import KEYS
 
 # The built-in ontology, as id, level, label, key=value.
 BUILT_IN = """
@@ -91,6 +92,21 @@ def level_map(ontology: DataFrame) -> dict[str, int]:
     return {f"{r['osm_key']}={r['osm_value']}": r["level"] for r in rows}
 
 
+def with_levels(objects: DataFrame, ontology: DataFrame) -> DataFrame:
+    """Objects with a column `levels`: the ontology's level by "key=value", for the pairs among their tags alone; null without any.
+
+    The ontology is joined, broadcast while it has at most MAX_BROADCAST pairs; AQE splits the tasks of common pairs else.
+    Rows go by id; those that share one share the map, and a row without an id gets none.
+    """
+    known = levels(ontology).select(F.concat("osm_key", F.lit("="), "osm_value").alias("pair"), "level")
+    known = known.groupBy("pair").agg(F.min("level").alias("level"))
+    small = known.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    keys = F.array_intersect(F.map_keys("tags"), F.array(*[F.lit(k) for k in KEYS]))
+    pairs = objects.select("id", F.explode(F.transform(keys, lambda k: F.concat(k, F.lit("="), F.element_at("tags", k)))).alias("pair"))
+    found = pairs.join(F.broadcast(known) if small else known, "pair")
+    return objects.join(found.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("pair", "level"))).alias("levels")), "id", "left")
+
+
 def label_matches(queries: DataFrame, ontology: DataFrame, column: str = "query") -> DataFrame:
     """Queries with the tags that their text names: by label, or, where no label fits, without a final s.
 
@@ -112,5 +128,18 @@ def importance_scores(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def redirects(table: DataFrame) -> DataFrame:
-    """Titles of redirects per id."""
+    """Titles of redirects per id, in order; a title occurs as often as the table has it."""
     return table.filter("type = 'r'").groupBy("wikidata_id").agg(F.array_sort(F.collect_list("title")).alias("titles"), F.count("*").alias("n_redirects"))
+
+
+def add_redirects(features: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds the titles of redirects to a feature's wikidata id to its other names, as redirect:0, redirect:1, ..., underscores as spaces.
+
+    Features without such an id go by their own id, which is nobody's, so that they don't meet in one task.
+    """
+    own = F.coalesce(F.nullif(F.try_element_at("tags", F.lit("wikidata")), F.lit("")), F.concat(F.lit("-"), F.col("id").cast("string")))
+    titles = F.array_distinct(F.transform("titles", lambda t: F.translate(t, "_", " ")))
+    given = redirects(table).select(F.col("wikidata_id").alias("_qid"), titles.alias("_titles"))
+    keys = F.transform("_titles", lambda _, i: F.concat(F.lit("redirect:"), i.cast("string")))
+    more = F.when(F.col("_titles").isNull(), F.col("names")).otherwise(F.map_concat("names", F.map_from_arrays(keys, "_titles")))
+    return features.withColumn("_qid", own).join(given, "_qid", "left").withColumn("names", more).select(*features.columns)

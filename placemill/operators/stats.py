@@ -40,6 +40,14 @@ def build_counts(objects: DataFrame, conf: Config, levels: Mapping[str, int] | N
 
 
 def cache_gaps(log: DataFrame, ttl_seconds: int) -> DataFrame:
-    """key, n, fresh: queries of a key, and those within the time from the one before."""
-    gap = F.col("ts").cast("timestamp").cast("double") - F.lag(F.col("ts").cast("timestamp").cast("double")).over(W.partitionBy("key").orderBy("ts"))
-    return log.withColumn("gap", gap).groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("gap") <= ttl_seconds).alias("fresh"))
+    """key, n, fresh: queries of a key, and those within the time from the one before. One without a time is fresh to none.
+
+    Stretches as long as the time are summed up before the shuffle: within one, all but the first are fresh, and the first is if it is near the end
+    of the stretch before. So a hot key is as many rows as the log has stretches.
+    """
+    s = F.col("ts").cast("timestamp").cast("double")
+    stretch = F.floor(s / ttl_seconds) if ttl_seconds else s
+    each = log.groupBy("key", stretch.alias("stretch")).agg(F.count("*").alias("n"), F.min(s).alias("first"), F.max(s).alias("last"))
+    near = F.col("first") - F.lag("last").over(W.partitionBy("key").orderBy("stretch")) <= ttl_seconds
+    each = each.withColumn("fresh", F.when(F.col("stretch").isNull(), 0).otherwise(F.col("n") - 1 + F.coalesce(near.cast("int"), F.lit(0))))
+    return each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("fresh").alias("fresh"))

@@ -166,6 +166,23 @@ def wikidata_redirects(spark, d):
     return ontology.redirects(a.importance_table(spark, d)).select("wikidata_id", "n_redirects", F.array_join("titles", ",").alias("titles"))
 
 
+@query
+def redirect_names(spark, d):
+    """Features by the titles of redirects to their wiki entries: what a build adds to their other names."""
+    out = ontology.add_redirects(_features(spark, d), a.importance_table(spark, d))
+    return out.select("osm_id", F.explode(F.map_values(F.map_filter("names", lambda k, _: F.startswith(k, F.lit("redirect:"))))).alias("title"))
+
+
+@query
+def classify_joined(spark, d):
+    """Classes with levels of an ontology that is made of the places, as in ontology_levels, joined."""
+    level = (F.length("population") % 7).cast("int")
+    table = a.poi(spark, d).filter("osm_id % 3 > 0").select(F.col("wikidata").alias("qid"), level.alias("level"), F.col("v").alias("label"), F.col("k").alias("osm_key"), F.col("v").alias("osm_value"))
+    rows = ontology.with_levels(a.objects(spark, d), table)
+    each = once(rows, classes=classify.classify(F.col("tags"), WEIGHTS, F.col("levels"))).select("osm_id", F.explode("classes").alias("c"))
+    return each.select("osm_id", "c.key", "c.value", "c.ont_level")
+
+
 @query
 def wikidata_boosted(spark, d):
     by_id, by_language = ontology.importance_scores(a.importance_table(spark, d))

@@ -15,6 +15,7 @@ from placemill.functions import geo, shapes, text
 from placemill.functions.frames import once
 from placemill.operators import classify, filters, names, ranking
 from placemill.operators.lookups import EVERY, Lookups, down_to, frontier, listed, near_terms, touching
+from placemill.operators.ontology import with_levels
 
 NEAR_M = 5000
 #: Terms of a query and cells of a window that become a list in the scan.
@@ -31,10 +32,15 @@ _NAME = (("{}", 5.0, False), ("{}_edge_ngram", 1.0, False), ("{}", 0.5, True))
 
 @dataclass(frozen=True)
 class Ontology:
-    """The parts of an ontology that are compiled into a search: levels by "key=value", tags by lower-cased label."""
+    """The parts of an ontology that are compiled into a search: levels by "key=value", tags by lower-cased label.
+
+    A large ontology stays a table instead: its levels are joined to the objects, and a search looks its own text up in it.
+    """
 
     levels: Mapping[str, int] = field(default_factory=dict)
     tags: Mapping[str, Sequence[tuple[str, str]]] = field(default_factory=dict)
+    table: DataFrame | None = None
+    found: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
 
     @staticmethod
     def of(table: DataFrame) -> Ontology:
@@ -42,9 +48,20 @@ class Ontology:
 
         rows = table.select("label", "osm_key", "osm_value").limit(MAX_LITERAL + 1).collect()
         if len(rows) > MAX_LITERAL:
-            raise ValueError(f"more than {MAX_LITERAL} labels: match queries by operators.ontology.label_matches, a join, instead")
+            raise ValueError(f"more than {MAX_LITERAL} labels: take Ontology.joined, or match many queries by operators.ontology.label_matches")
         return Ontology(level_map(table), Ontology._tags(rows))
 
+    @staticmethod
+    def joined(table: DataFrame) -> Ontology:
+        return Ontology(table=table)
+
+    @staticmethod
+    def fitting(table: DataFrame) -> Ontology:
+        """Compiled if the table is small, joined if not."""
+        from placemill.operators.ontology import MAX_LITERAL
+
+        return Ontology.of(table) if table.limit(MAX_LITERAL + 1).count() <= MAX_LITERAL else Ontology.joined(table)
+
     @staticmethod
     def built_in() -> Ontology:
         """The ontology that comes with the code, without a job."""
@@ -64,9 +81,27 @@ class Ontology:
 
     def named(self, query: str) -> list[tuple[str, str]]:
         q = query.strip().lower()
+        if self.table is not None:
+            return self._looked_up(q)
         return list(self.tags.get(q) or (self.tags.get(q[:-1]) if q.endswith("s") else None) or [])
 
 
+    def _looked_up(self, q: str) -> list[tuple[str, str]]:
+        """Distinct tags of the label, or of the label without a final s; what is compiled into a search is bounded."""
+        from placemill.operators.ontology import MAX_LITERAL
+
+        if q not in self.found:
+            for label in (q, q[:-1]) if q.endswith("s") else (q,):
+                own = self.table.filter(F.lower("label") == label).select("osm_key", "osm_value").distinct()
+                rows = own.orderBy("osm_key", "osm_value").limit(MAX_LITERAL + 1).collect()
+                if len(rows) > MAX_LITERAL:
+                    raise ValueError(f"the label {label} has more than {MAX_LITERAL} tags")
+                if rows:
+                    break
+            self.found[q] = [tuple(r) for r in rows]
+        return self.found[q]
+
+
 def page(hits: DataFrame, p: Params) -> DataFrame:
     """Best first, ties by id, with rank from 1."""
     top = hits.orderBy(F.desc("score"), "id").offset(p.offset).limit(p.page_size)
@@ -97,7 +132,8 @@ def direct_hits(objects: DataFrame, p: Params, conf: Config = Config(), ontology
     renamed = F.map_concat(F.map_filter("tags", lambda k, _: k != "name"), F.map_filter(F.create_map(F.lit("name"), names.full_name(plain, F.col("tags"))), lambda _, v: v != ""))
     rows = once(rows, own=renamed)
     rows = rows.filter(filters.direct_text(F.col("own"), p))
-    rows = once(rows, classes=classify.classify(F.col("tags"), conf.importance, ontology.levels)).filter(F.size("classes") > 0).drop("tags").withColumnRenamed("own", "tags")
+    rows, levels = (rows, ontology.levels) if ontology.table is None else (with_levels(rows, ontology.table), F.col("levels"))
+    rows = once(rows, classes=classify.classify(F.col("tags"), conf.importance, levels)).filter(F.size("classes") > 0).drop("tags").withColumnRenamed("own", "tags")
     rows = rows.filter(filters.direct_fields(F.col("tags"), F.col("classes"), p))
     tags, classes, q = F.col("tags"), F.col("classes"), F.lit(p.query)
     rank = names.tag(tags, "importance").try_cast("double")

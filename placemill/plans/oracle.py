@@ -220,6 +220,8 @@ SQL: dict[str, str] = {
     "wikidata_scores_by_language": "SELECT concat('Q', o_custkey % 200) AS wikidata_id, ['en','de','fr','es','it'][o_orderkey % 5 + 1] AS language, round(max(o_totalprice / 1e6), 9) AS score FROM orders GROUP BY 1, 2",
     "wikidata_redirects": "SELECT concat('Q', o_custkey % 200) AS wikidata_id, count(*) AS n_redirects, array_to_string(list_sort(list(concat('T', o_orderkey))), ',') AS titles FROM orders WHERE o_orderstatus = 'P' GROUP BY 1",
     "wikidata_boosted": f"WITH {BEST}, a AS (SELECT concat('Q', o_custkey % 200) AS q, max(o_totalprice / 1e6) AS s FROM orders GROUP BY 1), d AS (SELECT concat('Q', o_custkey % 200) AS q, max(o_totalprice / 1e6) AS s FROM orders WHERE o_orderkey % 5 = 1 GROUP BY 1) SELECT b.osm_id, round(b.importance + 10 * coalesce(d.s, a.s, 0), 6) AS importance FROM best b JOIN poi p USING (osm_id) LEFT JOIN a ON a.q = p.wikidata LEFT JOIN d ON d.q = p.wikidata",
+    "redirect_names": f"WITH {BEST}, r AS (SELECT DISTINCT concat('Q', o_custkey % 200) AS q, concat('T', o_orderkey) AS title FROM orders WHERE o_orderstatus = 'P') SELECT b.osm_id, r.title FROM best b JOIN poi p USING (osm_id) JOIN r ON r.q = p.wikidata",
+    "classify_joined": f"WITH {CLASSES}, own AS (SELECT k, v, CAST(min(length(population) % 7) AS INTEGER) AS level FROM poi WHERE osm_id % 3 > 0 GROUP BY k, v) SELECT c.osm_id, c.key, c.value, coalesce(own.level, -1) AS ont_level FROM classes c LEFT JOIN own ON own.v = c.value AND (CASE WHEN own.k = 'highway' THEN 'street' ELSE own.k END) = c.key",
     "plain_name": f"WITH {POI} SELECT osm_id, CASE WHEN osm_id % 4 = 0 THEN concat('de ', name) WHEN osm_id % 4 = 1 THEN concat('en ', name) WHEN osm_id % 4 = 2 THEN name ELSE '' END AS name FROM poi",
     "enhance_name": f"WITH {POI}, {NAMED} SELECT osm_id, full_name FROM named",
     "only_named": f"WITH {POI} SELECT osm_id FROM poi WHERE name <> ''",

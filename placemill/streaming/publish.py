@@ -20,7 +20,7 @@ def _count(name: str) -> tuple[Observation, list[Column]]:
     return Observation(name), [F.count("*").alias("all"), *[F.count_if(F.col("entity_type") == t).alias(t) for t in TYPES]]
 
 
-def _observed(objects: DataFrame, conf: Config, levels: Mapping[str, int] | None) -> tuple[DataFrame, Observation | None, Observation | None]:
+def _observed(objects: DataFrame, conf: Config, levels: Mapping[str, int] | DataFrame | None) -> tuple[DataFrame, Observation | None, Observation | None]:
     """The features of objects, with counters that the job which writes them fills."""
     if "entity_type" not in objects.columns:
         return features.build(objects, conf, levels), None, None
@@ -40,10 +40,11 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def publish(objects: DataFrame, root: str, version: str, conf: Config, levels: Mapping[str, int] | None = None, view: str | None = None, importance: DataFrame | None = None, ranked: bool = False) -> str:
+def publish(objects: DataFrame, root: str, version: str, conf: Config, levels: Mapping[str, int] | DataFrame | None = None, view: str | None = None, importance: DataFrame | None = None, ranked: bool = False) -> str:
     """Write a version of an index to its own folder; readers move to it when the view is replaced, not before.
 
-    importance: a table as of ontology.read_importance, whose scores are added to those of the objects that name its ids.
+    importance: a table as of ontology.read_importance, whose scores are added to those of the objects that name its ids, and
+    (index_wikidata_redirects) whose titles of redirects are other names of these objects.
     ranked: with lists by impact, for pages of searches by filters alone.
     The numbers of objects scanned, imported and skipped by type are observed in the build's own job and written beside the index (`counts`).
     """
@@ -51,6 +52,8 @@ def publish(objects: DataFrame, root: str, version: str, conf: Config, levels: M
     built, scanned, imported = _observed(objects, conf, levels)
     if importance is not None and not conf.disable_importance:
         built = classify.add_importance_table(built, *ontology.importance_scores(importance), conf.languages)
+    if importance is not None and conf.index_wikidata_redirects:
+        built = ontology.add_redirects(built, importance)
     built.write.mode("overwrite").parquet(f"{path}/built")
     _write_counts(spark, path, scanned, imported)
     stored = spark.read.schema(built.schema).parquet(f"{path}/built")
@@ -61,7 +64,7 @@ def publish(objects: DataFrame, root: str, version: str, conf: Config, levels: M
     return path
 
 
-def update(spark: SparkSession, old: str, new: str, changes: DataFrame, conf: Config, levels: Mapping[str, int] | None = None, ranked: bool = False) -> str:
+def update(spark: SparkSession, old: str, new: str, changes: DataFrame, conf: Config, levels: Mapping[str, int] | DataFrame | None = None, ranked: bool = False) -> str:
     """Write the next version of an index from the one before and a batch of changes: objects with a column `deleted`.
 
     Only changed objects are built and analysed. Features and postings of their ids are left out and the new ones added; the statistics are the old
@@ -96,7 +99,7 @@ def update(spark: SparkSession, old: str, new: str, changes: DataFrame, conf: Co
     return new
 
 
-def follow(changes: DataFrame, base: str, root: str, checkpoint: str, conf: Config, levels: Mapping[str, int] | None = None, ranked: bool = False):
+def follow(changes: DataFrame, base: str, root: str, checkpoint: str, conf: Config, levels: Mapping[str, int] | DataFrame | None = None, ranked: bool = False):
     """A stream of changes as versions b0, b1, ... of an index, one for each micro-batch. A batch that is run again writes its version again, from the one before."""
 
     def apply(batch: DataFrame, n: int) -> None:

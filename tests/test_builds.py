@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from placemill.config import Config
-from placemill.operators import geometry
+from placemill.config import Config, Params
+from placemill.operators import features, geometry, ontology, stats
+from placemill.plans import engine
+from placemill.plans.engine import Ontology
+from placemill.plans.service import Index, Service
 from placemill.streaming import publish
 
 SCHEMA = "id string, entity_type string, osm_id long, tags map<string,string>, lat double, lon double, coords array<struct<lon:double,lat:double>>"
@@ -166,3 +169,47 @@ def test_objects_of_a_map_are_built_and_searched(spark, tmp_path, monkeypatch, c
     after = command.main(["update", built["path"], str(tmp_path / "v2"), str(tmp_path / "changes")], spark)
     assert {h["id"] for h in command.main(["search", after["path"], "q=rhein"], spark)["hits"]} == {"way/10", "relation/20"}
     assert command.main(["search", after["path"], "mode=pbf"], spark)["code"] == "no_source"
+
+
+def test_redirects_are_other_names(spark, tmp_path):
+    """A feature is found by a redirect's title; ids without redirects, and features without an id, stay as they are."""
+    tags = [{"place": "city", "name": "Berlin", "wikidata": "Q64"}, {"place": "city", "name": "Bern", "wikidata": "Q70"}, {"place": "city", "name": "Biel"}, {"place": "city", "name": "Basel", "wikidata": ""}]
+    rows = [(f"node/{i}", "node", i, t, 47.0, 9.0, [(9.0, 47.0)]) for i, t in enumerate(tags)]
+    table = spark.createDataFrame([("de", "r", "Spree_Athen", 0.1, "Q64"), ("en", "r", "Spree_Athen", 0.1, "Q64"), ("en", "r", "Athens_of_the_Spree", 0.1, "Q64"), ("en", "a", "Bern", 0.1, "Q70")], "language string, type string, title string, importance double, wikidata_id string")
+    objects = spark.createDataFrame(rows, SCHEMA)
+    names = lambda v, **o: {r["osm_id"]: sorted(r["names"].values()) for r in spark.read.parquet(publish.publish(objects, str(tmp_path), v, Config(**o), {}, importance=table) + "/features").collect()}
+    assert names("without") == {i: [] for i in range(4)}
+    assert names("with", index_wikidata_redirects=True) == {0: ["Athens of the Spree", "Spree Athen"], 1: [], 2: [], 3: []}
+    service = Service(indexes={"i": Index.read(spark, str(tmp_path / "with"))}, ontology=Ontology())
+    assert [h["id"] for h in service.search({"q": "Spree Athen"})["hits"]] == ["node/0"]
+
+
+def test_a_joined_ontology_equals_a_compiled_one(spark, monkeypatch):
+    r = random.Random(5)
+    objects = spark.createDataFrame([_object(i, r) for i in range(60)], SCHEMA)
+    table = spark.createDataFrame([("Q1", 3, "Coffee", "amenity", "cafe"), ("Q2", 1, "city", "place", "city"), ("Q3", 5, "city", "place", "city"), ("Q4", 2, "Baker", "shop", "bakery"), ("Q5", 2, "coffee", "shop", "cafe")], "qid string, level int, label string, osm_key string, osm_value string")
+    one, two = Ontology.of(table), Ontology.joined(table)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for most in (ontology.MAX_BROADCAST, 1):
+        monkeypatch.setattr(ontology, "MAX_BROADCAST", most)
+        assert rows(features.build(objects, CONF, one.levels)) == rows(features.build(objects, CONF, table))
+        for p in (Params(query="alpha"), Params(query="Coffees"), Params(key="place")):
+            assert rows(engine.direct_all(objects, p, CONF, one)) == rows(engine.direct_all(objects, p, CONF, two))
+    for q in ("coffee", " COFFEES", "citys", "none", ""):
+        assert sorted(two.named(q)) == sorted(set(one.named(q)))
+    assert Ontology.fitting(table).table is None
+    monkeypatch.setattr(ontology, "MAX_LITERAL", 4)
+    assert Ontology.fitting(table).table is not None
+
+
+def test_fresh_queries_of_a_log(spark):
+    """Against the plain definition: gaps between queries of a key in order of time; equal times, no time, and keys of one query."""
+    r = random.Random(6)
+    log = [(k, r.choice([None, r.randrange(400), r.randrange(4000)])) for k in "aab" for _ in range(60)] + [("c", 7)]
+    frame = spark.createDataFrame(log, "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
+    for ttl in (0, 1, 30, 1000):
+        want = set()
+        for k in "abc":
+            s = sorted(t for x, t in log if x == k and t is not None)
+            want.add((k, sum(x == k for x, _ in log), sum(y - x <= ttl for x, y in zip(s, s[1:], strict=False))))
+        assert {tuple(x) for x in stats.cache_gaps(frame, ttl).collect()} == want
