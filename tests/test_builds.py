@@ -213,3 +213,17 @@ def test_fresh_queries_of_a_log(spark):
             s = sorted(t for x, t in log if x == k and t is not None)
             want.add((k, sum(x == k for x, _ in log), sum(y - x <= ttl for x, y in zip(s, s[1:], strict=False))))
         assert {tuple(x) for x in stats.cache_gaps(frame, ttl).collect()} == want
+
+
+def test_redirect_names_come_in_slices(spark):
+    """The names that a build adds, from parallel slices of a common id's titles and not from one task, each once."""
+    tags = [{"wikidata": "Q1"}, {"wikidata": "Q1"}, {"wikidata": "Q2"}, {"wikidata": "Q3"}, {"wikidata": ""}, {}]
+    rows = spark.createDataFrame([(f"node/{i}", i, t, {}) for i, t in enumerate(tags)], "id string, osm_id long, tags map<string,string>, names map<string,string>")
+    table = [("en", "r", f"a_{i % 7}", 0.1, "Q1") for i in range(9)] + [("en", "r", "b", 0.1, "Q2"), ("en", "a", "c", 0.1, "Q3"), ("en", "r", "d", 0.1, "Q4")]
+    table = spark.createDataFrame(table, "language string, type string, title string, importance double, wikidata_id string")
+    want = sorted(tuple(r) for r in ontology.add_redirects(rows, table).select("osm_id", F.explode(F.map_values("names"))).collect())
+    assert len(want) == 15
+    for most in (1, 3, 7, 1000):
+        got = ontology.redirect_names(rows, table, most)
+        assert sorted(tuple(r) for r in got.collect()) == want
+    assert got.rdd.getNumPartitions() >= 16  # whatever AQE makes of so small an input
