@@ -244,3 +244,13 @@ def test_dense_nodes_by_columns():
             want.append(tags)
         assert [dict(x) for x in osm_pbf._dense_tags(_packed(kv), 3, strings).to_pylist()] == want
     assert osm_pbf.sums(_deltas([5, -7, 1 << 60, 3])).tolist() == osm_pbf.running(_deltas([5, -7, 1 << 60, 3])) == [5, -7, 1 << 60, 3]
+
+
+def test_radius_counts_are_those_of_the_pairs(spark):
+    """Rows at one position are counted together, and none is lost."""
+    at = lambda i: (47.0 + i % 5 / 100, 9.5 + i % 7 / 100)
+    left = spark.createDataFrame([(i, *at(i)) for i in range(60)] + [(98, 47.9, 9.5), (99, None, 9.5)], "a long, lat double, lon double")
+    right = spark.createDataFrame([(i, *at(3 * i)) for i in range(200)], "b long, lat double, lon double")
+    pairs = engine.radius_join(left, right, 1500, "a", "b").groupBy("left_id").agg(F.count("*").alias("n"), F.min("metres").alias("nearest_m"))
+    got = engine.radius_counts(left, right, 1500, "a")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) and got.count() == 60
