@@ -254,3 +254,13 @@ def test_radius_counts_are_those_of_the_pairs(spark):
     pairs = engine.radius_join(left, right, 1500, "a", "b").groupBy("left_id").agg(F.count("*").alias("n"), F.min("metres").alias("nearest_m"))
     got = engine.radius_counts(left, right, 1500, "a")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) and got.count() == 60
+
+
+def test_near_batch_adds_hits_up_as_they_come(spark):
+    """Queries that say the same are one question, and a feature at several places or with several of the words is one hit, without a count of distinct ids."""
+    rows = [("n/1", "Old Town", 47.0, 9.5, 5.0), ("n/2", "Blue Cafe", 47.01, 9.5, 1.0), ("n/2", "Cafe Bar", 47.02, 9.5, 1.0), ("n/3", "Cafe", 47.01, 9.51, 1.0), ("n/4", "Bar", 48.0, 9.5, 1.0), ("n/3", "Cafe", 48.0, 9.5, 1.0), ("n/5", "Bar", None, None, 1.0)]
+    places = spark.createDataFrame(rows, "id string, name string, lat double, lon double, importance double")
+    asked = spark.createDataFrame([(1, "cafe near town"), (2, "Cafe near old town"), (3, "blue bar near town"), (4, "cafe blue near town"), (5, "zoo near town")], "qid long, query string")
+    got = engine.near_batch(asked, places)
+    assert sorted((r["qid"], r["ref_id"], r["n_hits"]) for r in got.collect()) == [(1, "n/1", 2), (2, "n/1", 2), (3, "n/1", 1), (4, "n/1", 2)]
+    assert "count(distinct" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
