@@ -264,3 +264,17 @@ def test_near_batch_adds_hits_up_as_they_come(spark):
     got = engine.near_batch(asked, places)
     assert sorted((r["qid"], r["ref_id"], r["n_hits"]) for r in got.collect()) == [(1, "n/1", 2), (2, "n/1", 2), (3, "n/1", 1), (4, "n/1", 2)]
     assert "count(distinct" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_searches_read_features_once_and_the_fields_they_ask_for(spark, sf):
+    """Statistics and scores of the asked fields are those of the whole index; steps of a search start from built features, not from the objects."""
+    from placemill.plans import catalog
+
+    known = engine.Ontology.built_in()
+    p = Params(query="castles er", key="historic")
+    fields = engine.asked_fields(p, known)
+    assert {"name", "search_names_edge_ngram", "value", "key", "keys"} <= fields and "display_address" not in fields
+    f, posts, stats = catalog._index(catalog._kept(spark, sf), p)
+    assert "documents.parquet" not in posts._jdf.queryExecution().toString() and {r["field"] for r in posts.select("field").distinct().collect()} <= fields
+    whole = features.statistics(features.postings(f)).filter(F.col("field").isin(*fields))
+    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, whole.select(*stats.columns).collect()))
