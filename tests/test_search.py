@@ -278,3 +278,15 @@ def test_searches_read_features_once_and_the_fields_they_ask_for(spark, sf):
     assert "documents.parquet" not in posts._jdf.queryExecution().toString() and {r["field"] for r in posts.select("field").distinct().collect()} <= fields
     whole = features.statistics(features.postings(f)).filter(F.col("field").isin(*fields))
     assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, whole.select(*stats.columns).collect()))
+
+
+def test_best_filtered_makes_the_asked_lists_once(spark, sf, monkeypatch):
+    """The lists are held, so that their heads, blocks and page don't sort them anew, and are of the fields of the filters."""
+    from placemill.operators import lookups
+    from placemill.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(lookups, "blocks", lambda t, real=lookups.blocks: seen.append(t) or real(t))
+    assert catalog.index_best_filtered(spark, sf).count() > 0
+    assert "Exchange" not in seen[0]._jdf.queryExecution().toString()
+    assert {r["field"] for r in seen[0].select("field").distinct().collect()} == {"key", "keys", "addr:street", "wheelchair", lookups.EVERY}
