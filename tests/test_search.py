@@ -266,6 +266,21 @@ def test_near_batch_adds_hits_up_as_they_come(spark):
     assert "count(distinct" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_exact_names_beyond_a_page_by_importance(spark, tmp_path):
+    """More than 1,000 features of one name and of several tiers: all are numbered, as the SQL has them."""
+    import duckdb
+
+    from placemill.plans import catalog, oracle
+
+    docs = spark.range(1100).selectExpr("id as doc_id", "'Same name here' as text", "'en' as lang", "'src0' as source", "id + 10 as n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[2] for r in duck.execute(oracle.SQL["index_exact_first"]).fetchall()}
+    got = {r["id"]: r["rank"] for r in catalog.index_exact_first(spark, str(tmp_path)).collect()}
+    assert len(got) == 1100 and got == want
+
+
 def test_searches_read_features_once_and_the_fields_they_ask_for(spark, sf):
     """Statistics and scores of the asked fields are those of the whole index; steps of a search start from built features, not from the objects."""
     from placemill.plans import catalog
