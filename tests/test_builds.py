@@ -227,3 +227,28 @@ def test_redirect_names_come_in_slices(spark):
         got = ontology.redirect_names(rows, table, most)
         assert sorted(tuple(r) for r in got.collect()) == want
     assert got.rdd.getNumPartitions() >= 16  # whatever AQE makes of so small an input
+
+
+def test_redirect_names_of_a_common_id_are_many_tasks_work(spark):
+    """An id of many features and few titles, or of few and many: spread, each pair once; rows without an id or a title, and titles that are equal as names."""
+    from collections import Counter
+
+    tags = [{"wikidata": "Q1"}] * 3000 + [{"wikidata": "Q2"}] * 3 + [{"wikidata": "Q3"}, {"wikidata": ""}, {}]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "osm_id long, tags map<string,string>")
+    table = [("r", t, "Q1") for t in ("a_b", "a b", "c", None)] + [("r", f"t_{i % 3000}", "Q2") for i in range(6000)] + [("r", "d", None), ("a", "e", "Q3"), ("r", "f", "Q4")]
+    got = ontology.redirect_names(rows, spark.createDataFrame(table, "type string, title string, wikidata_id string"), most=100, many=100)
+    found = got.withColumn("task", F.spark_partition_id()).collect()
+    want = Counter((i, t) for i in range(3000) for t in ("a b", "c")) + Counter((3000 + i, f"t {j}") for i in range(3) for j in range(3000))
+    assert Counter((r["osm_id"], r["title"]) for r in found) == want
+    for first, last in ((0, 2999), (3000, 3002)):
+        tasks = Counter(r["task"] for r in found if first <= r["osm_id"] <= last)
+        assert len(tasks) > 8 and max(tasks.values()) < sum(tasks.values()) / 3
+
+
+def test_kept_are_the_objects_of_features(spark):
+    r = random.Random(8)
+    none = [("node/x", "node", 90, {}, 47.0, 9.0, [(9.0, 47.0)]), ("node/y", "node", 91, {"place": "city"}, None, None, []), ("node/z", "node", 92, {"wheelchair": "yes", "wikidata": "Q1"}, 47.0, 9.0, [(9.0, 47.0)])]
+    objects = spark.createDataFrame([_object(i, r) for i in range(60)] + none, SCHEMA)
+    for conf in (CONF, Config(), Config(nodes_only=True), Config(only_named=True, languages=("de",))):
+        ids = lambda df: sorted(x["id"] for x in df.select("id").collect())
+        assert ids(features.kept(objects, conf)) == ids(features.build(objects, conf))
